@@ -8,18 +8,32 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quarry.llm import oracles
 from quarry.llm.exactdup import exact_groups
+from quarry.llm.packing import pack
+from quarry.llm.token_file import token_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = token_round_trip(_table(spark, sf_dir, "documents"))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
     return {
+        "op3_packing": op3_packing,
+        "op6_token_files": op6_token_files,
         "op9_exact_dedup": op9_exact_dedup,
         "pipeline": corpus_pipeline.run,
     }
