@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import oracles
+from quarry.llm import langid, oracles, toxicity
 from quarry.llm.exactdup import exact_groups
 from quarry.llm.packing import pack
 from quarry.llm.token_file import token_round_trip
@@ -21,6 +21,22 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def _held_out():
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    prototypes = langid.learn(docs.filter(~_held_out()))
+    return langid.classify(docs, prototypes).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels").filter(~_held_out()))
+    return toxicity.score(docs, model).select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = token_round_trip(_table(spark, sf_dir, "documents"))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -33,6 +49,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op3_packing": op3_packing,
+        "op4_language_id": op4_language_id,
+        "op5_toxicity": op5_toxicity,
         "op6_token_files": op6_token_files,
         "op9_exact_dedup": op9_exact_dedup,
         "pipeline": corpus_pipeline.run,
