@@ -8,9 +8,10 @@ a band are candidates. The joint likelihood of all registers, given both exact s
 candidates whose similarity is surely too small; the rest is confirmed on the full sets.
 
 Equal sets are one node. A bucket of a band is searched without listing its pairs: its members are
-compared with a hub, components of confirmed links are formed, and only members that are still in
-another component than some member that they have not been compared with go on, with twice as many
-hubs in each further round. So no link between components is left out.
+compared with a hub, components of confirmed links are formed, and buckets whose other members are
+in several components go on: first the members in the bucket's smallest components are hubs, then
+what is still mixed is dealt out in blocks of bounded size, which compare members of different
+components and give back links alone. So no link between components is left out.
 
 Words are runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased; a text of fewer than
 five words has the whole sequence as its shingle; null text or text without words has an empty set
@@ -40,6 +41,11 @@ BASE = 1.005
 RATE = 20.0
 #: Similarity that a pair's likelihood must not place it below; four and a half standard errors under 0.75.
 LEAST_LIKELY = 0.58
+#: Hubs by which members of a bucket outside its largest component are compared with the others.
+HUB_ROUNDS = (4,)
+#: Limits of the blocks in which buckets that are still mixed are searched.
+BLOCK_NODES = 1024
+BLOCK_BYTES = 24 << 20
 
 _U = np.uint64
 _MULT = (seeded(REGISTERS, 31) >> _U(16)).astype(np.uint32) | np.uint32(1)
@@ -201,6 +207,61 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label) of the buckets whose members are in more than one component."""
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    return staged(labelled.join(staged(mixed, "near-mixed"), "key").select("key", "node", "label"), "near-open")
+
+
+def _block_links(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links (u, v) between components, from buckets dealt out in blocks of bounded size.
+
+    A pair is compared in the block of the first band that both share, and only while its nodes
+    are in different components; blocks give links back, never their pairs.
+    """
+    info = nodes.select("node", "n", "regs").join(sets, "node")
+    blocks = members.join(info.select("node", "n"), "node").groupBy("key").agg(F.ceil(F.greatest(F.sum(F.col("n") * 8 + 400) / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK_NODES)).cast("int").alias("blocks"))
+    dealt = members.join(staged(blocks, "near-blocks"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label").join(info, "node")
+    salt = seeded(BANDS, 34)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        key, first, second = (k.as_py() for k in key)
+        table = table.sort_by("node")
+        node, label, n, own = (table.column(c).to_numpy() for c in ("node", "label", "n", "own"))
+        label = label.copy()
+        raw = b"".join(table.column("regs").to_pylist())
+        regs = np.frombuffer(raw, "<u2").reshape(-1, REGISTERS)
+        bands = mix64(np.frombuffer(raw, "<u8").reshape(-1, BANDS) * _U(0x9E3779B97F4A7C15) + salt).view(np.int64)
+        band = int(np.argmax((bands == key).all(axis=0)))
+        full = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("set")]
+        us, vs = [], []
+        for i in range(len(node)):
+            j = np.arange(i + 1, len(node))
+            fits = (label[j] != label[i]) & (DENOM * np.minimum(n[j], n[i]) >= NUMER * np.maximum(n[j], n[i]))
+            if first != second:
+                fits &= own[j] != own[i]
+            j = j[fits]
+            j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
+            if len(j):
+                j = j[likely(regs[j], regs[i][None], n[j].astype(float), np.full(len(j), float(n[i])))]
+            for at in range(0, len(j), 256):
+                part = [full[x] for x in j[at : at + 256]]
+                found = np.concatenate(part)
+                where = np.searchsorted(full[i], found)
+                hit = full[i][np.minimum(where, len(full[i]) - 1)] == found
+                both = np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, part)])[:-1])
+                for x in j[at : at + 256][DENOM * both >= NUMER * (n[i] + n[j[at : at + 256]] - both)]:
+                    if label[x] != label[i]:
+                        label[label == label[x]] = label[i]
+                        us.append(int(min(node[i], node[x])))
+                        vs.append(int(max(node[i], node[x])))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "u long, v long")
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
     found = staged(sketches(docs, id_col, text_col), "near-sketches")
@@ -222,23 +283,21 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = confirmed(members.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct())
     labels = components(links)
-    open_members = members.filter("node <> hub").select("key", "node")
-    hubs = 1
-    while True:
-        hubs *= 2
-        labelled = open_members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-        open_members = staged(labelled.join(staged(mixed, "near-mixed"), "key"), "near-open")
-        if open_members.isEmpty():
-            break
-        outer = open_members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-        ranked = open_members.join(outer, ["key", "label"]).withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("size", "node")))
+    rest = members.filter("node <> hub").select("key", "node")
+    for hubs in HUB_ROUNDS:
+        rest = _unresolved(rest, labels)
+        outer = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+        ranked = rest.join(outer, ["key", "label"]).withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("size", "node")))
         ranked = staged(ranked, "near-ranked")
         chosen = ranked.filter(F.col("place") <= hubs).select("key", F.col("node").alias("u"), F.col("label").alias("lu"), F.col("place").alias("pu"))
         pairs = ranked.join(chosen, "key").filter("place > pu AND label <> lu").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
         links = links.union(confirmed(pairs))
         labels = components(links)
-        open_members = ranked.filter(F.col("place") > hubs).select("key", "node")
+        rest = ranked.filter(F.col("place") > hubs).select("key", "node")
+    rest = _unresolved(rest, labels)
+    if not rest.isEmpty():
+        links = links.union(staged(_block_links(rest, nodes, sets), "near-links"))
+        labels = components(links)
 
     label = nodes.select("node", "fp", "rid").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = label.groupBy("label").agg(F.min("rid").alias("component_id"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quarry.llm import langid, oracles, toxicity
 from quarry.llm.exactdup import exact_groups
+from quarry.llm.neardup import near_components
 from quarry.llm.packing import pack
 from quarry.llm.token_file import token_round_trip
 
@@ -16,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(_table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -48,6 +53,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_near_dedup": op1_near_dedup,
         "op3_packing": op3_packing,
         "op4_language_id": op4_language_id,
         "op5_toxicity": op5_toxicity,
