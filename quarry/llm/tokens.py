@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -17,7 +18,10 @@ import regex
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 
 #: Distinct pieces that a worker remembers; beyond that it starts afresh.
-MEMO_PIECES = 600_000
+MEMO_PIECES = 1_000_000
+
+#: Marks that end a word and are a piece of their own there.
+_LAST = (".", ",", ";", ":", "!", "?")
 
 #: Fixed value: the pre-tokenisation pattern that byte-level BPE vocabularies are defined with.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -59,19 +63,36 @@ class TokenEncoder:
             and model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
         )
         self.model, self.names, self.memo = self.tok.model, _byte_names(), {}
+        self.blank, self.code = self.names[32], "H" if self.dtype.itemsize == 2 else "I"
 
     def _word(self, piece: str) -> bytes:
-        named = piece.encode().decode("latin1").translate(self.names)
-        return np.array([t.id for t in self.model.tokenize(named)], self.dtype).tobytes()
+        body = piece[1:] if piece[:1] == " " else piece
+        if body.isascii() and body.isalnum():
+            named = body if body is piece else self.blank + body
+        else:
+            named = piece.encode().decode("latin1").translate(self.names)
+        return array(self.code, [t.id for t in self.model.tokenize(named)]).tobytes()
 
     def _learn(self, chunk: str) -> bytes:
         memo, found = self.memo, b""
+        body = chunk[1:] if chunk[:1] == " " else chunk
+        if body.isalpha():
+            ids = memo[chunk] = self._word(chunk)
+            return ids
+        if body[-1:] in _LAST and body[:-1].isalpha():
+            piece = chunk[:-1]
+            ids = memo.get(piece)
+            if ids is None:
+                ids = memo[piece] = self._word(piece)
+            found = memo[chunk] = ids + (memo.get(chunk[-1]) or self._word(chunk[-1]))
+            return found
         for piece in _PIECE.findall(chunk):
             ids = memo.get(piece)
             if ids is None:
                 ids = memo[piece] = self._word(piece)
             found += ids
-        memo[chunk] = found
+        if "\n" not in chunk:
+            memo[chunk] = found
         return found
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -93,6 +114,10 @@ class TokenEncoder:
             found = [learn(c) if f is None else f for c, f in zip(chunks, found)]
         return np.frombuffer(b"".join(found), self.dtype)
 
+    def encode_column(self, column):
+        """Ids of each text of an Arrow column, in order."""
+        return (self.encode(value.as_py()) for value in column)
+
     def decode(self, ids) -> str:
         return self.tok.decode([int(i) for i in ids], skip_special_tokens=False)
 
