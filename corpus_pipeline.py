@@ -1,20 +1,60 @@
-"""The corpus pipeline: stages in order, each over all that the one before it kept."""
+"""The corpus pipeline: stages in order, each over all that the one before it kept.
+
+Toxic documents go, then exact copies, near copies and documents with benchmark passages; what is
+left is packed. Every stage but the last returns the columns of ``documents`` unchanged. Null texts
+are empty texts, of which exact deduplication keeps one; a null identifier is kept as it is. Empty
+tables give empty results.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarry.llm import toxicity
 from quarry.llm.common import staged
+from quarry.llm.decontam import drop_leaks
 from quarry.llm.exactdup import drop_exact
+from quarry.llm.neardup import drop_near
+from quarry.llm.packing import pack
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go; labels outside the held-out fifth are learned from."""
+    labels = _table(spark, sf_dir, "labels").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    return toxicity.drop_toxic(docs, toxicity.learn(docs, labels))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id stays."""
+    """Of texts equal but for the case of A-Z, the document with the largest doc_id stays."""
     return drop_exact(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies, the document with the smallest doc_id stays."""
+    return drop_near(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    return drop_leaks(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece: its document, place there, token ids, sequence and offset."""
+    return pack(docs)
+
+
 STAGES = [
+    ("toxicity", toxicity_stage),
     ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
 ]
 
 #: Learned scores and tokenisation are beyond SQL; tests hold the stages against brute force.
@@ -22,7 +62,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to ``documents``; each one's result is written and reread by the next."""
+    docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm import langid, oracles, toxicity
+from quarry.llm.decontam import leaks
 from quarry.llm.exactdup import exact_groups
 from quarry.llm.neardup import near_components
 from quarry.llm.packing import pack
@@ -47,6 +48,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ def queries() -> dict:
         "op4_language_id": op4_language_id,
         "op5_toxicity": op5_toxicity,
         "op6_token_files": op6_token_files,
+        "op8_decontamination": op8_decontamination,
         "op9_exact_dedup": op9_exact_dedup,
         "pipeline": corpus_pipeline.run,
     }
