@@ -31,8 +31,8 @@ from quarry.llm.common import scratch, staged
 from quarry.llm.tokens import DEFAULT_TOKENIZER, encoder, tokenizer_path
 
 MAX_BITS = 18
-STRIDE = 256
-BLOCK_TOKENS = 1 << 18
+STRIDE = 128
+BLOCK_TOKENS = 1 << 19
 #: Bytes of ids that one file gets, before coding.
 FILE_BYTES = 32 << 20
 NULL_ID = -(1 << 63)
@@ -141,41 +141,47 @@ def frames(raw) -> Iterator[tuple[bytes, memoryview]]:
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int | None) -> DataFrame:
-    """(id, ids) with ids packed in 2 or 4 bytes each, the end id included."""
+    """(id, ids, counts): ids packed in 2 or 4 bytes each, the end id included.
+
+    Each task's last row has no ids, but its counts of all ids of the vocabulary.
+    """
     path = tokenizer_path(tokenizer)
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(docs.schema[id_col].dataType)
 
+    def rows(ids: list, packed: list, counts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, kind) if isinstance(ids, list) else ids.cast(kind), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())], names=["id", "ids", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end = np.array([] if end_id is None else [end_id], enc.dtype).tobytes()
+        total = np.zeros(enc.size, "<i8")
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                ids = [enc.encode(t.as_py()).tobytes() + end for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(kind), pa.array(ids, pa.binary())], names=["id", "ids"])
+                packed = [enc.encode(t.as_py()).tobytes() + end for t in part.column(1)]
+                total += np.bincount(np.frombuffer(b"".join(packed), enc.dtype), minlength=enc.size)
+                yield rows(part.column(0), packed, [None] * len(packed))
+        yield rows([None], [None], [total.tobytes()])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids binary, counts binary")
 
 
 def id_counts(tokens: DataFrame, tokenizer: str) -> np.ndarray:
     """How often each id occurs; what reaches the driver is bounded by the vocabulary."""
-    path = tokenizer_path(tokenizer)
+    size = encoder(tokenizer_path(tokenizer)).size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        total = np.zeros(enc.size, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
             for value in batch.column(0):
-                total += np.bincount(np.frombuffer(value.as_buffer(), enc.dtype), minlength=enc.size) if len(value.as_buffer()) > 4096 else 0
-            small = b"".join(v.as_py() for v in batch.column(0) if len(v.as_buffer()) <= 4096)
-            total += np.bincount(np.frombuffer(small, enc.dtype), minlength=enc.size)
+                total += np.frombuffer(value.as_buffer(), "<i8")
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["token", "n"])
 
-    found = tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(encoder(path).size, np.int64)
+    found = tokens.filter("counts IS NOT NULL").select("counts").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(size, np.int64)
     counts[found["token"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return counts
 
@@ -184,10 +190,11 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     """Encodes ``docs`` into files under ``folder``, in ascending order of the integer ``id_col``."""
     path = tokenizer_path(tokenizer)
     tokens = staged(tokenized(docs, id_col, text_col, tokenizer, end_id), "token-ids")
-    lengths = code_lengths(id_counts(tokens, tokenizer))
+    counts = id_counts(tokens, tokenizer)
+    lengths = code_lengths(counts)
     codes = canonical_codes(lengths)
-    total = tokens.agg(F.sum(F.length("ids"))).first()[0] or 0
-    parts = max(1, -(-total // file_bytes))
+    parts = max(1, -(-int(counts.sum()) * encoder(path).dtype.itemsize // file_bytes))
+    tokens = tokens.filter("ids IS NOT NULL").select("id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = encoder(path).dtype
