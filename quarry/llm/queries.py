@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm import langid, oracles, toxicity
+from quarry.llm.chat import format_turns, read_conversations
+from quarry.llm.common import staged
 from quarry.llm.decontam import leaks
 from quarry.llm.exactdup import exact_groups
 from quarry.llm.neardup import near_components
 from quarry.llm.packing import pack
+from quarry.llm.suffixdup import without_repeats
 from quarry.llm.token_file import token_round_trip
+from quarry.llm.warc import page_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +26,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -48,6 +56,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema))
+    return read_conversations(staged(format_turns(rows), "chat-formatted"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -56,15 +71,22 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict:
     return {
         "op1_near_dedup": op1_near_dedup,
+        "op2_warc": op2_warc,
         "op3_packing": op3_packing,
         "op4_language_id": op4_language_id,
         "op5_toxicity": op5_toxicity,
         "op6_token_files": op6_token_files,
+        "op7_chat_format": op7_chat_format,
         "op8_decontamination": op8_decontamination,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_suffix_dedup": op10_suffix_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
