@@ -185,7 +185,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Data
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(found, pa.binary())], names=["node", "set"]).filter(keep)
 
     texts = docs.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).alias("text"))
-    return texts.join(nodes, "rid").select("node", "fp", "text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
+    # Neither side has a size bound, so neither may be broadcast.
+    return texts.hint("merge").join(nodes.hint("merge"), "rid").select("node", "fp", "text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
 
 
 def components(edges: DataFrame) -> DataFrame:
