@@ -42,7 +42,7 @@ RATE = 20.0
 #: Similarity that a pair's likelihood must not place it below; four and a half standard errors under 0.75.
 LEAST_LIKELY = 0.58
 #: Hubs by which members of a bucket outside its largest component are compared with the others.
-HUB_ROUNDS = (4,)
+HUB_ROUNDS = (2,)
 #: Limits of the blocks in which buckets that are still mixed are searched.
 BLOCK_NODES = 1024
 BLOCK_BYTES = 24 << 20
