@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES: tuple[str, ...] = ()
+FAMILIES: tuple[str, ...] = ("relational",)
 
 
 def _modules():
