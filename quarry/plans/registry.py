@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES: tuple[str, ...] = ("relational", "sync")
+FAMILIES: tuple[str, ...] = ("relational", "sync", "retrieval")
 
 
 def _modules():
