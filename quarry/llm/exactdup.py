@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower, scratch, staged
+from quarry.llm.common import ascii_lower, distinct_name, scratch, staged
 
 #: Rows that one memtable holds before it flushes.
 MEMTABLE_ROWS = 1_000_000
@@ -89,5 +89,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The rows of ``docs`` that stay, one of each text, with all their columns."""
     groups = exact_groups(docs, id_col, text_col, keep)
-    lost = groups.filter(~F.col("kept")).select(F.col(id_col).alias("_lost_id")).distinct()
-    return docs.join(staged(lost, "exact-lost"), F.col(id_col).eqNullSafe(F.col("_lost_id")), "left_anti")
+    lost_id = distinct_name(docs, "lost_id")
+    lost = groups.filter(~F.col("kept")).select(F.col(id_col).alias(lost_id)).distinct()
+    return docs.join(staged(lost, "exact-lost"), F.col(id_col).eqNullSafe(F.col(lost_id)), "left_anti")

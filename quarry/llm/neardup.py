@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quarry.llm.common import mix64, seeded, slices, staged, text_bytes, word_hashes
+from quarry.llm.common import distinct_name, mix64, seeded, slices, staged, text_bytes, word_hashes
 
 WORDS = 5
 NUMER, DENOM = 75, 100
@@ -310,5 +310,6 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, the smallest identifier of each component, with all columns."""
-    lost = near_components(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_lost_id")).distinct()
-    return docs.join(staged(lost, "near-lost"), F.col(id_col) == F.col("_lost_id"), "left_anti")
+    lost_id = distinct_name(docs, "lost_id")
+    lost = near_components(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias(lost_id)).distinct()
+    return docs.join(staged(lost, "near-lost"), F.col(id_col) == F.col(lost_id), "left_anti")

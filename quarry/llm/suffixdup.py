@@ -181,6 +181,8 @@ def _spans(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, length: int) -> pa.
     order = np.lexsort((at, tag, doc))
     doc, tag, at = doc[order], tag[order], at[order]
     cut = np.ones(len(at), bool)
+    if not len(at):
+        return pa.table({"doc": pa.array([], pa.int64()), "tag": pa.array([], pa.int16()), "lo": pa.array([], pa.int64()), "hi": pa.array([], pa.int64())})
     cut[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] > at[:-1] + length)
     first = np.flatnonzero(cut)
     last = np.append(first[1:], len(at)) - 1
@@ -241,9 +243,8 @@ def shard_repeats(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np
             out_doc.append(d[span])
             out_tag.append(t[span])
             out_at.append(where[span])
-    if not out_doc:
-        return pa.table({"doc": pa.array([], pa.int64()), "tag": pa.array([], pa.int16()), "lo": pa.array([], pa.int64()), "hi": pa.array([], pa.int64())})
-    return _spans(np.concatenate(out_doc), np.concatenate(out_tag), np.concatenate(out_at), length)
+    none = np.zeros(0, np.int64)
+    return _spans(*(np.concatenate([none, *found]) for found in (out_doc, out_tag, out_at)), length)
 
 
 def _segments(held: DataFrame, length: int) -> DataFrame:
