@@ -160,91 +160,79 @@ def common_prefixes(text: np.ndarray, before: np.ndarray, wanted: np.ndarray, st
     return shared
 
 
-def _classes(segments: list[bytes], counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, positions of all strings in suffix order, class number of each)."""
-    text = np.frombuffer(b"".join(segments), np.uint8)
-    starts = np.cumsum([0, *map(len, segments)])[:-1]
-    is_start = np.zeros(len(text) + 1, np.int32)
-    is_start[starts] += 1
-    np.subtract.at(is_start, starts + counts, 1)
-    wanted = np.cumsum(is_start[:-1]) > 0
+def _classes(segments: pa.Array, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, where its runs begin, positions of all strings in suffix order, class number of each)."""
+    offs, raw = text_bytes(segments)
+    text, starts = raw[offs[0] : offs[-1]], offs[:-1] - offs[0]
+    wanted = np.repeat(np.tile([True, False], len(starts)), np.stack([counts, np.diff(offs) - counts], axis=1).ravel())
     order = suffix_array(text)
     order = order[wanted[order]]
     before = np.full(len(text), -1, np.int64)
     before[order[1:]] = order[:-1]
     shared = common_prefixes(text, before, wanted, starts, counts, length)
-    return text, order, np.cumsum(shared[order] < length) - 1
+    return text, starts, order, np.cumsum(shared[order] < length) - 1
 
 
-def _spans(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, length: int) -> pa.Table:
-    """Maximal spans covered by the strings at ``at``, in documents."""
+def _spans(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(doc, tag, lo, hi): maximal spans covered by the strings at ``at``."""
     order = np.lexsort((at, tag, doc))
     doc, tag, at = doc[order], tag[order], at[order]
     cut = np.ones(len(at), bool)
-    if not len(at):
-        return pa.table({"doc": pa.array([], pa.int64()), "tag": pa.array([], pa.int16()), "lo": pa.array([], pa.int64()), "hi": pa.array([], pa.int64())})
     cut[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] > at[:-1] + length)
     first = np.flatnonzero(cut)
-    last = np.append(first[1:], len(at)) - 1
-    return pa.table({"doc": pa.array(doc[first], pa.int64()), "tag": pa.array(tag[first], pa.int16()), "lo": pa.array(at[first], pa.int64()), "hi": pa.array(at[last] + length, pa.int64())})
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    return doc[first], tag[first], at[first], at[last] + length
 
 
-def shard_repeats(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np.ndarray, part: np.ndarray, segments: list[bytes], two: bool, length: int = LENGTH) -> pa.Table:
+def shard_repeats(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np.ndarray, part: np.ndarray, segments: pa.Array, two: bool, length: int = LENGTH) -> pa.Table:
     """Spans of repeats among the runs of one shard, or between its two parts."""
     order = np.lexsort((tag, start, doc))
-    doc, tag, start, count, part = doc[order], tag[order], start[order], count[order], part[order]
-    found: dict[tuple, int] = {}
-    own, out_doc, out_tag, out_at = [], [], [], []
-    for i, k in enumerate(order):
-        first = found.setdefault((segments[k], int(part[i]) if two else 0), i)
+    doc, tag, start, count, part = doc[order], tag[order], start[order].astype(np.int64), count[order].astype(np.int64), part[order]
+    coded = segments.dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)[order].astype(np.int64)
+    key = code * 2 + (part > part.min()) if two else code
+    n = len(key)
+    first = np.zeros(int(key.max(initial=0)) + 1, np.int64)
+    first[key[::-1]] = np.arange(n)[::-1]
+    first = first[key]
+    own = np.flatnonzero(first == np.arange(n))
+    found = []
+    if not two:
         # A copy at the very same place of a document of the same identifier is no earlier one.
-        if first == i:
-            own.append(i)
-        elif (doc[first], start[first]) != (doc[i], start[i]) and not two:
-            out_doc.append(np.full(count[i], doc[i]))
-            out_tag.append(np.full(count[i], tag[i]))
-            out_at.append(start[i] + np.arange(count[i], dtype=np.int64))
-    sides = [[i for i in own if part[i] == p] for p in sorted({int(part[i]) for i in own})] if two else [own]
+        copy = np.flatnonzero((doc[first] != doc) | (start[first] != start))
+        found.append((doc[copy], tag[copy], start[copy], start[copy] + count[copy] + length - 1))
     tables = []
-    for side in sides:
-        side = np.array(side, np.int64)
-        kept = [segments[order[i]] for i in side]
-        text, at, number = _classes(kept, count[side].astype(np.int64), length)
-        begins = np.cumsum([0, *map(len, kept)])[:-1]
+    for side in [own[part[own] == p] for p in np.unique(part[own])] if two else [own]:
+        text, begins, at, number = _classes(coded.dictionary.take(pa.array(code[side])), count[side], length)
         seg = np.searchsorted(begins, at, "right") - 1
-        where = start[side][seg].astype(np.int64) + at - begins[seg]
+        where = start[side][seg] + at - begins[seg]
         by = np.lexsort((where, doc[side][seg], number))
         tables.append((text, at[by], number[by], doc[side][seg][by], tag[side][seg][by], where[by]))
     if not two:
         _, _, number, d, t, where = tables[0]
-        first = np.flatnonzero(np.diff(number, prepend=-1))
-        least = first[np.cumsum(np.diff(number, prepend=-1) != 0) - 1]
+        fresh = np.diff(number, prepend=-1) != 0
+        least = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
         later = (d != d[least]) | (where != where[least])
-        out_doc.append(d[later])
-        out_tag.append(t[later])
-        out_at.append(where[later])
+        found.append(_spans(d[later], t[later], where[later], length))
     elif len(tables) == 2:
         strings = []
         for text, at, number, *_ in tables:
-            first = np.flatnonzero(np.diff(number, prepend=-1))
-            window = np.lib.stride_tricks.sliding_window_view(text, length)[at[first]]
-            strings.append((np.ascontiguousarray(window).view(f"S{length}").ravel(), first))
+            heads = np.flatnonzero(np.diff(number, prepend=-1))
+            window = np.lib.stride_tricks.sliding_window_view(text, length)[at[heads]]
+            strings.append((np.ascontiguousarray(window).view(f"S{length}").ravel(), heads))
         (left, lf), (right, rf) = strings
         place = np.minimum(np.searchsorted(left, right), len(left) - 1)
         for i in np.flatnonzero(left[place] == right):
             a, b = lf[place[i]], rf[i]
             spots = [(tables[0][3][a], tables[0][5][a]), (tables[1][3][b], tables[1][5][b])]
-            late = 0 if spots[1] < spots[0] else 1
             if spots[0] == spots[1]:
                 continue
+            late, j = (0, a) if spots[1] < spots[0] else (1, b)
             number, d, t, where = tables[late][2:]
-            j = a if late == 0 else b
             span = slice(j, np.searchsorted(number, number[j], "right"))
-            out_doc.append(d[span])
-            out_tag.append(t[span])
-            out_at.append(where[span])
-    none = np.zeros(0, np.int64)
-    return _spans(*(np.concatenate([none, *found]) for found in (out_doc, out_tag, out_at)), length)
+            found.append((d[span], t[span], where[span], where[span] + length))
+    d, t, lo, hi = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(4))
+    return pa.table({"doc": pa.array(d), "tag": pa.array(t.astype(np.int16)), "lo": pa.array(lo), "hi": pa.array(hi)})
 
 
 def _segments(held: DataFrame, length: int) -> DataFrame:
@@ -280,7 +268,7 @@ def repeats(candidates: DataFrame, held: DataFrame, length: int, shard_bytes: in
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         cols = [table.column(c).to_numpy() for c in ("doc", "tag", "start", "n", "part")]
-        return shard_repeats(*cols, table.column("bytes").to_pylist(), key[1] != key[2], length)
+        return shard_repeats(*cols, table.column("bytes").combine_chunks(), key[1] != key[2], length)
 
     wanted = dealt.select("shard", "i", "j", "doc", "tag", "start", "n", "part", "bytes")
     return staged(wanted.groupBy("shard", "i", "j").applyInArrow(run, "doc long, tag short, lo long, hi long"), "suffix-repeats")
@@ -292,13 +280,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(32749)).cast("short").alias("tag"), text.alias("text"))
     named = _runs(base, length).withColumn("seen", F.count(F.lit(1)).over(Window.partitionBy("name")))
     candidates = staged(named.filter("seen > 1").drop("seen"), "suffix-candidates")
-    lists = candidates.dropDuplicates(["doc", "tag", "start"]).groupBy("doc", "tag").agg(F.collect_list(F.struct("name", "start", "n")).alias("c"))
+    lists = candidates.groupBy("doc", "tag").agg(F.collect_set(F.struct("name", "start", "n")).alias("c"))
     both = base.hint("merge").join(lists.hint("merge"), ["doc", "tag"], "left")
     plain = F.col("c").isNull()
     both = both.select("doc", "tag", F.octet_length("text").cast("long").alias("n_bytes"), F.when(plain, F.sha2("text", 256)).alias("sha"), "text", F.col("c.name").alias("names"), F.col("c.start").alias("starts"), F.col("c.n").alias("counts"))
     both = staged(both, "suffix-documents")
     held = both.filter("names IS NOT NULL")
-    spans = repeats(candidates, held.dropDuplicates(["doc", "tag"]), length, shard_bytes)
+    spans = repeats(candidates, held, length, shard_bytes)
     spans = spans.groupBy("doc", "tag").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
