@@ -116,7 +116,7 @@ def query_form(text: Column) -> Column:
 def snippet(text: Column, tokens: Column, size: int = 400) -> Column:
     """F21, plain form: ``size`` characters around the first of the rarest of ``tokens`` in the text."""
     low = casefold(text)
-    where = F.transform(tokens, lambda t: F.struct(F.size(F.split(low, F.concat(F.lit("\\Q"), t, F.lit("\\E")))).alias("n"), F.locate(t, low).alias("at")))
+    where = F.transform(tokens, lambda t: F.struct(F.size(F.split(low, F.concat(F.lit("\\Q"), t, F.lit("\\E")))).alias("n"), F.position(t, low).alias("at")))
     best = F.array_min(F.filter(where, lambda w: w.at > 0))
     start = F.greatest(F.coalesce(best.at, F.lit(1)) - size // 4, F.lit(1))
     return F.substring(text, start, F.lit(size))
