@@ -255,8 +255,9 @@ def _segments(held: DataFrame, length: int) -> DataFrame:
     return held.select("doc", "tag", "text", "names", "starts", "counts").mapInArrow(run, "name long, doc long, tag short, start int, n int, bytes binary")
 
 
-def repeats(candidates: DataFrame, held: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """(doc, tag, lo, hi): spans of repeated bytes."""
+def repeats(held: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """(doc, tag, lo, hi): spans of repeated bytes among the candidate runs of ``held``."""
+    candidates = held.select(F.explode(F.arrays_zip(F.col("names").alias("name"), F.col("counts").alias("n"))).alias("r")).select("r.name", "r.n")
     total = candidates.agg(F.sum(F.col("n") + length - 1)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     shard = F.pmod(F.col("name"), F.lit(shards))
@@ -279,14 +280,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(32749)).cast("short").alias("tag"), text.alias("text"))
     named = _runs(base, length).withColumn("seen", F.count(F.lit(1)).over(Window.partitionBy("name")))
-    candidates = staged(named.filter("seen > 1").drop("seen"), "suffix-candidates")
-    lists = candidates.groupBy("doc", "tag").agg(F.collect_set(F.struct("name", "start", "n")).alias("c"))
+    lists = named.filter("seen > 1").groupBy("doc", "tag").agg(F.collect_set(F.struct("name", "start", "n")).alias("c"))
     both = base.hint("merge").join(lists.hint("merge"), ["doc", "tag"], "left")
     plain = F.col("c").isNull()
     both = both.select("doc", "tag", F.octet_length("text").cast("long").alias("n_bytes"), F.when(plain, F.sha2("text", 256)).alias("sha"), "text", F.col("c.name").alias("names"), F.col("c.start").alias("starts"), F.col("c.n").alias("counts"))
     both = staged(both, "suffix-documents")
     held = both.filter("names IS NOT NULL")
-    spans = repeats(candidates, held, length, shard_bytes)
+    spans = repeats(held, length, shard_bytes)
     spans = spans.groupBy("doc", "tag").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
