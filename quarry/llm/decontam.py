@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import distinct_name, mix64, seeded, slices, staged, text_bytes, word_hashes
+from quarry.llm.tokens import forget
 
 #: Fixed masks: the word positions that count, of a span of eight.
 SEEDS = ((0, 1, 2, 3, 5), (0, 1, 3, 4, 6), (0, 2, 3, 6, 7), (0, 1, 4, 6, 7))
@@ -95,6 +96,7 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, packed: np.ndarray) -> Da
     spread = docs.sparkSession.sparkContext.broadcast(packed.tobytes())  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known = np.unpackbits(np.frombuffer(spread.value, np.uint8), bitorder="little").view(bool)
         for batch in batches:
             offs, raw = text_bytes(batch.column(1))

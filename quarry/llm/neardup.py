@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarry.llm.common import distinct_name, mix64, seeded, slices, staged, text_bytes, word_hashes
+from quarry.llm.tokens import forget
 
 WORDS = 5
 NUMER, DENOM = 75, 100
@@ -110,6 +111,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n, fp, regs): set size, 128-bit digest of the set, and its registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             offs, raw = text_bytes(batch.column(1))
             for i, j in slices(offs):

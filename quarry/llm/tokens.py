@@ -13,6 +13,7 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
@@ -130,3 +131,10 @@ def encoder(path: str) -> TokenEncoder:
     if path not in _encoders:
         _encoders[path] = TokenEncoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Lets go of the pieces that this worker remembers, and of Arrow's spare memory, for tasks that don't encode."""
+    for made in _encoders.values():
+        made.memo = {}
+    pa.default_memory_pool().release_unused()

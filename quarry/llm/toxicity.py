@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quarry.llm.tokens import forget
+
 #: Most labelled rows that the model is fitted on.
 SAMPLE_ROWS = 20_000
 #: Most entries that the learned lexicon holds.
@@ -163,16 +165,25 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(rows), "_id").select("_text", "_y", F.pmod("_h", F.lit(2)).cast("int").alias("_half"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: Counter = Counter()
+
+        def counted() -> pa.RecordBatch:
+            keys = [pa.array([k[i] for k in seen], t) for i, t in ((0, pa.string()), (1, pa.int32()), (2, pa.int32()))]
+            return pa.RecordBatch.from_arrays([*keys, pa.array(list(seen.values()), pa.int64())], names=["feature", "half", "y", "n"])
+
         for batch in batches:
-            for text, y, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = set(_WORD.findall((text or "").lower()))
+            for text, y, half in zip(*(batch.column(i) for i in range(3))):
+                words = set(_WORD.findall((text.as_py() or "").lower()))
                 stems = {f"{w[:n]}*" for w in words for n in STEM_LETTERS if len(w) >= n}
+                half, y = half.as_py(), int(y.as_py() > 0)
                 for feature in (*words, *stems, ""):
-                    seen[feature, half, 1 if y > 0 else 0] += 1
-        for at in range(0, len(seen), 50_000):
-            part = list(seen.items())[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k, _ in part], t) for i, t in ((0, pa.string()), (1, pa.int32()), (2, pa.int32()))] + [pa.array([n for _, n in part], pa.int64())], names=["feature", "half", "y", "n"])
+                    seen[feature, half, y] += 1
+                if len(seen) > 200_000:
+                    yield counted()
+                    seen = Counter()
+        if seen:
+            yield counted()
 
     def part(half: int, y: int | None):
         return F.sum(F.when((F.col("half") == half) & (F.lit(True) if y is None else F.col("y") == y), F.col("n")).otherwise(0))
@@ -193,8 +204,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammars = [Grammar(lexicons[1]), Grammar(lexicons[0])]
         for batch in batches:
-            texts, ys, hs = (batch.column(i).to_pylist() for i in range(3))
-            found = [grammars[h].evidence(t) for t, h in zip(texts, hs)]
+            ys, hs = (batch.column(i).to_pylist() for i in (1, 2))
+            found = [grammars[h].evidence(t.as_py()) for t, h in zip(batch.column(0), hs)]
             yield pa.RecordBatch.from_arrays([*(pa.array([f[i] for f in found], pa.float64()) for i in range(3)), pa.array([1 if y > 0 else 0 for y in ys], pa.int32())], names=["total", "most", "words", "y"])
 
     fitted = sample.mapInArrow(score, "total double, most double, words double, y int").groupBy("total", "most", "words", "y").count().toPandas()  # at most sample_rows rows
@@ -211,6 +222,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     kind, weights, lexicon = to_arrow_type(docs.schema[id_col].dataType), model["weights"], model["lexicon"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         grammar = Grammar(lexicon)
         for batch in batches:
             found = np.array([grammar.evidence(t.as_py()) for t in batch.column(1)], float).reshape(-1, 3)
@@ -225,6 +237,7 @@ def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text", threshold:
     weights, lexicon, at = model["weights"], model["lexicon"], docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         grammar = Grammar(lexicon)
         for batch in batches:
             found = np.array([grammar.evidence(t.as_py()) for t in batch.column(at)], float).reshape(-1, 3)
