@@ -89,6 +89,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The rows of ``docs`` that stay, one of each text, with all their columns."""
     groups = exact_groups(docs, id_col, text_col, keep)
-    lost_id = distinct_name(docs, "lost_id")
-    lost = groups.filter(~F.col("kept")).select(F.col(id_col).alias(lost_id)).distinct()
-    return docs.join(staged(lost, "exact-lost"), F.col(id_col).eqNullSafe(F.col(lost_id)), "left_anti")
+    # Rows of one identifier, a null one too, may hold different texts, so the text's digest is part of the key.
+    lost_id, lost_sha = distinct_name(docs, "lost_id"), distinct_name(docs, "lost_sha")
+    lost = groups.filter(~F.col("kept")).select(F.col(id_col).alias(lost_id), F.col("text_sha256").alias(lost_sha)).distinct()
+    sha = F.sha2(F.coalesce(ascii_lower(F.col(text_col)), F.lit("")), 256)
+    return docs.join(staged(lost, "exact-lost"), F.col(id_col).eqNullSafe(F.col(lost_id)) & (sha == F.col(lost_sha)), "left_anti")
