@@ -188,7 +188,7 @@ WITH l AS (SELECT doc_id, {tok('text')}[1:400] AS t FROM documents), n AS (SELEC
 SELECT phrase, count(DISTINCT doc_id) AS docs, count(*) AS uses FROM n GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5
 """)
 def phrases(spark, d):
-    grams = _docs(spark, d).select("doc_id", F.explode(X.ngrams(F.slice("tokens", 1, 400), 2, 2)).alias("phrase"))
+    grams = _docs(spark, d).select("doc_id", F.explode(X.ngrams(F.col("tokens"), 2, 4)).alias("phrase"))
     per_doc = grams.groupBy("phrase", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return per_doc.groupBy("phrase").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("uses")).filter("docs >= 5")
 
