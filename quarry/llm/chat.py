@@ -10,7 +10,7 @@ text ``</s>``. A control string within a text gets a backslash after its first c
 more if it has some there already, so escaping can be undone.
 
 Null texts are empty. A null role is a role of its own, read back as null. Turns are ordered by
-turn, then role and text, nulls first; repeated rows are turns each. Null conversation identifiers
+turn, then role and text (a null one as empty), nulls first; repeated rows are turns each. Null conversation identifiers
 form one conversation. Other columns are not read.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from quarry.llm.common import slices, text_bytes
 from quarry.llm.tokens import DEFAULT_TOKENIZER, encoder, tokenizer_path
 
 #: Fixed control strings; the n-th stands for the id of the vocabulary's size plus n.
@@ -68,19 +69,25 @@ def format_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            out, sizes, starts, ends = [], [], [], []
-            for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                parts, loss = turn_segments(role, text or "")
-                ids = [np.array([enc.size + p], "<u4") if isinstance(p, int) else enc.encode(escape(p)).astype("<u4") for p in parts]
-                at = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
-                out.append(np.concatenate(ids).tobytes())
-                sizes.append(int(at[-1]))
-                starts.append(None if loss is None else int(at[loss]))
-                ends.append(None if loss is None else int(at[loss + 1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(conv), batch.column(1), batch.column(2), pa.array(out, pa.binary()), *(pa.array(c, pa.int64()) for c in (sizes, starts, ends))], names=["conv", "turn", "role", "ids", "size", "loss_start", "loss_end"])
-
-    made = rows.select(conv_col, turn_col, role_col, text_col).mapInArrow(run, f"conv {kinds[0]}, turn {kinds[1]}, role string, ids binary, size long, loss_start long, loss_end long")
-    order = Window.partitionBy("conv").orderBy("turn", "role", "ids")
+            for i, j in slices(text_bytes(batch.column(3))[0]):
+                part = batch.slice(i, j - i)
+                turns = [turn_segments(role, text or "") for role, text in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                begins, words = enc.encode_column(pa.array([escape(p) for parts, _ in turns for p in parts if isinstance(p, str)], pa.string()))
+                spans = zip(begins[:-1], begins[1:])
+                out, sizes, starts, ends = [], [], [], []
+                for parts, loss in turns:
+                    ids = [np.array([enc.size + p], "<u4") if isinstance(p, int) else words[slice(*next(spans))].astype("<u4") for p in parts]
+                    at = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
+                    out.append(np.concatenate(ids).tobytes())
+                    sizes.append(int(at[-1]))
+                    starts.append(None if loss is None else int(at[loss]))
+                    ends.append(None if loss is None else int(at[loss + 1]))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(conv), part.column(1), part.column(2), part.column(4), pa.array(out, pa.binary()), *(pa.array(c, pa.int64()) for c in (sizes, starts, ends))], names=["conv", "turn", "role", "text", "ids", "size", "loss_start", "loss_end"])
+
+    # The text itself orders turns of one place; it leaves again with the shuffle that orders them.
+    texts = rows.select(conv_col, turn_col, role_col, text_col, F.coalesce(F.col(text_col), F.lit("")))
+    made = texts.mapInArrow(run, f"conv {kinds[0]}, turn {kinds[1]}, role string, text string, ids binary, size long, loss_start long, loss_end long")
+    order = Window.partitionBy("conv").orderBy("turn", "role", "text")
     before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     placed = made.withColumn("place", F.row_number().over(order)).withColumn("offset", before)
     return placed.select(F.col("conv").alias(conv_col), "place", "offset", "ids", (F.col("loss_start") + F.col("offset")).alias("loss_start"), (F.col("loss_end") + F.col("offset")).alias("loss_end"))

@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from quarry.llm.common import slices, text_bytes
 from quarry.llm.tokens import DEFAULT_TOKENIZER, encoder, tokenizer_path
 
 WINDOW = 1024
 MAX_OPEN = 1024
-_OUT_BYTES = 8 << 20
+_PART_BYTES = _OUT_BYTES = 8 << 20
 
 
 class Packer:
@@ -116,8 +117,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
         def pieces() -> Iterator[tuple]:
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    yield from packer.add(doc, np.concatenate([enc.encode(text.as_py()).astype("<u4"), end]))
+                docs, texts = batch.column(0).to_pylist(), batch.column(1)
+                for i, j in slices(text_bytes(texts)[0], _PART_BYTES):
+                    at, ids = enc.encode_column(texts.slice(i, j - i))
+                    for k in range(j - i):
+                        yield from packer.add(docs[i + k], np.concatenate([ids[at[k] : at[k + 1]].astype("<u4"), end]))
             yield from packer.drain(True)
 
         held: list[tuple] = []

@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quarry.llm.common import scratch, staged
+from quarry.llm.common import scratch, slices, staged, text_bytes
 from quarry.llm.tokens import DEFAULT_TOKENIZER, encoder, tokenizer_path
 
 MAX_BITS = 18
@@ -35,6 +36,10 @@ STRIDE = 128
 BLOCK_TOKENS = 1 << 19
 #: Bytes of ids that one file gets, before coding.
 FILE_BYTES = 32 << 20
+#: Bytes of text that are encoded at a time.
+PART_BYTES = 8 << 20
+#: Files whose token counts are summed up in one go.
+RUN_FILES = 4096
 NULL_ID = -(1 << 63)
 
 
@@ -150,20 +155,22 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_i
 
     kind = to_arrow_type(docs.schema[id_col].dataType)
 
-    def rows(ids: list, packed: list, counts: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, kind) if isinstance(ids, list) else ids.cast(kind), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())], names=["id", "ids", "counts"])
+    def rows(ids: pa.Array, packed: pa.Array, counts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids.cast(kind), packed, pa.array(counts, pa.binary())], names=["id", "ids", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        end = np.array([] if end_id is None else [end_id], enc.dtype).tobytes()
         total = np.zeros(enc.size, "<i8")
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
-                packed = [enc.encode(t.as_py()).tobytes() + end for t in part.column(1)]
-                total += np.bincount(np.frombuffer(b"".join(packed), enc.dtype), minlength=enc.size)
-                yield rows(part.column(0), packed, [None] * len(packed))
-        yield rows([None], [None], [total.tobytes()])
+            for i, j in slices(text_bytes(batch.column(1))[0], PART_BYTES):
+                at, found = enc.encode_column(batch.column(1).slice(i, j - i))
+                if end_id is not None:
+                    found = np.insert(found, at[1:], end_id)
+                    at = at + np.arange(len(at))
+                total += np.bincount(found, minlength=enc.size)
+                packed = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((at * enc.dtype.itemsize).astype("<i4")), pa.py_buffer(found)])
+                yield rows(batch.column(0).slice(i, j - i), packed, [None] * (j - i))
+        yield rows(pa.array([None], kind), pa.array([None], pa.binary()), [total.tobytes()])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids binary, counts binary")
 
@@ -252,11 +259,12 @@ def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id") -
         if part is not None:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64())], names=["part", "n"])
 
-    known = dict(_parsed(spark, folder, sizes, "part long, n long").collect())  # one small row a file
-    starts, before = {}, 0
-    for part in sorted(known):
-        starts[part] = before
-        before += known[part]
+    files = staged(_parsed(spark, folder, sizes, "part long, n long").withColumn("run", F.expr(f"part DIV {RUN_FILES}")), "token-sizes")
+    # Prefix sums in two steps: within runs of files, and over the runs' totals, one row for RUN_FILES files.
+    runs = files.groupBy("run").agg(F.sum("n").alias("total"))
+    runs = runs.select("run", (F.sum("total").over(Window.orderBy("run")) - F.col("total")).alias("before"))
+    inner = F.sum("n").over(Window.partitionBy("run").orderBy("part")) - F.col("n")
+    starts = staged(files.withColumn("inner", inner).join(runs, "run").select("part", (F.col("before") + F.col("inner")).alias("before")), "token-starts")
 
     def blocks(raw) -> Iterator[pa.RecordBatch]:
         for magic, body in frames(raw):
@@ -276,9 +284,11 @@ def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id") -
             begins = ends - sizes
             raw_tokens = tokens.tobytes()
             pieces = pa.Array.from_buffers(pa.binary(), docs, [None, pa.py_buffer(np.append(begins, n).astype("<i4") * 4), pa.py_buffer(raw_tokens)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NULL_ID), pa.array(begins + starts[part] + first), pa.array(sizes), pieces], names=[id_col, "start", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NULL_ID), pa.array(np.full(docs, part, np.int64)), pa.array(begins + first), pa.array(sizes), pieces], names=["id", "part", "inner", "n_tokens", "ids"])
 
-    return _parsed(spark, folder, blocks, f"`{id_col}` long, start long, n_tokens long, ids binary")
+    # The files' starts are as many rows as files; Spark broadcasts them while their size allows it.
+    found = _parsed(spark, folder, blocks, "id long, part long, inner long, n_tokens long, ids binary").join(starts, "part")
+    return found.select(F.col("id").alias(id_col), (F.col("before") + F.col("inner")).alias("start"), "n_tokens", "ids")
 
 
 def token_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER, end_id: int | None = 2) -> DataFrame:
