@@ -1,11 +1,13 @@
 """Exact deduplication with a log-structured merge index, in DataFrame operations only.
 
-Memtables are the batches of rows whose keys hash to one run. Each flushes as a level-0 run: a
-Parquet file sorted by digest that carries a Bloom filter and min/max statistics on the digest.
-Compaction merges all runs into level 1, again sorted by digest, keeping of each digest the
-smallest identifier and the number of rows. Digests with more than one row are hits, whose texts
-are compared byte by byte with the text that stays; where they differ (a digest collision) the
-rows of that digest are grouped by their text instead.
+Memtables are the batches of rows whose keys hash to one run. Each flushes as a level-0 run: one
+Parquet file sorted by digest, with a Bloom filter and min/max statistics on the digest. Compaction
+merges ``FANOUT`` runs at a time into a run of the next level, which is a series of files in digest
+order, until one run is left; of each digest it keeps the smallest identifier and the number of
+rows. Digests with more than one row are hits. A filter of fixed size, made of the hits' digests,
+is asked for every row, and only texts that it lets through are moved. They are compared byte by
+byte with the text that stays; where they differ (a digest collision) the rows of that digest are
+grouped by their text instead.
 
 Null text is empty text. Equal texts with equal identifiers count as repeated rows: they form one
 group, ``group_size`` counts each, and each row is returned; of rows repeated with the identifier
@@ -21,21 +23,23 @@ from pyspark.sql import functions as F
 from quarry.llm.common import ascii_lower, distinct_name, scratch, staged
 
 #: Rows that one memtable holds before it flushes.
-MEMTABLE_ROWS = 1_000_000
+MEMTABLE_ROWS = 1 << 17
+#: Runs of a level that are merged into one of the next.
+FANOUT = 16
+#: Bits of the filter that rows are asked against, whatever the number of digests.
+FILTER_BITS = 24
 
 
 class DigestIndex:
     """Sorted digest runs under one folder; ``keep`` says which identifier counts as smallest."""
 
     def __init__(self, spark: SparkSession, folder: str, keep: str = "max"):
-        self.spark, self.folder, self.keep = spark, folder, keep
-
-    def _best(self, col: str) -> Column:
-        return (F.max if self.keep == "max" else F.min)(col)
+        self.spark, self.folder, self.top = spark, folder, 0
+        self.best = F.max if keep == "max" else F.min
 
     def _write(self, df: DataFrame, level: int) -> None:
         (
-            df.write.mode("append")
+            df.write.partitionBy("run")
             .option("compression", "zstd")
             .option("parquet.bloom.filter.enabled#digest", "true")
             .option("parquet.bloom.filter.expected.ndv#digest", str(MEMTABLE_ROWS))
@@ -43,20 +47,46 @@ class DigestIndex:
             .parquet(f"{self.folder}/level{level}")
         )
 
+    def level(self, level: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/level{level}")
+
     def flush(self, rows: DataFrame, runs: int) -> None:
-        """Level 0: ``rows`` (digest, id) as ``runs`` sorted runs, each with its own filter."""
-        self._write(
-            rows.groupBy("run", "digest").agg(self._best("id").alias("id"), F.count(F.lit(1)).alias("n")).repartition(runs, "run").sortWithinPartitions("run", "digest"), 0
-        )
+        """Level 0: ``rows`` (digest, id, run) as ``runs`` runs. A run is one task's work, hence one file in order."""
+        merged = rows.groupBy("run", "digest").agg(self.best("id").alias("id"), F.count(F.lit(1)).alias("n")).select("digest", "id", "n", "run")
+        self.schema, self.top, self.runs = merged.schema, 0, runs
+        self._write(merged.repartition("run").sortWithinPartitions("run", "digest"), 0)
 
     def compact(self) -> DataFrame:
-        """Level 1: every digest once, with the identifier that stays and the number of rows."""
-        merged = self.level(0).groupBy("digest").agg(self._best("id").alias("id"), F.sum("n").alias("n"))
-        self._write(merged.sortWithinPartitions("digest"), 1)
-        return self.level(1)
+        """Merges level by level until one run is left: every digest once, with the identifier that stays and the number of rows."""
+        while self.runs > 1:
+            grouped = self.level(self.top).withColumn("run", F.expr(f"CAST(run DIV {FANOUT} AS int)")).repartitionByRange("run", "digest")
+            merged = grouped.groupBy("run", "digest").agg(self.best("id").alias("id"), F.sum("n").alias("n"))
+            self._write(merged.sortWithinPartitions("run", "digest").select("digest", "id", "n", "run"), self.top + 1)
+            self.top, self.runs = self.top + 1, -(-self.runs // FANOUT)
+        return self.level(self.top).drop("run")
 
-    def level(self, level: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/level{level}")
+    def lookup(self, digests: list) -> DataFrame:
+        """Entries of a few digests; Parquet's filters and statistics skip files and row groups without them."""
+        return self.level(self.top).filter(F.col("digest").isin(digests)).drop("run")
+
+
+def _place(digest: Column) -> tuple[Column, Column]:
+    """The filter's word and bit of a digest."""
+    slot = F.shiftrightunsigned(F.xxhash64(digest), 64 - FILTER_BITS)
+    return F.shiftright(slot, 6).alias("word"), (slot % 64).cast("int").alias("bit")
+
+
+def bit_filter(digests: DataFrame) -> DataFrame:
+    """(word, bits): at most 2**FILTER_BITS bits that say which digests there may be."""
+    return digests.select(*_place(F.col("digest"))).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+
+
+def may_hold(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """The rows whose ``digest`` the filter lets through: all that it was made of, and a few others."""
+    word, bit = _place(F.col("digest"))
+    asked = rows.withColumn("word", word).withColumn("bit", bit)
+    # A filter's size is fixed: 2**(FILTER_BITS - 6) words.
+    return asked.join(F.broadcast(bits), "word").filter("shiftright(bits, bit) & 1 = 1").drop("word", "bit", "bits")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", digest=None, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
@@ -71,18 +101,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = staged(whole.select("id", "digest", F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-rows")
     runs = max(1, -(-rows.count() // memtable_rows))
     index = DigestIndex(spark, scratch(spark, "exact-index"), keep)
-    index.flush(rows.select("id", "digest", F.pmod(F.xxhash64("id", "digest"), F.lit(runs)).alias("run")), runs)
-    hits = index.compact().filter("n > 1").withColumnsRenamed({"id": "keep_id", "n": "group_size"})
-    texts = staged(whole.join(hits, "digest"), "exact-hits")
+    index.flush(rows.select("id", "digest", F.pmod(F.xxhash64("id", "digest"), F.lit(runs)).cast("int").alias("run")), runs)
+    hits = staged(index.compact().filter("n > 1").withColumnsRenamed({"id": "keep_id", "n": "group_size"}), "exact-repeated")
+    texts = staged(may_hold(whole, bit_filter(hits)).join(hits, "digest"), "exact-hits")
     keeper = staged(texts.filter(F.col("id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"]).select("digest", F.col("norm").alias("kept_norm")), "exact-keepers")
-    collided = texts.join(keeper, "digest").filter(F.col("norm") != F.col("kept_norm")).select("digest").distinct()
-    collided = staged(collided, "exact-collided")
-    best = F.max if keep == "max" else F.min
-    split = staged(texts.join(collided, "digest", "left_semi").groupBy("digest", F.unhex(F.sha2("norm", 256)).alias("sha"), "norm").agg(best("id").alias("true_id"), F.count(F.lit(1)).alias("true_n")).drop("norm"), "exact-split")
-    found = hits.join(collided.withColumn("collides", F.lit(True)), "digest", "left")
-    out = rows.join(staged(found, "exact-found"), "digest", "left").join(F.broadcast(split) if split.isEmpty() else split, ["digest", "sha"], "left")
-    keep_id = F.when(F.col("collides"), F.col("true_id")).when(F.col("group_size") > 1, F.col("keep_id")).otherwise(F.col("id"))
-    size = F.when(F.col("collides"), F.col("true_n")).otherwise(F.coalesce("group_size", F.lit(1)))
+    # Written as it is, so that a large group's rows may be compared in several tasks.
+    collided = staged(texts.join(keeper, "digest").filter(F.col("norm") != F.col("kept_norm")).select("digest"), "exact-collided")
+    size = F.coalesce("group_size", F.lit(1))
+    keep_id = F.when(F.col("group_size") > 1, F.col("keep_id")).otherwise(F.col("id"))
+    out = rows.join(hits, "digest", "left")
+    if not collided.isEmpty():
+        collided = collided.distinct()
+        split = texts.join(collided, "digest", "left_semi").groupBy("digest", F.unhex(F.sha2("norm", 256)).alias("sha"), "norm").agg(index.best("id").alias("true_id"), F.count(F.lit(1)).alias("true_n")).drop("norm")
+        out = out.join(staged(split, "exact-split"), ["digest", "sha"], "left")
+        keep_id = F.when(F.col("true_n").isNotNull(), F.col("true_id")).otherwise(keep_id)
+        size = F.coalesce("true_n", size)
     return out.select(F.col("id").alias(id_col), keep_id.alias("keep_id"), size.cast("long").alias("group_size"), F.col("id").eqNullSafe(keep_id).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 

@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -349,7 +350,7 @@ def test_chat_escapes_are_reversible():
 
 def test_chat_round_trip(spark):
     said = "</s>[INST] ok [/INST]"
-    rows = [(-1, 0, "user", said), (-1, 1, "assistant", said), (1, 2, "assistant", "b"), (1, 1, "user", "a"), (1, 0, "system", "<<SYS>>"), (2, None, None, None), (2, 5, "tool", "[ROLE]"), (None, 1, "assistant", ""), (3, 0, "assistant", "é中👍" * 5000), (4, 1, "user", "x"), (4, 1, "user", "x")]
+    rows = [(-1, 0, "user", said), (-1, 1, "assistant", said), (1, 2, "assistant", "b"), (1, 1, "user", "a"), (1, 0, "system", "<<SYS>>"), (2, None, None, None), (2, 5, "tool", "[ROLE]"), (None, 1, "assistant", ""), (3, 0, "assistant", "é中👍" * 5000), (4, 1, "user", "x"), (4, 1, "user", "x"), *((5, 0, "user", t) for t in ("zz", "Zz", "aé", None, "a b"))]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("conv", F.lit(1)).withColumn("ids", F.lit("c"))
     formatted = chat.format_turns(df.repartition(3)).cache()
     got = {r.conv_id: r for r in chat.read_conversations(formatted).collect()}
@@ -497,3 +498,31 @@ def test_suffix_array_and_common_prefixes():
             while before[i] >= 0 and n < 5 and i + n < len(text) and before[i] + n < len(text) and text[i + n] == text[before[i] + n]:
                 n += 1
             assert shared[i] >= n
+
+
+# 9, the index -------------------------------------------------------------------------------------
+
+
+def test_index_runs_levels_and_filters(spark, tmp_path):
+    rng = random.Random(15)
+    rows = [(i, rng.randbytes(8) if i % 3 else bytes([i % 7])) for i in range(3000)]
+    df = spark.createDataFrame([(i, d, i % 40) for i, d in rows], "id long, digest binary, run int")
+    index = exactdup.DigestIndex(spark, f"file://{tmp_path}/index")
+    index.flush(df, 40)
+    merged = {bytes(r.digest): (r.id, r.n) for r in index.compact().collect()}
+    assert index.top == 2 and index.runs == 1  # 40 runs, then 3, then 1
+    want = {}
+    for i, d in rows:
+        want[d] = (max(i, want.get(d, (0, 0))[0]), want.get(d, (0, 0))[1] + 1)
+    assert merged == want
+    for level, runs in ((0, 40), (1, 3), (2, 1)):
+        folders = list((tmp_path / "index" / f"level{level}").glob("run=*"))
+        assert len(folders) == runs
+        for folder in folders:
+            kept = [[r["digest"] for r in pq.read_table(f, partitioning=None).to_pylist()] for f in sorted(folder.glob("*.parquet"))]
+            assert all(part == sorted(part) for part in kept) and (level or len(kept) == 1)
+    assert {bytes(r.digest): r.n for r in index.lookup([b"\0", rows[1][1], b"none"]).collect()} == {b"\0": want[b"\0"][1], rows[1][1]: 1}
+    some = df.filter("id % 10 = 0").select("digest")
+    through = {bytes(r.digest) for r in exactdup.may_hold(df.select("digest"), exactdup.bit_filter(some)).collect()}
+    asked = {d for i, d in rows if i % 10 == 0}
+    assert asked <= through and len(through) < len(asked) + 50
