@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from quarry.llm.common import distinct_name, mix64, seeded, slices, staged, text_bytes, word_hashes
 from quarry.llm.tokens import forget
 
-#: Fixed masks: the word positions that count, of a span of eight.
-SEEDS = ((0, 1, 2, 3, 5), (0, 1, 3, 4, 6), (0, 2, 3, 6, 7), (0, 1, 4, 6, 7))
-SPAN = 8
+#: Fixed masks: the word positions that count. Between them they hit every stretch of 8 to 20 words with as
+#: many substitutions as ``SHARE`` allows, wherever those are; a test lists all cases.
+SEEDS = ((0, 1, 2, 3, 5), (0, 1, 3, 5, 6), (0, 2, 3, 6, 7), (0, 1, 4, 6, 7))
+SPANS = tuple(max(mask) + 1 for mask in SEEDS)
 STRETCH = 20
 SHARE = 0.8
 LEAST = 8
@@ -34,7 +35,7 @@ LEAST = 8
 BITMAP_BITS = 24
 
 _U = np.uint64
-_TURN = seeded(SPAN, 81)
+_TURN = seeded(max(SPANS), 81)
 #: Bytes that belong to words, and how capitals fold.
 _SOLID = np.zeros(256, bool)
 _SOLID[48:58] = _SOLID[65:91] = _SOLID[97:123] = _SOLID[128:] = True
@@ -47,10 +48,12 @@ def plain_words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def seed_hashes(h: np.ndarray) -> list[np.ndarray]:
-    """For each seed, the hash at every position of a span; mixed with the seed's number."""
-    n = max(0, len(h) - SPAN + 1)
-    turned = [h[i : i + n] * _TURN[i] for i in range(SPAN)]
-    return [mix64(sum((turned[i] for i in mask[1:]), turned[mask[0]]) + _U(k)) for k, mask in enumerate(SEEDS)]
+    """For each seed, the hash at every position where it fits; mixed with the seed's number."""
+    found = []
+    for k, (mask, span) in enumerate(zip(SEEDS, SPANS)):
+        n = max(0, len(h) - span + 1)
+        found.append(mix64(sum(h[i : i + n] * _TURN[i] for i in mask) + _U(k)) if n else np.zeros(0, np.uint64))
+    return found
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -76,8 +79,8 @@ def _seeds(items: DataFrame) -> DataFrame:
         for batch in batches:
             for item, words in zip(batch.column(0), batch.column(1)):
                 found = seed_hashes(np.frombuffer(words.as_buffer(), np.uint64))
-                n = len(found[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array([item.as_py()] * (n * len(SEEDS)), pa.int64()), pa.array(np.tile(np.arange(n, dtype=np.int32), len(SEEDS)))], names=["hash", "item", "pos"])
+                pos = np.concatenate([np.arange(len(x), dtype=np.int32) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.full(len(pos), item.as_py(), np.int64)), pa.array(pos)], names=["hash", "item", "pos"])
 
     return staged(items.select("item", "words").mapInArrow(run, "hash long, item long, pos int"), "leak-seeds")
 
@@ -108,7 +111,7 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, packed: np.ndarray) -> Da
                 pos = np.concatenate(through)
                 value = np.concatenate([x[p] for x, p in zip(found, through)])
                 row = np.searchsorted(at, pos, "right") - 1
-                inside = pos + SPAN <= at[row + 1]
+                inside = pos + np.repeat(SPANS, [len(p) for p in through]) <= at[row + 1]
                 pos, value, row = pos[inside], value[inside], row[inside]
                 order = np.argsort(pos, kind="stable")
                 pos, value, row = pos[order], value[order], row[order]
@@ -118,7 +121,7 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, packed: np.ndarray) -> Da
                     if a == b:
                         continue
                     r = int(row[a])
-                    lo, hi = max(at[r], pos[a] - reach), min(at[r + 1], pos[b - 1] + SPAN + reach)
+                    lo, hi = max(at[r], pos[a] - reach), min(at[r + 1], pos[b - 1] + max(SPANS) + reach)
                     ids.append(i + r)
                     nos.append(k)
                     firsts.append(int(lo - at[r]))
