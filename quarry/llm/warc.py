@@ -5,11 +5,15 @@ than ``segment_bytes`` is cut into a first record and continuation records. Of e
 least ``revisit_bytes``, the page with the smallest identifier is the response and the others
 revisit it. Reading groups segments by origin identifier, orders them by number, verifies that none
 is missing and that the length is the total that the last one states, and decodes the framing.
+Each record is a gzip member of its own, so that readers can go to any record.
 
 Null payload is an empty one. A null identifier comes after all others. Rows repeated with the
 identifier of a response are all responses. Null addresses have no header; control characters in
-addresses are percent-encoded. Segments that don't make up their record give ``intact`` false and
-no payload. Other columns are not read.
+addresses are percent-encoded. Segments that don't make up their record, framing that doesn't
+decode, headers without what a record needs, and members that end early or hold anything but one
+record give ``intact`` false and no payload; what can't be told of such a record is null. Reading
+goes on with the next member, or, where the compressed data itself is damaged, with the next file.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,9 +34,10 @@ from quarry.llm.common import scratch, staged
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
 _ROW_BYTES = 1 << 20
-#: Rows of the sink, of about a megabyte, that one archive file holds.
-ROWS_PER_FILE = 24
+#: Rows of the sink, of about a compressed megabyte, that one archive file holds.
+ROWS_PER_FILE = 8
 _HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
+_HEX = re.compile(rb"[0-9A-Fa-f]+")
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -46,10 +51,14 @@ def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
 
 
 def dechunked(body: bytes) -> bytes:
+    """The payload; ``ValueError`` where a chunk's size or end isn't what it has to be."""
     out, at = [], 0
     while True:
         end = body.index(b"\r\n", at)
-        size = int(body[at:end].split(b";")[0], 16)
+        digits = body[at:end].split(b";")[0].strip()
+        if not _HEX.fullmatch(digits):
+            raise ValueError("a chunk has no size")
+        size = int(digits, 16)
         if not size:
             return b"".join(out)
         if body[end + 2 + size : end + 4 + size] != b"\r\n":
@@ -68,18 +77,30 @@ def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def header_fields(head: bytes) -> dict[str, str]:
+    """Header fields under their lower-cased names; a line that begins with a blank continues the one before."""
+    lines: list[str] = []
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and lines:
+            lines[-1] += " " + line.strip()
+        elif ":" in line:
+            lines.append(line)
+    return {name.strip().lower(): value.strip() for name, value in (line.split(":", 1) for line in lines)}
+
+
 def records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records that follow each other in ``raw``; ``ValueError`` where that isn't so."""
     at = 0
     while at < len(raw):
-        if raw[at : at + 5] != b"WARC/":
+        end = raw.find(b"\r\n\r\n", at)
+        if raw[at : at + 5] != b"WARC/" or end < 0:
             raise ValueError("a record doesn't begin where the one before it ends")
-        end = raw.index(b"\r\n\r\n", at)
-        fields = dict(line.split(": ", 1) for line in raw[at:end].decode().split("\r\n")[1:])
-        begin, size = end + 4, int(fields["Content-Length"])
-        if raw[begin + size : begin + size + 4] != b"\r\n\r\n":
+        fields = header_fields(raw[at:end])
+        begin, size = end + 4, fields.get("content-length", "")
+        if not size.isdecimal() or raw[begin + int(size) : begin + int(size) + 4] != b"\r\n\r\n":
             raise ValueError("a record doesn't end where it says")
-        yield fields, raw[begin : begin + size]
-        at = begin + size + 4
+        yield fields, raw[begin : begin + int(size)]
+        at = begin + int(size) + 4
 
 
 def page_records(page, url: str | None, payload: bytes, first, first_url: str | None, date: str, segment_bytes: int) -> Iterator[bytes]:
@@ -103,7 +124,14 @@ def page_records(page, url: str | None, payload: bytes, first, first_url: str |
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Gzipped archives under ``folder``, written by Spark's own sink, which all file systems take."""
+    """Gzipped archives under ``folder``, written by Spark's own sink, which all file systems take.
+
+    Records are far below 16 MiB, so the last byte of a gzip member, the top byte of its length, is zero.
+    That zero is the sink's line separator, and a row holds members without the last one's end.
+    """
+    if segment_bytes > 8 << 20:
+        raise ValueError("segments are at most 8 MiB")
+
     base = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     base = base.withColumn("sha", F.unhex(F.sha2("payload", 256)))
     order = F.struct(F.col("page").isNull().alias("none"), "page", "url")
@@ -118,45 +146,76 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         for batch in batches:
             for page, url, payload, first, first_url in zip(*(batch.column(i) for i in range(5))):
                 for made in page_records(page.as_py(), url.as_py(), payload.as_py(), first.as_py(), first_url.as_py(), date, segment_bytes):
-                    held.append(made)
-                    size += len(made)
+                    held.append(zlib_member(made))
+                    size += len(held[-1])
                     if size >= _ROW_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["records"])
                         held, size = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["records"])
 
-    # The text sink puts each row's bytes as they are and then the line feed that ends a record.
     lines = marked.mapInArrow(run, "records binary").select(F.col("records").cast("string").alias("value"))
-    lines.write.option("compression", "gzip").option("maxRecordsPerFile", ROWS_PER_FILE).text(folder)
+    lines.write.option("lineSep", "\0").option("maxRecordsPerFile", ROWS_PER_FILE).text(folder)
+
 
+def zlib_member(raw: bytes) -> bytes:
+    """``raw`` as a gzip member without time or name."""
+    packed = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packed.compress(raw) + packed.flush()
 
-def _gunzip(raw: bytes) -> bytes:
-    out = []
+
+def members(raw: bytes) -> Iterator[bytes | None]:
+    """What each gzip member holds; None for one that ends early or is damaged, which ends the file."""
     while raw:
         member = zlib.decompressobj(31)
-        out.append(member.decompress(raw) + member.flush())
+        try:
+            found = member.decompress(raw)
+        except zlib.error:
+            found = None
+        if found is None or not member.eof:
+            yield None
+            return
+        yield found
         raw = member.unused_data
-    return b"".join(out)
 
 
+_FIELDS = [("page", pa.int64()), ("url", pa.string()), ("kind", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary())]
 _COLUMNS = "page long, url string, kind string, digest string, refers_to long, origin string, segment int, total long, block binary"
 
 
-def _parsed(spark: SparkSession, folder: str, segmented: bool) -> DataFrame:
+def _number(fields: dict[str, str], name: str) -> int | None:
+    value = fields.get(name)
+    return int(value) if value and value.lstrip("-").isdecimal() else None
+
+
+def _row(fields: dict[str, str], block: bytes) -> tuple:
+    origin = fields.get("warc-segment-origin-id") or fields.get("warc-record-id")
+    return (
+        _number(fields, "x-page-id"), fields.get("warc-target-uri"), fields.get("warc-type"), fields.get("warc-payload-digest", "")[5:] or None, _number(fields, "x-refers-to-page-id"),
+        origin, _number(fields, "warc-segment-number"), _number(fields, "warc-segment-total-length"), block,
+    )
+
+
+def _parsed(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per record; of what isn't one, a row of nulls."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
-    number = lambda v: None if v is None else int(v)
+
+    def rows(content: bytes) -> Iterator[tuple]:
+        for member in members(content):
+            try:
+                found = [_row(fields, block) for fields, block in records(member)] if member is not None else []
+            except ValueError:
+                found = []
+            yield from found or [(None,) * len(_FIELDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page", pa.int64()), ("url", pa.string()), ("kind", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
+        schema = pa.schema(_FIELDS)
         for batch in batches:
             for content in batch.column(0):
                 held, size = [], 0
-                for f, block in records(_gunzip(content.as_py())):
-                    if ("WARC-Segment-Number" in f) != segmented:
-                        continue
-                    held.append((number(f.get("X-Page-ID")), f.get("WARC-Target-URI"), f["WARC-Type"], f.get("WARC-Payload-Digest", "")[5:] or None, number(f.get("X-Refers-To-Page-ID")), f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"]), number(f.get("WARC-Segment-Number")), number(f.get("WARC-Segment-Total-Length")), block))
-                    size += len(block)
+                for row in rows(content.as_py()):
+                    held.append(row)
+                    size += len(row[-1] or b"")
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
                         held, size = [], 0
@@ -172,8 +231,9 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     Of responses the digest is computed from the payload; a revisit has no payload, and the digest
     that its header states.
     """
-    whole = _parsed(spark, folder, False).select("page", "url", "kind", "digest", "refers_to", F.array(F.struct(F.lit(1).alias("segment"), "block")).alias("parts"), F.length("block").cast("long").alias("total"))
-    cut = _parsed(spark, folder, True).groupBy("origin").agg(
+    parsed = staged(_parsed(spark, folder), "warc-parsed")
+    whole = parsed.filter("segment IS NULL").select("page", "url", "kind", "digest", "refers_to", F.array(F.struct(F.lit(1).alias("segment"), "block")).alias("parts"), F.length("block").cast("long").alias("total"))
+    cut = parsed.filter("segment IS NOT NULL").groupBy("origin").agg(
         F.max("page").alias("page"), F.max("url").alias("url"), F.max(F.when(F.col("segment") == 1, F.col("kind"))).alias("kind"), F.max("digest").alias("digest"), F.max("refers_to").alias("refers_to"),
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"),
     ).drop("origin")
@@ -183,9 +243,14 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
             payloads, digests, intact = [], [], []
             for kind, digest, parts, total in zip(*(batch.column(i) for i in (2, 3, 5, 6))):
                 parts = parts.as_py()
-                block = b"".join(p["block"] for p in parts)
+                block = b"".join(p["block"] or b"" for p in parts)
                 good = len(block) == total.as_py() and [p["segment"] for p in parts] == list(range(1, len(parts) + 1)) and kind.as_py() is not None
-                payload = http_payload(block) if good and kind.as_py() == "response" else None
+                payload = None
+                if good and kind.as_py() == "response":
+                    try:
+                        payload = http_payload(block)
+                    except ValueError:
+                        good = False
                 payloads.append(payload)
                 digests.append(digest.as_py() if payload is None else digest32(payload))
                 intact.append(good and digests[-1] == digest.as_py())

@@ -167,7 +167,7 @@ def test_warc_payloads_and_broken_segments(spark, tmp_path):
     page = list(warc.page_records(1, "u", b"x" * 50_000, None, None, "d", 4096))
     assert len(page) > 10
     fields, _ = next(warc.records(page[-1]))
-    assert fields["WARC-Segment-Total-Length"] and fields["WARC-Type"] == "continuation"
+    assert fields["warc-segment-total-length"] and fields["warc-type"] == "continuation"
     folder = tmp_path / "archives"
     folder.mkdir()
     import gzip
@@ -181,6 +181,30 @@ def test_warc_payloads_and_broken_segments(spark, tmp_path):
     assert row.payload is None and not row.intact
 
 
+def test_warc_damage_is_told(spark, tmp_path):
+    """Bad chunks, sizes and headers, and members cut short, leave the other records as they are."""
+    import gzip
+
+    made = lambda k, body: warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{k}>"), ("X-Page-ID", k), ("WARC-Payload-Digest", "sha1:" + warc.digest32(b"fine"))], warc._HEAD + body)
+    good = warc.chunked(b"fine")
+    bad = [made(k, body) for k, body in enumerate([b"zz\r\nfine\r\n0\r\n\r\n", b"-4\r\nfine\r\n", b"4\r\nfine", b"9\r\nfine\r\n0\r\n\r\n", b""])]
+    folded = made(10, good).replace(b"WARC-Record-ID: <10>", b"warc-record-id:\r\n <10>\r\nnonsense")
+    broken = [made(11, good).replace(b"Content-Length: ", b"Content-Length: 9"), made(12, good).replace(b"Content-Length", b"Content-Size"), b"no record"]
+    folder = tmp_path / "archives"
+    folder.mkdir()
+    (folder / "part-0.gz").write_bytes(b"".join(map(gzip.compress, [*bad, folded, *broken, made(13, good)])))
+    (folder / "part-1.gz").write_bytes(gzip.compress(made(14, good)) + gzip.compress(made(15, good))[:-9])
+    got = [(r.page_id, r.payload and bytes(r.payload), r.intact) for r in warc.read_archives(spark, f"file://{folder}").collect()]
+    assert sorted(got, key=repr) == sorted([*((k, None, False) for k in range(5)), *((None, None, False) for _ in range(4)), *((k, b"fine", True) for k in (10, 13, 14))], key=repr)
+
+
+def test_warc_members_hold_one_record_each(spark, tmp_path):
+    pages = pages_of(spark, [(i, f"http://{i}", "text " * 9000 * (i % 3)) for i in range(20)])
+    warc.write_archives(pages, f"file://{tmp_path}/archives")
+    found = [list(warc.records(m)) for f in (tmp_path / "archives").glob("part-*") for m in warc.members(f.read_bytes())]
+    assert all(len(m) == 1 for m in found) and len(found) > 20
+
+
 def test_chunked_framing():
     for data in (b"", b"a", b"0\r\n\r\n" * 3000):
         assert warc.dechunked(warc.chunked(data, 7)) == data
