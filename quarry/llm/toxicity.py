@@ -324,6 +324,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _weight(toxic: Column, n: Column, base: Column) -> Column:
     """Log-odds by which a feature's share of toxic documents surely (Wilson bound) exceeds the base rate; null if it doesn't by enough."""
+    n = F.greatest(n, F.lit(1))
     p = toxic / n
     low = (p + SURE**2 / (2 * n) - SURE * F.sqrt(p * (1 - p) / n + SURE**2 / (4 * n * n))) / (1 + SURE**2 / n)
     low = F.least(F.greatest(low, F.lit(1e-6)), F.lit(1 - 1e-6))
