@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -58,17 +59,16 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf(StringType())
-def fold(text: pd.Series) -> pd.Series:
-    """case folding, d with stroke as d, and no combining marks."""
+def plain_letters(text: str) -> str:
+    """F03 of one text: case folding, d with stroke as d, and no combining marks."""
+    plain = unicodedata.normalize("NFD", text.casefold().replace("đ", "d"))
+    return "".join(c for c in plain if unicodedata.category(c) != "Mn")
 
-    def one(t):
-        if t is None:
-            return None
-        plain = unicodedata.normalize("NFD", t.casefold().replace("đ", "d"))
-        return "".join(c for c in plain if unicodedata.category(c) != "Mn")
 
-    return text.map(one)
+@F.pandas_udf(StringType())
+def fold(text: pd.Series) -> pd.Series:
+    """F03, Arrow function: for canonical decomposition Spark has no function."""
+    return text.map(lambda t: None if t is None else plain_letters(t))
 
 
 def contains_phrase(tokens: Column, phrase: Column) -> Column:
@@ -77,22 +77,32 @@ def contains_phrase(tokens: Column, phrase: Column) -> Column:
     return F.contains(pad(tokens), pad(phrase))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it, lambdas included."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def word_windows(text: Column, size: int = 200, overlap: int = 40) -> Column:
     """arrays of words, each window ``size - overlap`` words after the last; the first that reaches the end is the last."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\S+)"), F.lit(1))
-    step, n = size - overlap, F.size(words)
-    last = F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int")
-    starts = F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda k: k * step)).otherwise(F.expr("CAST(array() AS array<int>)"))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(words, s + 1, F.lit(size)).alias("words")))
+    step = size - overlap
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        last = F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int")
+        starts = F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda k: k * step)).otherwise(F.expr("CAST(array() AS array<int>)"))
+        return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(words, s + 1, F.lit(size)).alias("words")))
+
+    return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\S+)"), F.lit(1)), cut)
 
 
 def ngrams(tokens: Column, least: int, most: int) -> Column:
-    """All runs of ``least`` to ``most`` tokens, joined by blanks, as one array."""
-    def of(n: int) -> Column:
-        at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.expr("CAST(array() AS array<int>)"))
-        return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+    """All runs of ``least`` to ``most`` tokens, joined by blanks, as one array; linear in the number of tokens."""
+
+    def of(t: Column, n: int) -> Column:
+        at = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.expr("CAST(array() AS array<int>)"))
+        return F.transform(at, lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
 
-    return F.flatten(F.array(*(of(n) for n in range(least, most + 1))))
+    return let(tokens, lambda t: F.flatten(F.array(*(of(t, n) for n in range(least, most + 1)))))
 
 
 def query_form(text: Column) -> Column:
@@ -104,6 +114,7 @@ def query_form(text: Column) -> Column:
     for start in ("how ", "why ", "what ", "comment ", "pourquoi ", "làm sao", "tại sao", "cách ", "giải thích"):
         question = question | low.startswith(start)
     return (
+        # The patterns of identifiers and acronyms.
         F.when(t.rlike(r"^[A-Z0-9]{2,}(?:[_-][A-Z0-9]+)+$"), "identifier")
         .when(low.isin("c++", "c#", ".net"), "technical")
         .when(t.rlike(r"^[A-Z][A-Z0-9]{1,7}$"), "acronym")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.operators.relational import prefix_sums
+
 
 def metrics_at_k(ranking: DataFrame, qrels: DataFrame, k: int, query: str = "query", doc: str = "doc") -> DataFrame:
     """Precision, recall, reciprocal rank and nDCG at ``k`` for each judged or ranked query.
@@ -44,9 +46,14 @@ def distribution(df: DataFrame, group: str, value: str) -> DataFrame:
     return df.groupBy(group).agg(F.count(value).alias("n"), F.min(value).alias("least"), p(0.5, "p50"), p(0.95, "p95"), F.max(value).alias("most"))
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """The value at place int(q * (n - 1)) of a sorted array; not interpolated."""
-    return F.try_element_at(F.array_sort(values), (F.floor(F.lit(q) * (F.size(values) - 1)) + 1).cast("int"))
+def nearest_rank(df: DataFrame, group: str, value: str, q: float) -> DataFrame:
+    """Per group the value at place int(q * (n - 1)) in order; not interpolated. Equal values are counted first."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+    totals = counted.groupBy(group).agg((F.floor(F.lit(q) * (F.sum("_n") - 1)) + 1).alias("_place"), F.sum("_n").alias("_all"))
+    summed = prefix_sums(counted, [group, value], ["_n"])
+    before = summed.groupBy(group).agg(F.min(F.col("_n_sum") - F.col("_n")).alias("_first"))
+    reached = summed.join(totals, group).join(before, group).filter(F.col("_n_sum") - F.col("_first") >= F.col("_place"))
+    return reached.groupBy(group).agg(F.min(value).alias(value))
 
 
 def calibrate(hits: DataFrame, query: str = "query", score: str = "score", grade: str = "grade", relevant: int = 2) -> DataFrame:
@@ -57,12 +64,28 @@ def calibrate(hits: DataFrame, query: str = "query", score: str = "score", grade
     """
     spark = hits.sparkSession
     rows = hits.select(F.col(query).alias("q"), F.col(score).alias("s"), (F.col(grade) >= relevant).alias("r"))
-    thresholds = rows.select(F.col("s").alias("t")).union(spark.createDataFrame([(0.0,), (1.0,)], "t double")).distinct()
     per_score = rows.groupBy("q", "s").agg(F.count(F.lit(1)).alias("n"), F.count_if("r").alias("n_r"))
-    totals = rows.groupBy("q").agg(F.count_if("r").alias("relevant"))
-    above = thresholds.join(per_score, F.col("s") > F.col("t"), "left").groupBy("t", "q").agg(F.sum("n").alias("got"), F.sum("n_r").alias("good"))
-    grid = thresholds.crossJoin(totals).join(above, ["t", "q"], "left").fillna(0, ["got", "good"])
-    f1 = F.when(F.col("relevant") == 0, F.when(F.col("got") == 0, 1.0).otherwise(0.0)).otherwise(F.coalesce(F.try_divide(2.0 * F.col("good"), F.col("got") + F.col("relevant")), F.lit(0.0)))
-    swept = grid.groupBy("t").agg(F.round(F.avg(f1), 9).alias("macro_f1"), F.round(F.avg(F.when(F.col("relevant") > 0, F.col("good") / F.col("relevant"))), 9).alias("recall"))
+    # What lies strictly above each of a query's own scores; below its least score, all of it.
+    upward = Window.partitionBy("q").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = Window.partitionBy("q")
+    steps = per_score.select("q", "s", F.coalesce(F.sum("n").over(upward), F.lit(0)).alias("got"), F.coalesce(F.sum("n_r").over(upward), F.lit(0)).alias("good"), F.sum("n").over(totals).alias("all"), F.sum("n_r").over(totals).alias("relevant"))
+
+    def measures(got: Column, good: Column) -> list[Column]:
+        f1 = F.when(F.col("relevant") == 0, F.when(got == 0, 1.0).otherwise(0.0)).otherwise(F.coalesce(F.try_divide(2.0 * good, got + F.col("relevant")), F.lit(0.0)))
+        return [f1, F.when(F.col("relevant") > 0, good / F.col("relevant")).otherwise(0.0)]
+
+    lower = Window.partitionBy("q").orderBy("s")
+    at = measures(F.col("got"), F.col("good"))
+    start = measures(F.col("all"), F.col("relevant"))
+    names = ["f1", "rec"]
+    steps = steps.select("q", "s", "relevant", *(x.alias(n) for x, n in zip(at, names)), *(x.alias(f"{n}0") for x, n in zip(start, names)))
+    changes = steps.select("s", *(F.round(F.col(n) - F.coalesce(F.lag(n).over(lower), F.col(f"{n}0")), 15).alias(n) for n in names))
+    # A threshold's sums are those without any, and all changes up to it.
+    per_query = steps.groupBy("q").agg(F.first("f10").alias("f10"), F.first("rec0").alias("rec0"), F.max("relevant").alias("relevant"))
+    begin = per_query.agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("relevant") > 0).alias("judged"), F.sum("f10").alias("f10"), F.sum("rec0").alias("rec0"))
+    ends = spark.createDataFrame([(0.0, 0.0, 0.0), (1.0, 0.0, 0.0)], "s double, f1 double, rec double")
+    summed = prefix_sums(changes.unionByName(ends).groupBy("s").agg(F.sum("f1").alias("f1"), F.sum("rec").alias("rec")), ["s"], names)
+    swept = summed.crossJoin(F.broadcast(begin))  # one row
+    swept = swept.select(F.col("s").alias("t"), F.round((F.col("f10") + F.col("f1_sum")) / F.col("queries"), 9).alias("macro_f1"), F.round(F.try_divide(F.col("rec0") + F.col("rec_sum"), F.col("judged")), 9).alias("recall"))
     best = swept.agg(F.max(F.struct("macro_f1", "recall", (-F.col("t")).alias("minus_t"))).alias("b"))
     return best.select((-F.col("b.minus_t")).alias("threshold"), "b.macro_f1", "b.recall")

@@ -6,11 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.functions import text as X
+
 _own: list[str] = []
 
 
@@ -62,14 +67,25 @@ def orphan_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return left.union(right).distinct()
 
 
-def related(bridge: DataFrame, item: str, kind: str, value: str, k: int = 3) -> DataFrame:
-    """For each item the ``k`` items that share most kinds of values with it, never itself.
+def related(bridge: DataFrame, item: str, kind: str, value: str, kinds: Sequence[str], k: int = 3) -> DataFrame:
+    """For each item the ``k`` items that share most kinds of values with it, never itself; ties by identifier.
 
-    ``bridge`` has one row per item, kind and value. Items that share a value are met in that value's
-    group, so values that a large part of all items share belong elsewhere.
+    ``bridge`` has one row per item, kind and value. For each set of kinds, items meet by their combined
+    values, and of all that share one only the ``k + 1`` smallest are offered to each: an item further on
+    is behind ``k`` that share as many kinds and have smaller identifiers. So no value makes pairs of all
+    its items, and nothing is lost.
     """
-    rows = bridge.select(F.col(item).alias("i"), F.col(kind).alias("kd"), F.col(value).alias("v")).distinct()
-    pairs = rows.join(rows.withColumnRenamed("i", "j"), ["kd", "v"]).filter("i <> j").groupBy("i", "j").agg(F.count_distinct("kd").alias("kinds"))
+    rows = bridge.select(F.col(item).alias("i"), F.col(kind).alias("kd"), F.col(value).cast("string").alias("v")).distinct()
+    offers = None
+    for size in range(len(kinds), 0, -1):
+        for some in combinations(kinds, size):
+            keyed = rows.filter(F.col("kd") == some[0]).select("i", F.array("v").alias("key"))
+            for name in some[1:]:
+                keyed = keyed.join(rows.filter(F.col("kd") == name).select("i", "v"), "i").select("i", F.concat("key", F.array("v")).alias("key"))
+            first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("i"))).filter(F.col("n") <= k + 1).select("key", F.col("i").alias("j"))
+            found = keyed.join(first, "key").filter("i <> j").select("i", "j", F.lit(size).alias("kinds"))
+            offers = found if offers is None else offers.unionByName(found)
+    pairs = offers.groupBy("i", "j").agg(F.max("kinds").alias("kinds"))
     place = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("kinds"), "j"))
     return pairs.withColumn("place", place).filter(F.col("place") <= k).select(F.col("i").alias(item), F.col("j").alias("related"), "kinds", "place")
 
@@ -85,18 +101,36 @@ def outline_parents(units: DataFrame, group: str, order: str, level: str, levels
 
 
 def alias_mentions(docs: DataFrame, doc: str, tokens: Column, aliases: DataFrame, longest: int = 3) -> DataFrame:
-    """(doc, at, alias, concept): dictionary aliases in token order, the longest match first.
+    """(doc, at, alias, concept): dictionary aliases leftmost first, the longest that begins there, none overlapping.
 
-    A mention inside a longer one that starts at or before it is dropped.
+    ``at`` counts tokens from 1. Runs of tokens meet the dictionary (alias, concept) by equality; which of a
+    document's mentions stay is told in their order.
     """
-    def of(n: int) -> Column:
-        at = F.when(F.size("t") >= n, F.sequence(F.lit(1), F.size("t") - (n - 1))).otherwise(F.expr("CAST(array() AS array<int>)"))
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice("t", i, F.lit(n)), " ").alias("alias")))
-
-    grams = docs.select(F.col(doc).alias("doc"), tokens.alias("t")).select("doc", F.explode(F.flatten(F.array(*(of(n) for n in range(1, longest + 1))))).alias("g"))
-    found = grams.select("doc", "g.at", "g.n", "g.alias").join(aliases, "alias")
-    reach = F.max(F.col("at") + F.col("n")).over(Window.partitionBy("doc").orderBy("at", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
-    return found.withColumn("before", F.coalesce(reach, F.lit(0))).filter(F.col("at") + F.col("n") > F.col("before")).select(F.col("doc").alias(doc), "at", "alias", "concept")
+
+    def of(t: Column, n: int) -> Column:
+        at = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.expr("CAST(array() AS array<int>)"))
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(t, i, F.lit(n)), " ").alias("alias")))
+
+    grams = docs.select(F.col(doc).alias("doc"), F.explode(X.let(tokens, lambda t: F.flatten(F.array(*(of(t, n) for n in range(1, longest + 1)))))).alias("g"))
+    met = grams.select("doc", "g.at", "g.n", "g.alias").join(aliases.select("alias", "concept"), "alias")
+    listed = met.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("at", (-F.col("n")).alias("n"), "alias", "concept"))).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                mentions = batch.column(1)[i].values
+                at, n = (mentions.field(f).to_numpy() for f in ("at", "n"))
+                kept, end, last = [], 0, None
+                for k, (begin, size) in enumerate(zip(at.tolist(), (-n).tolist())):
+                    if begin >= end or (begin, size) == last:  # an alias of several concepts is each of them
+                        kept.append(k)
+                        end, last = begin + size, (begin, size)
+                kept = pa.array(kept)
+                names = pa.array([batch.column(0)[i].as_py()] * len(kept), batch.schema.field(0).type)
+                yield pa.RecordBatch.from_arrays([names, mentions.field("at").take(kept), mentions.field("alias").take(kept), mentions.field("concept").take(kept)], names=["doc", "at", "alias", "concept"])
+
+    kinds = docs.schema[doc].dataType.simpleString(), aliases.schema["concept"].dataType.simpleString()
+    return listed.mapInArrow(run, f"doc {kinds[0]}, at int, alias string, concept {kinds[1]}").withColumnRenamed("doc", doc)
 
 
 def strongest_paths(paths: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.operators.graphs import cut
+
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, place: str = "place") -> DataFrame:
     """The first ``n`` rows of each key; filter for eligibility before, not after."""
@@ -116,3 +118,18 @@ def like_literal(term: str) -> str:
     for c in "\\%_":
         term = term.replace(c, f"\\{c}")
     return f"%{term}%"
+
+
+def prefix_sums(df: DataFrame, order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """``df`` with the running sum of each value in order, as ``<value>_sum``, and no task that has all rows.
+
+    Ranges of rows are summed up apart, and each gets the totals of the ranges before it, of which
+    there are as many as partitions. ``order`` is unique.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    inner = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(*(F.sum(v).alias(v) for v in values))
+    starts = totals.select("_range", *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_{v}_before") for v in values))
+    summed = ranged.select(*ranged.columns, *(F.sum(v).over(inner).alias(f"_{v}_here") for v in values)).join(starts, "_range")
+    return summed.select(*df.columns, *((F.col(f"_{v}_here") + F.col(f"_{v}_before")).alias(f"{v}_sum") for v in values))

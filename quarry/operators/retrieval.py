@@ -6,11 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text as X
+from quarry.operators.graphs import cut
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -35,25 +36,71 @@ def query_terms(queries: DataFrame, query: str, tokens: str) -> DataFrame:
     return queries.select(F.col(query).alias("query"), F.explode(informative).alias("term"))
 
 
-def bm25(docs: DataFrame, terms: DataFrame, doc: str, tokens: str, title_tokens: str | None = None, title_boost: float = 1.0) -> DataFrame:
-    """(query, doc, score, matched) for ``terms`` (query, term).
+def index(docs: DataFrame, doc: str, tokens: str, terms: DataFrame, title_tokens: str | None = None) -> DataFrame:
+    """(doc, len, term, tf, title_tf) of the wanted ``terms`` (term), and a row without term for each document.
+
+    Texts are tokenised once: all that BM25 asks of the corpus comes from this table, which is written
+    out. A title counts into frequency and length like the body.
+    """
+    both = F.struct((F.col(title_tokens) if title_tokens else F.expr("CAST(array() AS array<string>)")).alias("title"), F.col(tokens).alias("body"))
+
+    def entries(x):
+        n = F.size(x.getField("title")) + F.size(x.getField("body"))
+        entry = lambda term, title: F.struct(term.alias("term"), n.alias("len"), F.lit(title).alias("title"))
+        return F.concat(F.array(entry(F.lit(None).cast("string"), 0)), F.transform(x.getField("title"), lambda t: entry(t, 1)), F.transform(x.getField("body"), lambda t: entry(t, 0)))
+
+    rows = docs.select(F.col(doc).alias("doc"), F.explode(X.let(both, entries)).alias("e")).select("doc", "e.*")
+    wanted = terms.select("term").distinct().withColumn("wanted", F.lit(True))
+    kept = rows.join(wanted, "term", "left").filter("wanted OR term IS NULL")
+    return cut(kept.groupBy("doc", "len", "term").agg(F.count(F.lit(1)).alias("tf"), F.sum("title").alias("title_tf")))
+
+
+def frequencies(found: DataFrame) -> DataFrame:
+    """(term, df) observed in an index."""
+    return found.filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
 
-    A title counts into frequency and length like the body, and again by ``title_boost``.
+def lengths(found: DataFrame) -> DataFrame:
+    """One row (n_docs, avg_len) observed in an index."""
+    return found.filter("term IS NULL").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avg_len"))
+
+
+def contribution(tf: Column, df: Column) -> Column:
+    """a term's part of BM25, given columns n_docs, len and avg_len."""
+    idf = F.log1p((F.col("n_docs") - df + 0.5) / (df + 0.5))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+
+
+def scores(found: DataFrame, terms: DataFrame, title_boost: float = 0.0, stats: DataFrame | None = None, df: DataFrame | None = None) -> DataFrame:
+    """(query, doc, score, matched) for ``terms`` (query, term) over an index.
+
+    ``stats`` (n_docs, avg_len) and ``df`` (term, df) of a larger corpus replace those observed (X12).
     """
-    body = docs.withColumn("_all", F.concat(title_tokens, tokens) if title_tokens else F.col(tokens))
-    wanted = terms.select("term").distinct()
-    found = postings(body, doc, "_all", wanted)
-    if title_tokens:
-        title = docs.select(F.col(doc).alias("doc"), F.explode(title_tokens).alias("term")).join(wanted, "term", "left_semi").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("title_tf"))
-        found = found.join(title, ["doc", "term"], "left").withColumn("tf", F.col("tf") + title_boost * F.coalesce("title_tf", F.lit(0)))
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(body, "_all")
-    rows = found.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    hits = found.filter("term IS NOT NULL").join(terms.select("query", "term"), "term").join(df if df is not None else frequencies(found), "term")
+    rows = hits.crossJoin(F.broadcast(stats if stats is not None else lengths(found)))  # stats is one row
+    part = contribution(F.col("tf") + title_boost * F.col("title_tf"), F.col("df"))
     return rows.groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
 
 
+def bm25(docs: DataFrame, terms: DataFrame, doc: str, tokens: str, title_tokens: str | None = None, title_boost: float = 1.0) -> DataFrame:
+    """(query, doc, score, matched) for ``terms`` (query, term); a title counts again by ``title_boost``."""
+    return scores(index(docs, doc, tokens, terms, title_tokens), terms, title_boost if title_tokens else 0.0)
+
+
+def phrase_hits(passages: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(query, doc) where a passage (doc, tokens) has all of a phrase (query, tokens) in a row.
+
+    The phrase's first three (or two) tokens meet the passages' n-grams by equality; only what they
+    bring together is compared as a whole. Phrases of one token aren't searched.
+    """
+    numbered = passages.withColumn("at", F.monotonically_increasing_id())
+    numbered = cut(numbered.select("doc", "at", "tokens"))
+    keys = phrases.filter(F.size("tokens") > 1).select("query", F.array_join(F.slice("tokens", 1, 3), " ").alias("gram"), F.col("tokens").alias("phrase"))
+    grams = numbered.select("at", F.explode(F.array_distinct(X.ngrams(F.col("tokens"), 2, 3))).alias("gram"))
+    met = grams.join(keys, "gram").select("at", "query", "phrase")
+    return numbered.join(met, "at").filter(X.contains_phrase(F.col("tokens"), F.col("phrase"))).select("query", "doc").distinct()
+
+
 def ranked(scores: DataFrame, by: Sequence[str], score: str = "score", key: str = "doc", rank: str = "rank") -> DataFrame:
     """Ranks from 1, by score descending and key ascending, so no two are equal."""
     return scores.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), F.col(key))))
@@ -88,39 +135,71 @@ def vector_priority(dense: DataFrame, lexical: DataFrame, query: str = "query",
     return both.withColumn("rank", place).withColumn("score", F.round(1 / (F.lit(RRF) + F.col("rank")), 9))
 
 
-def knn(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 2048, query_block: int = 256) -> DataFrame:
-    """Exact (query, doc, score) of the ``k`` nearest by cosine, in blocks of rows and of queries.
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of an Arrow list column's rows, where each begins, and all values; null within is not a number."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return sizes, np.cumsum(sizes) - sizes, column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
 
-    Neither side is broadcast: each block of rows meets each block of queries once, a matrix product
-    leaves at most ``k`` rows per query, and those are ranked. Vectors that are null, zero or of
-    another dimension than the block's first have no neighbours.
+
+def _directions(ids: np.ndarray, column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per dimension, the ids in order and unit vectors of all usable rows."""
+    sizes, begins, values = _matrix(column)
+    found = {}
+    for size in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == size)
+        m = values[begins[rows][:, None] + np.arange(size)]
+        norm = np.linalg.norm(m, axis=1)
+        good = np.isfinite(norm) & (norm > 0)
+        order = np.argsort(ids[rows[good]], kind="stable")
+        found[int(size)] = ids[rows[good]][order], (m[good] / norm[good][:, None])[order]
+    return found
+
+
+def _best(asked: dict, known: dict, k: int) -> Iterator[pa.RecordBatch]:
+    """The ``k`` largest cosines of each query among rows of its dimension."""
+    for size, (names, q) in asked.items():
+        ids, m = known.get(size, (None, None))
+        if ids is None or not len(ids):
+            continue
+        for at in range(0, len(names), 256):
+            near = np.round(np.clip(q[at : at + 256] @ m.T, -1, 1), 6)
+            order = np.argsort(-near, axis=1, kind="stable")[:, :k]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[at : at + 256], order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(near, order, 1).ravel())], names=["query", "doc", "score"])
+
+
+def knn(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+    """Exact (query, doc, score) of the ``k`` nearest by cosine among the rows of the query's dimension.
+
+    Up to ``block`` queries travel to the rows, which stay where they are; more are dealt out in blocks,
+    each of which meets each block of rows once. A matrix product leaves at most ``k`` rows per query,
+    and those are ranked. Null and zero vectors and such with values that aren't finite have no neighbours.
     """
-    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
-        rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
-        count = F.lit(max(1, -(-rows.count() // size)))
-        return rows.groupBy(F.pmod(F.xxhash64("k"), count).alias(f"{name}_block")).agg(F.collect_list(F.struct("k", "v")).alias(name))
+    rows = base.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    asked = queries.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    schema = "query long, doc long, score double"
+    first = asked.limit(block + 1).toArrow()  # at most block + 1 rows
+    if len(first) <= block:
+        wanted = _directions(first.column("k").to_numpy(), first.column("v"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def side(column):
-            rows = column.as_py()
-            size = len(rows[0]["v"])
-            rows = [r for r in rows if len(r["v"]) == size]
-            m = np.array([r["v"] for r in rows])
-            norm = np.linalg.norm(m, axis=1)
-            return np.array([r["k"] for r in rows])[norm > 0], (m / np.where(norm > 0, norm, 1)[:, None])[norm > 0]
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _best(wanted, _directions(batch.column(0).to_numpy(), batch.column(1)), k)
+
+        return top(rows.mapInArrow(near, schema), ["query"], k)
 
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        count = F.lit(max(1, -(-df.count() // block)))
+        return df.groupBy(F.pmod(F.xxhash64("k"), count).alias(f"{name}_block")).agg(F.collect_list("k").alias(f"{name}_k"), F.collect_list("v").alias(name))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1)):
-                (ids, m), (asked, q) = side(left), side(right)
-                if not len(ids) or not len(asked) or m.shape[1] != q.shape[1]:
-                    continue
-                near = np.round(np.clip(q @ m.T, -1, 1), 6)
-                order = np.lexsort((np.broadcast_to(ids, near.shape), -near), axis=1)[:, :k]
-                n = order.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, n)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(near, order, 1).ravel())], names=["query", "doc", "score"])
+            for i in range(len(batch)):
+                known, asked = (_directions(batch.column(c)[i].values.to_numpy(), batch.column(c + 1)[i].values) for c in (0, 2))
+                yield from _best(asked, known, k)
 
-    pairs = blocks(base, block, "b").crossJoin(blocks(queries, query_block, "q")).select("b", "q")
-    return top(pairs.mapInArrow(run, "query long, doc long, score double"), ["query"], k)
+    pairs = blocks(rows, "b").crossJoin(blocks(asked, "q")).select("b_k", "b", "q_k", "q")
+    return top(pairs.mapInArrow(run, schema), ["query"], k)
 
 
 def evidence_within(scores: DataFrame, by: Sequence[str], margin: float, k: int, prefer: str) -> DataFrame:
@@ -146,23 +225,38 @@ def score_gaps(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.select(*by, "top", F.coalesce(F.round(F.col("top") - F.col("_2"), 6), F.lit(0.0)).alias("gap2"), F.coalesce(F.round(F.col("top") - F.col("_5"), 6), F.lit(0.0)).alias("gap5"))
 
 
-def max_sim(queries: DataFrame, docs: DataFrame, query: str = "query", doc: str = "doc", vectors: str = "vectors") -> DataFrame:
-    """Mean over the query's token vectors of the best dot product with the document's.
+def max_sim(queries: DataFrame, base: DataFrame, query: str, doc: str, key: str, vector: str, block: int = 4096) -> DataFrame:
+    """(query, doc, score): the mean over a query's token vectors of the best dot product with the document's.
 
-    ``queries`` has (query, doc, vectors) for the few documents that each query reranks.
+    ``queries`` has at most ``block`` token vectors (query, key, vector), a stated set that travels to the
+    rows of ``base`` (doc, vector). Each batch leaves one row per query vector and document.
     """
-    both = queries.withColumnsRenamed({vectors: "_q"}).join(docs.select(doc, F.col(vectors).alias("_d")), doc)
-    best = F.transform("_q", lambda q: F.array_max(F.transform(F.col("_d"), lambda d: X.dot(q, d))))
-    mean = F.try_divide(F.aggregate(best, F.lit(0.0), lambda a, b: a + b), F.size("_q"))
-    return both.select(query, doc, F.round(mean, 6).alias("score"))
-
-
-def latest_tokens(df: DataFrame, group: str, order: str, vector: str, k: int) -> DataFrame:
-    """(group, vectors): each group's first ``k`` token vectors in order."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    rows = df.select(group, order, F.col(vector).cast("array<double>").alias("v")).withColumn("place", place).filter(F.col("place") <= k)
-    listed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("x"))
-    return listed.select(group, F.col("x.v").alias("vectors"))
+    asked = queries.select(F.col(query).alias("q"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL").limit(block + 1).toArrow()
+    if len(asked) > block:
+        raise ValueError(f"more than {block} query vectors: rerank fewer queries at a time")
+    names, keys = asked.column("q").to_numpy(), asked.column("k").to_numpy()
+    kind = base.schema[doc].dataType.simpleString()
+    sizes, begins, values = _matrix(asked.column("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, starts, numbers = _matrix(batch.column(1))
+            code = batch.column(0).dictionary_encode()
+            group, docs = code.indices.to_numpy(), code.dictionary
+            for size in np.unique(own[own > 0]):
+                mine, theirs = np.flatnonzero(sizes == size), np.flatnonzero(own == size)
+                if not len(mine):
+                    continue
+                theirs = theirs[np.argsort(group[theirs], kind="stable")]
+                product = values[begins[mine][:, None] + np.arange(size)] @ numbers[starts[theirs][:, None] + np.arange(size)].T
+                heads = np.flatnonzero(np.diff(group[theirs], prepend=-1))
+                best = np.maximum.reduceat(product, heads, axis=1)
+                n = len(heads)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[mine], n)), pa.array(np.repeat(keys[mine], n)), docs.take(pa.array(np.tile(group[theirs][heads], len(mine)))), pa.array(best.ravel())], names=["query", "key", "doc", "best"])
+
+    rows = base.select(F.col(doc).alias("d"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    found = rows.mapInArrow(run, f"query long, key long, doc {kind}, best double").groupBy("query", "key", "doc").agg(F.max("best").alias("best"))
+    return found.groupBy("query", "doc").agg(F.round(F.avg("best"), 6).alias("score"))
 
 
 def complete_link(members: DataFrame, group: str, order: str, vector: str, threshold: float = 0.8) -> DataFrame:

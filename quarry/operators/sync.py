@@ -16,17 +16,21 @@ def row_digest(key: str, stamp: str) -> Column:
     return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.date_format(stamp, "yyyy-MM-dd HH:mm:ss")))
 
 
-def table_summary(df: DataFrame, key: str, stamp: str, size: str) -> DataFrame:
+def table_summary(df: DataFrame, key: str, stamp: str, size: str, stretch: int = 4096) -> DataFrame:
     """Count, key range, newest stamp, bytes and the order-sensitive fingerprint of a table.
 
-    The fingerprint is one digest over all rows in order, as parity asks; ``bucket_summary`` is the
-    form that scales out.
+    ``key`` is an integer. The fingerprint is a tree: rows of a stretch of keys are digested in order, then
+    stretches in order, then stretches of stretches. So a list has at most ``stretch`` entries but for the last,
+    which has one for ``stretch`` squared keys.
     """
-    digest = row_digest(key, stamp)
-    rows = df.select(F.col(key).alias("k"), F.col(stamp).alias("s"), F.col(size).alias("b"), digest.alias("d"))
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x.d), "")
-    out = rows.agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first_id"), F.max("k").alias("last_id"), F.date_format(F.max("s"), "yyyy-MM-dd HH:mm:ss").alias("newest"), F.round(F.sum("b"), 2).alias("bytes"), ordered.alias("all"))
-    return out.withColumn("fingerprint", F.when(F.col("n") == 0, "").otherwise(F.md5("all"))).drop("all")
+    rows = df.select(F.col(key).alias("k"), F.col(stamp).alias("s"), F.col(size).alias("b"), row_digest(key, stamp).alias("d"))
+    own = [F.count(F.lit(1)).alias("n"), F.min("k").alias("first_id"), F.max("k").alias("last_id"), F.max("s").alias("newest"), F.sum("b").alias("bytes")]
+    merged = [F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.max("newest").alias("newest"), F.sum("bytes").alias("bytes")]
+    together = lambda at: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at), "d"))), lambda x: x.d), "")).alias("d")
+    rows = rows.groupBy(F.expr(f"k DIV {stretch}").alias("k1")).agg(*own, together("k"))
+    rows = rows.groupBy(F.expr(f"k1 DIV {stretch}").alias("k2")).agg(*merged, together("k1"))
+    out = rows.agg(*merged, together("k2"))
+    return out.select(F.coalesce("n", F.lit(0)).alias("n"), "first_id", "last_id", F.date_format("newest", "yyyy-MM-dd HH:mm:ss").alias("newest"), F.round("bytes", 2).alias("bytes"), F.when(F.col("n") > 0, F.col("d")).otherwise("").alias("fingerprint"))
 
 
 def bucket_summary(df: DataFrame, key: str, stamp: str, buckets: int = 64) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as X
 from quarry.operators import graphs as G
 from quarry.operators import relational as R
+from quarry.plans.retrieval import tok
 from quarry.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -87,7 +88,7 @@ SELECT i AS supplier, j AS related, kinds, place FROM r WHERE place <= 3
 def related(spark, d):
     parts = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("supplier"), F.lit("part").alias("kind"), F.col("l_partkey").alias("value"))
     nations = table(spark, d, "supplier").select(F.col("s_suppkey").alias("supplier"), F.lit("nation").alias("kind"), F.col("s_nationkey").cast("long").alias("value"))
-    return G.related(parts.unionByName(nations), "supplier", "kind", "value")
+    return G.related(parts.unionByName(nations), "supplier", "kind", "value", ["part", "nation"])
 
 
 @query("j14_graph_pattern", "SELECT r_name, list_sort(list_distinct(list(n_name))) AS nations, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
@@ -106,11 +107,23 @@ def outline(spark, d):
     return G.outline_parents(u, "l_orderkey", "at", "level").select("l_orderkey", "at", "parent")
 
 
-@query("c01_alias_mentions")
+#: A dictionary from the benchmark: each item's first word, first two and first three words name the item.
+_ALIASES = f"(SELECT alias, min(item_id) AS concept FROM (SELECT item_id, unnest([array_to_string(t[1:n], ' ') FOR n IN [1, 2, 3] IF len(t) >= n]) AS alias FROM (SELECT item_id, {tok('text')} AS t FROM benchmark)) GROUP BY 1)"
+
+
+def _aliases(spark, d):
+    t = table(spark, d, "benchmark").select("item_id", X.surface_tokens(F.col("text")).alias("t"))
+    made = t.select("item_id", F.explode(F.array(*(F.when(F.size("t") >= n, F.array_join(F.slice("t", 1, n), " ")) for n in (1, 2, 3)))).alias("alias"))
+    return made.filter("alias IS NOT NULL").groupBy("alias").agg(F.min("item_id").alias("concept"))
+
+
+@query("c01_alias_mentions", f"""
+WITH a AS {_ALIASES}, p AS (SELECT ' (' || string_agg(regexp_replace(replace(alias, ' ', '  '), '([+.#])', '[\\1]', 'g'), '|' ORDER BY -len(string_split(alias, ' ')), alias) || ') ' AS pattern FROM a),
+m AS (SELECT doc_id, replace(trim(unnest(regexp_extract_all(' ' || array_to_string({tok('text')}, '  ') || ' ', pattern))), '  ', ' ') AS alias FROM documents, p)
+SELECT doc_id, concept, count(*) AS uses FROM m JOIN a USING (alias) GROUP BY ALL
+""")
 def mentions(spark, d):
-    aliases = spark.createDataFrame([("of the", 1), ("the", 2), ("and the", 3), ("worthless", 4), ("de la", 5)], "alias string, concept int")
-    docs = table(spark, d, "documents")
-    found = G.alias_mentions(docs, "doc_id", X.surface_tokens(F.col("text")), F.broadcast(aliases), 2)  # five aliases
+    found = G.alias_mentions(table(spark, d, "documents"), "doc_id", X.surface_tokens(F.col("text")), _aliases(spark, d), 3)
     return found.groupBy("doc_id", "concept").agg(F.count(F.lit(1)).alias("uses"))
 
 
@@ -140,5 +153,5 @@ def incremental(spark, d):
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
     folder = f"{root.rstrip('/')}/sync-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").select("event_id", "ts", "user_id").schema
-    changes = S.read_changes(spark, f"{d}/[e]vents.parquet", schema, "ts")
+    changes = S.replay_safe(S.read_changes(spark, f"{d}/[e]vents.parquet", schema, "ts"), "event_id", "ts")
     return S.sync(changes, f"{folder}/versions", f"{folder}/checkpoint", "user_id", "ts", "event_id").select("user_id", "event_id")

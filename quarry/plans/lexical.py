@@ -8,7 +8,7 @@ from quarry.functions import text as X
 from quarry.operators import evaluation as E
 from quarry.operators import lexical as L
 from quarry.operators import retrieval as V
-from quarry.plans.retrieval import _PLAIN, _QREL, _docs, _items, _neighbours, tok
+from quarry.plans.retrieval import _PLAIN, _QREL, _STOP, _docs, _items, _lines, _neighbours, tok
 from quarry.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -30,35 +30,45 @@ def _passages(docs):
     return docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select(X.surface_tokens(F.col("line")).alias("tokens"))
 
 
-_ANCHORS = f"""
-, ps AS (SELECT {tok('line')} AS t FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
-pg AS (SELECT DISTINCT unnest(flatten([list_transform(range(1, greatest(len(t) - n + 2, 1)), lambda i: array_to_string(t[i:i + n - 1], ' ')) for n in [3, 4, 5, 6]])) AS phrase FROM ps),
-qt AS (SELECT item_id, {tok('text')}[1:6] AS t FROM benchmark), qg AS (SELECT DISTINCT item_id AS query, unnest(flatten([list_transform(range(1, greatest(len(t) - n + 2, 1)), lambda i: array_to_string(t[i:i + n - 1], ' ')) for n in [3, 4, 5, 6]])) AS phrase FROM qt WHERE len(t) BETWEEN 3 AND 12),
-an AS (SELECT query, phrase, list_filter(list_distinct(string_split(phrase, ' ')), lambda w: NOT list_contains({_DULL}, w)) AS w, len(string_split(phrase, ' ')) AS n FROM qg WHERE phrase IN (SELECT phrase FROM pg)),
-am AS (SELECT * FROM (SELECT *, max(n) OVER (PARTITION BY query) AS m FROM an WHERE len(w) >= 2) WHERE n = m)
-"""
+#: Short queries: the lines of 3 to 12 tokens in the documents of the stated query set.
+_SHORT = f"(SELECT doc_id * 100000 + i - 1 AS query, {tok('line')} AS t FROM (SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents WHERE doc_id % 100 = 0), unnest(range(1, len(l) + 1)) AS u(i)) WHERE len({tok('line')}) BETWEEN 3 AND 12)"
+
+
+def _short(spark, d):
+    lines = _lines(spark, d).filter("doc_id % 100 = 0").select((F.col("doc_id") * 100000 + F.col("seq")).alias("query"), X.surface_tokens(F.col("line")).alias("tokens"))
+    return lines.filter("size(tokens) BETWEEN 3 AND 12")
+
 
+_GRAMS = "flatten([list_transform(range(1, greatest(len(t) - n + 2, 1)), lambda i: array_to_string(t[i:i + n - 1], ' ')) for n in [3, 4, 5, 6]])"
 
-@query("x07_anchor_rule", _PLAIN + _ANCHORS + f""", ds AS (SELECT doc_id, list(term) AS ts FROM tf WHERE term IN (SELECT term FROM q) OR term IN (SELECT unnest(w) FROM am) GROUP BY 1),
-x AS (SELECT r.query, r.doc, r.score, EXISTS (SELECT 1 FROM am WHERE am.query = r.query) AS ruled, EXISTS (SELECT 1 FROM am WHERE am.query = r.query AND list_has_all(ds.ts, am.w)) AS ok, (SELECT count(*) FROM q WHERE q.item_id = r.query AND list_contains(ds.ts, q.term) AND NOT list_contains({_AUX}, q.term)) AS inf FROM r JOIN ds ON ds.doc_id = r.doc)
-SELECT query, doc, round(CASE WHEN NOT ruled OR ok THEN score ELSE 0.7 * score END, 8) AS score FROM x WHERE NOT ruled OR ok OR inf >= 2""")
+
+@query("x07_anchor_rule", f"""
+WITH sq AS {_SHORT}, q AS (SELECT query, unnest(list_filter(list_distinct(t), lambda w: NOT list_contains({_STOP}, w))) AS term FROM sq),
+d AS (SELECT doc_id, {tok('text')} AS t FROM documents), tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
+r AS (SELECT query, doc_id AS doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score, count(*) FILTER (WHERE NOT list_contains({_AUX}, term)) AS inf FROM q JOIN tf USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY 1, 2),
+ps AS (SELECT {tok('line')} AS t FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)), pg AS (SELECT DISTINCT unnest({_GRAMS}) AS phrase FROM ps), qg AS (SELECT DISTINCT query, unnest({_GRAMS}) AS phrase FROM sq),
+an AS (SELECT query, phrase, list_filter(list_distinct(string_split(phrase, ' ')), lambda w: NOT list_contains({_DULL}, w)) AS w, len(string_split(phrase, ' ')) AS n FROM qg WHERE phrase IN (SELECT phrase FROM pg)),
+am AS (SELECT * FROM (SELECT *, max(n) OVER (PARTITION BY query) AS m FROM an WHERE len(w) >= 2) WHERE n = m),
+aw AS (SELECT query, phrase, len(w) AS need, unnest(w) AS term FROM am), ok AS (SELECT DISTINCT query, doc_id AS doc FROM (SELECT query, phrase, need, doc_id, count(*) AS c FROM aw JOIN tf USING (term) GROUP BY ALL) WHERE c = need)
+SELECT r.query, r.doc, round(CASE WHEN am.query IS NULL OR ok.doc IS NOT NULL THEN score ELSE 0.7 * score END, 8) AS score FROM r LEFT JOIN (SELECT DISTINCT query FROM am) am ON am.query = r.query LEFT JOIN ok ON ok.query = r.query AND ok.doc = r.doc WHERE am.query IS NULL OR ok.doc IS NOT NULL OR inf >= 2
+""")
 def anchor_rule(spark, d):
-    docs, items = _docs(spark, d), _items(spark, d)
-    terms = V.query_terms(items, "item_id", "tokens")
-    found = L.anchors(items, _passages(docs), "item_id", "tokens", "tokens")
-    return L.apply_anchors(V.bm25(docs, terms, "doc_id", "tokens"), V.postings(docs, "doc_id", "tokens"), terms, found)
+    docs, asked = _docs(spark, d), _short(spark, d)
+    terms = V.query_terms(asked, "query", "tokens")
+    found = V.index(docs, "doc_id", "tokens", terms)
+    return L.apply_anchors(V.scores(found, terms), found.filter("term IS NOT NULL"), terms, L.anchors(asked, _passages(docs), "query", "tokens", "tokens"))
 
 
 @query("x08_auxiliary_only", _PLAIN + f", tq AS (SELECT item_id, count(*) > 1 AS many FROM q GROUP BY 1) SELECT query, doc, score FROM r JOIN tq ON tq.item_id = query WHERE NOT many OR EXISTS (SELECT 1 FROM q JOIN tf USING (term) WHERE q.item_id = query AND tf.doc_id = doc AND NOT list_contains({_AUX}, term))")
 def auxiliary_only(spark, d):
-    docs, terms = _docs(spark, d), V.query_terms(_items(spark, d), "item_id", "tokens")
-    found = V.postings(docs, "doc_id", "tokens", terms.select("term").distinct())
-    return L.without_auxiliary(V.bm25(docs, terms, "doc_id", "tokens"), found, terms).select("query", "doc", "score")
+    terms = V.query_terms(_items(spark, d), "item_id", "tokens")
+    found = V.index(_docs(spark, d), "doc_id", "tokens", terms)
+    return L.without_auxiliary(V.scores(found, terms), found.filter("term IS NOT NULL"), terms).select("query", "doc", "score")
 
 
 @query("x13_accent_variants")
 def accents(spark, d):
-    items = table(spark, d, "benchmark").select("item_id", F.slice(X.surface_tokens(X.fold(F.col("text"))), 1, 12).alias("tokens"))
+    items = table(spark, d, "benchmark").select("item_id", X.surface_tokens(X.fold(F.col("text"))).alias("tokens"))
     return L.accent_variants(items, _passages(_docs(spark, d)), "item_id", "tokens", "tokens")
 
 
@@ -74,13 +84,12 @@ def graded(spark, d):
 
 
 @query("e05_qrels_from_anchors", f"""
-WITH a AS (SELECT item_id, ' ' || array_to_string({tok('text')}[1:4], ' ') || ' ' AS anchor, len({tok('text')}[1:4]) AS n FROM benchmark), p AS (SELECT doc_id, ' ' || array_to_string({tok('text')}, ' ') || ' ' AS t FROM documents)
-SELECT item_id, doc_id, max(1 + item_id % 3) AS grade FROM a JOIN p ON contains(t, anchor) WHERE n = 4 GROUP BY ALL
+WITH a AS (SELECT item_id, ' ' || array_to_string({tok('text')}, ' ') || ' ' AS anchor FROM benchmark WHERE len({tok('text')}) > 1), p AS (SELECT doc_id, ' ' || array_to_string({tok('text')}, ' ') || ' ' AS t FROM documents)
+SELECT item_id, doc_id, max(1 + item_id % 3) AS grade FROM a JOIN p ON contains(t, anchor) GROUP BY ALL
 """)
 def qrels(spark, d):
-    held = _docs(spark, d).select("doc_id", F.explode(F.array_distinct(X.ngrams(F.col("tokens"), 4, 4))).alias("anchor"))
-    items = _items(spark, d, 4).filter("size(tokens) = 4").select("item_id", F.array_join("tokens", " ").alias("anchor"))
-    return held.join(items, "anchor").groupBy("item_id", "doc_id").agg(F.max(1 + F.col("item_id") % 3).alias("grade"))
+    held = V.phrase_hits(_docs(spark, d).select(F.col("doc_id").alias("doc"), "tokens"), _items(spark, d).withColumnRenamed("item_id", "query"))
+    return held.groupBy(F.col("query").alias("item_id"), F.col("doc").alias("doc_id")).agg(F.max(1 + F.col("query") % 3).alias("grade"))
 
 
 @query("t03_bag_roots")
@@ -93,14 +102,14 @@ def bags(spark, d):
 
 
 @query("c03_bounded_expansion", """
-WITH f AS (SELECT DISTINCT l_orderkey AS query, l_suppkey % 50 AS concept FROM lineitem WHERE l_orderkey % 7 = 0), t AS (SELECT p_partkey % 50 AS concept, p_name AS term, CASE p_size % 4 WHEN 0 THEN 'preferred' WHEN 1 THEN 'synonym' WHEN 2 THEN 'translation' ELSE 'abbreviation' END AS kind, round(0.7 + (p_size % 4) / 10.0, 1)::DOUBLE AS confidence FROM part),
+WITH f AS (SELECT DISTINCT l_orderkey AS query, l_suppkey % 50 AS concept FROM lineitem), t AS (SELECT p_partkey % 50 AS concept, p_name AS term, CASE p_size % 4 WHEN 0 THEN 'preferred' WHEN 1 THEN 'synonym' WHEN 2 THEN 'translation' ELSE 'abbreviation' END AS kind, round(0.7 + (p_size % 4) / 10.0, 1)::DOUBLE AS confidence FROM part),
 rel AS (SELECT c_nationkey AS src, (c_nationkey * 7 + 3) % 50 AS dst, c_nationkey % 2 = 0 AS bi FROM (SELECT DISTINCT c_nationkey FROM customer)), e AS (SELECT src AS concept, dst AS near FROM rel UNION ALL SELECT dst, src FROM rel WHERE bi),
 x AS (SELECT query, near, max(path) AS path FROM (SELECT query, concept AS near, 1.0::DOUBLE AS path FROM f UNION ALL SELECT query, near, 0.35 FROM f JOIN e USING (concept)) GROUP BY ALL),
 w AS (SELECT query, near AS concept, term, max(round(path * CASE kind WHEN 'synonym' THEN 0.8 WHEN 'translation' THEN 0.65 WHEN 'abbreviation' THEN 0.7 ELSE 1.0 END::DOUBLE * confidence, 6)) AS weight FROM x JOIN t ON t.concept = near WHERE confidence >= 0.8 GROUP BY ALL),
 p AS (SELECT *, row_number() OVER (PARTITION BY query, concept ORDER BY weight DESC, term) AS p FROM w), o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY weight DESC, concept, term) AS o FROM p WHERE p <= 12) SELECT query, concept, term, weight FROM o WHERE o <= 64
 """)
 def expansion(spark, d):
-    focus = table(spark, d, "lineitem").filter("l_orderkey % 7 = 0").select(F.col("l_orderkey").alias("query"), (F.col("l_suppkey") % 50).alias("concept")).distinct()
+    focus = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query"), (F.col("l_suppkey") % 50).alias("concept")).distinct()
     k = F.col("p_size") % 4
     terms = table(spark, d, "part").select((F.col("p_partkey") % 50).alias("concept"), F.col("p_name").alias("term"), F.when(k == 0, "preferred").when(k == 1, "synonym").when(k == 2, "translation").otherwise("abbreviation").alias("kind"), F.round(0.7 + k / 10.0, 1).alias("confidence"))
     nations = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("src")).distinct()

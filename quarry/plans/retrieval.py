@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions import text as X
 from quarry.operators import evaluation as E
+from quarry.operators import lexical as L
 from quarry.operators import retrieval as V
 from quarry.session import table
 
@@ -42,15 +43,19 @@ def _docs(spark, d):
     return docs.withColumn("tokens", X.surface_tokens(F.col("text"))).withColumn("title_tokens", X.surface_tokens(title))
 
 
-def _items(spark, d, n=6):
-    items = table(spark, d, "benchmark").select("item_id", F.slice(X.surface_tokens(F.col("text")), 1, n).alias("tokens"))
-    return items
+def _items(spark, d):
+    """All items, with all tokens of their texts."""
+    return table(spark, d, "benchmark").select("item_id", X.surface_tokens(F.col("text")).alias("tokens"))
+
+
+def _lines(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("seq", "line"))
 
 
 _BM25 = """
 WITH d AS (SELECT doc_id, {tokens} AS t FROM documents), p AS (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM d),
 tf AS (SELECT doc_id, len, term, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, coalesce(avg(len(t)), 1) AS a FROM d),
-q AS (SELECT item_id, unnest(list_filter(list_distinct({items}[1:6]), lambda w: NOT list_contains({stop}, w))) AS term FROM benchmark),
+q AS (SELECT item_id, unnest(list_filter(list_distinct({items}), lambda w: NOT list_contains({stop}, w))) AS term FROM benchmark),
 {title}
 s AS (SELECT item_id AS query, tf.doc_id AS doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * ({f}) * 2.2 / (({f}) + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score, count(*) AS matched
   FROM q JOIN tf USING (term) JOIN df USING (term) CROSS JOIN st {join} GROUP BY 1, 2),
@@ -74,18 +79,15 @@ def bm25_title(spark, d):
     return V.top(scores, ["query"], 10).select("query", "doc", "score", "rank")
 
 
-@query("x06_phrase_boost", _PLAIN + f""", ph AS (SELECT item_id, ' ' || array_to_string({tok('text')}[1:3], ' ') || ' ' AS phrase FROM benchmark),
+@query("x06_phrase_boost", _PLAIN + f""", ph AS (SELECT item_id, ' ' || array_to_string({tok('text')}, ' ') || ' ' AS phrase FROM benchmark WHERE len({tok('text')}) > 1),
 pa AS (SELECT doc_id, ' ' || array_to_string({tok('line')}, ' ') || ' ' AS passage FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
 b AS (SELECT query, doc, round(score * CASE WHEN EXISTS (SELECT 1 FROM pa JOIN ph ON ph.item_id = query WHERE pa.doc_id = doc AND contains(passage, phrase)) THEN 1.2 ELSE 1.0 END, 6) AS score FROM r)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM b) WHERE rank <= 10""")
 def phrase_boost(spark, d):
     docs, items = _docs(spark, d), _items(spark, d)
     scores = V.bm25(docs, V.query_terms(items, "item_id", "tokens"), "doc_id", "tokens")
-    passages = docs.select(F.col("doc_id").alias("doc"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).withColumn("line", X.surface_tokens(F.col("line")))
-    # A passage's trigrams meet the phrases by equality, not by a search of all pairs.
-    grams = passages.select("doc", F.explode(F.array_distinct(X.ngrams(F.col("line"), 3, 3))).alias("phrase"))
-    phrases = items.select(F.col("item_id").alias("query"), F.array_join(F.slice("tokens", 1, 3), " ").alias("phrase"))
-    hits = grams.join(phrases, "phrase").select("query", "doc").distinct().withColumn("boost", F.lit(1.2))
+    passages = _lines(spark, d).select(F.col("doc_id").alias("doc"), X.surface_tokens(F.col("line")).alias("tokens"))
+    hits = V.phrase_hits(passages, items.withColumnRenamed("item_id", "query")).withColumn("boost", F.lit(1.2))
     boosted = scores.join(hits, ["query", "doc"], "left").withColumn("score", F.round(F.col("score") * F.coalesce("boost", F.lit(1.0)), 6))
     return V.top(boosted, ["query"], 10).select("query", "doc", "score", "rank")
 
@@ -101,7 +103,7 @@ def min_coverage(spark, d):
 @query("x16_field_rrf", f"""
 WITH f AS (SELECT doc_id, 'title' AS field, {tok(_TITLE)} AS t FROM documents UNION ALL SELECT doc_id, 'body', {tok('text')} FROM documents), p AS (SELECT doc_id, field, len(t) AS len, unnest(t) AS term FROM f),
 tf AS (SELECT doc_id, field, len, term, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL), st AS (SELECT field, count(*) AS n, avg(len(t)) AS a FROM f GROUP BY 1),
-q AS (SELECT item_id, unnest(list_filter(list_distinct({tok('text')}[1:6]), lambda w: NOT list_contains({_STOP}, w))) AS term FROM benchmark),
+q AS (SELECT item_id, unnest(list_filter(list_distinct({tok('text')}), lambda w: NOT list_contains({_STOP}, w))) AS term FROM benchmark),
 s AS (SELECT item_id AS query, field, doc_id AS doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (field, term) JOIN st USING (field) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query, field ORDER BY score DESC, doc) AS rank FROM s), u AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, count(*) AS branches FROM r GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM u) WHERE rank <= 10""")
@@ -111,7 +113,7 @@ def field_rrf(spark, d):
     return V.top(V.rrf(fields[0].unionByName(fields[1])), ["query"], 10)
 
 
-@query("x17_candidates", f"WITH t AS (SELECT doc_id, {tok('text')} AS t FROM documents), q AS (SELECT item_id, list_filter(list_distinct({tok('text')}[1:6]), lambda w: NOT list_contains({_STOP}, w)) AS w FROM benchmark) SELECT item_id AS query, count(*) AS candidates FROM q JOIN t ON list_has_any(t, w) GROUP BY 1")
+@query("x17_candidates", f"WITH t AS (SELECT doc_id, {tok('text')} AS t FROM documents), q AS (SELECT item_id, list_filter(list_distinct({tok('text')}), lambda w: NOT list_contains({_STOP}, w)) AS w FROM benchmark) SELECT item_id AS query, count(*) AS candidates FROM q JOIN t ON list_has_any(t, w) GROUP BY 1")
 def candidates(spark, d):
     terms = V.query_terms(_items(spark, d), "item_id", "tokens")
     found = V.postings(_docs(spark, d), "doc_id", "tokens", terms.select("term").distinct())
@@ -176,21 +178,22 @@ def valid(spark, d):
     return table(spark, d, "embeddings").select("vec_id", X.valid_vector(F.col("embedding"), 64).alias("valid"))
 
 
-@query("f26_binary_score", f"WITH t AS (SELECT doc_id, list_distinct({tok('text')}) AS t FROM documents), q AS (SELECT list_distinct({tok('text')}) AS q FROM benchmark WHERE item_id = 0) SELECT doc_id, round(len(list_intersect(t, q)) / sqrt(len(t) * len(q)), 6) AS score FROM t, q WHERE len(t) > 0")
+@query("f26_binary_score", f"""
+WITH t AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM (SELECT doc_id, list_distinct({tok('text')}) AS t FROM documents)), q AS (SELECT item_id, len(q) AS m, unnest(q) AS term FROM (SELECT item_id, list_distinct({tok('text')}) AS q FROM benchmark))
+SELECT item_id, doc_id, round(count(*) / sqrt(n * m), 6) AS score FROM t JOIN q USING (term) GROUP BY item_id, doc_id, n, m
+""")
 def binary_score(spark, d):
-    q = table(spark, d, "benchmark").filter("item_id = 0").select(F.array_distinct(X.surface_tokens(F.col("text"))).alias("q"))  # one item
-    t = _docs(spark, d).select("doc_id", F.array_distinct("tokens").alias("t")).filter("size(t) > 0")
-    return t.crossJoin(F.broadcast(q)).select("doc_id", F.round(F.size(F.array_intersect("t", "q")) / F.sqrt(F.size("t") * F.size("q")), 6).alias("score"))
+    distinct = lambda df, name, n: df.select(name, F.array_distinct("tokens").alias("t")).select(name, F.size("t").alias(n), F.explode("t").alias("term"))
+    both = distinct(_docs(spark, d), "doc_id", "n").join(distinct(_items(spark, d), "item_id", "m"), "term")
+    return both.groupBy("item_id", "doc_id", "n", "m").agg(F.count(F.lit(1)).alias("both")).select("item_id", "doc_id", F.round(F.col("both") / F.sqrt(F.col("n") * F.col("m")), 6).alias("score"))
 
 
 @query("c06_phrase_mining", f"""
-WITH l AS (SELECT doc_id, {tok('text')}[1:400] AS t FROM documents), n AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1])) AS phrase FROM l WHERE len(t) > 1)
+WITH l AS (SELECT doc_id, {tok('text')} AS t FROM documents), n AS (SELECT doc_id, unnest(flatten(list_transform([2, 3, 4], lambda k: list_transform(range(1, greatest(len(t) - k + 2, 1)), lambda i: array_to_string(t[i:i + k - 1], ' '))))) AS phrase FROM l)
 SELECT phrase, count(DISTINCT doc_id) AS docs, count(*) AS uses FROM n GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5
 """)
 def phrases(spark, d):
-    grams = _docs(spark, d).select("doc_id", F.explode(X.ngrams(F.col("tokens"), 2, 4)).alias("phrase"))
-    per_doc = grams.groupBy("phrase", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("phrase").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("uses")).filter("docs >= 5")
+    return L.frequent_phrases(_docs(spark, d), "doc_id", "tokens", 2, 4, 5)
 
 
 _SIM = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
@@ -300,7 +303,7 @@ def percentiles(spark, d):
 
 @query("m15_nearest_rank", "SELECT event_type, list_sort(list(value))[floor(0.95 * (count(value) - 1))::BIGINT + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1")
 def nearest(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(E.nearest_rank(F.collect_list("value"), 0.95).alias("p95"))
+    return E.nearest_rank(table(spark, d, "events"), "event_type", "value", 0.95).withColumnRenamed("value", "p95")
 
 
 @query("a19_score_by_judgment", "SELECT coalesce(CAST(quality AS VARCHAR), 'unjudged') AS judged, count(n_chars) AS n, min(n_chars) AS least, round(quantile_cont(n_chars::DOUBLE, 0.5), 6) AS p50, round(quantile_cont(n_chars::DOUBLE, 0.95), 6) AS p95, max(n_chars) AS most FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
@@ -337,13 +340,12 @@ def conflicts(spark, d):
 
 
 @query("d09_max_sim", """
-WITH v AS (SELECT label, list(embedding::DOUBLE[] ORDER BY vec_id)[1:8] AS v FROM embeddings GROUP BY 1)
-SELECT a.label AS query, b.label AS doc, round(list_avg(list_transform(a.v, lambda q: list_max(list_transform(b.v, lambda d: list_inner_product(q, d))))), 6) AS score FROM v a, v b WHERE a.label < 3
+WITH b AS (SELECT q.label AS query, q.vec_id, e.label AS doc, max(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS best FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 GROUP BY ALL)
+SELECT query, doc, round(avg(best), 6) AS score FROM b GROUP BY ALL
 """)
 def maxsim(spark, d):
-    e = V.latest_tokens(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 8)
-    queries = e.filter("label < 3").select(F.col("label").alias("query"), "vectors").crossJoin(e.select(F.col("label").alias("doc")))  # three queries over ten labels
-    return V.max_sim(queries, e.withColumnRenamed("label", "doc"))
+    e = table(spark, d, "embeddings").withColumn("label", F.col("label").cast("long"))
+    return V.max_sim(e.filter("vec_id % 100 = 0"), e, "label", "label", "vec_id", "embedding")
 
 
 @query("d10_complete_link")

@@ -27,31 +27,43 @@ def newest(rows: DataFrame, key: str, stamp: str, tie: str) -> DataFrame:
     return best.select(key, "r.*").select(*rows.columns)
 
 
-def upsert_into(folder: str, key: str, stamp: str, tie: str) -> Callable[[DataFrame, int], None]:
+#: Buckets of keys that a snapshot is kept in.
+BUCKETS = 64
+
+
+def snapshot(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The rows as of the last version (or the last below ``before``): of each bucket of keys, its newest version."""
+    rows = spark.read.parquet(folder)
+    rows = rows if before is None else rows.filter(F.col("version") < before)
+    newest_of = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(newest_of), ["bucket", "version"]).drop("version")  # at most BUCKETS rows
+
+
+def upsert_into(folder: str, key: str, stamp: str, tie: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """ST03: a batch writer with exactly-once effect.
 
-    Batch n makes version n from version n - 1 by overwriting it whole, so a batch that is run again
-    after a failure gives the same version.
+    Batch n makes version n of the buckets that it touches, from their last version below n; other
+    buckets stay as they are. A batch that is run again after a failure overwrites its own version only.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        if rows.isEmpty():
+            return
         if number:
-            rows = spark.read.parquet(f"{folder}/version={number - 1}").unionByName(batch)
-        newest(rows, key, stamp, tie).write.mode("overwrite").parquet(f"{folder}/version={number}")
+            touched = rows.select("bucket").distinct()
+            rows = snapshot(spark, folder, number).join(F.broadcast(touched), "bucket", "left_semi").unionByName(rows)  # at most BUCKETS rows
+        newest(rows, key, stamp, tie).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/version={number}")
 
     return write
 
 
 def sync(changes: DataFrame, folder: str, checkpoint: str, key: str, stamp: str, tie: str) -> DataFrame:
-    """Runs all that is there now through the upsert, and gives the last version."""
+    """Runs all that is there now through the upsert, and gives the snapshot after it."""
     run = changes.writeStream.foreachBatch(upsert_into(folder, key, stamp, tie)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
-    last = run.lastProgress
-    spark = changes.sparkSession
-    version = last["batchId"] if last and last["numInputRows"] else (last["batchId"] - 1 if last else 0)
-    return spark.read.parquet(f"{folder}/version={version}")
+    return snapshot(changes.sparkSession, folder).drop("bucket")
 
 
 def slots(changes: DataFrame, stamp: str, width: str, late: str | None = "10 minutes") -> DataFrame:
