@@ -34,6 +34,7 @@ from quarry.llm.common import scratch, staged
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
 _ROW_BYTES = 1 << 20
+_STEP = 8 << 10
 #: Rows of the sink, of about a compressed megabyte, that one archive file holds.
 ROWS_PER_FILE = 8
 _HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -166,17 +167,19 @@ def zlib_member(raw: bytes) -> bytes:
 
 def members(raw: bytes) -> Iterator[bytes | None]:
     """What each gzip member holds; None for one that ends early or is damaged, which ends the file."""
-    while raw:
-        member = zlib.decompressobj(31)
+    view, at = memoryview(raw), 0
+    while at < len(view):
+        member, found = zlib.decompressobj(31), []
         try:
-            found = member.decompress(raw)
+            while not member.eof and at < len(view):
+                # In steps, since what follows a member is copied.
+                piece = view[at : at + _STEP]
+                found.append(member.decompress(piece))
+                at += len(piece) - len(member.unused_data)
         except zlib.error:
-            found = None
-        if found is None or not member.eof:
             yield None
             return
-        yield found
-        raw = member.unused_data
+        yield b"".join(found) if member.eof else None
 
 
 _FIELDS = [("page", pa.int64()), ("url", pa.string()), ("kind", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary())]
