@@ -8,7 +8,7 @@ in it, the leftmost of equal ones, so equal strings have equal names. Consecutiv
 document named by the same gram in place are a run, which holds no string twice. Only names with
 several runs can hold a repeat. Their runs' bytes go to the shard of the name.
 
-Shards. Of equal runs the first stays for comparison. The shard's suffix array is sorted by
+Shards. Of equal runs the first stays for comparison, in the task that reads the texts and again in the shard. The shard's suffix array is sorted by
 Larsson-Sadakane refinement: suffixes start in groups by their first seven bytes, and each round
 sorts the groups that are left by the ranks of the suffixes a doubled distance on, until none is
 left. Kasai's rule, run over all runs side by side, gives common prefixes of
@@ -87,14 +87,26 @@ def runs_of(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> Iterator
 
 
 def _runs(docs: DataFrame, length: int) -> DataFrame:
+    """(key, name, doc, tag, start, n, more): runs, of which those whose ``more`` adds up to two or more under a key share their name.
+
+    Of a name's runs that come together in a task, one stands for all under the name itself, and the others
+    have keys of their own, since it's known of them that they aren't alone. So a frequent name is no hot key.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offs, raw = text_bytes(batch.column(2))
             docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for row, name, start, count in runs_of(raw, offs, length):
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(docs[row]), pa.array(tags[row]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], names=["name", "doc", "tag", "start", "n"])
+                _, first, own, size = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+                more = np.minimum(size, 2)[own].astype(np.int32)
+                rest = np.ones(len(name), bool)
+                rest[first] = False
+                key = name.copy()
+                key[rest] = mix64(name[rest].view(np.uint64) ^ mix64(docs[row[rest]].view(np.uint64) * _STEP[6] + start[rest].astype(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(name), pa.array(docs[row]), pa.array(tags[row]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(more)], names=["key", "name", "doc", "tag", "start", "n", "more"])
 
-    return docs.mapInArrow(run, "name long, doc long, tag short, start int, n int")
+    return docs.mapInArrow(run, "key long, name long, doc long, tag int, start int, n int, more int")
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -195,11 +207,12 @@ def shard_repeats(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np
     first = np.zeros(int(key.max(initial=0)) + 1, np.int64)
     first[key[::-1]] = np.arange(n)[::-1]
     first = first[key]
-    own = np.flatnonzero(first == np.arange(n))
+    # A copy at the very same place of a document of the same identifier is no earlier one.
+    elsewhere = (doc[first] != doc) | (start[first] != start)
+    own = np.flatnonzero(~elsewhere)
     found = []
     if not two:
-        # A copy at the very same place of a document of the same identifier is no earlier one.
-        copy = np.flatnonzero((doc[first] != doc) | (start[first] != start))
+        copy = np.flatnonzero(elsewhere)
         found.append((doc[copy], tag[copy], start[copy], start[copy] + count[copy] + length - 1))
     tables = []
     for side in [own[part[own] == p] for p in np.unique(part[own])] if two else [own]:
@@ -232,27 +245,35 @@ def shard_repeats(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np
             span = slice(j, np.searchsorted(number, number[j], "right"))
             found.append((d[span], t[span], where[span], where[span] + length))
     d, t, lo, hi = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(4))
-    return pa.table({"doc": pa.array(d), "tag": pa.array(t.astype(np.int16)), "lo": pa.array(lo), "hi": pa.array(hi)})
+    return pa.table({"doc": pa.array(d), "tag": pa.array(t.astype(np.int32)), "lo": pa.array(lo), "hi": pa.array(hi)})
 
 
 def _segments(held: DataFrame, length: int) -> DataFrame:
-    """(name, doc, tag, start, n, bytes) of the candidate runs."""
+    """(name, doc, tag, start, n, bytes) of the candidate runs; of equal ones that come together in a task all
+    but the first are without bytes: they are repeats as a whole, which needs no search."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                piece = batch.slice(at, 256)
+            for i, j in slices(text_bytes(batch.column(2))[0], _PIECE):
+                piece = batch.slice(i, j - i)
                 offs, raw = text_bytes(piece.column(2))
-                lists = [piece.column(i) for i in (3, 4, 5)]
+                lists = [piece.column(c) for c in (3, 4, 5)]
                 names, starts, counts = (c.flatten().to_numpy() for c in lists)
                 rows = np.repeat(np.arange(len(piece)), lists[0].value_lengths().to_numpy())
-                for lo in range(0, len(rows), 50_000):
-                    s = slice(lo, lo + 50_000)
-                    a = offs[rows[s]] + starts[s]
-                    parts = [raw[x:y].tobytes() for x, y in zip(a, a + counts[s] + length - 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(names[s]), pa.array(piece.column(0).to_numpy()[rows[s]]), pa.array(piece.column(1).to_numpy()[rows[s]]), pa.array(starts[s]), pa.array(counts[s]), pa.array(parts, pa.binary())], names=["name", "doc", "tag", "start", "n", "bytes"])
-
-    return held.select("doc", "tag", "text", "names", "starts", "counts").mapInArrow(run, "name long, doc long, tag short, start int, n int, bytes binary")
+                docs, tags = piece.column(0).to_numpy()[rows], piece.column(1).to_numpy()[rows]
+                order = np.lexsort((tags, starts, docs))
+                seen: dict[tuple, tuple] = {}
+                for lo in range(0, len(order), 50_000):
+                    at = order[lo : lo + 50_000]
+                    a = offs[rows[at]] + starts[at]
+                    places = zip(docs[at].tolist(), starts[at].tolist())
+                    parts = [raw[x:y].tobytes() for x, y in zip(a.tolist(), (a + counts[at] + length - 1).tolist())]
+                    if len(seen) > 100_000:
+                        seen = {}
+                    parts = [part if seen.setdefault(part, place) == place else None for part, place in zip(parts, places)]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(docs[at]), pa.array(tags[at]), pa.array(starts[at]), pa.array(counts[at]), pa.array(parts, pa.binary())], names=["name", "doc", "tag", "start", "n", "bytes"])
+
+    return held.select("doc", "tag", "text", "names", "starts", "counts").mapInArrow(run, "name long, doc long, tag int, start int, n int, bytes binary")
 
 
 def repeats(held: DataFrame, length: int, shard_bytes: int) -> DataFrame:
@@ -263,23 +284,27 @@ def repeats(held: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     shard = F.pmod(F.col("name"), F.lit(shards))
     # One row for each shard: as many as there are shard_bytes in the candidates.
     sizes = candidates.groupBy(shard.alias("shard")).agg(F.ceil(F.sum(F.col("n") + length - 1) / (4 * shard_bytes)).cast("int").alias("parts"))
-    dealt = _segments(held, length).withColumn("shard", shard).join(staged(sizes, "suffix-shards"), "shard")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc", "start"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+    whole = F.col("bytes").isNull()
+    dealt = _segments(held, length).withColumn("shard", F.when(whole, F.pmod(F.xxhash64("doc"), F.lit(shards))).otherwise(shard)).join(staged(sizes, "suffix-shards"), "shard", "left")
+    dealt = dealt.withColumn("part", F.when(whole, -1).otherwise(F.pmod(F.xxhash64("doc", "start"), F.col("parts")).cast("int")))
+    dealt = dealt.withColumn("other", F.explode(F.when(whole, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        if key[1].as_py() < 0:
+            start, n = (table.column(c).to_numpy().astype(np.int64) for c in ("start", "n"))
+            return pa.table({"doc": table.column("doc"), "tag": table.column("tag"), "lo": pa.array(start), "hi": pa.array(start + n + length - 1)})
         cols = [table.column(c).to_numpy() for c in ("doc", "tag", "start", "n", "part")]
         return shard_repeats(*cols, table.column("bytes").combine_chunks(), key[1] != key[2], length)
 
     wanted = dealt.select("shard", "i", "j", "doc", "tag", "start", "n", "part", "bytes")
-    return staged(wanted.groupBy("shard", "i", "j").applyInArrow(run, "doc long, tag short, lo long, hi long"), "suffix-repeats")
+    return staged(wanted.groupBy("shard", "i", "j").applyInArrow(run, "doc long, tag int, lo long, hi long"), "suffix-repeats")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept, kept_sha256) of every row; ``kept`` holds the bytes that stay."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(32749)).cast("short").alias("tag"), text.alias("text"))
-    named = _runs(base, length).withColumn("seen", F.count(F.lit(1)).over(Window.partitionBy("name")))
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(2147483629)).cast("int").alias("tag"), text.alias("text"))
+    named = _runs(base, length).withColumn("seen", F.sum("more").over(Window.partitionBy("key")))
     lists = named.filter("seen > 1").groupBy("doc", "tag").agg(F.collect_set(F.struct("name", "start", "n")).alias("c"))
     both = base.hint("merge").join(lists.hint("merge"), ["doc", "tag"], "left")
     plain = F.col("c").isNull()

@@ -506,6 +506,16 @@ def test_repeats(spark, shard_bytes):
         assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
 
 
+def test_repeats_of_rows_that_share_an_identifier(spark):
+    """Rows of one identifier and different texts don't repeat each other, but both repeat an earlier document."""
+    rng = random.Random(16)
+    passage, other = words(rng, 60), words(rng, 60)
+    rows = [(1, passage + words(rng, 30)), (5, passage + " x " + other), (5, passage + " y " + other), (9, other[:200]), (9, other[:200])]
+    got = sorted((r.doc_id, r.n_removed >= len(passage), r.n_removed) for r in suffixdup.without_repeats(docs_of(spark, rows)).collect())
+    assert [g[:2] for g in got[:3]] == [(1, False), (5, True), (5, True)] and got[1][2] < len(passage) + 90
+    assert [g[2] for g in got[3:]] == [200, 200]
+
+
 def test_repeats_long_and_empty(spark, edges):
     rng = random.Random(13)
     long = words(rng, 300_000)
