@@ -32,7 +32,10 @@ def parse_timestamp(text: Column) -> Column:
 
 
 def subtitles(segments: DataFrame, key: str, order: str, start: str, end: str, text: str, kind: str = "srt") -> DataFrame:
-    """SNK18: one subtitle document per key from its segments in order."""
+    """SNK18: one document per key from its segments in order, as ``srt``, ``vtt`` or plain ``txt``."""
+    if kind == "txt":
+        rows = segments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t")))).alias("xs"))
+        return rows.select(key, F.array_join(F.transform("xs", lambda x: x.t), "\n").alias("document"))
     mark = "," if kind == "srt" else "."
     line = F.concat(timestamp(F.col(start), mark), F.lit(" --> "), timestamp(F.col(end), mark), F.lit("\n"), F.coalesce(text, F.lit("")))
     rows = segments.select(key, F.struct(F.col(order).alias("o"), line.alias("l")).alias("x"))
