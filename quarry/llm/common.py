@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text for which numpy work arrays are built at a time.
@@ -24,8 +24,8 @@ _U = np.uint64
 _own_root: list[str] = []
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that the cluster shares (``spark.checkpoint.dir``).
+def run_folder(spark: SparkSession) -> str:
+    """The application's own folder in the one that the cluster shares (``spark.checkpoint.dir``).
 
     Where that is unset, a local master gets a folder of its own, removed at exit; a cluster uses
     its warehouse, which executors share by contract.
@@ -37,7 +37,18 @@ def scratch(spark: SparkSession, what: str) -> str:
             atexit.register(shutil.rmtree, _own_root[0], True)
         root = f"file://{_own_root[0]}"
     root = root or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/quarry-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh path in the application's folder."""
+    return f"{run_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes all that the application has staged; for the end of a job, when its results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:
@@ -60,6 +71,48 @@ def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Bits of the filters that rows are asked against, whatever the number of values.
+FILTER_BITS = 24
+
+
+def _place(value: Column) -> tuple[Column, Column]:
+    """The filter's word and bit of a value."""
+    slot = F.shiftrightunsigned(F.xxhash64(value), 64 - FILTER_BITS)
+    return F.shiftright(slot, 6), (slot % 64).cast("int")
+
+
+def bit_filter(values: DataFrame, column: str) -> DataFrame:
+    """(word, bits): at most 2**FILTER_BITS bits that say which values there may be."""
+    word, bit = _place(F.col(column))
+    return staged(values.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")), "filter")
+
+
+def asked(rows: DataFrame, value: Column, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``value`` the filter lets through (all that it was made of, and a few others), and the rest; neither is moved."""
+    word, bit = _place(value)
+    named = distinct_name(rows, "filter_word")
+    held = distinct_name(rows, "filter_bits")
+    # A filter's size is fixed: 2**(FILTER_BITS - 6) words.
+    known = F.broadcast(bits.select(F.col("word").alias(named), F.col("bits").alias(held)))
+    met = rows.withColumn(named, word).join(known, named, "left")
+    through = F.coalesce(F.call_function("shiftright", F.col(held), bit).bitwiseAND(F.lit(1)), F.lit(0)) == 1
+    return met.filter(through).select(*rows.columns), met.filter(~through).select(*rows.columns)
+
+
+def without_lost(docs: DataFrame, lost: DataFrame, id_col: str, digest: Column, nulls: bool) -> DataFrame:
+    """``docs`` without the rows that ``lost`` (lost_id, lost_sha) names by identifier and ``digest``.
+
+    Only rows whose identifier a filter of fixed size lets through are digested and compared; the
+    others stay where they are. With ``nulls``, null equals null.
+    """
+    names = {c: distinct_name(docs, c) for c in ("lost_id", "lost_sha")}
+    lost = staged(lost.distinct(), "lost")
+    maybe, clean = asked(docs, F.col(id_col), bit_filter(lost, "lost_id"))
+    other = lost.select(*(F.col(c).alias(n) for c, n in names.items()))
+    same = lambda a, b: a.eqNullSafe(b) if nulls else a == b
+    return clean.unionByName(maybe.join(other, same(F.col(id_col), F.col(names["lost_id"])) & same(digest, F.col(names["lost_sha"])), "left_anti"))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (n + 1) and UTF-8 bytes of a string or binary column, without copying; null is empty."""
     if isinstance(column, pa.ChunkedArray):

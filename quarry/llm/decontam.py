@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import distinct_name, mix64, seeded, slices, staged, text_bytes, word_hashes
+from quarry.llm.common import mix64, seeded, slices, staged, text_bytes, without_lost, word_hashes
 from quarry.llm.tokens import forget
 
 #: Fixed masks: the word positions that count. Between them they hit every stretch of 8 to 20 words with as
@@ -179,9 +179,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` without a contaminated stretch, with all their columns; rows of one identifier go together."""
     # A null identifier tells no rows apart, so there the text's digest is the key.
-    lost_id, lost_sha = distinct_name(docs, "lost_id"), distinct_name(docs, "lost_sha")
     sha = F.when(F.col(id_col).isNull(), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), sha.alias("sha")).alias("key"), F.col(text_col).alias("text"))
     found = leaks(keyed, benchmark, "key", "text", item_id, item_text)
-    lost = staged(found.select(F.col("key.id").alias(lost_id), F.col("key.sha").alias(lost_sha)).distinct(), "leak-lost")
-    return docs.join(lost, F.col(id_col).eqNullSafe(F.col(lost_id)) & sha.eqNullSafe(F.col(lost_sha)), "left_anti")
+    return without_lost(docs, found.select(F.col("key.id").alias("lost_id"), F.col("key.sha").alias("lost_sha")), id_col, sha, nulls=True)

@@ -4,8 +4,8 @@ Memtables are the batches of rows whose keys hash to one run. Each flushes as a
 Parquet file sorted by digest, with a Bloom filter and min/max statistics on the digest. Compaction
 merges ``FANOUT`` runs at a time into a run of the next level, which is a series of files in digest
 order, until one run is left; of each digest it keeps the smallest identifier and the number of
-rows. Digests with more than one row are hits. A filter of fixed size, made of the hits' digests,
-is asked for every row, and only texts that it lets through are moved. They are compared byte by
+rows. Digests with more than one row are hits. A filter of fixed size, made of the hits' identifiers,
+is asked for every row, and only texts that it lets through are digested again and moved. They are compared byte by
 byte with the text that stays; where they differ (a digest collision) the rows of that digest are
 grouped by their text instead.
 
@@ -20,14 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower, distinct_name, scratch, staged
+from quarry.llm.common import ascii_lower, asked, bit_filter, scratch, staged, without_lost
 
 #: Rows that one memtable holds before it flushes.
 MEMTABLE_ROWS = 1 << 17
 #: Runs of a level that are merged into one of the next.
 FANOUT = 16
-#: Bits of the filter that rows are asked against, whatever the number of digests.
-FILTER_BITS = 24
 
 
 class DigestIndex:
@@ -70,25 +68,6 @@ class DigestIndex:
         return self.level(self.top).filter(F.col("digest").isin(digests)).drop("run")
 
 
-def _place(digest: Column) -> tuple[Column, Column]:
-    """The filter's word and bit of a digest."""
-    slot = F.shiftrightunsigned(F.xxhash64(digest), 64 - FILTER_BITS)
-    return F.shiftright(slot, 6).alias("word"), (slot % 64).cast("int").alias("bit")
-
-
-def bit_filter(digests: DataFrame) -> DataFrame:
-    """(word, bits): at most 2**FILTER_BITS bits that say which digests there may be."""
-    return digests.select(*_place(F.col("digest"))).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-
-
-def may_hold(rows: DataFrame, bits: DataFrame) -> DataFrame:
-    """The rows whose ``digest`` the filter lets through: all that it was made of, and a few others."""
-    word, bit = _place(F.col("digest"))
-    asked = rows.withColumn("word", word).withColumn("bit", bit)
-    # A filter's size is fixed: 2**(FILTER_BITS - 6) words.
-    return asked.join(F.broadcast(bits), "word").filter("shiftright(bits, bit) & 1 = 1").drop("word", "bit", "bits")
-
-
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", digest=None, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) for every row of ``docs``.
 
@@ -97,19 +76,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     digest = digest or (lambda text: F.unhex(F.sha2(text, 256)))
     text = F.coalesce(ascii_lower(F.col(text_col)), F.lit(""))
-    whole = docs.select(F.col(id_col).alias("id"), text.alias("norm")).withColumn("digest", digest(F.col("norm")))
-    rows = staged(whole.select("id", "digest", F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-rows")
+    whole = docs.select(F.col(id_col).alias("id"), text.alias("norm"))
+    rows = staged(whole.select("id", digest(F.col("norm")).alias("digest"), F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-rows")
     runs = max(1, -(-rows.count() // memtable_rows))
     index = DigestIndex(spark, scratch(spark, "exact-index"), keep)
     index.flush(rows.select("id", "digest", F.pmod(F.xxhash64("id", "digest"), F.lit(runs)).cast("int").alias("run")), runs)
     hits = staged(index.compact().filter("n > 1").withColumnsRenamed({"id": "keep_id", "n": "group_size"}), "exact-repeated")
-    texts = staged(may_hold(whole, bit_filter(hits)).join(hits, "digest"), "exact-hits")
+    found = staged(rows.join(hits, "digest", "left"), "exact-found")
+    maybe, _ = asked(whole, F.col("id"), bit_filter(found.filter("group_size > 1"), "id"))
+    texts = staged(maybe.withColumn("digest", digest(F.col("norm"))).join(hits, "digest"), "exact-hits")
     keeper = staged(texts.filter(F.col("id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"]).select("digest", F.col("norm").alias("kept_norm")), "exact-keepers")
     # Written as it is, so that a large group's rows may be compared in several tasks.
     collided = staged(texts.join(keeper, "digest").filter(F.col("norm") != F.col("kept_norm")).select("digest"), "exact-collided")
     size = F.coalesce("group_size", F.lit(1))
     keep_id = F.when(F.col("group_size") > 1, F.col("keep_id")).otherwise(F.col("id"))
-    out = rows.join(hits, "digest", "left")
+    out = found
     if not collided.isEmpty():
         collided = collided.distinct()
         split = texts.join(collided, "digest", "left_semi").groupBy("digest", F.unhex(F.sha2("norm", 256)).alias("sha"), "norm").agg(index.best("id").alias("true_id"), F.count(F.lit(1)).alias("true_n")).drop("norm")
@@ -123,7 +104,5 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, one of each text, with all their columns."""
     groups = exact_groups(docs, id_col, text_col, keep)
     # Rows of one identifier, a null one too, may hold different texts, so the text's digest is part of the key.
-    lost_id, lost_sha = distinct_name(docs, "lost_id"), distinct_name(docs, "lost_sha")
-    lost = groups.filter(~F.col("kept")).select(F.col(id_col).alias(lost_id), F.col("text_sha256").alias(lost_sha)).distinct()
-    sha = F.sha2(F.coalesce(ascii_lower(F.col(text_col)), F.lit("")), 256)
-    return docs.join(staged(lost, "exact-lost"), F.col(id_col).eqNullSafe(F.col(lost_id)) & (sha == F.col(lost_sha)), "left_anti")
+    lost = groups.filter(~F.col("kept")).select(F.col(id_col).alias("lost_id"), F.col("text_sha256").alias("lost_sha"))
+    return without_lost(docs, lost, id_col, F.sha2(F.coalesce(ascii_lower(F.col(text_col)), F.lit("")), 256), nulls=True)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quarry.llm.common import distinct_name, mix64, seeded, slices, staged, text_bytes, word_hashes
+from quarry.llm.common import mix64, seeded, slices, staged, text_bytes, without_lost, word_hashes
 from quarry.llm.tokens import forget
 
 WORDS = 5
@@ -320,6 +320,5 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, the smallest identifier of each component, with all columns."""
     # Rows of one identifier may hold different texts, so the text's digest is part of the key.
-    lost_id, lost_sha = distinct_name(docs, "lost_id"), distinct_name(docs, "lost_sha")
-    lost = near_components(docs, id_col, text_col, with_text=True).filter(~F.col("kept")).select(F.col(id_col).alias(lost_id), F.col("sha").alias(lost_sha)).distinct()
-    return docs.join(staged(lost, "near-lost"), (F.col(id_col) == F.col(lost_id)) & (_text_sha(text_col) == F.col(lost_sha)), "left_anti")
+    lost = near_components(docs, id_col, text_col, with_text=True).filter(~F.col("kept")).select(F.col(id_col).alias("lost_id"), F.col("sha").alias("lost_sha"))
+    return without_lost(docs, lost, id_col, _text_sha(text_col), nulls=False)

@@ -29,7 +29,7 @@ _PART_BYTES = _OUT_BYTES = 8 << 20
 
 
 class Packer:
-    """Places pieces ``(doc, start, ids, doc_tokens)``; yields them with window number and offset."""
+    """Places pieces ``(doc, start, ids, doc_tokens)``; yields them with window number, offset and the window's padding."""
 
     def __init__(self, window: int = WINDOW, max_open: int = MAX_OPEN):
         self.window, self.max_open = window, max_open
@@ -40,8 +40,10 @@ class Packer:
     def _close(self, pieces: list) -> Iterator[tuple]:
         at, number = 0, self.closed
         self.closed += 1
+        size = sum(len(piece[2]) for piece in pieces)
+        padding = self.window - size if size & (size - 1) else 0
         for piece in pieces:
-            yield *piece, number, at
+            yield *piece, number, at, padding
             at += len(piece[2])
 
     def level_for(self, size: int) -> int:
@@ -102,13 +104,13 @@ class Packer:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER, window: int = WINDOW, end_id: int = 0, max_open: int = MAX_OPEN) -> DataFrame:
-    """One row per piece: id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
+    """One row per piece: id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset, padding.
 
-    A sequence is shorter than ``window`` only if it is the last of its task; then it is to be
-    padded unless its length is a power of two.
+    A sequence is shorter than ``window`` only if it is the last of its task; then ``padding`` says with how
+    many ids it is to be filled up, which is none if its length is a power of two.
     """
     path = tokenizer_path(tokenizer)
-    schema = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    schema = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("padding", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer = encoder(path), Packer(window, max_open)
@@ -128,8 +130,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         total = 0
 
         def batch() -> pa.RecordBatch:
-            doc, start, ids, n, number, at = zip(*held)
-            cols = [start, [len(x) for x in ids], [x.tobytes() for x in ids], n, [first + x for x in number], at]
+            doc, start, ids, n, number, at, padding = zip(*held)
+            cols = [start, [len(x) for x in ids], [x.tobytes() for x in ids], n, [first + x for x in number], at, padding]
             return pa.RecordBatch.from_arrays([pa.array(doc, id_type), *(pa.array(c, f.type) for c, f in zip(cols, schema))], names=[id_col, *schema.names])
 
         for piece in pieces():
@@ -145,4 +147,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     id_type = to_arrow_type(docs.schema[id_col].dataType)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padding long")

@@ -32,11 +32,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(_table(spark, sf_dir, "documents"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padding")
 
 
 def _held_out():
-    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    """Of the held-out fifth; rows without identifier, which nothing is learned from, count as held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
