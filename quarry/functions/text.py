@@ -124,13 +124,17 @@ def query_form(text: Column) -> Column:
     )
 
 
-def snippet(text: Column, tokens: Column, size: int = 400) -> Column:
-    """F21, plain form: ``size`` characters around the first of the rarest of ``tokens`` in the text."""
-    low = casefold(text)
-    where = F.transform(tokens, lambda t: F.struct(F.size(F.split(low, F.concat(F.lit("\\Q"), t, F.lit("\\E")))).alias("n"), F.position(t, low).alias("at")))
-    best = F.array_min(F.filter(where, lambda w: w.at > 0))
-    start = F.greatest(F.coalesce(best.at, F.lit(1)) - size // 4, F.lit(1))
-    return F.substring(text, start, F.lit(size))
+def snippet(text: Column, tokens: Column, size: int = 400, phrase: Column | None = None) -> Column:
+    """``size`` characters around the exact ``phrase``, else around the first of the rarest of ``tokens`` in the text, else its start."""
+
+    def cut(low: Column) -> Column:
+        count = lambda t: (F.char_length(low) - F.char_length(F.replace(low, t, F.lit("")))) / F.char_length(t)
+        where = F.transform(tokens, lambda t: F.struct(count(t).alias("n"), F.position(t, low).alias("at")))
+        rarest = F.array_min(F.filter(where, lambda w: w.getField("at") > 0)).getField("at")
+        exact = F.lit(None).cast("int") if phrase is None else F.nullif(F.position(phrase, low), F.lit(0))
+        return F.greatest(F.coalesce(exact, rarest, F.lit(1)) - size // 4, F.lit(1))
+
+    return F.substring(text, let(casefold(text), cut), F.lit(size))
 
 
 def valid_vector(vector: Column, dimension: int) -> Column:

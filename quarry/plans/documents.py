@@ -191,9 +191,10 @@ def session_page(spark, d):
     return _neighbours(spark, d, 10).filter("rank BETWEEN 6 AND 10").select("query", "doc", "rank")
 
 
-@query("l10_seeded_shuffle")
+@query("l10_seeded_shuffle", "SELECT item_id, row_number() OVER (ORDER BY md5('42:' || item_id), item_id) AS place FROM benchmark")
 def shuffle(spark, d):
-    return table(spark, d, "benchmark").select("item_id").orderBy(F.xxhash64(F.col("item_id"), F.lit(42)), "item_id")
+    rows = table(spark, d, "benchmark").select("item_id", F.md5(F.concat(F.lit("42:"), F.col("item_id").cast("string"))).alias("h"), F.lit(1).alias("place"))
+    return R.prefix_sums(rows, ["h", "item_id"], ["place"]).select("item_id", F.col("place_sum").alias("place"))
 
 
 @query("s04_key_union", "SELECT id, max(score) AS best, round(sum(score), 6) AS total FROM (SELECT c_nationkey AS id, c_acctbal AS score FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier) GROUP BY 1")
@@ -248,10 +249,15 @@ def safe_phrase(spark, d):
     return p.select("item_id", ok.alias("safe"))
 
 
-@query("f21_snippet")
+@query("f21_snippet", f"""
+WITH d AS (SELECT doc_id, text, {_FOLD.format('text')} AS low, {tok('text')} AS t FROM documents), w AS (SELECT doc_id, text, low, nullif(instr(low, array_to_string(t[5:6], ' ')), 0) AS exact, len(t) >= 6 AS long,
+  list_sort(list_filter(list_transform(t[3:6], lambda x: {{'n': (length(low) - length(replace(low, x, ''))) / length(x), 'at': instr(low, x)}}), lambda s: s['at'] > 0)) AS w FROM d)
+SELECT doc_id, substr(text, greatest(coalesce(CASE WHEN long THEN exact END, w[1]['at'], 1) - 40, 1)::BIGINT, 160) AS snippet FROM w
+""")
 def snippets(spark, d):
-    docs = _docs(spark, d)
-    return docs.select("doc_id", X.snippet(F.col("text"), F.slice(F.array_distinct("tokens"), 3, 4), 160).alias("snippet"))
+    t = F.col("tokens")
+    phrase = F.when(F.size(t) >= 6, F.array_join(F.slice(t, 5, 2), " "))
+    return _docs(spark, d).select("doc_id", X.snippet(F.col("text"), F.slice(t, 3, 4), 160, phrase).alias("snippet"))
 
 
 @query("f22_subtitle_times", "SELECT event_id, printf('%02d:%02d:%02d,%03d', ms // 3600000, (ms // 60000) % 60, (ms // 1000) % 60, ms % 1000) AS stamp FROM (SELECT event_id, event_id * 1234567 % 86400000 AS ms FROM events)")

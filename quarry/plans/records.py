@@ -105,6 +105,36 @@ def csv_units(spark, d):
     return files.csv_units(spark, folder).select(F.col("text").alias("unit"))
 
 
+@query("src28_subtitle_cues", r"SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(text, '')) - 1 AS cue, turn * 1000 AS start_ms, (turn + 1) * 1000 AS end_ms, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS line FROM conversations WHERE turn IS NOT NULL")
+def subtitle_cues(spark, d):
+    line = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    c = table(spark, d, "conversations").filter("turn IS NOT NULL").select("conv_id", F.struct("turn", F.coalesce("text", F.lit("")).alias("t")).alias("at"), (F.col("turn") * 1000).alias("a"), ((F.col("turn") + 1) * 1000).alias("b"), line.alias("line"))
+    cues = files.parse_srt(sinks.subtitles(c, "conv_id", "at", "a", "b", "line"), "conv_id", "document")
+    return cues.select("conv_id", F.col("cue").cast("long").alias("cue"), "start_ms", "end_ms", F.col("text").alias("line"))
+
+
+@query("src31_ontology_edges", """
+SELECT l_orderkey AS src, l_partkey AS dst, CASE l_linenumber % 4 WHEN 0 THEN CASE WHEN l_suppkey % 2 = l_partkey % 2 THEN 'equivalent' ELSE 'translation' END WHEN 1 THEN 'broader' ELSE 'related' END AS relation FROM lineitem WHERE l_linenumber % 4 < 3 AND l_suppkey % 7 <> 0
+""")
+def ontology_edges(spark, d):
+    tongue = lambda c: F.when(F.col(c) % 2 == 0, "vi").otherwise("en")
+    rel = F.element_at(F.array(*(F.lit(x) for x in ("Synonym", "IsA", "RelatedTo", "Antonym"))), F.col("l_linenumber") % 4 + 1)
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("start"), F.when(F.col("l_suppkey") % 7 == 0, "fr").otherwise(tongue("l_suppkey")).alias("start_language"), F.col("l_partkey").alias("end"), tongue("l_partkey").alias("end_language"), rel.alias("rel"))
+    return files.conceptnet_edges(rows)
+
+
+@query("src32_format_check", """
+SELECT 'f' || page_id || '.' || CASE page_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'txt' WHEN 2 THEN 'docx' WHEN 3 THEN 'exe' ELSE 'txt' END AS path, CASE WHEN page_id % 5 = 3 AND octet_length(encode(html)) > 0 THEN 'UNKNOWN_TYPE' WHEN octet_length(encode(coalesce(html, ''))) = 0 AND page_id % 5 NOT IN (0, 4) THEN 'EMPTY'
+  WHEN page_id % 5 = 2 THEN 'WRONG_SIGNATURE' WHEN page_id % 5 = 4 THEN 'NOT_TEXT' ELSE 'OK' END AS verdict FROM pages
+""")
+def format_verdicts(spark, d):
+    k, html = F.col("page_id") % 5, F.coalesce("html", F.lit(""))
+    body = F.when(k == 0, F.concat(F.lit("%PDF-1.7 "), html)).when(k == 4, F.concat(F.lit("\0"), html)).otherwise(html).cast("binary")
+    ext = F.element_at(F.array(*(F.lit(x) for x in ("pdf", "txt", "docx", "exe", "txt"))), (k + 1).cast("int"))
+    rows = table(spark, d, "pages").select(F.concat(F.lit("f"), F.col("page_id").cast("string"), F.lit("."), ext).alias("path"), body.alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+    return files.format_check(rows)
+
+
 @query("src33_preview", "SELECT p_partkey, p_name, (SELECT count(*) > 50 FROM part) AS truncated FROM part ORDER BY p_partkey LIMIT 50")
 def preview(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_name")
@@ -419,7 +449,7 @@ def freshness(spark, d):
 
 
 @query("x19_evidence_rows", _PLAIN + f""", top3 AS (SELECT query, doc FROM r WHERE rank <= 3), w AS (SELECT doc_id AS doc, i AS place, t[i] AS term FROM (SELECT doc_id, {tok('text')} AS t FROM documents), unnest(range(1, len(t) + 1)) AS u(i))
-SELECT query, doc, term, place FROM (SELECT query, doc, term, place, row_number() OVER (PARTITION BY query, doc ORDER BY place) AS k FROM top3 JOIN w USING (doc) JOIN q ON item_id = query AND q.term = w.term) WHERE k <= 64""")
+SELECT query, doc, term, place FROM (SELECT query, doc, w.term, place, row_number() OVER (PARTITION BY query, doc ORDER BY place) AS k FROM top3 JOIN w USING (doc) JOIN q ON item_id = query AND q.term = w.term) WHERE k <= 64""")
 def evidence_rows(spark, d):
     docs, terms = _docs(spark, d), V.query_terms(_items(spark, d), "item_id", "tokens")
     best = V.top(V.bm25(docs, terms, "doc_id", "tokens"), ["query"], 3).select("query", F.col("doc").alias("doc_id"))

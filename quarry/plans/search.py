@@ -155,6 +155,25 @@ def anchored(spark, d):
     return S.admitted(_overlaps(spark, d), _items(spark, d).withColumnRenamed("item_id", "query"), _docs(spark, d).select(F.col("doc_id").alias("doc"), "tokens"), 0.2)
 
 
+@query("d20_metadata_dense")
+def metadata_dense(spark, d):
+    """Hits above the floor, and weaker ones that an anchor of the query supports."""
+    hits = cut(_overlaps(spark, d))
+    weak = S.admitted(hits.filter("score < 0.4"), _items(spark, d).withColumnRenamed("item_id", "query"), _docs(spark, d).select(F.col("doc_id").alias("doc"), "tokens"), 0.2)
+    return hits.filter("score >= 0.4").unionByName(weak.select("query", "doc", "score"))
+
+
+@query("d11_meaning_groups")
+def meaning_groups(spark, d):
+    """Equal vectors of a bag are clustered once; a group's id is the digest of its members."""
+    e = table(spark, d, "embeddings").select(F.expr("vec_id DIV 32").alias("bag"), "vec_id", "embedding")
+    once = e.groupBy("bag", "embedding").agg(F.min("vec_id").alias("vec_id"))
+    grouped = V.complete_link(once, "bag", "vec_id", "embedding", 0.3)
+    rows = e.join(once.withColumnRenamed("vec_id", "first"), ["bag", "embedding"]).join(grouped.withColumnRenamed("vec_id", "first"), ["bag", "first"])
+    listed = rows.groupBy("bag", "cluster").agg(F.array_sort(F.collect_list("vec_id")).alias("m"))  # a bag holds 32 vectors
+    return listed.select("bag", "cluster", F.size("m").alias("members"), F.substring(F.sha2(F.array_join(F.transform("m", lambda x: x.cast("string")), ","), 256), 1, 24).alias("group_id"))
+
+
 @query("d12_meaning_match", _KNN + """, m AS (SELECT query, label AS bag, doc AS member, score FROM r WHERE rank <= 20), x AS (SELECT *, max(score) OVER (PARTITION BY query, bag) AS best FROM m),
 n AS (SELECT *, CASE WHEN member % 3 = 0 THEN member % 5 // 4 ELSE 0 END AS exact, CASE WHEN member % 3 = 0 THEN member % 13 ELSE 0 END AS coverage FROM x WHERE round(best - score, 9) <= 0.08)
 SELECT query, bag, best AS score, member FROM (SELECT *, row_number() OVER (PARTITION BY query, bag ORDER BY exact DESC, coverage DESC, score DESC, member) AS k FROM n) WHERE k = 1

@@ -141,3 +141,39 @@ def test_knn_in_blocks_is_the_same(spark):
     asked = base.filter("k % 5 = 0")
     one, blocks = (sorted(map(tuple, V.knn(base, asked, "k", "v", 7, block).collect())) for block in (4096, 16))
     assert one == blocks and len(one) == 7 * 40 and {q for q, *_ in one} == set(range(0, 200, 5))
+
+
+def test_merged_intervals_against_a_loop(spark):
+    from quarry.operators import sync
+
+    rng = random.Random(6)
+    rows = [(k, float(a), float(a + rng.randint(0, 5))) for k in range(30) for a in rng.sample(range(60), rng.randint(0, 12))]
+    got = sorted(map(tuple, sync.merge_intervals(spark.createDataFrame(rows, "k int, a double, b double"), "k", "a", "b", 1.0, 12.0).collect()))
+    want = []
+    for k in range(30):
+        made = []
+        for a, b in sorted((a, b) for i, a, b in rows if i == k):
+            if made and a - made[-1][1] <= 1 and max(made[-1][1], b) - made[-1][0] <= 12:
+                made[-1][1] = max(made[-1][1], b)
+            else:
+                made.append([a, b])
+        want += [(k, a, b) for a, b in made]
+    assert got == sorted(want)
+
+
+def test_complete_link_against_a_loop(spark):
+    rng = random.Random(7)
+    rows = [(g, o, [rng.gauss(0, 1) for _ in range(3)]) for g in range(8) for o in range(25)]
+    got = {(r.g, r.o): r.cluster for r in V.complete_link(spark.createDataFrame(rows, "g int, o int, v array<double>").repartition(3), "g", "o", "v", 0.6).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    for g in range(8):
+        clusters = []
+        for _, o, v in sorted(r for r in rows if r[0] == g):
+            near = [min(cos(v, w) for w in c) for c in clusters]
+            best = max(range(len(near)), key=lambda i: (near[i], -i), default=None)
+            if best is None or near[best] < 0.6:
+                clusters.append([v])
+                best = len(clusters) - 1
+            else:
+                clusters[best].append(v)
+            assert got[g, o] == best
