@@ -282,6 +282,15 @@ def test_language_id(spark, edges):
     assert langid.learn(docs.withColumn("lang", F.lit(None).cast("string"))) == {}
 
 
+def test_language_id_tells_scripts_and_their_languages_apart(spark):
+    rng = random.Random(17)
+    alphabets = {"ru": "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "uk": "абвгґдеєжзиіїйклмнопрстуфхцчшщьюя", "el": "αβγδεζηθικλμνξοπρστυφχψω", "he": "אבגדהוזחטיכלמנסעפצקרשת", "zh": "的一是不了人我在有他这为之大来以个中上们", "en": "abcdefghijklmnopqrstuvwxyz"}
+    rows = [(i, " ".join("".join(rng.choice(a) for _ in range(5)) for _ in range(800)), lang) for i, (lang, a) in enumerate([*alphabets.items()] * 20)]
+    docs = docs_of(spark, rows)
+    got = {r.doc_id: r.lang_pred for r in langid.classify(docs, langid.learn(docs.filter("doc_id < 60"))).collect()}
+    assert all(got[i] == lang for i, _, lang in rows if i >= 60)
+
+
 # 5 ------------------------------------------------------------------------------------------------
 
 
