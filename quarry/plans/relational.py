@@ -318,7 +318,8 @@ def recommendation(spark, d):
 
 @query("l09_rotated_schedule", "SELECT item_id, (row_number() OVER (ORDER BY item_id) - 1) % 3 AS method FROM benchmark")
 def rotated(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.pmod(F.row_number().over(Window.orderBy("item_id")) - 1, F.lit(3)).alias("method"))
+    numbered = R.prefix_sums(table(spark, d, "benchmark").select("item_id", F.lit(1).alias("one")), ["item_id"], ["one"])
+    return numbered.select("item_id", F.pmod(F.col("one_sum") - 1, F.lit(3)).alias("method"))
 
 
 @query("s01_catalog_union", "SELECT s_suppkey AS id, 'source' AS origin FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'local' FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)")
