@@ -99,18 +99,18 @@ def asked(rows: DataFrame, value: Column, bits: DataFrame) -> tuple[DataFrame, D
     return met.filter(through).select(*rows.columns), met.filter(~through).select(*rows.columns)
 
 
-def without_lost(docs: DataFrame, lost: DataFrame, id_col: str, digest: Column, nulls: bool) -> DataFrame:
-    """``docs`` without the rows that ``lost`` (lost_id, lost_sha) names by identifier and ``digest``.
+def without_lost(docs: DataFrame, lost: DataFrame, id_col: str, text: Column, nulls: bool) -> DataFrame:
+    """``docs`` without the rows that ``lost`` (lost_id, lost_text) names by identifier and a digest of their ``text``.
 
     Only rows whose identifier a filter of fixed size lets through are digested and compared; the
     others stay where they are. With ``nulls``, null equals null.
     """
-    names = {c: distinct_name(docs, c) for c in ("lost_id", "lost_sha")}
+    names = {c: distinct_name(docs, c) for c in ("lost_id", "lost_text")}
     lost = staged(lost.distinct(), "lost")
     maybe, clean = asked(docs, F.col(id_col), bit_filter(lost, "lost_id"))
     other = lost.select(*(F.col(c).alias(n) for c, n in names.items()))
     same = lambda a, b: a.eqNullSafe(b) if nulls else a == b
-    return clean.unionByName(maybe.join(other, same(F.col(id_col), F.col(names["lost_id"])) & same(digest, F.col(names["lost_sha"])), "left_anti"))
+    return clean.unionByName(maybe.join(other, same(F.col(id_col), F.col(names["lost_id"])) & same(text, F.col(names["lost_text"])), "left_anti"))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

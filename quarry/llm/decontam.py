@@ -177,9 +177,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a contaminated stretch, with all their columns; rows of one identifier go together."""
-    # A null identifier tells no rows apart, so there the text's digest is the key.
-    sha = F.when(F.col(id_col).isNull(), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    keyed = docs.select(F.struct(F.col(id_col).alias("id"), sha.alias("sha")).alias("key"), F.col(text_col).alias("text"))
+    """The rows of ``docs`` without a contaminated stretch, with all their columns."""
+    # Rows of one identifier, a null one too, may hold different texts, so the text's hash is part of the key.
+    text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), text.alias("text")).alias("key"), F.col(text_col).alias("text"))
     found = leaks(keyed, benchmark, "key", "text", item_id, item_text)
-    return without_lost(docs, found.select(F.col("key.id").alias("lost_id"), F.col("key.sha").alias("lost_sha")), id_col, sha, nulls=True)
+    return without_lost(docs, found.select(F.col("key.id").alias("lost_id"), F.col("key.text").alias("lost_text")), id_col, text, nulls=True)

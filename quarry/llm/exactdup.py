@@ -104,5 +104,5 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, one of each text, with all their columns."""
     groups = exact_groups(docs, id_col, text_col, keep)
     # Rows of one identifier, a null one too, may hold different texts, so the text's digest is part of the key.
-    lost = groups.filter(~F.col("kept")).select(F.col(id_col).alias("lost_id"), F.col("text_sha256").alias("lost_sha"))
+    lost = groups.filter(~F.col("kept")).select(F.col(id_col).alias("lost_id"), F.col("text_sha256").alias("lost_text"))
     return without_lost(docs, lost, id_col, F.sha2(F.coalesce(ascii_lower(F.col(text_col)), F.lit("")), 256), nulls=True)

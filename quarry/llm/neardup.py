@@ -107,13 +107,14 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, at: flo
     return fits & (grad >= 0)
 
 
-def _text_sha(text_col: str) -> Column:
-    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+def _text_hash(text_col: str) -> Column:
+    """Tells rows of one identifier apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, with_text: bool = False) -> DataFrame:
-    """(id, n, fp, regs): set size, 128-bit digest of the set, and its registers; ``with_text`` adds the text's SHA-256."""
-    sha = [_text_sha(text_col).alias("sha")] if with_text else []
+    """(id, n, fp, regs): set size, 128-bit digest of the set, and its registers; ``with_text`` adds the text's hash."""
+    text = [_text_hash(text_col).alias("text_hash")] if with_text else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -126,9 +127,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, with_text: bool = Fals
                     fp.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                     regs.append(registers(found).tobytes() if len(found) else None)
                 own = [batch.column(2).slice(i, j - i)] if with_text else []
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(regs, pa.binary()), *own], names=["id", "n", "fp", "regs", "sha"][: 4 + len(own)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(regs, pa.binary()), *own], names=["id", "n", "fp", "regs", "text_hash"][: 4 + len(own)])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col), *sha).mapInArrow(run, "id long, n long, fp binary, regs binary" + ", sha binary" * with_text)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col), *text).mapInArrow(run, "id long, n long, fp binary, regs binary" + ", text_hash long" * with_text)
 
 
 def _band_keys(nodes: DataFrame) -> DataFrame:
@@ -272,9 +273,9 @@ def _block_links(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataF
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row; ``with_text`` adds the text's SHA-256 as ``sha``."""
+    """(id, n_shingles, component_id, kept) of every row; ``with_text`` adds the text's hash as ``text_hash``."""
     found = staged(sketches(docs, id_col, text_col, with_text), "near-sketches")
-    sha = ["sha"] if with_text else []
+    text = ["text_hash"] if with_text else []
     nodes = found.filter("n > 0 AND id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rid"), F.min("n").alias("n"), F.first("regs").alias("regs"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
@@ -312,13 +313,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = nodes.select("node", "fp", "rid").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = label.groupBy("label").agg(F.min("rid").alias("component_id"))
     by_set = staged(label.join(staged(least, "near-least"), "label").select("fp", "component_id"), "near-by-set")
-    out = found.select("id", "n", "fp", *sha).join(by_set, "fp", "left")
+    out = found.select("id", "n", "fp", *text).join(by_set, "fp", "left")
     own = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), (F.col("id").isNull() | (F.col("id") == own)).alias("kept"), *sha)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), (F.col("id").isNull() | (F.col("id") == own)).alias("kept"), *text)
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, the smallest identifier of each component, with all columns."""
-    # Rows of one identifier may hold different texts, so the text's digest is part of the key.
-    lost = near_components(docs, id_col, text_col, with_text=True).filter(~F.col("kept")).select(F.col(id_col).alias("lost_id"), F.col("sha").alias("lost_sha"))
-    return without_lost(docs, lost, id_col, _text_sha(text_col), nulls=False)
+    # Rows of one identifier may hold different texts, so the text's hash is part of the key.
+    lost = near_components(docs, id_col, text_col, with_text=True).filter(~F.col("kept")).select(F.col(id_col).alias("lost_id"), F.col("text_hash").alias("lost_text"))
+    return without_lost(docs, lost, id_col, _text_hash(text_col), nulls=False)

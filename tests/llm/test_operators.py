@@ -443,7 +443,7 @@ def test_leaks(spark, edges):
         cut = list(cut)
         for _ in range(k % 4):
             cut[rng.randrange(len(cut))] = "other"
-        rows.append((k, words(rng, 40) + " " + " ".join(cut).title() + ", " + words(rng, 10)))
+        rows.append((100 + k, words(rng, 40) + " " + " ".join(cut).title() + ", " + words(rng, 10)))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("item", F.lit(3)).withColumn("hash", F.lit(2))
     docs = docs_of(spark, rows + edge_rows())
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}

@@ -24,7 +24,7 @@ def test_exact_drops_rows_not_identifiers(spark):
 def test_leaks_drop_rows_not_identifiers(spark):
     rng = random.Random(5)
     passage = words(rng, 30)
-    stays = [(None, words(rng, 60)), (7, words(rng, 60)), (2, None), (None, None)]
+    stays = [(None, words(rng, 60)), (7, words(rng, 60)), (2, None), (None, None), (3, words(rng, 40))]
     lost = [(None, words(rng, 20) + " " + passage), (1, passage + " " + words(rng, 20)), (3, passage)]
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
     assert _left(decontam.drop_leaks(_docs(spark, stays + lost), bench)) == sorted(stays, key=repr)
@@ -37,3 +37,15 @@ def test_near_drops_rows_not_identifiers(spark):
     near[60] = "changed"
     stays = [(1, base), (5, words(rng, 120)), (5, None), (None, " ".join(near)), (None, words(rng, 80))]
     assert _left(neardup.drop_near(_docs(spark, [*stays, (5, " ".join(near))]))) == sorted(stays, key=repr)
+
+
+def test_seven_rows(spark):
+    """Null and shared identifiers beside copies: only the copies that lose go."""
+    rng = random.Random(7)
+    rows = [(None, "same"), (None, "unique text A"), (None, "unique text B"), (7, "same"), (3, "x"), (3, "y only"), (5, "x")]
+    assert _left(exactdup.drop_exact(_docs(spark, rows))) == sorted([r for r in rows if r not in ((None, "same"), (3, "x"))], key=repr)
+    assert _left(neardup.drop_near(_docs(spark, rows))) == sorted([r for r in rows if r != (5, "x")], key=repr)
+    passage = words(rng, 30)
+    leaking = [(None, passage), (3, "b " + passage)]
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    assert _left(decontam.drop_leaks(_docs(spark, rows + leaking), bench)) == sorted(rows, key=repr)
