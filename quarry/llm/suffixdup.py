@@ -87,10 +87,11 @@ def runs_of(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> Iterator
 
 
 def _runs(docs: DataFrame, length: int) -> DataFrame:
-    """(key, name, doc, tag, start, n, more): runs, of which those whose ``more`` adds up to two or more under a key share their name.
+    """(key, turn, doc, tag, start, n2): runs of ``n2 DIV 2`` strings whose name is ``key`` xor ``turn``.
 
     Of a name's runs that come together in a task, one stands for all under the name itself, and the others
-    have keys of their own, since it's known of them that they aren't alone. So a frequent name is no hot key.
+    have keys of their own, since it's known of them that they aren't alone: ``n2`` of all these is odd. So a
+    frequent name is no hot key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,14 +100,14 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
             docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for row, name, start, count in runs_of(raw, offs, length):
                 _, first, own, size = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
-                more = np.minimum(size, 2)[own].astype(np.int32)
+                more = (size > 1)[own]
                 rest = np.ones(len(name), bool)
                 rest[first] = False
                 key = name.copy()
                 key[rest] = mix64(name[rest].view(np.uint64) ^ mix64(docs[row[rest]].view(np.uint64) * _STEP[6] + start[rest].astype(np.uint64))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(name), pa.array(docs[row]), pa.array(tags[row]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(more)], names=["key", "name", "doc", "tag", "start", "n", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(key ^ name), pa.array(docs[row]), pa.array(tags[row]), pa.array(start.astype(np.int32)), pa.array((2 * count + more).astype(np.int32))], names=["key", "turn", "doc", "tag", "start", "n2"])
 
-    return docs.mapInArrow(run, "key long, name long, doc long, tag int, start int, n int, more int")
+    return docs.mapInArrow(run, "key long, turn long, doc long, tag int, start int, n2 int")
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -304,8 +305,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_bytes, n_removed, n_spans, kept, kept_sha256) of every row; ``kept`` holds the bytes that stay."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(2147483629)).cast("int").alias("tag"), text.alias("text"))
-    named = _runs(base, length).withColumn("seen", F.sum("more").over(Window.partitionBy("key")))
-    lists = named.filter("seen > 1").groupBy("doc", "tag").agg(F.collect_set(F.struct("name", "start", "n")).alias("c"))
+    named = _runs(base, length).withColumn("seen", F.sum(1 + F.col("n2") % 2).over(Window.partitionBy("key")))
+    run = F.struct(F.col("key").bitwiseXOR(F.col("turn")).alias("name"), "start", F.shiftright("n2", 1).alias("n"))
+    lists = named.filter("seen > 1").groupBy("doc", "tag").agg(F.collect_set(run).alias("c"))
     both = base.hint("merge").join(lists.hint("merge"), ["doc", "tag"], "left")
     plain = F.col("c").isNull()
     both = both.select("doc", "tag", F.octet_length("text").cast("long").alias("n_bytes"), F.when(plain, F.sha2("text", 256)).alias("sha"), "text", F.col("c.name").alias("names"), F.col("c.start").alias("starts"), F.col("c.n").alias("counts"))
