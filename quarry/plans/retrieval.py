@@ -9,7 +9,7 @@ from quarry.functions import text as X
 from quarry.operators import evaluation as E
 from quarry.operators import lexical as L
 from quarry.operators import retrieval as V
-from quarry.session import table
+from quarry.session import spread, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -38,7 +38,7 @@ _TITLE = "split_part(coalesce(text, ''), chr(10), 1)"
 
 
 def _docs(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     title = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
     return docs.withColumn("tokens", X.surface_tokens(F.col("text"))).withColumn("title_tokens", X.surface_tokens(title))
 
@@ -49,7 +49,7 @@ def _items(spark, d):
 
 
 def _lines(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("seq", "line"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("seq", "line"))
 
 
 _BM25 = """

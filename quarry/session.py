@@ -30,3 +30,9 @@ def session(cpus: int | None = None, name: str = "quarry", **conf: str) -> Spark
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the provided tables; only Spark's own reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer partitions than there are; a large table is left as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
