@@ -3,6 +3,25 @@
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _CONTROL_TAILS = r"s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|ROLE\]|/ROLE\]|NULL\]"
 
+
+def _vector_codes(rounds: int = 2) -> str:
+    """Lloyd rounds spelled out one after the other: a{i} assigns parts to the codebooks c{i}."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, label, p.part, p.s, min({{'d': list_sum(list_transform(range(1, len(p.s) + 1), lambda j: (p.s[j] - c.s[j]) * (p.s[j] - c.s[j])))::BIGINT, 'e': c.e}}) AS m FROM p JOIN c{i} c USING (part) GROUP BY ALL)")
+        if i < rounds:
+            steps.append(f"m{i} AS (SELECT part, m.e AS e, j, floor(sum(s[j]) / count(*))::BIGINT AS x FROM (SELECT *, unnest(range(1, len(s) + 1)) AS j FROM a{i}) GROUP BY ALL)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT part, e, coalesce(n.s, c.s) AS s FROM c{i} c LEFT JOIN (SELECT part, e, list(x ORDER BY j) AS s FROM m{i} GROUP BY ALL) n USING (part, e))")
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x)::BIGINT) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS s FROM k, range(16) w(part)),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id, s) - 1 AS e, s FROM p SEMI JOIN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 64) f USING (vec_id)),
+{", ".join(steps)},
+o AS (SELECT vec_id, label, string_agg(lower(printf('%02x', m.e)), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY ALL)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY part, e)) FROM c{rounds}) AS codebooks_sha256 FROM o
+"""
+
+
 SQL = {
     "op1_near_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -31,5 +50,28 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d
+""",
+    "op11_histogram_shards": """
+WITH tb AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda acc, k: CASE WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END, i::BIGINT)) AS tb),
+b AS (SELECT doc_id, text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bs FROM documents),
+k AS (SELECT doc_id, xor(list_reduce(bs, lambda acc, x: xor(acc >> 8, tb[xor(acc & 255, x) + 1]), 4294967295::BIGINT), 4294967295) AS crc, octet_length(encode(coalesce(text, ''))) + 1 AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS k1, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k2 FROM b, tb),
+r AS (SELECT *, sum(size) OVER (ORDER BY k1, k2 ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total, sum(size) OVER (PARTITION BY k1) AS group_size FROM k),
+g AS (SELECT *, min(before) OVER (PARTITION BY k1) AS group_before FROM r),
+c AS (SELECT i, CASE WHEN least(i * total - 8 * group_before, 8 * (group_before + group_size) - i * total) <= 0.005 * total
+    THEN CASE WHEN 8 * (group_before + group_size) - i * total < i * total - 8 * group_before THEN group_before + group_size ELSE group_before END
+    WHEN 8 * (before + size) - i * total < i * total - 8 * before THEN before + size ELSE before END AS cut
+  FROM g JOIN range(1, 8) w(i) ON 8 * before <= i * total AND i * total < 8 * (before + size)),
+s AS (SELECT *, (SELECT count(*) FROM c WHERE cut <= before) AS shard FROM g)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY k1, k2) - 1 AS slot, NULL::INT AS grown_shard FROM s
+""",
+    "op12_vector_codes": _vector_codes(),
+    "op13_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+n AS (SELECT *, len(u) AS n, list_transform(range(4), lambda k: ('0x' || substr(h, 8 * k + 1, 8))::BIGINT) AS r FROM d),
+f AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, array_to_string(u[:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
 """,
 }

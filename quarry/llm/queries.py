@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import langid, oracles, toxicity
+from quarry.llm import langid, oracles, shards, toxicity, vectors
 from quarry.llm.chat import format_turns, read_conversations
 from quarry.llm.common import staged
 from quarry.llm.decontam import leaks
 from quarry.llm.exactdup import exact_groups
+from quarry.llm.fim import cut, restored
 from quarry.llm.neardup import near_components
 from quarry.llm.packing import pack
 from quarry.llm.suffixdup import without_repeats
@@ -76,6 +77,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    columns = [F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")]
+    return shards.shard(_table(spark, sf_dir, "documents")).select("doc_id", shards.row_bytes("text").alias("size"), *columns)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vectors.compress(_table(spark, sf_dir, "embeddings"))
+    return codes.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(vectors.books_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = cut(_table(spark, sf_dir, "documents"))
+    digests = [F.sha2("fim_output", 256).alias("output_sha256"), F.sha2(restored(F.col("fim_output"), F.col("fim_form")), 256).alias("restored_sha256")]
+    return made.select("doc_id", F.col("fim_n").alias("n"), F.col("fim_form").alias("form"), F.col("fim_prefix_chars").alias("prefix_chars"), F.col("fim_middle_chars").alias("middle_chars"), *digests)
+
+
 def queries() -> dict:
     return {
         "op1_near_dedup": op1_near_dedup,
@@ -88,6 +106,9 @@ def queries() -> dict:
         "op8_decontamination": op8_decontamination,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_histogram_shards": op11_histogram_shards,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_fill_in_middle": op13_fill_in_middle,
         "pipeline": corpus_pipeline.run,
     }
 
