@@ -14,8 +14,9 @@ rows, and so is what a task returns. A large shard is several files, each a shar
 a hash, so that a group of copies is spread over them. Slots (places in a shard, from 0) follow from the
 rows of the files before.
 
-Null text counts as no bytes, a null identifier as an empty one. Repeated rows are spread like any
-others. An empty table gives no rows. Other columns pass through; new ones get underscores in front
+Null text counts as no bytes, a null identifier as an empty one. Rows that share text and identifier are
+told apart by their place in the input; where that isn't stable from one reading to the next, a boundary
+among them is met on average only. An empty table gives no rows. Other columns pass through; new ones get underscores in front
 where their names are taken (``shard_names``).
 """
 
