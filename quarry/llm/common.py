@@ -113,6 +113,23 @@ def without_lost(docs: DataFrame, lost: DataFrame, id_col: str, text: Column, nu
     return clean.unionByName(maybe.join(other, same(F.col(id_col), F.col(names["lost_id"])) & same(text, F.col(names["lost_text"])), "left_anti"))
 
 
+def one_of_each(docs: DataFrame, repeated: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """``docs`` with one row (any) of those that share an identifier and ``text`` named by ``repeated`` (lost_id, lost_text); null equals null.
+
+    Rows that a filter of fixed size holds back stay where they are; copies are reduced in their tasks before they move.
+    """
+    names = {c: distinct_name(docs, c) for c in ("lost_id", "lost_text", "repeated_text")}
+    repeated = staged(repeated, "repeated")
+    if repeated.isEmpty():
+        return docs
+    maybe, clean = asked(docs, F.col(id_col), bit_filter(repeated, "lost_id"))
+    other = repeated.select(*(F.col(c).alias(names[c]) for c in ("lost_id", "lost_text")))
+    maybe = maybe.withColumn(names["repeated_text"], text)
+    same = F.col(id_col).eqNullSafe(F.col(names["lost_id"])) & (F.col(names["repeated_text"]) == F.col(names["lost_text"]))
+    single = maybe.join(other, same, "left_semi").dropDuplicates([id_col, names["repeated_text"]])
+    return clean.unionByName(single.unionByName(maybe.join(other, same, "left_anti")).drop(names["repeated_text"]))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (n + 1) and UTF-8 bytes of a string or binary column, without copying; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -11,8 +11,8 @@ grouped by their text instead.
 
 Null text is empty text. Equal texts with equal identifiers count as repeated rows: they form one
 group, ``group_size`` counts each, and each row is returned; of rows repeated with the identifier
-that stays, every one is marked kept, since nothing tells them apart. A null identifier loses to any other. Other
-columns pass through unread.
+that stays, every one is marked kept in the listing, since nothing tells them apart; ``drop_exact`` lets one of
+them stay. A null identifier loses to any other. Other columns pass through unread.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower, asked, bit_filter, scratch, staged, without_lost
+from quarry.llm.common import ascii_lower, asked, bit_filter, one_of_each, scratch, staged, without_lost
 
 #: Rows that one memtable holds before it flushes.
 MEMTABLE_ROWS = 1 << 17
@@ -101,8 +101,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, one of each text, with all their columns."""
-    groups = exact_groups(docs, id_col, text_col, keep)
+    """The rows of ``docs`` that stay, exactly one of each text, with all their columns.
+
+    Of rows repeated with the identifier that stays, a null one too, any one stays.
+    """
+    groups = staged(exact_groups(docs, id_col, text_col, keep).filter("group_size > 1").select(F.col(id_col).alias("lost_id"), F.col("text_sha256").alias("lost_text"), "kept"), "exact-decided")
+    text = F.sha2(F.coalesce(ascii_lower(F.col(text_col)), F.lit("")), 256)
     # Rows of one identifier, a null one too, may hold different texts, so the text's digest is part of the key.
-    lost = groups.filter(~F.col("kept")).select(F.col(id_col).alias("lost_id"), F.col("text_sha256").alias("lost_text"))
-    return without_lost(docs, lost, id_col, F.sha2(F.coalesce(ascii_lower(F.col(text_col)), F.lit("")), 256), nulls=True)
+    left = without_lost(docs, groups.filter("NOT kept").drop("kept"), id_col, text, nulls=True)
+    repeated = groups.filter("kept").groupBy("lost_id", "lost_text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return one_of_each(left, repeated, id_col, text)

@@ -15,8 +15,9 @@ components and give back links alone. So no link between components is left out.
 
 Words are runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased; a text of fewer than
 five words has the whole sequence as its shingle; null text or text without words has an empty set
-and no links. Rows with equal identifiers and texts are one node. A row without identifier gets no
-component and counts as kept. Other columns are not read.
+and no links. Rows with equal sets are one node. In the listing, a row without identifier gets no
+component and counts as kept; when rows are dropped, it is compared like any other and loses to identified ones, and
+of rows repeated with one identifier (or none) and text one stays. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,9 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from quarry.llm.common import mix64, seeded, slices, staged, text_bytes, without_lost, word_hashes
+from quarry.llm.common import mix64, one_of_each, seeded, slices, staged, text_bytes, without_lost, word_hashes
 from quarry.llm.tokens import forget
 
 WORDS = 5
@@ -42,8 +42,8 @@ BASE = 1.005
 RATE = 20.0
 #: Similarity that a pair's likelihood must not place it below; four and a half standard errors under 0.75.
 LEAST_LIKELY = 0.58
-#: Hubs by which members of a bucket outside its largest component are compared with the others.
-HUB_ROUNDS = (2,)
+#: How often two members of a bucket's smallest components are compared with its others.
+HUB_ROUNDS = 1
 #: Limits of the blocks in which buckets that are still mixed are searched.
 BLOCK_NODES = 1024
 BLOCK_BYTES = 24 << 20
@@ -112,9 +112,8 @@ def _text_hash(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, with_text: bool = False) -> DataFrame:
-    """(id, n, fp, regs): set size, 128-bit digest of the set, and its registers; ``with_text`` adds the text's hash."""
-    text = [_text_hash(text_col).alias("text_hash")] if with_text else []
+def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, fp, regs, text_hash): set size, 128-bit digest of the set, its registers, and the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -126,10 +125,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, with_text: bool = Fals
                     n.append(len(found))
                     fp.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                     regs.append(registers(found).tobytes() if len(found) else None)
-                own = [batch.column(2).slice(i, j - i)] if with_text else []
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(regs, pa.binary()), *own], names=["id", "n", "fp", "regs", "text_hash"][: 4 + len(own)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(regs, pa.binary()), batch.column(2).slice(i, j - i)], names=["id", "n", "fp", "regs", "text_hash"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col), *text).mapInArrow(run, "id long, n long, fp binary, regs binary" + ", text_hash long" * with_text)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col), _text_hash(text_col).alias("text_hash")).mapInArrow(run, "id long, n long, fp binary, regs binary, text_hash long")
 
 
 def _band_keys(nodes: DataFrame) -> DataFrame:
@@ -182,7 +180,7 @@ def _confirmed(pairs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, set) of the given nodes (node, rid, fp), from the texts of their representatives."""
+    """(node, set) of the given nodes (node, rid, text_hash, fp), from the texts of their representatives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +193,13 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Data
 
     texts = docs.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).alias("text"))
     # Neither side has a size bound, so neither may be broadcast.
-    return texts.hint("merge").join(nodes.hint("merge"), "rid").select("node", "fp", "text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
+    known = texts.hint("merge").join(nodes.hint("merge"), "rid").select("node", "fp", "text")
+    unnamed = nodes.filter("rid IS NULL")
+    if not unnamed.isEmpty():
+        # Rows without identifier are found by their text's hash, one of each text (reduced in the tasks first).
+        of_text = texts.filter("rid IS NULL").groupBy(_text_hash("text").alias("text_hash")).agg(F.first("text").alias("text"))
+        known = known.union(of_text.hint("merge").join(unnamed.hint("merge"), "text_hash").select("node", "fp", "text"))
+    return known.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -272,18 +276,28 @@ def _block_links(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataF
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "u long, v long")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row; ``with_text`` adds the text's hash as ``text_hash``."""
-    found = staged(sketches(docs, id_col, text_col, with_text), "near-sketches")
-    text = ["text_hash"] if with_text else []
-    nodes = found.filter("n > 0 AND id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rid"), F.min("n").alias("n"), F.first("regs").alias("regs"))
+def _hubs(rest: DataFrame) -> DataFrame:
+    """(key, u, lu): of each bucket's two smallest components (by members there) the smallest member, found by aggregates alone."""
+    groups = rest.groupBy("key", "label").agg(F.struct(F.count(F.lit(1)).alias("size"), F.min("node").alias("u")).alias("hub"))
+    groups = staged(groups.select("key", F.struct("hub.size", "hub.u", F.col("label").alias("lu")).alias("hub")), "near-groups")
+    first = staged(groups.groupBy("key").agg(F.min("hub").alias("first")), "near-first")
+    second = groups.join(first, "key").filter("hub > first").groupBy("key").agg(F.min("hub").alias("hub"))
+    return first.withColumnRenamed("first", "hub").union(second).select("key", "hub.u", "hub.lu")
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows' sketches, and for each set (fp) the identifier and text hash of the row that stays of its component."""
+    found = staged(sketches(docs, id_col, text_col), "near-sketches")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash")).alias("first")
+    nodes = found.filter("n > 0").groupBy("fp").agg(first, F.min("n").alias("n"), F.first("regs").alias("regs"))
+    nodes = nodes.select("fp", "first", F.col("first.id").alias("rid"), F.col("first.text_hash").alias("text_hash"), "n", "regs")
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
     keys = _band_keys(nodes)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).filter("size > 1").select("key", "hub")
     members = staged(keys.join(staged(shared, "near-buckets"), "key"), "near-members")
     wanted = members.select("node").distinct()
-    sets = staged(_sets(docs, staged(nodes.join(wanted, "node", "left_semi").select("node", "rid", "fp"), "near-wanted"), id_col, text_col), "near-sets")
+    sets = staged(_sets(docs, staged(nodes.join(wanted, "node", "left_semi").select("node", "rid", "text_hash", "fp"), "near-wanted"), id_col, text_col), "near-sets")
     sketch = nodes.select("node", "n", "regs")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -295,31 +309,37 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = confirmed(members.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct())
     labels = components(links)
     rest = members.filter("node <> hub").select("key", "node")
-    for hubs in HUB_ROUNDS:
+    for _ in range(HUB_ROUNDS):
         rest = _unresolved(rest, labels)
-        outer = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-        ranked = rest.join(outer, ["key", "label"]).withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("size", "node")))
-        ranked = staged(ranked, "near-ranked")
-        chosen = ranked.filter(F.col("place") <= hubs).select("key", F.col("node").alias("u"), F.col("label").alias("lu"), F.col("place").alias("pu"))
-        pairs = ranked.join(chosen, "key").filter("place > pu AND label <> lu").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+        hubs = staged(_hubs(rest), "near-hubs")
+        pairs = rest.join(hubs, "key").filter("label <> lu").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
         links = links.union(confirmed(pairs))
         labels = components(links)
-        rest = ranked.filter(F.col("place") > hubs).select("key", "node")
+        rest = rest.join(hubs.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti").select("key", "node")
     rest = _unresolved(rest, labels)
     if not rest.isEmpty():
         links = links.union(staged(_block_links(rest, nodes, sets), "near-links"))
         labels = components(links)
 
-    label = nodes.select("node", "fp", "rid").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = label.groupBy("label").agg(F.min("rid").alias("component_id"))
-    by_set = staged(label.join(staged(least, "near-least"), "label").select("fp", "component_id"), "near-by-set")
-    out = found.select("id", "n", "fp", *text).join(by_set, "fp", "left")
+    label = nodes.select("node", "fp", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = label.groupBy("label").agg(F.min("first").alias("least"))
+    return found, staged(label.join(staged(least, "near-least"), "label").select("fp", F.col("least.id").alias("component_id"), F.col("least.text_hash").alias("component_text")), "near-by-set")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row."""
+    found, by_set = _linked(docs, id_col, text_col)
+    out = found.select("id", "n", "fp").join(by_set, "fp", "left")
     own = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), (F.col("id").isNull() | (F.col("id") == own)).alias("kept"), *text)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), (F.col("id").isNull() | (F.col("id") == own)).alias("kept"))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, the smallest identifier of each component, with all columns."""
+    """The rows of ``docs`` that stay, exactly one of each component (with the smallest identifier), with all columns; texts without words stay."""
+    found, by_set = _linked(docs, id_col, text_col)
+    stays = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_text"))
     # Rows of one identifier may hold different texts, so the text's hash is part of the key.
-    lost = near_components(docs, id_col, text_col, with_text=True).filter(~F.col("kept")).select(F.col(id_col).alias("lost_id"), F.col("text_hash").alias("lost_text"))
-    return without_lost(docs, lost, id_col, _text_hash(text_col), nulls=False)
+    decided = staged(found.filter("n > 0").select("id", "fp", "text_hash").join(by_set, "fp").select(F.col("id").alias("lost_id"), F.col("text_hash").alias("lost_text"), stays.alias("stays")), "near-decided")
+    left = without_lost(docs, decided.filter("NOT stays").drop("stays"), id_col, _text_hash(text_col), nulls=True)
+    repeated = decided.filter("stays").groupBy("lost_id", "lost_text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return one_of_each(left, repeated, id_col, _text_hash(text_col))
