@@ -1,9 +1,10 @@
 """The corpus pipeline: stages in order, each over all that the one before it kept.
 
 Toxic documents go, then exact copies, near copies and documents with benchmark passages; what is
-left is packed. Every stage but the last returns the columns of ``documents`` unchanged. Null texts
-are empty texts, of which exact deduplication keeps one; a null identifier is kept as it is. Empty
-tables give empty results.
+left is packed. Every stage but the last returns the columns of ``documents`` unchanged. Rows are told
+apart by identifier and text, null identifiers included: of equal texts one row stays, also where identifiers
+repeat or are null. Null texts are empty texts, of which exact deduplication keeps one. Empty tables give
+empty results.
 """
 
 from __future__ import annotations
