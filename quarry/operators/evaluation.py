@@ -46,16 +46,21 @@ def distribution(df: DataFrame, group: str, value: str) -> DataFrame:
     return df.groupBy(group).agg(F.count(value).alias("n"), F.min(value).alias("least"), p(0.5, "p50"), p(0.95, "p95"), F.max(value).alias("most"))
 
 
-def nearest_rank(df: DataFrame, group: str, value: str, q: float) -> DataFrame:
-    """Per group the value at place int(q * (n - 1)) in order; not interpolated. Equal values are counted first."""
+def at_place(df: DataFrame, group: str, value: str, places: DataFrame) -> DataFrame:
+    """Per group the value at a place in order, from 0, that ``places`` (group, place) tells. Equal values are counted first."""
     counted = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
-    totals = counted.groupBy(group).agg((F.floor(F.lit(q) * (F.sum("_n") - 1)) + 1).alias("_place"), F.sum("_n").alias("_all"))
     summed = prefix_sums(counted, [group, value], ["_n"])
     before = summed.groupBy(group).agg(F.min(F.col("_n_sum") - F.col("_n")).alias("_first"))
-    reached = summed.join(totals, group).join(before, group).filter(F.col("_n_sum") - F.col("_first") >= F.col("_place"))
+    reached = summed.join(places.select(group, F.col("place").alias("_place")), group).join(before, group).filter(F.col("_n_sum") - F.col("_first") > F.col("_place"))
     return reached.groupBy(group).agg(F.min(value).alias(value))
 
 
+def nearest_rank(df: DataFrame, group: str, value: str, q: float) -> DataFrame:
+    """Per group the value at place int(q * (n - 1)) in order; not interpolated."""
+    places = df.filter(F.col(value).isNotNull()).groupBy(group).agg(F.floor(F.lit(q) * (F.count(F.lit(1)) - 1)).alias("place"))
+    return at_place(df, group, value, places)
+
+
 def calibrate(hits: DataFrame, query: str = "query", score: str = "score", grade: str = "grade", relevant: int = 2) -> DataFrame:
     """The threshold with the best macro F1, then mean recall, then the lowest threshold.
 

@@ -225,38 +225,60 @@ def score_gaps(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.select(*by, "top", F.coalesce(F.round(F.col("top") - F.col("_2"), 6), F.lit(0.0)).alias("gap2"), F.coalesce(F.round(F.col("top") - F.col("_5"), 6), F.lit(0.0)).alias("gap5"))
 
 
+def _late(names: np.ndarray, keys: np.ndarray, asked: pa.Array, docs: pa.Array, vectors: pa.Array) -> Iterator[pa.RecordBatch]:
+    """(query, key, doc, best): for each query vector the largest dot product with each document's vectors of its dimension."""
+    sizes, begins, values = _matrix(asked)
+    own, starts, numbers = _matrix(vectors)
+    code = docs.dictionary_encode()
+    group = code.indices.to_numpy()
+    for size in np.unique(own[own > 0]):
+        mine, theirs = np.flatnonzero(sizes == size), np.flatnonzero(own == size)
+        if not len(mine):
+            continue
+        theirs = theirs[np.argsort(group[theirs], kind="stable")]
+        heads = np.flatnonzero(np.diff(group[theirs], prepend=-1))
+        matrix = numbers[starts[theirs][:, None] + np.arange(size)].T
+        for at in range(0, len(mine), 256):
+            part = mine[at : at + 256]
+            best = np.maximum.reduceat(values[begins[part][:, None] + np.arange(size)] @ matrix, heads, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[part], len(heads))), pa.array(np.repeat(keys[part], len(heads))), code.dictionary.take(pa.array(np.tile(group[theirs][heads], len(part)))), pa.array(best.ravel())], names=["query", "key", "doc", "best"])
+
+
 def max_sim(queries: DataFrame, base: DataFrame, query: str, doc: str, key: str, vector: str, block: int = 4096) -> DataFrame:
     """(query, doc, score): the mean over a query's token vectors of the best dot product with the document's.
 
-    ``queries`` has at most ``block`` token vectors (query, key, vector), a stated set that travels to the
-    rows of ``base`` (doc, vector). Each batch leaves one row per query vector and document.
+    Up to ``block`` token vectors (query, key, vector) travel to the rows of ``base`` (doc, vector), which stay
+    where they are; more are dealt out in blocks, each of which meets each block of rows once. Either way
+    one row for each query vector and document of a batch is left, and those are reduced.
     """
-    asked = queries.select(F.col(query).alias("q"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL").limit(block + 1).toArrow()
-    if len(asked) > block:
-        raise ValueError(f"more than {block} query vectors: rerank fewer queries at a time")
-    names, keys = asked.column("q").to_numpy(), asked.column("k").to_numpy()
-    kind = base.schema[doc].dataType.simpleString()
-    sizes, begins, values = _matrix(asked.column("v"))
+    asked = queries.select(F.col(query).alias("q"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    rows = base.select(F.col(doc).alias("d"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    schema = f"query long, key long, doc {base.schema[doc].dataType.simpleString()}, best double"
+    first = asked.limit(block + 1).toArrow()  # at most block + 1 rows
+    if len(first) <= block:
+        names, keys, wanted = first.column("q").to_numpy(), first.column("k").to_numpy(), first.column("v")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, starts, numbers = _matrix(batch.column(1))
-            code = batch.column(0).dictionary_encode()
-            group, docs = code.indices.to_numpy(), code.dictionary
-            for size in np.unique(own[own > 0]):
-                mine, theirs = np.flatnonzero(sizes == size), np.flatnonzero(own == size)
-                if not len(mine):
-                    continue
-                theirs = theirs[np.argsort(group[theirs], kind="stable")]
-                product = values[begins[mine][:, None] + np.arange(size)] @ numbers[starts[theirs][:, None] + np.arange(size)].T
-                heads = np.flatnonzero(np.diff(group[theirs], prepend=-1))
-                best = np.maximum.reduceat(product, heads, axis=1)
-                n = len(heads)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[mine], n)), pa.array(np.repeat(keys[mine], n)), docs.take(pa.array(np.tile(group[theirs][heads], len(mine)))), pa.array(best.ravel())], names=["query", "key", "doc", "best"])
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _late(names, keys, wanted, batch.column(0), batch.column(1))
 
-    rows = base.select(F.col(doc).alias("d"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
-    found = rows.mapInArrow(run, f"query long, key long, doc {kind}, best double").groupBy("query", "key", "doc").agg(F.max("best").alias("best"))
-    return found.groupBy("query", "doc").agg(F.round(F.avg("best"), 6).alias("score"))
+        found = rows.mapInArrow(near, schema)
+    else:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(len(batch)):
+                    q, k, v, d, w = (batch.column(c)[i].values for c in range(5))
+                    yield from _late(q.to_numpy(), k.to_numpy(), v, d, w)
+
+        parts = F.lit(max(1, -(-asked.count() // block)))
+        of_queries = asked.groupBy(F.pmod(F.xxhash64("q", "k"), parts).alias("b")).agg(*(F.collect_list(c).alias(c) for c in ("q", "k", "v"))).select("q", "k", "v")
+        many = F.lit(max(1, -(-rows.count() // block)))
+        # Rows are dealt by a hash of document and vector, so a document of many vectors is in several blocks.
+        of_rows = rows.groupBy(F.pmod(F.xxhash64("d", "v"), many).alias("b")).agg(F.collect_list("d").alias("d"), F.collect_list("v").alias("w")).select("d", "w")
+        found = of_queries.crossJoin(of_rows).mapInArrow(run, schema)
+    best = found.groupBy("query", "key", "doc").agg(F.max("best").alias("best"))
+    return best.groupBy("query", "doc").agg(F.round(F.avg("best"), 6).alias("score"))
 
 
 def complete_link(members: DataFrame, group: str, order: str, vector: str, threshold: float = 0.8) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,24 +15,54 @@ from pyspark.sql.types import StringType
 from quarry.functions import text as X
 
 _SPANS = "array<struct<start:int,end:int>>"
-#: Where spans end by preference, and where sentences end.
-_BOUNDARY = re.compile(r"(?<=[.!?。！？])\s+|\n\s*\n")
+#: What a sentence ends with before white space, and where sentences end.
+_ENDS = ".!?。！？"
 _SENTENCE = re.compile(r"[。！？]+|[.!?]+(?:\s+|$)|\n+")
-_WORD = re.compile(r"\S+")
+_WORD, _WHITE = re.compile(r"\S+"), re.compile(r"\s+")
+
+
+class _Breaks:
+    """Where a text may be cut: runs of white space after a sentence or with an empty line, and its blanks, in order."""
+
+    def __init__(self, text: str):
+        self.runs: list[tuple[int, int, bool]] = []
+        self.lines = [m.start() for m in re.finditer("\n", text)]
+        for m in _WHITE.finditer(text):
+            ended = m.start() > 0 and text[m.start() - 1] in _ENDS
+            if ended or m[0].count("\n") > 1:
+                self.runs.append((m.start(), m.end(), ended))
+        self.starts = [r[0] for r in self.runs]
+        self.blanks = [m.start() for m in re.finditer(" ", text)]
+
+    def after_run(self, low: int, high: int) -> int | None:
+        """The last place in (low, high] that a boundary which lies within ends at."""
+        k = bisect_left(self.starts, high)
+        while k and self.runs[k - 1][1] > low:
+            k -= 1
+            begin, end, ended = self.runs[k]
+            if ended and begin > low:
+                return min(end, high)
+            lines = bisect_left(self.lines, max(begin, low)), bisect_left(self.lines, min(end, high))
+            if lines[1] - lines[0] > 1:
+                return self.lines[lines[1] - 1] + 1
+        return None
+
+    def after_blank(self, low: int, high: int) -> int | None:
+        """Behind the last blank in [low, high)."""
+        k = bisect_left(self.blanks, high)
+        return self.blanks[k - 1] + 1 if k and self.blanks[k - 1] >= low else None
 
 
 def _split(text: str, most: int) -> Iterator[tuple[int, int]]:
-    at = 0
-    while at < len(text):
-        end = min(at + most, len(text))
-        if end < len(text):
-            last = None
-            for last in _BOUNDARY.finditer(text[at:end]):
-                pass
-            blank = text.rfind(" ", at + most // 2, end)
-            end = at + last.end() if last else blank + 1 if blank > at else end
-        yield at, end
-        at = end
+    """Cuts found in sorted places of the whole text, so the work is linear in its length."""
+    breaks, begin = _Breaks(text), 0
+    while len(text) - begin > most:
+        full = begin + most
+        end = breaks.after_run(begin, full) or breaks.after_blank(begin + max(1, most // 2), full) or full
+        yield begin, end
+        begin = end
+    if begin < len(text):
+        yield begin, len(text)
 
 
 def split_spans(text: Column, most: int = 1800) -> Column:

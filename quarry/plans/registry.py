@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES: tuple[str, ...] = ("relational", "sync", "retrieval", "graphs", "documents", "lexical", "composites", "search", "records")
+FAMILIES: tuple[str, ...] = ("relational", "sync", "retrieval", "graphs", "documents", "lexical", "composites", "search", "records", "stateful")
 
 
 def _modules():
