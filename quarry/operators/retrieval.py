@@ -65,6 +65,21 @@ def lengths(found: DataFrame) -> DataFrame:
     return found.filter("term IS NULL").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avg_len"))
 
 
+def checked_statistics(found: DataFrame, stats: DataFrame, df: DataFrame | None = None) -> tuple[int, float]:
+    """(n_docs, avg_len) of supplied statistics; ``ValueError`` where they are less than what the index itself shows.
+
+    ``stats`` is one row (n_docs, avg_len), ``df`` (term, df) of the larger corpus.
+    """
+    given, seen = stats.first(), lengths(found).first()
+    if given is None or given.n_docs < seen.n_docs or given.n_docs * given.avg_len < seen.n_docs * seen.avg_len * (1 - 1e-9):
+        raise ValueError("supplied corpus statistics are smaller than the indexed documents")
+    if df is not None:
+        both = frequencies(found).join(df.select("term", F.col("df").alias("given")), "term", "left")
+        if not both.filter(F.col("given").isNull() | (F.col("given") < F.col("df"))).isEmpty() or not df.filter((F.col("df") < 0) | (F.col("df") > given.n_docs)).isEmpty():
+            raise ValueError("supplied document frequencies don't fit the indexed documents")
+    return given.n_docs, given.avg_len
+
+
 def contribution(tf: Column, df: Column) -> Column:
     """a term's part of BM25, given columns n_docs, len and avg_len."""
     idf = F.log1p((F.col("n_docs") - df + 0.5) / (df + 0.5))
@@ -156,24 +171,25 @@ def _directions(ids: np.ndarray, column: pa.Array) -> dict[int, tuple[np.ndarray
     return found
 
 
-def _best(asked: dict, known: dict, k: int) -> Iterator[pa.RecordBatch]:
-    """The ``k`` largest cosines of each query among rows of its dimension."""
+def _best(asked: dict, known: dict, k: int | None) -> Iterator[pa.RecordBatch]:
+    """The ``k`` largest cosines (all, if None) of each query among rows of its dimension."""
     for size, (names, q) in asked.items():
         ids, m = known.get(size, (None, None))
         if ids is None or not len(ids):
             continue
         for at in range(0, len(names), 256):
             near = np.round(np.clip(q[at : at + 256] @ m.T, -1, 1), 6)
-            order = np.argsort(-near, axis=1, kind="stable")[:, :k]
+            order = np.argsort(-near, axis=1, kind="stable")[:, :k] if k is not None else np.tile(np.arange(len(ids)), (len(near), 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[at : at + 256], order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(near, order, 1).ravel())], names=["query", "doc", "score"])
 
 
-def knn(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+def knn(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int | None, block: int = 4096) -> DataFrame:
     """Exact (query, doc, score) of the ``k`` nearest by cosine among the rows of the query's dimension.
 
     Up to ``block`` queries travel to the rows, which stay where they are; more are dealt out in blocks,
     each of which meets each block of rows once. A matrix product leaves at most ``k`` rows per query,
-    and those are ranked. Null and zero vectors and such with values that aren't finite have no neighbours.
+    and those are ranked. With ``k`` None all products are given as they are, without ranks (J18). Null and zero vectors
+    and such with values that aren't finite have no neighbours.
     """
     rows = base.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
     asked = queries.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
@@ -186,7 +202,8 @@ def knn(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, bloc
             for batch in batches:
                 yield from _best(wanted, _directions(batch.column(0).to_numpy(), batch.column(1)), k)
 
-        return top(rows.mapInArrow(near, schema), ["query"], k)
+        found = rows.mapInArrow(near, schema)
+        return found if k is None else top(found, ["query"], k)
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
         count = F.lit(max(1, -(-df.count() // block)))
@@ -199,7 +216,8 @@ def knn(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, bloc
                 yield from _best(asked, known, k)
 
     pairs = blocks(rows, "b").crossJoin(blocks(asked, "q")).select("b_k", "b", "q_k", "q")
-    return top(pairs.mapInArrow(run, schema), ["query"], k)
+    found = pairs.mapInArrow(run, schema)
+    return found if k is None else top(found, ["query"], k)
 
 
 def evidence_within(scores: DataFrame, by: Sequence[str], margin: float, k: int, prefer: str) -> DataFrame:
@@ -209,6 +227,26 @@ def evidence_within(scores: DataFrame, by: Sequence[str], margin: float, k: int,
     return near.withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place", "best", "rank")
 
 
+def binary_scores(queries: DataFrame, docs: DataFrame, query: str, doc: str, tokens: str, k: int) -> DataFrame:
+    """(query, doc, score): each query's ``k`` best documents by |q and d| / sqrt(|q| |d|) over distinct tokens.
+
+    Documents meet queries by tokens that are no stop-words alone, so those don't make pairs of nearly all; the
+    stop-words that both have are counted for the pairs that are left. Pairs without another token in common aren't scored.
+    """
+    stop = F.array(*(F.lit(w) for w in X.QUERY_STOPWORDS))
+
+    def sides(df: DataFrame, name: str, n: str) -> DataFrame:
+        once = df.select(F.col(name).alias(n), F.array_distinct(tokens).alias("t"))
+        return once.select(n, F.size("t").alias(f"{n}_size"), F.array_intersect("t", stop).alias(f"{n}_dull"), F.array_except("t", stop).alias("t"))
+
+    q, d = sides(queries, query, "query"), sides(docs, doc, "doc")
+    wanted = q.select("query", F.explode("t").alias("term"))
+    shared = d.select("doc", F.explode("t").alias("term")).join(wanted, "term").groupBy("query", "doc").agg(F.count(F.lit(1)).alias("both"))
+    met = shared.join(d.drop("t"), "doc").join(q.drop("t"), "query")
+    both = F.col("both") + F.size(F.array_intersect("query_dull", "doc_dull"))
+    return top(met.select("query", "doc", F.round(both / F.sqrt(F.col("query_size") * F.col("doc_size")), 6).alias("score")), ["query"], k)
+
+
 def bounded_aggregate(scores: DataFrame, by: Sequence[str], n: int, alpha: float = 0.5, evidence: str | None = None) -> DataFrame:
     """Per group the best score, the mean of its top ``n``, and the best blend with ``evidence``."""
     rows = top(scores, by, n)

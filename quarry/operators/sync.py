@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.operators.relational import different_fields, differs
+from quarry.operators.graphs import cut
+from quarry.operators.relational import different_fields, differs, prefix_sums
 
 
 def row_digest(key: str, stamp: str) -> Column:
@@ -16,21 +17,33 @@ def row_digest(key: str, stamp: str) -> Column:
     return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.date_format(stamp, "yyyy-MM-dd HH:mm:ss")))
 
 
-def table_summary(df: DataFrame, key: str, stamp: str, size: str, stretch: int = 4096) -> DataFrame:
-    """Count, key range, newest stamp, bytes and the order-sensitive fingerprint of a table.
+def ordered_digest(rows: DataFrame, order: Sequence[str], digest: str, join: Callable[[Column], Column], by: str | None = None, stretch: int = 4096) -> DataFrame:
+    """([by,] n, digest): one digest of all rows in order, as a tree: ``stretch`` rows by rank are joined, then as many of those, until one is left.
 
-    ``key`` is an integer. The fingerprint is a tree: rows of a stretch of keys are digested in order, then
-    stretches in order, then stretches of stretches. So a list has at most ``stretch`` entries but for the last,
-    which has one for ``stretch`` squared keys.
+    Ranks come from range sums (``prefix_sums``), so sparse keys fill stretches like dense ones, and no list has more
+    than ``stretch`` entries. ``join`` makes a digest of an ordered list of digests. Rows of equal ``order`` are ordered by digest.
     """
+    keys = [by] if by else []
+    ranked = prefix_sums(rows.select(*keys, *order, F.col(digest).alias("d"), F.lit(1).alias("one")), [*keys, *order, "d"], ["one"])
+    if by:
+        first = ranked.groupBy(by).agg(F.min("one_sum").alias("first"))
+        ranked = ranked.join(first, by).withColumn("one_sum", F.col("one_sum") - F.col("first") + 1)
+    level = ranked.select(*keys, (F.col("one_sum") - 1).alias("at"), F.col("one").cast("long").alias("n"), "d")
+    while True:
+        place = F.expr(f"at DIV {stretch}").alias("place")
+        level = level.groupBy(*keys, place).agg(F.sum("n").alias("n"), join(F.transform(F.array_sort(F.collect_list(F.struct("at", "d"))), lambda x: x.d)).alias("d"))
+        level = cut(level.withColumnRenamed("place", "at"))
+        if level.filter("at > 0").isEmpty():
+            return level.select(*keys, "n", F.col("d").alias("digest"))
+
+
+def table_summary(df: DataFrame, key: str, stamp: str, size: str, stretch: int = 4096) -> DataFrame:
+    """Count, key range, newest stamp, bytes and the order-sensitive fingerprint of a table, a tree of digests by rank of the key."""
     rows = df.select(F.col(key).alias("k"), F.col(stamp).alias("s"), F.col(size).alias("b"), row_digest(key, stamp).alias("d"))
-    own = [F.count(F.lit(1)).alias("n"), F.min("k").alias("first_id"), F.max("k").alias("last_id"), F.max("s").alias("newest"), F.sum("b").alias("bytes")]
-    merged = [F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.max("newest").alias("newest"), F.sum("bytes").alias("bytes")]
-    together = lambda at: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at), "d"))), lambda x: x.d), "")).alias("d")
-    rows = rows.groupBy(F.expr(f"k DIV {stretch}").alias("k1")).agg(*own, together("k"))
-    rows = rows.groupBy(F.expr(f"k1 DIV {stretch}").alias("k2")).agg(*merged, together("k1"))
-    out = rows.agg(*merged, together("k2"))
-    return out.select(F.coalesce("n", F.lit(0)).alias("n"), "first_id", "last_id", F.date_format("newest", "yyyy-MM-dd HH:mm:ss").alias("newest"), F.round("bytes", 2).alias("bytes"), F.when(F.col("n") > 0, F.col("d")).otherwise("").alias("fingerprint"))
+    out = rows.agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first_id"), F.max("k").alias("last_id"), F.max("s").alias("newest"), F.sum("b").alias("bytes"))
+    digest = ordered_digest(rows, ["k"], "d", lambda listed: F.md5(F.array_join(listed, "")), stretch=stretch).select(F.col("digest").alias("d"))
+    both = out.join(F.broadcast(digest), F.lit(True), "left")  # one row each
+    return both.select("n", "first_id", "last_id", F.date_format("newest", "yyyy-MM-dd HH:mm:ss").alias("newest"), F.round("bytes", 2).alias("bytes"), F.coalesce("d", F.lit("")).alias("fingerprint"))
 
 
 def bucket_summary(df: DataFrame, key: str, stamp: str, buckets: int = 64) -> DataFrame:

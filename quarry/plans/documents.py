@@ -7,6 +7,8 @@ from pyspark.sql.window import Window
 
 from quarry.functions import text as X
 from quarry.operators import relational as R
+from quarry.operators import sync as SY
+from quarry.operators.graphs import cut
 from quarry.plans.retrieval import _FOLD, _KNN, _STOP, _branches, _docs, _metrics, _METRICS, _neighbours, tok
 from quarry.session import table
 
@@ -68,16 +70,14 @@ def retire_rows(spark, d):
 
 
 @query("snk16_bucket_digests", """
-WITH p AS (SELECT ('0x' || substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 8))::UBIGINT % 16 AS bucket, p_partkey // 4096 AS part, p_partkey AS k FROM part), c AS (SELECT bucket, part, count(*) AS n, md5(string_agg(CAST(k AS VARCHAR), ',' ORDER BY k)) AS digest FROM p GROUP BY ALL)
-SELECT bucket, sum(n)::BIGINT AS n, md5(string_agg(digest, ',' ORDER BY part)) AS digest FROM c GROUP BY 1
+WITH p AS (SELECT ('0x' || substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 8))::UBIGINT % 16 AS bucket, p_partkey AS k FROM part), r AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY k) - 1) // 4096 AS part FROM p),
+c AS (SELECT bucket, part, count(*) AS n, md5(string_agg(CAST(k AS VARCHAR), ',' ORDER BY k)) AS digest FROM r GROUP BY ALL)
+SELECT bucket, sum(n)::BIGINT AS n, CASE WHEN count(*) = 1 THEN any_value(digest) ELSE md5(string_agg(digest, ',' ORDER BY part)) END AS digest FROM c GROUP BY 1
 """)
 def bucket_digests(spark, d):
-    # A shard's keys are digested in stretches of the key, and the stretches' digests in order.
     bucket = F.conv(F.substring(F.sha2(F.col("p_partkey").cast("string"), 256), 1, 8), 16, 10).cast("long") % 16
-    rows = table(spark, d, "part").select(bucket.alias("bucket"), F.expr("p_partkey DIV 4096").alias("part"), F.col("p_partkey").alias("k"))
-    parts = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("k")).alias("ids")).select("bucket", "part", "n", F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("digest"))
-    listed = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("part", "digest"))).alias("l"))
-    return listed.select("bucket", "n", F.md5(F.array_join(F.transform("l", lambda x: x.digest), ",")).alias("digest"))
+    rows = table(spark, d, "part").select(bucket.alias("bucket"), "p_partkey", F.col("p_partkey").cast("string").alias("id"))
+    return SY.ordered_digest(rows, ["p_partkey"], "id", lambda listed: F.md5(F.array_join(listed, ",")), "bucket")
 
 
 @query("j02_aggregate_build", """
@@ -208,13 +208,16 @@ WITH RECURSIVE t AS (SELECT conv_id, turn, CASE WHEN turn > 0 THEN (turn - 1) //
 SELECT conv_id, turn, p AS ancestor FROM c
 """)
 def closure(spark, d):
-    table(spark, d, "conversations").select("conv_id", "turn").distinct().createOrReplaceTempView("closure_turns")
-    return spark.sql("""
-        WITH RECURSIVE t AS (SELECT conv_id, turn, CASE WHEN turn > 0 THEN (turn - 1) DIV 2 END AS p FROM closure_turns),
-        c(conv_id, turn, ancestor, depth) AS (
-            SELECT conv_id, turn, p, 1 FROM t WHERE p IS NOT NULL
-            UNION ALL SELECT c.conv_id, c.turn, t.p, c.depth + 1 FROM c JOIN t ON t.conv_id = c.conv_id AND t.turn = c.ancestor WHERE t.p IS NOT NULL AND c.depth < 60)
-        SELECT DISTINCT conv_id, turn, ancestor FROM c""")
+    """Steps twice as far each round: all ancestors up to 2**k steps away are known after k rounds, whatever the depth."""
+    t = table(spark, d, "conversations").select("conv_id", "turn").distinct()
+    here = t.select("conv_id", F.col("turn").alias("ancestor"))
+    known = cut(t.filter("turn > 0").select("conv_id", "turn", F.expr("(turn - 1) DIV 2").alias("ancestor")))
+    held, before = known, -1
+    while (now := known.count()) != before:
+        before = now
+        on = known.join(held.select("conv_id", F.col("turn").alias("ancestor"), F.col("ancestor").alias("further")), ["conv_id", "ancestor"]).select("conv_id", "turn", F.col("further").alias("ancestor"))
+        known = held = cut(known.unionByName(on).distinct())
+    return known
 
 
 @query("s06_presence", "SELECT o_orderpriority, bool_and(o_custkey IN (SELECT c_custkey FROM customer)) AS all_present FROM orders GROUP BY 1")

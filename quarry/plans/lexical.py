@@ -8,6 +8,8 @@ from quarry.functions import text as X
 from quarry.operators import evaluation as E
 from quarry.operators import lexical as L
 from quarry.operators import retrieval as V
+from quarry.operators import search as S
+from quarry.operators.graphs import cut
 from quarry.plans.retrieval import _PLAIN, _QREL, _STOP, _docs, _items, _lines, _neighbours, tok
 from quarry.session import table
 
@@ -30,12 +32,12 @@ def _passages(docs):
     return docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select(X.surface_tokens(F.col("line")).alias("tokens"))
 
 
-#: Short queries: the lines of 3 to 12 tokens in the documents of the stated query set.
-_SHORT = f"(SELECT doc_id * 100000 + i - 1 AS query, {tok('line')} AS t FROM (SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents WHERE doc_id % 100 = 0), unnest(range(1, len(l) + 1)) AS u(i)) WHERE len({tok('line')}) BETWEEN 3 AND 12)"
+#: Short queries: the lines of 3 to 12 tokens in the documents of the stated query set, named by document and line.
+_SHORT = f"(SELECT doc_id || ':' || (i - 1) AS query, line, {tok('line')} AS t FROM (SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents WHERE doc_id % 100 = 0), unnest(range(1, len(l) + 1)) AS u(i)) WHERE len({tok('line')}) BETWEEN 3 AND 12)"
 
 
 def _short(spark, d):
-    lines = _lines(spark, d).filter("doc_id % 100 = 0").select((F.col("doc_id") * 100000 + F.col("seq")).alias("query"), X.surface_tokens(F.col("line")).alias("tokens"))
+    lines = _lines(spark, d).filter("doc_id % 100 = 0").select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("seq").cast("string")).alias("query"), "line", X.surface_tokens(F.col("line")).alias("tokens"))
     return lines.filter("size(tokens) BETWEEN 3 AND 12")
 
 
@@ -50,13 +52,13 @@ ps AS (SELECT {tok('line')} AS t FROM (SELECT unnest(string_split(coalesce(text,
 an AS (SELECT query, phrase, list_filter(list_distinct(string_split(phrase, ' ')), lambda w: NOT list_contains({_DULL}, w)) AS w, len(string_split(phrase, ' ')) AS n FROM qg WHERE phrase IN (SELECT phrase FROM pg)),
 am AS (SELECT * FROM (SELECT *, max(n) OVER (PARTITION BY query) AS m FROM an WHERE len(w) >= 2) WHERE n = m),
 aw AS (SELECT query, phrase, len(w) AS need, unnest(w) AS term FROM am), ok AS (SELECT DISTINCT query, doc_id AS doc FROM (SELECT query, phrase, need, doc_id, count(*) AS c FROM aw JOIN tf USING (term) GROUP BY ALL) WHERE c = need)
-SELECT r.query, r.doc, round(CASE WHEN am.query IS NULL OR ok.doc IS NOT NULL THEN score ELSE 0.7 * score END, 8) AS score FROM r LEFT JOIN (SELECT DISTINCT query FROM am) am ON am.query = r.query LEFT JOIN ok ON ok.query = r.query AND ok.doc = r.doc WHERE am.query IS NULL OR ok.doc IS NOT NULL OR inf >= 2
+SELECT r.query, r.doc, round(CASE WHEN am.query IS NULL OR ok.doc IS NOT NULL THEN score ELSE 0.7 * score END, 8) AS score FROM r LEFT JOIN (SELECT DISTINCT query FROM am) am ON am.query = r.query LEFT JOIN ok ON ok.query = r.query AND ok.doc = r.doc WHERE am.query IS NULL OR ok.doc IS NOT NULL OR (inf >= 2 AND r.query NOT IN (SELECT query FROM sq WHERE contains(line, '"') OR contains(line, '“')))
 """)
 def anchor_rule(spark, d):
     docs, asked = _docs(spark, d), _short(spark, d)
     terms = V.query_terms(asked, "query", "tokens")
     found = V.index(docs, "doc_id", "tokens", terms)
-    return L.apply_anchors(V.scores(found, terms), found.filter("term IS NOT NULL"), terms, L.anchors(asked, _passages(docs), "query", "tokens", "tokens"))
+    return L.apply_anchors(V.scores(found, terms), found.filter("term IS NOT NULL"), terms, L.anchors(asked, _passages(docs), "query", "tokens", "tokens"), asked.filter(F.contains("line", F.lit('"')) | F.contains("line", F.lit("“"))))
 
 
 @query("x08_auxiliary_only", _PLAIN + f", tq AS (SELECT item_id, count(*) > 1 AS many FROM q GROUP BY 1) SELECT query, doc, score FROM r JOIN tq ON tq.item_id = query WHERE NOT many OR EXISTS (SELECT 1 FROM q JOIN tf USING (term) WHERE q.item_id = query AND tf.doc_id = doc AND NOT list_contains({_AUX}, term))")
@@ -72,6 +74,22 @@ def accents(spark, d):
     return L.accent_variants(items, _passages(_docs(spark, d)), "item_id", "tokens", "tokens")
 
 
+@query("x13_assisted_search")
+def assisted_search(spark, d):
+    """Items typed without accents, and with those that the corpus restores at 0.8 of their score."""
+    docs, typed = _docs(spark, d), table(spark, d, "benchmark").select("item_id", X.surface_tokens(X.fold(F.col("text"))).alias("tokens"))
+    return accent_assisted(docs, typed)
+
+
+def accent_assisted(docs, typed, k=10):
+    """(query, doc, score, rank) of queries (item_id, tokens) over documents (doc_id, text, tokens)."""
+    variants = cut(L.accent_variants(typed, _passages(docs), "item_id", "tokens", "tokens"))
+    plain = V.query_terms(typed, "item_id", "tokens")
+    restored = V.query_terms(variants.withColumn("tokens", F.split("variant", " ")), "query", "tokens")
+    found = V.index(docs, "doc_id", "tokens", plain.unionByName(restored))
+    return V.top(S.assisted(V.scores(found, plain), V.scores(found, restored)), ["query"], k).select("query", "doc", "score", "rank")
+
+
 @query("e03_graded_ranking", _QREL + """, c AS (SELECT query, rank, coalesce(grade, 0) AS grade FROM r LEFT JOIN q USING (query, doc) WHERE rank <= 10), n AS (SELECT query, count(*) AS relevant FROM q WHERE grade >= 2 GROUP BY 1)
 SELECT query, round((count(*) FILTER (WHERE rank <= 1 AND grade >= 2))::DOUBLE, 6) AS p1, round((count(*) FILTER (WHERE rank <= 5 AND grade >= 2)) / 5, 6) AS p5, CASE WHEN any_value(relevant) > 0 THEN round((count(*) FILTER (WHERE rank <= 5 AND grade >= 2)) / any_value(relevant), 6) END AS r5 FROM c LEFT JOIN n USING (query) GROUP BY 1""")
 def graded(spark, d):

@@ -199,7 +199,7 @@ def sharing(spark, d):
 @query("j18_query_product", "SELECT a.vec_id AS query, b.vec_id AS doc, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0")
 def product(spark, d):
     e = table(spark, d, "embeddings")
-    return V.knn(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", 1 << 30).select("query", "doc", "score")
+    return V.knn(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", None)
 
 
 @query("p09_metadata_allowed", """
@@ -256,13 +256,12 @@ def identity_mode(spark, d):
 
 
 @query("a08_stream_fingerprint", """
-WITH a AS (SELECT c_custkey // 4096 AS k1, count(*) AS n, sha256(string_agg('"' || c_name || '"', '' ORDER BY c_custkey)) AS h FROM customer GROUP BY 1) SELECT sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY k1)) AS fingerprint FROM a
+WITH a AS (SELECT k1, count(*) AS n, sha256(string_agg(j, '' ORDER BY c_custkey, j)) AS h FROM (SELECT c_custkey, '"' || c_name || '"' AS j, (row_number() OVER (ORDER BY c_custkey, c_name) - 1) // 4096 AS k1 FROM customer) GROUP BY 1)
+SELECT sum(n)::BIGINT AS n, CASE WHEN count(*) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY k1)) END AS fingerprint FROM a
 """)
 def stream_fingerprint(spark, d):
-    together = lambda at, h: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, h))), lambda x: x[h]), ""), 256)
     rows = table(spark, d, "customer").select("c_custkey", F.to_json(F.array("c_name")).alias("j")).select("c_custkey", F.expr("substring(j, 2, length(j) - 2)").alias("h"))
-    parts = rows.groupBy(F.expr("c_custkey DIV 4096").alias("k1")).agg(F.count(F.lit(1)).alias("n"), together("c_custkey", "h").alias("h"))
-    return parts.agg(F.sum("n").alias("n"), together("k1", "h").alias("fingerprint"))
+    return S.ordered_digest(rows, ["c_custkey"], "h", lambda listed: F.sha2(F.array_join(listed, ""), 256)).withColumnRenamed("digest", "fingerprint")
 
 
 _KEYWORDS = rf"WITH t AS (SELECT doc_id, unnest(regexp_extract_all({_FOLD.format('text')}, '\p{{L}}+')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM t WHERE length(w) > 1 AND w NOT IN {_KSTOP} GROUP BY ALL), kw AS (SELECT doc_id, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS k FROM c) WHERE k <= 5)"

@@ -179,13 +179,13 @@ def valid(spark, d):
 
 
 @query("f26_binary_score", f"""
-WITH t AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM (SELECT doc_id, list_distinct({tok('text')}) AS t FROM documents)), q AS (SELECT item_id, len(q) AS m, unnest(q) AS term FROM (SELECT item_id, list_distinct({tok('text')}) AS q FROM benchmark))
-SELECT item_id, doc_id, round(count(*) / sqrt(n * m), 6) AS score FROM t JOIN q USING (term) GROUP BY item_id, doc_id, n, m
+WITH t AS (SELECT doc_id, list_distinct({tok('text')}) AS t FROM documents), q AS (SELECT item_id, list_distinct({tok('text')}) AS q FROM benchmark),
+p AS (SELECT item_id, doc_id, len(list_intersect(t, q)) AS shared, len(t) AS n, len(q) AS m FROM q JOIN t ON list_has_any(t, list_filter(q, lambda w: NOT list_contains({_STOP}, w)))), s AS (SELECT item_id, doc_id, round(shared / sqrt(n * m), 6) AS score FROM p)
+SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM s) WHERE k <= 20
 """)
 def binary_score(spark, d):
-    distinct = lambda df, name, n: df.select(name, F.array_distinct("tokens").alias("t")).select(name, F.size("t").alias(n), F.explode("t").alias("term"))
-    both = distinct(_docs(spark, d), "doc_id", "n").join(distinct(_items(spark, d), "item_id", "m"), "term")
-    return both.groupBy("item_id", "doc_id", "n", "m").agg(F.count(F.lit(1)).alias("both")).select("item_id", "doc_id", F.round(F.col("both") / F.sqrt(F.col("n") * F.col("m")), 6).alias("score"))
+    best = V.binary_scores(_items(spark, d), _docs(spark, d), "item_id", "doc_id", "tokens", 20)
+    return best.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "score")
 
 
 @query("c06_phrase_mining", f"""

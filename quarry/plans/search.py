@@ -49,11 +49,14 @@ def safe_mentions(spark, d):
     return S.concept_mentions(docs, "doc", F.col("tokens"), _senses(spark, d)).select("doc", "concept", "alias", "n")
 
 
+#: The concepts that items name, and the terms left beside them.
+_NAMED = f"""nm AS (SELECT DISTINCT query, concept, alias FROM (SELECT item_id AS query, replace(trim(unnest(regexp_extract_all(' ' || array_to_string({tok('text')}, '  ') || ' ', pattern))), '  ', ' ') AS alias FROM benchmark, pt) JOIN al USING (alias)),
+np AS (SELECT query, list_distinct(flatten(list(string_split(alias, ' ')))) AS parts FROM nm GROUP BY 1)"""
 _GROUPED = f"""
 WITH d AS (SELECT doc_id, {tok('text')} AS t FROM documents), tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
-q AS (SELECT item_id AS query, unnest(list_filter(list_distinct({tok('text')}[4:]), lambda w: NOT list_contains({_STOP}, w))) AS term FROM benchmark),
+{_FOUND}, {_NAMED}, q AS (SELECT query, unnest(list_filter(w, lambda x: NOT list_contains(coalesce(parts, []), x))) AS term FROM (SELECT item_id AS query, list_filter(list_distinct({tok('text')}), lambda x: NOT list_contains({_STOP}, x)) AS w FROM benchmark) LEFT JOIN np USING (query)),
 p AS (SELECT query, doc_id AS doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score, count(*) AS matched FROM q JOIN tf USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY 1, 2),
-{_FOUND}, gr AS (SELECT concept AS query, concept, alias, CASE WHEN contains(alias, ' ') THEN 1.0 ELSE 0.8 END::DOUBLE AS weight FROM al), me AS (SELECT query, gr.concept, weight, doc, mn.n AS f FROM mn JOIN gr USING (alias)),
+gr AS (SELECT DISTINCT nm.query, concept, al.alias, CASE WHEN contains(al.alias, ' ') THEN 1.0 ELSE 0.8 END::DOUBLE AS weight FROM nm JOIN al USING (concept)), me AS (SELECT query, gr.concept, weight, doc, mn.n AS f FROM mn JOIN gr USING (alias)),
 cd AS (SELECT query, concept, count(DISTINCT doc) AS df FROM me GROUP BY ALL), pa AS (SELECT query, doc, concept, max(weight * ln(1 + (st.n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(t) / a))) AS part FROM me JOIN cd USING (query, concept) JOIN d ON doc_id = doc CROSS JOIN st GROUP BY ALL),
 ps AS (SELECT query, doc, sum(part) AS parts, count(*) AS concepts FROM pa GROUP BY ALL), al2 AS (SELECT query, doc, round(coalesce(score, 0) + coalesce(parts, 0), 6) AS score, coalesce(matched, 0) + coalesce(concepts, 0) AS matched FROM p FULL JOIN ps USING (query, doc))
 """
@@ -61,9 +64,10 @@ ps AS (SELECT query, doc, sum(part) AS parts, count(*) AS concepts FROM pa GROUP
 
 def _grouped(spark, d, focused: bool):
     docs, items = _docs(spark, d), _items(spark, d)
-    terms = V.query_terms(items.select("item_id", F.slice("tokens", 4, 1_000_000).alias("tokens")), "item_id", "tokens")
     aliases = cut(_aliases(spark, d))
-    groups = aliases.select(F.col("concept").alias("query"), "concept", "alias", F.when(F.contains("alias", F.lit(" ")), 1.0).otherwise(0.8).alias("weight"))
+    named = cut(S.recognised(items, "item_id", F.col("tokens"), aliases))
+    terms = cut(S.without_constituents(V.query_terms(items, "item_id", "tokens"), named))
+    groups = named.select("query", "concept").distinct().join(aliases, "concept").select("query", "concept", "alias", F.when(F.contains("alias", F.lit(" ")), 1.0).otherwise(0.8).alias("weight"))
     mentions = cut(alias_mentions(docs, "doc_id", F.col("tokens"), aliases).groupBy(F.col("doc_id").alias("doc"), "concept", "alias").agg(F.count(F.lit(1)).alias("n")))
     focus = groups.filter("query % 2 = 0").select("query", "concept").distinct() if focused else None
     return S.grouped_scores(V.index(docs, "doc_id", "tokens", terms), terms, groups, mentions, focus)
@@ -86,6 +90,7 @@ def supplied(spark, d):
     found = V.index(_docs(spark, d), "doc_id", "tokens", terms)
     stats = V.lengths(found).select((2 * F.col("n_docs")).alias("n_docs"), (1.5 * F.col("avg_len")).alias("avg_len"))
     df = V.frequencies(found).withColumn("df", F.col("df") + 5)
+    V.checked_statistics(found, stats, df)
     return V.top(V.scores(found, terms, stats=stats, df=df), ["query"], 10).select("query", "doc", "score", "rank")
 
 
@@ -101,66 +106,88 @@ def corpus_export(spark, d):
     return sizes.crossJoin(df.agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings"), F.bit_xor(digest).alias("checksum")))  # one row each
 
 
-_CHUNKS = f"(SELECT doc_id, doc_id * 100000 + i - 1 AS chunk, {tok('line')} AS t FROM (SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)))"
+_CHUNKS = f"(SELECT doc_id, i - 1 AS seq, line, {tok('line')} AS t FROM (SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)))"
 
 
 def _chunks(spark, d):
-    return _lines(spark, d).select("doc_id", (F.col("doc_id") * 100000 + F.col("seq")).alias("chunk"), X.surface_tokens(F.col("line")).alias("tokens"))
+    return _lines(spark, d).withColumn("tokens", X.surface_tokens(F.col("line")))
 
 
 @query("x22_chunk_search", f"""
-WITH c AS {_CHUNKS}, tf AS (SELECT chunk, doc_id, len, term, count(*) AS tf FROM (SELECT chunk, doc_id, len(t) AS len, unnest(t) AS term FROM c) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM c),
+WITH c AS {_CHUNKS}, tf AS (SELECT doc_id, seq, len, term, count(*) AS tf FROM (SELECT doc_id, seq, len(t) AS len, unnest(t) AS term FROM c) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM c),
 q AS (SELECT item_id AS query, unnest(list_filter(list_distinct({tok('text')}), lambda w: NOT list_contains({_STOP}, w))) AS term FROM benchmark),
-s AS (SELECT query, doc_id AS version, chunk, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY ALL),
-b AS (SELECT *, row_number() OVER (PARTITION BY query, version ORDER BY score DESC, chunk) AS k FROM s), t AS (SELECT query, version, chunk, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, version) AS rank, count(*) OVER (PARTITION BY query) AS total FROM b WHERE k = 1)
+s AS (SELECT query, doc_id AS version, seq, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY query, version ORDER BY score DESC, seq) AS k FROM s), t AS (SELECT query, version, seq::INT AS line, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, version) AS rank, count(*) OVER (PARTITION BY query) AS total FROM b WHERE k = 1)
 SELECT * FROM t WHERE rank <= 10
 """)
 def chunk_search(spark, d):
-    return S.chunk_search(_chunks(spark, d), V.query_terms(_items(spark, d), "item_id", "tokens"), "chunk", "doc_id", "tokens", 10)
+    chunks = _chunks(spark, d).withColumn("chunk", F.struct("doc_id", "seq"))
+    found = S.chunk_search(chunks, V.query_terms(_items(spark, d), "item_id", "tokens"), "chunk", "doc_id", "tokens", 10)
+    return found.select("query", "version", F.col("chunk.seq").alias("line"), "score", "rank", "total")
+
+
+#: Each item's best documents, how the lines of those compare, and the best line of each.
+_CONTEXTS = f""", {_FOUND}, {_NAMED}, c AS {_CHUNKS}, iq AS (SELECT item_id AS query, {tok('text')} AS q FROM benchmark),
+x AS (SELECT query, doc, seq, line, t, len(t) AS length, contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(q, ' ') || ' ') AS exact, list_filter(list_distinct(q), lambda w: NOT list_contains({_STOP}, w) AND list_contains(t, w)) AS hit FROM best JOIN iq USING (query) JOIN c ON c.doc_id = doc),
+lm AS (SELECT DISTINCT doc, seq, concept FROM (SELECT doc, seq, replace(trim(unnest(regexp_extract_all(' ' || array_to_string(t, '  ') || ' ', pattern))), '  ', ' ') AS alias FROM (SELECT DISTINCT doc, seq, t FROM x), pt) JOIN al USING (alias)),
+ev AS (SELECT query, doc, seq, count(DISTINCT concept) AS concepts FROM lm JOIN nm USING (concept) SEMI JOIN best USING (query, doc) GROUP BY ALL),
+sz AS (SELECT query, doc, count(*) AS n FROM x GROUP BY ALL), te AS (SELECT query, doc, seq, unnest(hit) AS term FROM x), tdf AS (SELECT query, doc, term, count(*) AS df FROM te GROUP BY ALL),
+cv AS (SELECT query, doc, seq, round(sum(ln(1 + (n + 1) / (df + 1))), 9) AS coverage FROM te JOIN tdf USING (query, doc, term) JOIN sz USING (query, doc) GROUP BY ALL),
+o AS (SELECT query, doc, seq, line, exact, coalesce(concepts, 0) AS concepts, coalesce(coverage, 0) AS coverage, round(len(hit) / greatest(length, 1), 9) AS density FROM x LEFT JOIN cv USING (query, doc, seq) LEFT JOIN ev USING (query, doc, seq)),
+z AS (SELECT *, row_number() OVER (PARTITION BY query, doc ORDER BY exact DESC, concepts DESC, coverage DESC, density DESC, seq) AS k FROM o)
+"""
 
 
-@query("x15_context_ranking", _PLAIN + f""", top3 AS (SELECT query, doc FROM r WHERE rank <= 3), c AS {_CHUNKS}, iq AS (SELECT item_id AS query, {tok('text')} AS q FROM benchmark),
-x AS (SELECT query, doc, chunk, len(t) AS length, contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(q, ' ') || ' ') AS exact, list_filter(list_distinct(q), lambda w: NOT list_contains({_STOP}, w) AND list_contains(t, w)) AS hit FROM top3 JOIN iq USING (query) JOIN c ON c.doc_id = doc),
-sz AS (SELECT query, doc, count(*) AS n FROM x GROUP BY ALL), te AS (SELECT query, doc, chunk, unnest(hit) AS term FROM x), tdf AS (SELECT query, doc, term, count(*) AS df FROM te GROUP BY ALL),
-cv AS (SELECT query, doc, chunk, round(sum(ln(1 + (n + 1) / (df + 1))), 9) AS coverage FROM te JOIN tdf USING (query, doc, term) JOIN sz USING (query, doc) GROUP BY ALL),
-o AS (SELECT query, doc, chunk, exact, coalesce(coverage, 0) AS coverage, round(len(hit) / greatest(length, 1), 9) AS density FROM x LEFT JOIN cv USING (query, doc, chunk))
-SELECT query, doc AS doc_id, chunk, exact::INT AS exact, coverage, density FROM (SELECT *, row_number() OVER (PARTITION BY query, doc ORDER BY exact DESC, coverage DESC, density DESC, chunk) AS k FROM o) WHERE k = 1
-""")
+def _contexts(spark, d, k):
+    """The best line of each item's ``k`` best documents, with the concepts that items and lines share as evidence."""
+    items, chunks = _items(spark, d), cut(_chunks(spark, d))
+    best = V.top(V.bm25(_docs(spark, d), V.query_terms(items, "item_id", "tokens"), "doc_id", "tokens"), ["query"], k)
+    asked = cut(best.select("query", F.col("doc").alias("doc_id")))
+    aliases = cut(_aliases(spark, d))
+    named = S.recognised(items, "item_id", F.col("tokens"), aliases).select("query", "concept").distinct()
+    mine = chunks.join(asked.select("doc_id").distinct(), "doc_id").select(F.struct("doc_id", "seq").alias("chunk"), "tokens")
+    held = alias_mentions(mine, "chunk", F.col("tokens"), aliases).select("chunk.doc_id", "chunk.seq", "concept").distinct()
+    evidence = held.join(asked, "doc_id").join(named, ["query", "concept"]).groupBy("query", "doc_id", "seq").agg(F.count(F.lit(1)).alias("concepts"))
+    return S.rank_contexts(chunks, asked.join(items.withColumnRenamed("item_id", "query"), "query"), "doc_id", "seq", "tokens", evidence), chunks
+
+
+@query("x15_context_ranking", _PLAIN + ", best AS (SELECT query, doc FROM r WHERE rank <= 3)" + _CONTEXTS + "SELECT query, doc AS doc_id, seq::INT AS seq, exact::INT AS exact, concepts, coverage, density FROM z WHERE k = 1")
 def context_ranking(spark, d):
-    items = _items(spark, d)
-    best = V.top(V.bm25(_docs(spark, d), V.query_terms(items, "item_id", "tokens"), "doc_id", "tokens"), ["query"], 3)
-    asked = cut(best.select("query", F.col("doc").alias("doc_id"))).join(items.withColumnRenamed("item_id", "query"), "query")
-    return S.rank_contexts(_chunks(spark, d), asked, "doc_id", "chunk", "tokens")
+    return _contexts(spark, d, 3)[0]
 
 
-@query("m33_root_snippets", _PLAIN + f""", one AS (SELECT query, doc FROM r WHERE rank = 1), c AS {_CHUNKS}, iq AS (SELECT item_id AS query, list_filter(list_distinct({tok('text')}), lambda w: NOT list_contains({_STOP}, w)) AS q FROM benchmark),
-x AS (SELECT query, doc, chunk, len(t) AS length, len(list_filter(q, lambda w: list_contains(t, w))) AS hits FROM one JOIN iq USING (query) JOIN c ON c.doc_id = doc) SELECT query, doc AS doc_id, count(*) AS chunks, sum(hits)::BIGINT AS hits, max(round(hits / greatest(length, 1), 9)) AS most FROM x GROUP BY ALL""")
+@query("m33_root_snippets", _PLAIN + ", best AS (SELECT query, doc FROM r WHERE rank = 1)" + _CONTEXTS + "SELECT query, doc AS doc_id, seq::INT AS seq, substr(trim(line), 1, 400) AS snippet, concepts, coverage FROM z WHERE k = 1")
 def root_snippets(spark, d):
-    items = _items(spark, d)
-    best = V.top(V.bm25(_docs(spark, d), V.query_terms(items, "item_id", "tokens"), "doc_id", "tokens"), ["query"], 1)
-    asked = cut(best.select("query", F.col("doc").alias("doc_id"))).join(items.select(F.col("item_id").alias("query"), F.array_except(F.array_distinct("tokens"), F.array(*(F.lit(w) for w in X.QUERY_STOPWORDS))).alias("q")), "query")
-    rows = _chunks(spark, d).join(asked, "doc_id").select("query", "doc_id", F.size("tokens").alias("length"), F.size(F.array_intersect("q", "tokens")).alias("hits"))
-    return rows.groupBy("query", "doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("hits").alias("hits"), F.max(F.round(F.col("hits") / F.greatest("length", F.lit(1)), 9)).alias("most"))
+    """The line of each item's best document that explains the hit, cut to 400 characters."""
+    best, chunks = _contexts(spark, d, 1)
+    return best.join(chunks.select("doc_id", "seq", "line"), ["doc_id", "seq"]).select("query", "doc_id", "seq", F.substring(F.trim("line"), 1, 400).alias("snippet"), "concepts", "coverage")
+
 
+#: Documents of the stated query set ask by their first line, and by their vector where they have one.
+_TITLES = "(SELECT doc_id AS query, split_part(coalesce(text, ''), chr(10), 1) AS title FROM documents WHERE doc_id % 100 = 0)"
 
-def _overlaps(spark, d):
-    distinct = lambda df, name, n: df.select(name, F.array_distinct("tokens").alias("t")).select(name, F.size("t").alias(n), F.explode("t").alias("term"))
-    both = distinct(_docs(spark, d), "doc_id", "n").join(distinct(_items(spark, d), "item_id", "m"), "term").groupBy("item_id", "doc_id", "n", "m").agg(F.count(F.lit(1)).alias("both"))
-    return both.select(F.col("item_id").alias("query"), F.col("doc_id").alias("doc"), F.round(F.col("both") / F.sqrt(F.col("n") * F.col("m")), 6).alias("score"))
+
+def _titles(spark, d):
+    return table(spark, d, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("text"))
+
+
+def _dense(spark, d, k=50):
+    return _neighbours(spark, d, k).select("query", "doc", "score")
 
 
 @query("d07_anchored_admission")
 def anchored(spark, d):
-    """The overlap of token sets stands for a dense score."""
-    return S.admitted(_overlaps(spark, d), _items(spark, d).withColumnRenamed("item_id", "query"), _docs(spark, d).select(F.col("doc_id").alias("doc"), "tokens"), 0.2)
+    """Nearest vectors whose document holds an anchor of the asking document's first line."""
+    texts = _docs(spark, d).select(F.col("doc_id").alias("doc"), "tokens")
+    return S.admitted(_dense(spark, d), _titles(spark, d), texts, 0.1)
 
 
 @query("d20_metadata_dense")
 def metadata_dense(spark, d):
     """Hits above the floor, and weaker ones that an anchor of the query supports."""
-    hits = cut(_overlaps(spark, d))
-    weak = S.admitted(hits.filter("score < 0.4"), _items(spark, d).withColumnRenamed("item_id", "query"), _docs(spark, d).select(F.col("doc_id").alias("doc"), "tokens"), 0.2)
-    return hits.filter("score >= 0.4").unionByName(weak.select("query", "doc", "score"))
+    hits = cut(_dense(spark, d))
+    weak = S.admitted(hits.filter("score < 0.25"), _titles(spark, d), _docs(spark, d).select(F.col("doc_id").alias("doc"), "tokens"), 0.1)
+    return hits.filter("score >= 0.25").unionByName(weak.select("query", "doc", "score"))
 
 
 @query("d11_meaning_groups")
@@ -185,20 +212,25 @@ def meaning_match(spark, d):
     return S.match_meanings(scores, support)
 
 
-_OVERLAPS = f"""ov AS (SELECT item_id AS query, doc_id AS doc, round(count(*) / sqrt(n * m), 6) AS score FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM (SELECT doc_id, list_distinct({tok('text')}) AS t FROM documents)) JOIN (SELECT item_id, len(q) AS m, unnest(q) AS term FROM (SELECT item_id, list_distinct({tok('text')}) AS q FROM benchmark)) USING (term) GROUP BY item_id, doc_id, n, m)"""
+_PLAINLY = "replace(strip_accents({}), 'đ', 'd')"
 
 
-@query("d19_hybrid_search", _PLAIN + f""", {_OVERLAPS}, q8 AS (SELECT item_id, unnest(list_filter(list_distinct({tok('text')}[1:8]), lambda w: NOT list_contains({_STOP}, w))) AS term FROM benchmark),
-v AS (SELECT item_id AS query, tf.doc_id AS doc, round(0.8 * round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6), 6) AS score FROM q8 JOIN tf USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY 1, 2),
-lx AS (SELECT query, doc, max(score) AS score FROM (SELECT query, doc, score FROM r UNION ALL SELECT * FROM v) GROUP BY ALL),
-b AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM lx UNION ALL SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) FROM ov), u AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, count(*) AS branches FROM b GROUP BY ALL)
+@query("d19_hybrid_search", f"""
+WITH d AS (SELECT doc_id, {tok('text')} AS t FROM documents), tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
+ti AS {_TITLES}, q AS (SELECT query, unnest(list_filter(list_distinct({tok(_PLAINLY.format('title'))}), lambda w: NOT list_contains({_STOP}, w))) AS term FROM ti),
+sp AS (SELECT DISTINCT query, df.term FROM (SELECT query, {_PLAINLY.format('term')} AS key FROM q) k JOIN df ON {_PLAINLY.format('df.term')} = key UNION SELECT query, term FROM q),
+sc AS (SELECT w, query, tf.doc_id AS doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM (SELECT 1.0::DOUBLE AS w, * FROM q UNION ALL SELECT 0.8::DOUBLE, * FROM sp) JOIN tf USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY ALL),
+lx AS (SELECT query, doc, max(round(w * score, 6)) AS score FROM sc GROUP BY ALL), e AS ({_KNN} SELECT query, doc, score FROM r WHERE rank <= 50),
+b AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM lx UNION ALL SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) FROM e), u AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, count(*) AS branches FROM b GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM u) WHERE rank <= 10""")
 def hybrid_search(spark, d):
-    items = _items(spark, d)
-    terms = V.query_terms(items, "item_id", "tokens")
-    short = V.query_terms(items.select("item_id", F.slice("tokens", 1, 8).alias("tokens")), "item_id", "tokens")  # what a synonym variant keeps
-    found = V.index(_docs(spark, d), "doc_id", "tokens", terms)
-    return S.hybrid(V.scores(found, terms), _overlaps(spark, d), V.scores(found, short), 10)
+    """First lines typed without accents, a variant with all spellings of the corpus, and vectors."""
+    docs = _docs(spark, d)
+    typed = _titles(spark, d).select("query", X.surface_tokens(X.fold(F.col("text"))).alias("tokens"))
+    terms = cut(V.query_terms(typed, "query", "tokens"))
+    spelled = cut(S.spelled_alike(terms, docs.select(F.explode("tokens").alias("term")).distinct()))
+    found = V.index(docs, "doc_id", "tokens", spelled)
+    return S.hybrid(V.scores(found, terms), _dense(spark, d), V.scores(found, spelled), 10)
 
 
 _PATTERNS = (("gloss", r"([\p{L} ]{2,100}?) *\(([^()\n]{2,80})\)"), ("definition", r"([\p{L} ]{2,100}?) +means +([^()\n;:.]{2,100})"), ("labelled", r"en: *([^|;\n]{2,100})\| *fr: *([^|;\n]{2,100})"))

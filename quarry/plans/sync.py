@@ -110,9 +110,8 @@ def report_escape(spark, d):
 
 @query("a06_table_fingerprint", """
 WITH r AS (SELECT o_orderkey AS k, o_orderdate AS s, o_totalprice AS b, md5(o_orderkey || ':' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')) AS d FROM orders),
-a AS (SELECT k // 4096 AS k1, count(*) AS n, min(k) AS lo, max(k) AS hi, max(s) AS s, sum(b) AS b, md5(string_agg(d, '' ORDER BY k)) AS d FROM r GROUP BY 1),
-c AS (SELECT k1 // 4096 AS k2, sum(n) AS n, min(lo) AS lo, max(hi) AS hi, max(s) AS s, sum(b) AS b, md5(string_agg(d, '' ORDER BY k1)) AS d FROM a GROUP BY 1)
-SELECT sum(n)::BIGINT AS n, min(lo) AS first_id, max(hi) AS last_id, strftime(max(s), '%Y-%m-%d %H:%M:%S') AS newest, round(sum(b), 2) AS bytes, md5(string_agg(d, '' ORDER BY k2)) AS fingerprint FROM c
+a AS (SELECT k1, count(*) AS n, min(k) AS lo, max(k) AS hi, max(s) AS s, sum(b) AS b, md5(string_agg(d, '' ORDER BY k, d)) AS d FROM (SELECT *, (row_number() OVER (ORDER BY k, d) - 1) // 4096 AS k1 FROM r) GROUP BY 1)
+SELECT sum(n)::BIGINT AS n, min(lo) AS first_id, max(hi) AS last_id, strftime(max(s), '%Y-%m-%d %H:%M:%S') AS newest, round(sum(b), 2) AS bytes, CASE WHEN count(*) = 1 THEN any_value(d) ELSE md5(string_agg(d, '' ORDER BY k1)) END AS fingerprint FROM a
 """)
 def fingerprint(spark, d):
     return S.table_summary(table(spark, d, "orders"), "o_orderkey", "o_orderdate", "o_totalprice")
