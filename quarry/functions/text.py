@@ -156,3 +156,20 @@ def cosine(a: Column, b: Column) -> Column:
 def unit(vector: Column) -> Column:
     """the vector at length one."""
     return F.transform(vector, lambda x: x.cast("double") / F.sqrt(dot(vector, vector)))
+
+
+#: Fixed value: what no phrase may hold.
+FORBIDDEN = r"(?i)https?://|www\.|\S+@\S+|[<>]|\b(?:select|insert|drop)\b.*\b(?:from|table|into)\b|approve\s+me|ignore\s+(?:all|previous)|bỏ\s+kiểm\s+duyệt|(?:password|secret|token)\s*[=:]"
+
+
+def safe_phrase(text: Column, most: int = 120) -> Column:
+    """the phrase folded and with single blanks, or null if it isn't one: 2 to ``most`` characters, 1 to 6 words, half of them distinct and one informative, a letter, few digits, nothing forbidden."""
+
+    def judged(t: Column) -> Column:
+        words, n = surface_tokens(t), F.char_length(t)
+        digits = F.char_length(F.regexp_replace(t, r"\P{Nd}", ""))
+        informative = F.size(F.array_except(words, F.array(*(F.lit(w) for w in QUERY_STOPWORDS)))) > 0
+        fits = n.between(2, most) & F.size(words).between(1, 6) & t.rlike(r"\p{L}") & ~t.rlike(FORBIDDEN) & (digits <= F.greatest(F.lit(2), F.floor(n / 4)))
+        return F.when(fits & informative & (F.size(F.array_distinct(words)) >= F.greatest(F.lit(1), F.floor(F.size(words) / 2))), F.regexp_replace(casefold(t), r"\s+", " "))
+
+    return let(F.trim(text), judged)

@@ -16,48 +16,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from quarry.operators.buckets import BUCKETS, Buckets
 from quarry.operators.graphs import cut
 
-BUCKETS = 64
 _UNITS = "unit long, revision long, deleted boolean, fingerprint string, mentions array<struct<term:string,n:long>>"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-
-
 class Discovery:
     """``mentions`` turns units (unit, text) into (unit, term, n)."""
 
     def __init__(self, spark: SparkSession, folder: str, mentions: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS):
-        self.spark, self.folder, self.mentions, self.buckets = spark, folder, mentions, buckets
-
-    def _state(self, kind: str, schema: str, before: int | None = None) -> DataFrame:
-        """Of each bucket its newest version (below ``before``)."""
-        path, full = f"{self.folder}/{kind}", T._parse_datatype_string(f"{schema}, tick int, bucket int")
-        if not _exists(self.spark, path):
-            return self.spark.createDataFrame([], full).drop("tick")
-        rows = self.spark.read.schema(full).parquet(path)
-        rows = rows if before is None else rows.filter(F.col("tick") < before)
-        newest = rows.groupBy("bucket").agg(F.max("tick").alias("tick"))  # a row for each bucket
-        return rows.join(F.broadcast(newest), ["bucket", "tick"]).drop("tick").select(*(f.name for f in full if f.name != "tick"))
+        self.mentions = mentions
+        self.units = Buckets(spark, f"{folder}/units", _UNITS, "unit", buckets)
+        self.totals = Buckets(spark, f"{folder}/counts", "term string, units long, uses long", "term", buckets)
 
     def counts(self) -> DataFrame:
         """(term, units, uses) of all units that are there."""
-        return self._state("counts", "term string, units long, uses long").drop("bucket").filter("units > 0")
-
-    def _bucket(self, key: str):
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+        return self.totals.read().filter("units > 0")
 
     def tick(self, number: int, changes: DataFrame) -> dict[str, int]:
         """Takes in ``changes`` (unit, revision, deleted, text) and tells how many units were written, deleted and left, and terms written."""
         # Of one unit's changes the newest acts; of one revision, the one that keeps the unit.
         newest = changes.groupBy("unit").agg(F.max(F.struct("revision", (~F.col("deleted")).alias("kept"), "text")).alias("c")).select("unit", "c.revision", (~F.col("c.kept")).alias("deleted"), "c.text")
-        stored = self._state("units", _UNITS, number)
-        old = stored.select("unit", F.col("revision").alias("old_revision"), F.col("deleted").alias("old_deleted"), F.col("fingerprint").alias("old_fingerprint"), F.col("mentions").alias("old_mentions"))
+        old = self.units.read(number).select("unit", F.col("revision").alias("old_revision"), F.col("deleted").alias("old_deleted"), F.col("fingerprint").alias("old_fingerprint"), F.col("mentions").alias("old_mentions"))
         fingerprint = F.when(~F.col("deleted"), F.sha2(F.coalesce("text", F.lit("")), 256))
         met = cut(newest.join(old, "unit", "left").withColumn("fingerprint", fingerprint).filter(F.col("old_revision").isNull() | (F.col("revision") > F.col("old_revision"))))
         same = F.col("old_fingerprint").eqNullSafe(F.col("fingerprint")) & F.col("old_deleted").eqNullSafe(F.col("deleted"))
@@ -68,16 +50,9 @@ class Discovery:
         written = cut(met.join(found, "unit", "left").select("unit", "revision", "deleted", "fingerprint", now.alias("mentions"), same.alias("same"), F.coalesce("old_mentions", none).alias("old_mentions")))
         signed = lambda column, sign: written.filter("NOT same").select(F.explode(column).alias("m")).select("m.term", F.lit(sign).cast("long").alias("units"), (sign * F.col("m.n")).alias("uses"))
         deltas = signed("old_mentions", -1).unionByName(signed("mentions", 1)).groupBy("term").agg(F.sum("units").alias("units"), F.sum("uses").alias("uses")).filter("units <> 0 OR uses <> 0")
-        deltas = cut(deltas.withColumn("bucket", self._bucket("term")))
+        deltas = cut(deltas)
         told = written.agg(F.count_if(~F.col("same") & ~F.col("deleted")).alias("written"), F.count_if(~F.col("same") & F.col("deleted")).alias("deleted"), F.count_if("same").alias("same")).first().asDict()
         told["terms"] = deltas.count()
-        units = written.drop("same", "old_mentions").withColumn("bucket", self._bucket("unit"))
-        self._rewrite("units", _UNITS, number, units, lambda kept: kept.join(units.select("unit"), "unit", "left_anti").unionByName(units.select(*kept.columns)))
-        self._rewrite("counts", "term string, units long, uses long", number, deltas, lambda kept: kept.unionByName(deltas.select(*kept.columns)).groupBy("term", "bucket").agg(F.sum("units").alias("units"), F.sum("uses").alias("uses")).filter("units <> 0 OR uses <> 0"))
+        self.units.replace(number, written)
+        self.totals.write(number, deltas, lambda stored, new: stored.unionByName(new).groupBy("term", "bucket").agg(F.sum("units").alias("units"), F.sum("uses").alias("uses")).filter("units <> 0 OR uses <> 0"))
         return told
-
-    def _rewrite(self, kind: str, schema: str, number: int, changed: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> None:
-        """A version of the buckets that ``changed`` touches; without changes nothing is written."""
-        touched = [r.bucket for r in changed.select("bucket").distinct().collect()]  # at most all buckets
-        if touched:
-            merge(self._state(kind, schema, number).filter(F.col("bucket").isin(touched))).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{kind}/tick={number}")

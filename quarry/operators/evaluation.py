@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.operators.graphs import cut
 from quarry.operators.relational import prefix_sums
 
 
@@ -94,3 +97,77 @@ def calibrate(hits: DataFrame, query: str = "query", score: str = "score", grade
     swept = swept.select(F.col("s").alias("t"), F.round((F.col("f10") + F.col("f1_sum")) / F.col("queries"), 9).alias("macro_f1"), F.round(F.try_divide(F.col("rec0") + F.col("rec_sum"), F.col("judged")), 9).alias("recall"))
     best = swept.agg(F.max(F.struct("macro_f1", "recall", (-F.col("t")).alias("minus_t"))).alias("b"))
     return best.select((-F.col("b.minus_t")).alias("threshold"), "b.macro_f1", "b.recall")
+
+
+#: The absolute thresholds of the joint search.
+ABSOLUTE_GRID = (0.0, 0.3, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7)
+_MEASURES = ("recall", "first", "answered", "mistaken")
+
+
+def policy_search(hits: DataFrame, relevant: DataFrame, least_recall: float = 0.95, most_abstained: float = 0.05, grid: Sequence[float] = ABSOLUTE_GRID) -> DataFrame:
+    """(method, trials, feasible, absolute, margin, feature, recall5, precision1, false_abstention, false_positive): for each method the selective policy that is best within the constraints.
+
+    ``hits`` is (query, doc, score) with scores of 0 to 1, ``relevant`` (query, doc). A policy answers a query if its top score is above
+    ``absolute`` and, for a positive margin, its lead over the second (gap2) or fifth hit (gap5) is above the margin;
+    the answer holds the hits above ``absolute``. Methods: absolute takes all observed scores as thresholds, margin2
+    and margin5 all observed leads, selective the ``grid`` with all leads of either kind. Feasible policies have a mean recall at 5 of
+    ``least_recall`` and abstain on ``most_abstained`` of the answerable queries at most; of those, the least share of
+    unanswerable queries that are answered wins, then recall, then precision at 1, then the smaller threshold, margin and feature.
+
+    A query's part of each measure is a step function of the threshold, and, at a given threshold, of its
+    lead. So all policies come from running sums over thresholds and over (feature, threshold, lead): no policy
+    is tried against all queries.
+    """
+    spark = hits.sparkSession
+    top = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
+    judged = relevant.select("query", "doc").distinct().withColumn("good", F.lit(1))
+    five = hits.withColumn("place", F.row_number().over(top)).filter("place <= 5").join(judged, ["query", "doc"], "left").fillna(0, ["good"])
+    wanted = judged.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    # Up to five hits a query.
+    rows = five.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "score", "good"))).alias("h")).join(wanted, "query", "full_outer")
+    empty = F.expr("CAST(array() AS array<struct<place:int,score:double,good:int>>)")
+    score = lambda k: F.get(F.col("h"), F.lit(k)).getField("score")
+    rows = cut(rows.select("query", F.coalesce("h", empty).alias("h"), F.col("n")).select("query", "h", "n", F.coalesce(score(0), F.lit(-1.0)).alias("top"), F.round(F.coalesce(score(0) - score(1), F.lit(0.0)), 9).alias("gap2"), F.round(F.coalesce(score(0) - score(4), F.lit(0.0)), 9).alias("gap5")))
+    counts = rows.agg(F.count("n").alias("positive"), F.count_if(F.col("n").isNull()).alias("negative"))
+
+    def parts(threshold: Column) -> list[Column]:
+        """A query's part of each measure if it answers with the hits above the threshold."""
+        kept = F.filter("h", lambda x: x.score > threshold)
+        some = F.size(kept) > 0
+        good = F.aggregate(kept, F.lit(0), lambda a, x: a + x.good)
+        positive = F.col("n").isNotNull()
+        return [
+            F.when(positive, F.round(good / F.col("n"), 12)).otherwise(0.0).alias("recall"), F.when(positive & some, F.get(kept, F.lit(0)).good.cast("double")).otherwise(0.0).alias("first"),
+            F.when(positive & some, 1.0).otherwise(0.0).alias("answered"), F.when(~positive & some, 1.0).otherwise(0.0).alias("mistaken"),
+        ]
+
+    # Thresholds: what each query adds when the threshold passes one of its scores. Below all of them it gives all it has.
+    own = rows.select("*", F.explode(F.array_union(F.array(F.lit(-2.0)), F.array_distinct(F.transform("h", lambda x: x.score)))).alias("t"))
+    steps = own.select("query", "t", *parts(F.col("t")))
+    before = Window.partitionBy("query").orderBy("t")
+    changes = steps.select("t", *(F.round(F.col(m) - F.coalesce(F.lag(m).over(before), F.lit(0.0)), 12).alias(m) for m in _MEASURES))
+    # Any hit's score is a threshold; those below a query's fifth change nothing.
+    tried = hits.select(F.col("score").alias("t")).filter("t > 0").union(spark.createDataFrame([(0.0,), (1.0,)], "t double")).distinct().select("t", *(F.lit(0.0).alias(m) for m in _MEASURES), F.lit(1).alias("tried"))
+    by_t = changes.withColumn("tried", F.lit(0)).unionByName(tried).groupBy("t").agg(*(F.sum(m).alias(m) for m in _MEASURES), F.max("tried").alias("tried"))
+    absolute = prefix_sums(by_t, ["t"], _MEASURES).filter("tried = 1").select(F.lit("absolute").alias("method"), F.col("t").alias("absolute"), F.lit(0.0).alias("margin"), F.lit("gap5").alias("feature"), *(F.col(f"{m}_sum").alias(m) for m in _MEASURES))
+
+    # Leads: at each threshold of the grid, what lies above a lead is all less what lies up to it.
+    choices = spark.createDataFrame([(float(g), f) for g in grid for f in ("gap2", "gap5")], "a double, feature string")
+    gridded = rows.crossJoin(F.broadcast(choices))  # two rows for each threshold of the grid
+    gap = F.when(F.col("feature") == "gap2", F.col("gap2")).otherwise(F.col("gap5"))
+    by_gap = gridded.select("feature", "a", F.greatest(gap, F.lit(0.0)).alias("gap"), *parts(F.col("a"))).groupBy("feature", "a", "gap").agg(*(F.sum(m).alias(m) for m in _MEASURES))
+    summed = prefix_sums(by_gap, ["feature", "a", "gap"], _MEASURES)
+    whole = summed.groupBy("feature", "a").agg(*(F.max_by(f"{m}_sum", "gap").alias(f"{m}_most") for m in _MEASURES), *(F.min_by(F.col(f"{m}_sum") - F.col(m), "gap").alias(f"{m}_none") for m in _MEASURES))
+    above = summed.filter("gap > 0").join(whole, ["feature", "a"]).select("feature", "a", F.col("gap").alias("margin"), *(F.round(F.col(f"{m}_most") - F.col(f"{m}_sum"), 9).alias(m) for m in _MEASURES))
+    none = whole.select("feature", "a", F.lit(0.0).alias("margin"), *(F.round(F.col(f"{m}_most") - F.col(f"{m}_none"), 9).alias(m) for m in _MEASURES))
+    joint = cut(above.unionByName(none)).select(F.col("a").alias("absolute"), "margin", "feature", *_MEASURES)
+    alone = joint.filter("absolute = 0.0").withColumn("method", F.when(F.col("feature") == "gap2", "margin2").otherwise("margin5"))
+    every = absolute.unionByName(alone).unionByName(joint.withColumn("method", F.lit("selective")))
+
+    rated = every.crossJoin(F.broadcast(counts))  # one row
+    share = lambda m, n: F.round(F.try_divide(F.col(m), F.col(n)), 9)
+    rated = rated.select("method", "absolute", "margin", "feature", F.coalesce(share("recall", "positive"), F.lit(0.0)).alias("recall5"), F.coalesce(share("first", "positive"), F.lit(0.0)).alias("precision1"), F.round(1 - share("answered", "positive"), 9).alias("false_abstention"), share("mistaken", "negative").alias("false_positive"))
+    allowed = (F.col("recall5") >= least_recall) & F.coalesce(F.col("false_abstention") <= most_abstained, F.lit(False))
+    key = F.struct(F.coalesce("false_positive", F.lit(1.0)).alias("o1"), (-F.col("recall5")).alias("o2"), (-F.col("precision1")).alias("o3"), "absolute", "margin", "feature", "recall5", "precision1", "false_abstention", "false_positive")
+    best = rated.groupBy("method").agg(F.count(F.lit(1)).alias("trials"), F.count_if(allowed).alias("feasible"), F.min(F.when(allowed, key)).alias("b"))
+    return best.select("method", "trials", "feasible", *(F.col(f"b.{c}") for c in ("absolute", "margin", "feature", "recall5", "precision1", "false_abstention", "false_positive")))

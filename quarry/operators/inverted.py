@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators import retrieval as V
+from quarry.operators.buckets import exists
 
 #: Postings of a block.
 BLOCK = 128
@@ -33,11 +34,6 @@ class StaleIndex(RuntimeError):
     """The corpus has changed since the index was made."""
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-
-
 def _encoded(values: np.ndarray, begin: np.ndarray) -> pa.Array:
     """Blocks of numbers that start at ``begin``, as bytes: seven bits a byte, low ones first, the top bit telling that more follow."""
     size = 1 + sum((values >= 1 << bits).astype(np.int64) for bits in range(7, 63, 7))
@@ -71,7 +67,7 @@ class InvertedIndex:
 
     def _log(self) -> DataFrame:
         schema = "shard int, docs long, print string, length long, version int"
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/log") if _exists(self.spark, f"{self.folder}/log") else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/log") if exists(self.spark, f"{self.folder}/log") else self.spark.createDataFrame([], schema)
 
     def versions(self) -> DataFrame:
         """(shard, version, docs, print, length) of each shard's newest version."""

@@ -99,3 +99,17 @@ def differences(source: Snapshot, target: Snapshot, columns: Sequence[str]) -> D
     side = F.when(F.col(f"t.{key}").isNull(), "missing_in_target").when(F.col(f"s.{key}").isNull(), "missing_in_source").when(other, "changed")
     both = s.join(t, F.col(f"s.{key}") == F.col(f"t.{key}"), "full_outer")
     return both.select(F.coalesce(f"s.{key}", f"t.{key}").alias(key), side.alias("side")).filter("side IS NOT NULL")
+
+
+def repaired(source: Snapshot, target: Snapshot, columns: Sequence[str], folder: str) -> tuple[Snapshot, DataFrame]:
+    """A snapshot of the target with all differences mended, and (key, side) of what a second comparison still finds.
+
+    Rows of the source replace or join the target's; rows that the source lacks go.
+    """
+    found = cut(differences(source, target, columns))
+    key = source.key
+    kept = target.rows().select(key, *columns).join(found.select(key), key, "left_anti")
+    leaves, _ = differing_leaves(source, target)
+    added = source.rows_of(leaves).select(key, *columns).join(found.filter("side <> 'missing_in_source'").select(key), key, "left_semi")
+    mended = Snapshot.write(kept.unionByName(added), folder, key, columns)
+    return mended, differences(source, mended, columns)

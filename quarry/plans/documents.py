@@ -242,14 +242,12 @@ def identifiers(spark, d):
 
 
 @query("f19_safe_phrase", f"""
-SELECT item_id, length(p) BETWEEN 2 AND 120 AND len(t) BETWEEN 1 AND 6 AND regexp_matches(p, '\\p{{L}}') AND NOT regexp_matches(p, 'https?://|www\\.|\\S+@\\S+|[<>]') AND len(list_filter(t, lambda w: NOT list_contains({_STOP}, w))) > 0 AND len(list_distinct(t)) >= greatest(1, len(t) // 2) AS safe
-FROM (SELECT item_id, p, {tok('p')} AS t FROM (SELECT item_id, left(text, 10 + 5 * (item_id % 8)) AS p FROM benchmark))
+SELECT item_id, length(p) BETWEEN 2 AND 120 AND len(t) BETWEEN 1 AND 6 AND regexp_matches(p, '\\p{{L}}') AND NOT regexp_matches(p, 'https?://|www\\.|\\S+@\\S+|[<>]') AND length(regexp_replace(p, '\\P{{Nd}}', '', 'g')) <= greatest(2, length(p) // 4) AND len(list_filter(t, lambda w: NOT list_contains({_STOP}, w))) > 0 AND len(list_distinct(t)) >= greatest(1, len(t) // 2) AS safe
+FROM (SELECT item_id, p, {tok('p')} AS t FROM (SELECT item_id, trim(left(text, 10 + 5 * (item_id % 8))) AS p FROM benchmark))
 """)
 def safe_phrase(spark, d):
-    p = table(spark, d, "benchmark").select("item_id", F.expr("substring(text, 1, cast(10 + 5 * (item_id % 8) AS int))").alias("p")).withColumn("t", X.surface_tokens(F.col("p")))
-    informative = F.size(F.filter("t", lambda w: ~F.array_contains(F.array(*(F.lit(s) for s in X.QUERY_STOPWORDS)), w))) > 0
-    ok = F.char_length("p").between(2, 120) & F.size("t").between(1, 6) & F.col("p").rlike(r"\p{L}") & ~F.col("p").rlike(r"https?://|www\.|\S+@\S+|[<>]") & informative & (F.size(F.array_distinct("t")) >= F.greatest(F.lit(1), F.floor(F.size("t") / 2)))
-    return p.select("item_id", ok.alias("safe"))
+    p = table(spark, d, "benchmark").select("item_id", F.expr("substring(text, 1, cast(10 + 5 * (item_id % 8) AS int))").alias("p"))
+    return p.select("item_id", X.safe_phrase(F.col("p")).isNotNull().alias("safe"))
 
 
 @query("f21_snippet", f"""

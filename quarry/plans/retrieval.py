@@ -329,6 +329,31 @@ def calibrate(spark, d):
     return E.calibrate(hits)
 
 
+#: Queries whose label is 3 have no answer; of the others' labels a seventh of the documents is relevant.
+_POLICIES = _KNN + """, h AS (SELECT query, doc, greatest(score, 0)::DOUBLE AS score FROM r WHERE rank <= 20), rel AS (SELECT query, doc FROM s WHERE label = query_label AND query_label <> 3 AND (query + doc) % 7 = 0),
+w AS (SELECT query, count(*) AS n FROM rel GROUP BY 1), k AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS place FROM h),
+f AS (SELECT query, max(score) AS top, round(coalesce(max(score) - max(score) FILTER (WHERE place = 2), 0), 9) AS gap2, round(coalesce(max(score) - max(score) FILTER (WHERE place = 5), 0), 9) AS gap5 FROM k GROUP BY 1),
+g AS (SELECT unnest([0.0, 0.3, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7]::DOUBLE[]) AS a), gaps AS (SELECT 'gap2' AS feature, gap2 AS m FROM f WHERE gap2 > 0 UNION SELECT 'gap5', gap5 FROM f WHERE gap5 > 0 UNION SELECT 'gap2', 0 UNION SELECT 'gap5', 0),
+po AS (SELECT 'absolute' AS method, t AS absolute, 0.0::DOUBLE AS margin, 'gap5' AS feature FROM (SELECT score AS t FROM h WHERE score > 0 UNION SELECT 0.0 UNION SELECT 1.0) UNION ALL SELECT replace(feature, 'gap', 'margin'), 0.0, m, feature FROM gaps UNION ALL SELECT 'selective', a, m, feature FROM g, gaps),
+x AS (SELECT po.*, q.query, n, top > absolute AND (margin = 0 OR CASE feature WHEN 'gap2' THEN gap2 ELSE gap5 END > margin) AS yes,
+  (SELECT count(*) FROM k JOIN rel USING (query, doc) WHERE k.query = q.query AND k.place <= 5 AND k.score > absolute) AS good, (SELECT count(*) FROM k JOIN rel USING (query, doc) WHERE k.query = q.query AND k.place = 1) AS lead FROM po, (SELECT * FROM f FULL JOIN w USING (query)) q),
+m AS (SELECT method, absolute, margin, feature, coalesce(round(sum(CASE WHEN yes THEN good / n ELSE 0 END) FILTER (WHERE n IS NOT NULL) / count(n), 9), 0) AS recall5, coalesce(round(sum(CASE WHEN yes THEN lead ELSE 0 END) FILTER (WHERE n IS NOT NULL) / count(n), 9), 0) AS precision1,
+  round(1 - (count(*) FILTER (WHERE yes AND n IS NOT NULL)) / count(n), 9) AS false_abstention, round((count(*) FILTER (WHERE yes AND n IS NULL)) / nullif(count(*) FILTER (WHERE n IS NULL), 0), 9) AS false_positive FROM x GROUP BY ALL),
+o AS (SELECT *, recall5 >= 0.05 AND coalesce(false_abstention <= 0.5, false) AS allowed FROM m), b AS (SELECT *, row_number() OVER (PARTITION BY method, allowed ORDER BY coalesce(false_positive, 1), recall5 DESC, precision1 DESC, absolute, margin, feature) AS p FROM o)
+"""
+
+
+@query("e06_policy_search", _POLICIES + "SELECT t.method, trials, feasible, absolute, margin, feature, recall5, precision1, false_abstention, false_positive FROM (SELECT method, count(*) AS trials, count(*) FILTER (WHERE allowed) AS feasible FROM o GROUP BY 1) t LEFT JOIN b ON b.method = t.method AND allowed AND p = 1")
+def policy_search(spark, d):
+    """Constraints are looser here than the defaults, since a query has more relevant documents than five places."""
+    e = table(spark, d, "embeddings")
+    hits = _neighbours(spark, d).select("query", "doc", F.greatest("score", F.lit(0.0)).alias("score"))
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "label")
+    relevant = asked.join(e.select(F.col("vec_id").alias("doc"), "label"), "label").filter("query <> doc AND label <> 3 AND (query + doc) % 7 = 0").select("query", "doc")
+    # Queries without an answer are known by their hits.
+    return E.policy_search(hits, relevant, 0.05, 0.5)
+
+
 @query("e07_split_leakage", "SELECT md5(text) AS body, count(DISTINCT doc_id % 2) AS splits FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id % 2) > 1")
 def leakage(spark, d):
     return table(spark, d, "documents").groupBy(F.md5("text").alias("body")).agg(F.count_distinct(F.col("doc_id") % 2).alias("splits")).filter("splits > 1")

@@ -233,13 +233,29 @@ def hybrid_search(spark, d):
     return S.hybrid(V.scores(found, terms), _dense(spark, d), V.scores(found, spelled), 10)
 
 
-_PATTERNS = (("gloss", r"([\p{L} ]{2,100}?) *\(([^()\n]{2,80})\)"), ("definition", r"([\p{L} ]{2,100}?) +means +([^()\n;:.]{2,100})"), ("labelled", r"en: *([^|;\n]{2,100})\| *fr: *([^|;\n]{2,100})"))
-_STATED = "p_name || ' (' || p_brand || ').' || chr(10) || p_name || ' means ' || p_type || '; en: ' || p_name || '| fr: ' || p_brand"
+#: Sentences of every form, some negated, with terms of ``part`` and accents where p_size is odd.
+_STATED = """chr(10) || 'The note; ' || p_name || ' (' || p_type || '). ' || CASE WHEN p_partkey % 3 = 0 THEN 'it is not true that ' ELSE '' END || p_name || ' means ' || p_brand || ';' || p_type || ' also called ' || p_brand || chr(10)
+  || 'en: ' || p_name || ' | fr: ' || p_type || CASE WHEN p_partkey % 5 = 0 THEN ' | fr: twice' WHEN p_partkey % 5 = 1 THEN ' | vi: ' || p_brand ELSE '' END || chr(10) || CASE WHEN p_size % 2 = 1 THEN 'é' ELSE 'e' END || p_name || ' unaccented form is e' || CASE WHEN p_partkey % 7 = 0 THEN 'x' ELSE '' END || p_name"""
 
 
-@query("f20_explicit_pairs", " UNION ".join(
-    f"SELECT p_partkey, '{kind}' AS kind, trim(p[1]) AS term, trim(p[2]) AS other FROM (SELECT p_partkey, unnest(list_zip(regexp_extract_all(x, '{rx}', 1), regexp_extract_all(x, '{rx}', 2))) AS p FROM (SELECT p_partkey, {_STATED} AS x FROM part)) WHERE trim(p[1]) <> trim(p[2]) AND trim(p[1]) <> '' AND trim(p[2]) <> ''" for kind, rx in _PATTERNS
-))
+def _safe(column: str) -> str:
+    t = f"trim({column})"
+    words = tok(t)
+    return f"""CASE WHEN length({t}) BETWEEN 2 AND 120 AND len({words}) BETWEEN 1 AND 6 AND regexp_matches({t}, '\\p{{L}}') AND NOT regexp_matches({t}, '{X.FORBIDDEN}') AND length(regexp_replace({t}, '\\P{{Nd}}', '', 'g')) <= greatest(2, length({t}) // 4)
+  AND len(list_filter({words}, lambda w: NOT list_contains({_STOP}, w))) > 0 AND len(list_distinct({words})) >= greatest(1, len({words}) // 2) THEN regexp_replace(lower({t}), '\\s+', ' ', 'g') END"""
+
+
+def _groups(pattern: str) -> str:
+    parts = ", ".join(f"regexp_extract_all(x, '{pattern}', {i})" for i in range(3))
+    return f"unnest(list_zip({parts}))"
+
+
+@query("f20_explicit_pairs", f"""
+WITH t AS (SELECT p_partkey, {_STATED} AS x FROM part), f AS ({" UNION ALL ".join(f"SELECT p_partkey, '{form}' AS form, p[1] AS whole, p[2] AS a, p[3] AS b FROM (SELECT p_partkey, {_groups(rx)} AS p FROM t)" for form, rx in S.STATED.items())}),
+l AS (SELECT p_partkey, whole, list_sort(list_zip(list_transform(regexp_extract_all(whole, '{S.LABELLED}', 1), lambda v: lower(v)), regexp_extract_all(whole, '{S.LABELLED}', 2))) AS m FROM (SELECT p_partkey, unnest(string_split(x, chr(10))) AS whole FROM t)),
+g AS (SELECT p_partkey, whole, m, unnest(range(1, len(m) + 1)) AS i FROM l WHERE len(m) BETWEEN 2 AND 3 AND len(list_distinct(list_transform(m, lambda v: v[1]))) = len(m)), h AS (SELECT *, unnest(range(i + 1, len(m) + 1)) AS j FROM g),
+u AS (SELECT * FROM f UNION ALL SELECT p_partkey, 'labelled', whole, m[i][2], m[j][2] FROM h), s AS (SELECT p_partkey, form, {_safe('a')} AS term, {_safe('b')} AS other FROM u WHERE NOT regexp_matches(whole, '{S.NEGATED}') AND NOT regexp_matches(whole, '{X.FORBIDDEN}'))
+SELECT DISTINCT * FROM s WHERE term <> other AND (form <> 'spelling' OR (NOT regexp_matches(other, '[^\x00-\x7F]') AND regexp_matches(term, '[^\x00-\x7F]') AND strip_accents(term) = other))
+""")
 def stated_pairs(spark, d):
-    text = F.concat("p_name", F.lit(" ("), "p_brand", F.lit(").\n"), "p_name", F.lit(" means "), "p_type", F.lit("; en: "), "p_name", F.lit("| fr: "), "p_brand")
-    return S.explicit_pairs(table(spark, d, "part").select("p_partkey", text.alias("x")), "p_partkey", "x", _PATTERNS)
+    return S.stated_pairs(table(spark, d, "part").select("p_partkey", F.expr(_STATED.replace("chr(10)", "'\\n'")).alias("x")), "p_partkey", "x")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.operators import artifacts, discovery, evaluation, inverted, merkle
+from quarry.operators import artifacts, discovery, evaluation, inverted, merkle, registers
 from quarry.operators import retrieval as V
 from quarry.operators.graphs import alias_mentions, cut
 from quarry.plans.graphs import _aliases
@@ -146,6 +146,35 @@ def artifact_builds(spark, d):
     return out.unionByName(left.select(F.lit("collected").alias("step"), F.lit(len(dead)).cast("long").alias("written"), F.lit(store.manifest(store.active()).count()).cast("long").alias("reused"), "rows", "changed"))
 
 
+# Registers ------------------------------------------------------------------------------------------
+
+
+@query("snk10_register_updates", """
+WITH RECURSIVE u AS (SELECT o_custkey AS id, o_orderkey AS place, o_orderkey % 3 AS expected, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+f AS (SELECT c_custkey AS id, 0::BIGINT AS i, 0::BIGINT AS revision, NULL::BIGINT AS place, NULL::VARCHAR AS outcome FROM customer WHERE c_custkey % 7 <> 2
+  UNION ALL SELECT u.id, u.i, f.revision + (u.expected = f.revision)::BIGINT, u.place, CASE WHEN u.expected = f.revision THEN 'APPLIED' ELSE 'CONFLICT' END FROM f JOIN u ON u.id = f.id AND u.i = f.i + 1)
+SELECT id, place, outcome FROM f WHERE place IS NOT NULL UNION ALL SELECT id, place, 'MISSING' FROM u WHERE id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 2)
+""")
+def register_updates(spark, d):
+    """Orders update their customers' registers; each states the revision that it expects."""
+    store = registers.Registers(spark, _folder(spark, "registers"), 8)
+    store.put(0, table(spark, d, "customer").filter("c_custkey % 7 <> 2").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("value")))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("place"), (F.col("o_orderkey") % 3).alias("expected"), F.col("o_orderstatus").alias("value"))
+    return store.update(1, o)
+
+
+@query("snk14_stored_sequences", """
+WITH r AS (SELECT p_brand AS scope, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey % 2, p_partkey) AS seq FROM part) SELECT scope, p_partkey, CASE WHEN seq <= 60 THEN seq END AS seq FROM r
+""")
+def stored_sequences(spark, d):
+    """Numbers within each brand from two batches, the second run twice; no brand gets more than sixty."""
+    store = registers.Sequences(spark, _folder(spark, "sequences"), 60, 8)
+    p = table(spark, d, "part").select(F.col("p_brand").alias("scope"), "p_partkey")
+    first = store.allocate(0, p.filter("p_partkey % 2 = 0"), "p_partkey")
+    store.allocate(1, p.filter("p_partkey % 2 = 1"), "p_partkey")
+    return first.unionByName(store.allocate(1, p.filter("p_partkey % 2 = 1"), "p_partkey"))
+
+
 # Discovery ------------------------------------------------------------------------------------------
 
 
@@ -159,7 +188,7 @@ def _ticks(spark, d):
         found = alias_mentions(tokens, "doc", F.col("tokens"), aliases)
         return found.select(F.col("doc").alias("unit"), F.col("alias").alias("term"), "at").distinct().groupBy("unit", "term").agg(F.count(F.lit(1)).alias("n"))
 
-    store = discovery.Discovery(spark, _folder(spark, "discovery"), mentions)
+    store = discovery.Discovery(spark, _folder(spark, "discovery"), mentions, buckets=8)
     rev = lambda n, deleted, text: docs.select("unit", F.lit(n).cast("long").alias("revision"), F.lit(deleted).alias("deleted"), text.alias("text"))
     first, second, gone = rev(1, False, F.reverse("text")), rev(2, False, F.col("text")), rev(3, True, F.lit(None).cast("string")).filter("unit % 5 = 0")
     told = []
@@ -193,11 +222,25 @@ _SIDES = "s AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice A
 
 @query("r08_snapshot_tree", f"WITH {_SIDES} SELECT coalesce(s.id, t.id) AS id, CASE WHEN t.id IS NULL THEN 'missing_in_target' WHEN s.id IS NULL THEN 'missing_in_source' ELSE 'changed' END AS side FROM s FULL JOIN t ON s.id = t.id WHERE s.id IS NULL OR t.id IS NULL OR s.status IS DISTINCT FROM t.status OR s.price IS DISTINCT FROM t.price")
 def snapshot_tree(spark, d):
+    return merkle.differences(*_snapshots(spark, d, _folder(spark, "snapshots")), ["status", "price"])
+
+
+def _snapshots(spark, d, folder):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
     changed = o.filter("id % 991 <> 4").select("id", F.when(F.col("id") % 1009 == 5, "X").otherwise(F.col("status")).alias("status"), F.when(F.col("id") % 1013 != 9, F.col("price")).alias("price"))
-    folder, columns = _folder(spark, "snapshots"), ["status", "price"]
-    source = merkle.Snapshot.write(o.filter("id % 997 <> 3"), f"{folder}/source", "id", columns)
-    return merkle.differences(source, merkle.Snapshot.write(changed, f"{folder}/target", "id", columns), columns)
+    return [merkle.Snapshot.write(rows, f"{folder}/{name}", "id", ["status", "price"]) for name, rows in (("source", o.filter("id % 997 <> 3")), ("target", changed))]
+
+
+@query("r10_repair_and_verify", f"WITH {_SIDES}, f AS (SELECT CASE WHEN t.id IS NULL THEN 'missing_in_target' WHEN s.id IS NULL THEN 'missing_in_source' ELSE 'changed' END AS side FROM s FULL JOIN t ON s.id = t.id WHERE s.id IS NULL OR t.id IS NULL OR s.status IS DISTINCT FROM t.status OR s.price IS DISTINCT FROM t.price) SELECT side, count(*) AS repaired, 0::BIGINT AS remaining, (SELECT count(*) FROM s) AS rows_after FROM f GROUP BY 1")
+def repair_and_verify(spark, d):
+    """Mends the target where it differs, compares again, and tells by kind what was mended and what is left."""
+    folder = _folder(spark, "repair")
+    source, target = _snapshots(spark, d, folder)
+    found = merkle.differences(source, target, ["status", "price"]).groupBy("side").agg(F.count(F.lit(1)).alias("repaired"))
+    mended, left = merkle.repaired(source, target, ["status", "price"], f"{folder}/mended")
+    left = left.groupBy("side").agg(F.count(F.lit(1)).alias("remaining"))
+    rows = mended.rows().agg(F.count(F.lit(1)).alias("rows_after"))
+    return found.join(left, "side", "full_outer").fillna(0, ["repaired", "remaining"]).crossJoin(F.broadcast(rows))  # one row
 
 
 # Stored index ---------------------------------------------------------------------------------------

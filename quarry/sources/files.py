@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import io
 import re
+import stat
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 from pyspark.sql.window import Window
 
 from quarry.operators.relational import unique_violations
@@ -221,8 +223,35 @@ def wikidata_edges(df: DataFrame) -> DataFrame:
     return claims.select("src", F.explode("targets").alias("dst"), F.try_element_at(known, F.col("p")).alias("relation")).filter("relation IS NOT NULL")
 
 
+#: The most entries of an archive and the most bytes that they unpack to.
+ARCHIVE_ENTRIES, ARCHIVE_BYTES = 2000, 64 << 20
+
+
+@F.pandas_udf(StringType())
+def archive_verdict(contents: pd.Series) -> pd.Series:
+    """SRC32: what is wrong with a ZIP archive, from its directory alone; nothing is unpacked."""
+
+    def one(raw) -> str | None:
+        try:
+            entries = zipfile.ZipFile(io.BytesIO(raw)).infolist()
+        except (zipfile.BadZipFile, ValueError, OSError):
+            return "BROKEN_ARCHIVE"
+        names = [PurePosixPath(e.filename.replace("\\", "/")) for e in entries]
+        if len(entries) > ARCHIVE_ENTRIES or sum(e.file_size for e in entries) > ARCHIVE_BYTES:
+            return "ARCHIVE_TOO_LARGE"
+        if any(n.is_absolute() or ".." in n.parts or ":" in n.parts[0] for n in names if n.parts) or any(stat.S_ISLNK(e.external_attr >> 16) for e in entries):
+            return "UNSAFE_ARCHIVE"
+        if any(e.flag_bits & 1 for e in entries):
+            return "ENCRYPTED"
+        if any("vbaproject" in e.filename.lower() for e in entries):
+            return "HAS_MACROS"
+        return None
+
+    return contents.map(one)
+
+
 def format_check(files: DataFrame, most_bytes: int = 50 << 20) -> DataFrame:
-    """SRC32: (path, verdict) from extension, size and first bytes of binary files (path, length, content)."""
+    """SRC32: (path, verdict) from extension, size and first bytes of binary files (path, length, content), and from the directory of archives."""
     #: First bytes by extension.
     magic = {"pdf": "25504446", "png": "89504E470D0A1A0A", "jpg": "FFD8FF", "jpeg": "FFD8FF", "docx": "504B0304", "xlsx": "504B0304", "pptx": "504B0304", "zip": "504B0304"}
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
@@ -234,4 +263,5 @@ def format_check(files: DataFrame, most_bytes: int = 50 << 20) -> DataFrame:
         F.when(F.col("length") == 0, "EMPTY").when(F.col("length") > most_bytes, "TOO_LARGE").when(wanted.isNull() & ~plain, "UNKNOWN_TYPE")
         .when(plain & (text.isNull() | F.contains(text, F.lit("\0"))), "NOT_TEXT").when(wanted.isNotNull() & ~head.startswith(wanted), "WRONG_SIGNATURE").otherwise("OK")
     )
-    return files.select("path", verdict.alias("verdict"))
+    archive = (verdict == "OK") & ext.isin("docx", "xlsx", "pptx", "zip")
+    return files.select("path", F.when(archive, F.coalesce(archive_verdict(F.when(archive, F.col("content"))), F.lit("OK"))).otherwise(verdict).alias("verdict"))
