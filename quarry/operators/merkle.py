@@ -18,7 +18,7 @@ from quarry.operators.graphs import cut
 
 #: Bits that a level adds to a node's name, and the number of levels below the root: 65,536 leaves.
 BITS, DEPTH = 4, 4
-#: Levels whose nodes have folders of their own, so that a search leaves out what it doesn't need.
+#: Levels whose nodes have folders of their own, so that a search leaves out what it doesn't need; one is enough for small tables.
 FOLDERS = 2
 #: Sums are kept modulo a power of two, which lets nodes of any number of rows be added up.
 _WRAP = 1 << 40
@@ -44,16 +44,15 @@ def merged(nodes: DataFrame) -> DataFrame:
 class Snapshot:
     """A table laid out by leaf under a folder, with its tree."""
 
-    def __init__(self, spark: SparkSession, folder: str, key: str):
-        self.spark, self.folder, self.key = spark, folder, key
+    def __init__(self, spark: SparkSession, folder: str, key: str, folders: int = FOLDERS):
+        self.spark, self.folder, self.key, self.shift = spark, folder, key, BITS * (DEPTH - folders)
 
     @classmethod
-    def write(cls, rows: DataFrame, folder: str, key: str, columns: Sequence[str]) -> Snapshot:
+    def write(cls, rows: DataFrame, folder: str, key: str, columns: Sequence[str], folders: int = FOLDERS) -> Snapshot:
         """Keeps ``key`` and ``columns`` of ``rows``; the digest of a row is over all of them. Rows of one key count each."""
-        spark = rows.sparkSession
-        laid = rows.select(key, *columns).withColumn("leaf", _leaf(key)).withColumn("stem", F.shiftright("leaf", BITS * (DEPTH - FOLDERS)))
+        made = cls(rows.sparkSession, folder, key, folders)
+        laid = rows.select(key, *columns).withColumn("leaf", _leaf(key)).withColumn("stem", F.shiftright("leaf", made.shift))
         laid.repartitionByRange("leaf").sortWithinPartitions("stem", "leaf").write.partitionBy("stem").parquet(f"{folder}/rows")
-        made = cls(spark, folder, key)
         stored = made.rows()
         names = [F.lit(0).cast("long"), F.col(key), *(F.struct(F.col(c).isNull(), F.col(c)) for c in columns)]
         level = cut(node_sums(stored, "leaf", F.xxhash64(*names)))
@@ -72,7 +71,7 @@ class Snapshot:
 
     def rows_of(self, leaves: Sequence[int]) -> DataFrame:
         """The rows of some leaves: folders and then row groups without them are passed over."""
-        stems = sorted({leaf >> (BITS * (DEPTH - FOLDERS)) for leaf in leaves})
+        stems = sorted({leaf >> self.shift for leaf in leaves})
         return self.rows().filter(F.col("stem").isin(stems) & F.col("leaf").isin(list(leaves))).drop("stem", "leaf")
 
 
@@ -111,5 +110,5 @@ def repaired(source: Snapshot, target: Snapshot, columns: Sequence[str], folder:
     kept = target.rows().select(key, *columns).join(found.select(key), key, "left_anti")
     leaves, _ = differing_leaves(source, target)
     added = source.rows_of(leaves).select(key, *columns).join(found.filter("side <> 'missing_in_source'").select(key), key, "left_semi")
-    mended = Snapshot.write(kept.unionByName(added), folder, key, columns)
+    mended = Snapshot.write(kept.unionByName(added), folder, key, columns, DEPTH - source.shift // BITS)
     return mended, differences(source, mended, columns)

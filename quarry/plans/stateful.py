@@ -228,7 +228,7 @@ def snapshot_tree(spark, d):
 def _snapshots(spark, d, folder):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
     changed = o.filter("id % 991 <> 4").select("id", F.when(F.col("id") % 1009 == 5, "X").otherwise(F.col("status")).alias("status"), F.when(F.col("id") % 1013 != 9, F.col("price")).alias("price"))
-    return [merkle.Snapshot.write(rows, f"{folder}/{name}", "id", ["status", "price"]) for name, rows in (("source", o.filter("id % 997 <> 3")), ("target", changed))]
+    return [merkle.Snapshot.write(rows, f"{folder}/{name}", "id", ["status", "price"], folders=1) for name, rows in (("source", o.filter("id % 997 <> 3")), ("target", changed))]
 
 
 @query("r10_repair_and_verify", f"WITH {_SIDES}, f AS (SELECT CASE WHEN t.id IS NULL THEN 'missing_in_target' WHEN s.id IS NULL THEN 'missing_in_source' ELSE 'changed' END AS side FROM s FULL JOIN t ON s.id = t.id WHERE s.id IS NULL OR t.id IS NULL OR s.status IS DISTINCT FROM t.status OR s.price IS DISTINCT FROM t.price) SELECT side, count(*) AS repaired, 0::BIGINT AS remaining, (SELECT count(*) FROM s) AS rows_after FROM f GROUP BY 1")

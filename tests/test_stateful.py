@@ -162,6 +162,8 @@ def test_snapshot_trees_find_all_and_read_little(spark, tmp_path):
     leaves, compared = merkle.differing_leaves(sides[0], sides[1])
     assert len(leaves) <= len(want) and compared <= 1 + merkle.DEPTH * 16 * len(want)
     assert sides[0].rows_of(leaves).count() <= 10 * len(want)  # of 30,000
+    mended, left = merkle.repaired(sides[0], sides[1], ["v"], f"file://{tmp_path}/mended")
+    assert left.count() == 0 and rows(mended.rows()) == x
     assert merkle.differing_leaves(sides[0], sides[2]) == ([], 1) and merkle.differences(sides[0], sides[2], ["v"]).count() == 0
 
 
