@@ -4,8 +4,9 @@ Each task packs the documents of its input partition in one pass without a shuff
 of a long document are emitted at once. Its rest goes to the fill level, of those with room, for
 which the sum of the squared counts of partially filled windows becomes least; an array over all
 levels holds those counts. When more than ``max_open`` windows are open, and at the end of the
-task, the pieces of all open windows are strung together and cut into full windows. So a task
-holds a bounded number of tokens and leaves one window that is not full.
+task, the open windows are placed again by the same rule, whole and then piece by piece, from the largest to the
+smallest, as long as that fills some. Only what is open after that is strung together and cut into full
+windows. So a task holds a bounded number of tokens and leaves one window that is not full.
 
 Null text is empty: such a document consists of its end id. Repeated rows are packed each.
 Null identifiers are kept. Other columns pass by unread.
@@ -24,7 +25,8 @@ from quarry.llm.common import slices, text_bytes
 from quarry.llm.tokens import DEFAULT_TOKENIZER, encoder, tokenizer_path
 
 WINDOW = 1024
-MAX_OPEN = 1024
+#: Windows that a task keeps open; with rests of all sizes about 1,600 stay open however long the task is.
+MAX_OPEN = 4096
 _PART_BYTES = _OUT_BYTES = 8 << 20
 
 
@@ -36,6 +38,8 @@ class Packer:
         self.levels = np.zeros(window + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(window)]
         self.n_open = self.closed = 0
+        #: Windows that hold a piece of a long document alone, that a placement has filled, and that were cut.
+        self.whole = self.filled = self.cut = 0
 
     def _close(self, pieces: list) -> Iterator[tuple]:
         at, number = 0, self.closed
@@ -56,46 +60,65 @@ class Packer:
         grows[0] = there[0]
         return room - int(np.argmin(grows[::-1]))
 
-    def _place(self, piece: tuple) -> Iterator[tuple]:
-        size = len(piece[2])
+    def _place(self, pieces: list) -> Iterator[tuple]:
+        """Puts pieces that stay together into the level of the least sum of squares."""
+        size = sum(len(piece[2]) for piece in pieces)
         level = self.level_for(size)
-        pieces = [piece]
         if level:
-            pieces = self.open[level].pop()
-            pieces.append(piece)
+            pieces = self.open[level].pop() + pieces
             self.levels[level] -= 1
             self.n_open -= 1
         if level + size == self.window:
+            self.filled += 1
             yield from self._close(pieces)
         else:
             self.open[level + size].append(pieces)
             self.levels[level + size] += 1
             self.n_open += 1
-            if self.n_open > self.max_open:
-                yield from self.drain(False)
 
     def add(self, doc, ids: np.ndarray) -> Iterator[tuple]:
         n, whole = len(ids), len(ids) - len(ids) % self.window
         for start in range(0, whole, self.window):
+            self.whole += 1
             yield from self._close([(doc, start, ids[start : start + self.window], n)])
         if n > whole:
-            yield from self._place((doc, whole, ids[whole:], n))
+            yield from self._place([(doc, whole, ids[whole:], n)])
+            if self.n_open > self.max_open:
+                yield from self.drain(False)
+
+    def _taken(self) -> list[list]:
+        """The open windows, from the fullest; none is open afterwards."""
+        taken = [pieces for level in reversed(self.open) for pieces in level]
+        self.open = [[] for _ in range(self.window)]
+        self.levels[:] = 0
+        self.n_open = 0
+        return taken
+
+    def _again(self) -> Iterator[tuple]:
+        """Places the open windows anew, as wholes and as single pieces in turn, until neither fills a window."""
+        idle, single = 0, False
+        while idle < 2 and self.n_open > 1:
+            before, held = self.filled, self._taken()
+            if single:
+                held = sorted(([piece] for pieces in held for piece in pieces), key=lambda p: -len(p[0][2]))
+            for pieces in held:
+                yield from self._place(pieces)
+            idle, single = (idle + 1 if self.filled == before else 0), not single
 
     def drain(self, last: bool) -> Iterator[tuple]:
-        """Strings open windows together and cuts them full; one window stays open, or closes at last."""
+        """Places open windows again; strings together what is left and cuts it full. One window stays open, or closes at last."""
+        yield from self._again()
         held, fill = [], 0
-        for pieces in (p for level in reversed(self.open) for p in level):
+        for pieces in self._taken():
             for doc, start, ids, n in pieces:
                 while fill + len(ids) >= self.window:
                     cut = self.window - fill
+                    self.cut += 1
                     yield from self._close([*held, (doc, start, ids[:cut], n)])
                     held, fill, start, ids = [], 0, start + cut, ids[cut:]
                 if len(ids):
                     held.append((doc, start, ids, n))
                     fill += len(ids)
-        self.open = [[] for _ in range(self.window)]
-        self.levels[:] = 0
-        self.n_open = 0
         if held and last:
             yield from self._close(held)
         elif held:
