@@ -453,18 +453,19 @@ def test_chat_round_trip(spark):
 # 8 ------------------------------------------------------------------------------------------------
 
 
-def leak_brute(docs, items):
+def leak_brute(docs, items, least=8):
     cut = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", lowered(t))
     found = set()
     for d, text in docs:
         a = cut(text)
         for i, passage in items:
             b = cut(passage)
-            if len(b) < 8:
+            if len(b) < least or not b:
                 continue
             need = min(20, len(b))
+            share = 0.8 if need >= 8 else 1
             for x in range(len(a) - need + 1):
-                if any(sum(p == q for p, q in zip(a[x : x + need], b[y : y + need])) >= 0.8 * need for y in range(len(b) - need + 1)):
+                if any(sum(p == q for p, q in zip(a[x : x + need], b[y : y + need])) >= share * need for y in range(len(b) - need + 1)):
                     found.add((d, i))
                     break
     return found
@@ -489,14 +490,35 @@ def test_leaks(spark, edges):
         rows.append((100 + k, words(rng, 40) + " " + " ".join(cut).title() + ", " + words(rng, 10)))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("item", F.lit(3)).withColumn("hash", F.lit(2))
     docs = docs_of(spark, rows + edge_rows())
-    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench, least=8).collect()}
     want = leak_brute(rows, items)
     assert got == want
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()} == leak_brute(rows + edge_rows(), items, 1) > want
     clean = decontam.drop_leaks(docs, bench)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, *_ in rows + edge_rows()} - {d for d, _ in got}
     assert decontam.leaks(empty(spark), bench).count() == 0 and decontam.leaks(docs, bench.filter("false")).count() == 0
 
 
+def test_leaks_of_short_items(spark):
+    """Items of one to seven words occur as they stand or not at all; each document counts once, at the first place."""
+    rng = random.Random(23)
+    names = ["ab", "cd", "ef"]
+    run = lambda n: " ".join(rng.choice(names) for _ in range(n))
+    items = [(n, run(n)) for n in range(1, 8)] + [(20, "ab"), (21, "AB"), (22, None), (23, " . "), (24, "zz"), (25, run(9))]
+    rows = [(k, run(rng.randint(0, 40))) for k in range(60)] + [(60, None), (61, ""), (62, "ab " * 5000), (63, "AB, cd. Ab"), (63, "ef"), (None, "ab")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.leaks(docs_of(spark, rows).repartition(3), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == leak_brute(rows, items, 1) and len(got) == len({(r.doc_id, r.item_id) for r in got})
+    texts = dict(rows[:60])
+    for r in got:
+        if r.doc_id is not None and r.doc_id < 60 and r.item_id < 8:
+            a, b = texts[r.doc_id].split(), items[r.item_id - 1][1].split()
+            assert (r.equal_words, r.stretch_words, r.similarity) == (len(b), len(b), 1.0)
+            assert r.first_word == next(x for x in range(len(a)) if a[x : x + len(b)] == b)
+    assert decontam.drop_leaks(docs_of(spark, rows[:5]), bench.filter("item_id < 8")).count() == 5
+    assert decontam.drop_leaks(docs_of(spark, rows), bench.filter("item_id = 1"), least=1).count() == len(rows) - sum(1 for r in rows if items[0][1] in re.findall("[a-z]+", (r[1] or "").lower()))
+
+
 # 9 ------------------------------------------------------------------------------------------------
 
 
