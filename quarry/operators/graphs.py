@@ -67,6 +67,28 @@ def orphan_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return left.union(right).distinct()
 
 
+def read_back(nodes: DataFrame, edges: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """(part, shape, problem, n): how much of a graph that was read back keeps its contract, by label or shape.
+
+    A node (labels, props) has one known label and only the property ``id``; an edge (a_labels, a, rel, b_labels, b, props)
+    joins nodes of one label each and has no properties. UNEXPECTED ones don't; of the others each is OK once, and further
+    copies are DUPLICATE. Nulls are unexpected.
+    """
+    one = lambda c: F.coalesce(F.size(c) == 1, F.lit(False))
+    good_node = one("labels") & F.coalesce(F.element_at("labels", 1).isin(*labels), F.lit(False)) & F.coalesce(F.map_keys("props") == F.array(F.lit("id")), F.lit(False))
+    good_node = good_node & F.col("props").getItem("id").isNotNull()
+    good_edge = one("a_labels") & one("b_labels") & F.coalesce(F.size("props") == 0, F.lit(False)) & F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("rel").isNotNull()
+    named = lambda c: F.coalesce(F.array_join(F.array_sort(c), "+", "?"), F.lit("?"))
+    shape = F.concat(named("a_labels"), F.lit("-"), F.coalesce("rel", F.lit("?")), F.lit("->"), named("b_labels"))
+    rows = nodes.select(F.lit("node").alias("part"), named("labels").alias("shape"), good_node.alias("good"), F.struct(F.col("props")["id"].cast("string").alias("a"), F.lit(None).cast("string").alias("b")).alias("key"))
+    rows = rows.unionByName(edges.select(F.lit("edge").alias("part"), shape.alias("shape"), good_edge.alias("good"), F.struct(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).alias("key")))
+    # Copies are counted in their tasks first; what is unexpected isn't told apart by key.
+    each = rows.groupBy("part", "shape", "good", F.when(F.col("good"), F.col("key")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    counts = F.array(F.struct(F.when(F.col("good"), "OK").otherwise("UNEXPECTED").alias("problem"), F.when(F.col("good"), 1).otherwise(F.col("n")).cast("long").alias("n")), F.struct(F.lit("DUPLICATE").alias("problem"), F.when(F.col("good"), F.col("n") - 1).otherwise(0).cast("long").alias("n")))
+    told = each.select("part", "shape", F.explode(counts).alias("c")).filter("c.n > 0")
+    return told.groupBy("part", "shape", "c.problem").agg(F.sum("c.n").alias("n"))
+
+
 def related(bridge: DataFrame, item: str, kind: str, value: str, kinds: Sequence[str], k: int = 3) -> DataFrame:
     """For each item the ``k`` items that share most kinds of values with it, never itself; ties by identifier.
 

@@ -330,20 +330,18 @@ def complete_link(members: DataFrame, group: str, order: str, vector: str, thres
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(order)
-        m = np.array(table.column(vector).to_pylist(), float).reshape(len(table), -1)
+        m = table.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(table), -1)
         norm = np.linalg.norm(m, axis=1)
         m = m / np.where(norm > 0, norm, 1)[:, None]
-        clusters: list[list[int]] = []
-        found = []
+        found, count = np.zeros(len(m), np.int32), 0
         for i in range(len(m)):
-            near = [float((m[c] @ m[i]).min()) for c in clusters]
-            best = int(np.argmax(near)) if near else -1
+            # What each cluster's least similar member has in common with this one.
+            near = np.full(count, np.inf)
+            np.minimum.at(near, found[:i], m[:i] @ m[i])
+            best = int(np.argmax(near)) if count else -1
             if best < 0 or near[best] < threshold:
-                clusters.append([i])
-                best = len(clusters) - 1
-            else:
-                clusters[best].append(i)
-            found.append(best)
+                best, count = count, count + 1
+            found[i] = best
         return pa.table({group: table.column(group), order: table.column(order), "cluster": pa.array(found, pa.int32())})
 
     kinds = {f.name: f.dataType.simpleString() for f in fields}

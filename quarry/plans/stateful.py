@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.operators import artifacts, discovery, evaluation, inverted, merkle, registers
+from quarry.operators import artifacts, bags, discovery, evaluation, graphs, inverted, merkle, registers
 from quarry.operators import retrieval as V
 from quarry.operators.graphs import alias_mentions, cut
 from quarry.plans.graphs import _aliases
 from quarry.plans.retrieval import _PLAIN, _docs, _items
 from quarry.plans.search import _FOUND
-from quarry.session import table
+from quarry.session import spread, table
 from quarry.streaming import calendar, leases, outbox
 
 QUERIES, ORACLES = {}, {}
@@ -269,6 +270,73 @@ def stale_shards(spark, d):
     return index.versions().select("shard", F.col("shard").isin(stale).alias("stale"), "version")
 
 
+# Bags of meanings ------------------------------------------------------------------------------------
+
+_HELD = r"regexp_matches(coalesce(text, ''), '\S')"
+_BAGGED = bags.Settings()
+
+
+def _edited(text):
+    """What became of the texts since: a word is written in capitals, and some end in blanks, which no sentence holds."""
+    return F.concat(F.replace(F.coalesce(text, F.lit("")), F.lit(" un "), F.lit(" UN ")), F.when(F.col("doc_id") % 9 == 0, "  \n").otherwise(""))
+
+
+@query("d13_stored_bags", f"""
+SELECT doc_id, CASE WHEN doc_id % 40 = 21 THEN 'MISSING' WHEN doc_id % 43 = 9 THEN 'ORPHAN' WHEN doc_id % 37 = 5 THEN 'SETTINGS' WHEN contains(text, ' un ') THEN 'SOURCE_CHANGED' ELSE 'VALID' END AS verdict
+FROM documents WHERE {_HELD} AND NOT (doc_id % 40 = 21 AND doc_id % 43 = 9)
+""")
+def stored_bags(spark, d):
+    """Bags are stored, some later with another threshold and some not at all; then texts change and vanish. The gravest verdict of each document."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    store = bags.BagStore(spark, _folder(spark, "bags"))
+    store.build(1, docs.filter("doc_id % 40 <> 21"), "source", "doc_id", "text", _BAGGED)
+    store.build(2, docs.filter("doc_id % 37 = 5 AND doc_id % 40 <> 21"), "source", "doc_id", "text", replace(_BAGGED, threshold=0.7))
+    live = docs.filter("doc_id % 43 <> 9").withColumn("text", _edited(F.col("text")))
+    found = store.verify(live, "source", "doc_id", "text", _BAGGED)
+    return bags.gravest(found, "unit").withColumnRenamed("unit", "doc_id")
+
+
+@query("t09_run_states", f"""
+WITH r AS (SELECT doc_id // 4 AS root, bool_or(contains(coalesce(text, ''), ' un ') OR doc_id % 9 = 0 OR doc_id % 29 = 3 OR text IS NULL) AS changed, bool_or(doc_id % 40 = 21 AND {_HELD}) AS lost, bool_or(doc_id % 97 = 11) AS twice, bool_or({_HELD}) AS held FROM documents GROUP BY 1)
+SELECT root, CASE WHEN root % 19 = 4 OR twice OR root % 17 = 2 OR NOT held THEN 'CONTENT_NOT_READY' WHEN root % 11 = 7 THEN 'NOT_STARTED' WHEN changed THEN 'STALE' WHEN root % 13 = 5 THEN 'RUNNING' WHEN root % 13 = 6 THEN 'FAILED' WHEN lost THEN 'STALE' ELSE 'READY' END AS state,
+  CASE WHEN root % 19 = 4 OR twice THEN 'CONTENT_NOT_READY' WHEN root % 17 = 2 OR NOT held THEN 'EMPTY_CONTENT' WHEN root % 11 = 7 THEN NULL WHEN changed THEN 'INDEX_SOURCE_CHANGED' WHEN root % 13 = 5 THEN NULL WHEN root % 13 = 6 THEN 'INDEX_LIMIT_EXCEEDED' WHEN lost THEN 'INDEX_ARTIFACT_INVALID' END AS code
+FROM r WHERE NOT (root % 19 = 4 AND root % 11 = 7)
+""")
+def run_states(spark, d):
+    """Four documents make a version. Runs are logged with the prints of what they read; then texts, sources and documents change."""
+    docs = spread(table(spark, d, "documents").select(F.expr("doc_id DIV 4").alias("root"), "doc_id", "text", "source"))
+    what = ("root", "doc_id", "text", ["source"], _BAGGED)
+    folder = _folder(spark, "runs")
+    store = bags.BagStore(spark, f"{folder}/store")
+    store.build(1, docs.filter("doc_id % 40 <> 21"), "root", "doc_id", "text", _BAGGED)
+    first = bags.input_prints(docs.filter("root % 11 <> 7"), *what).select("root", F.lit(1).alias("run"), F.lit("COMPLETED").alias("status"), "print", F.lit(None).cast("string").alias("error"))
+    first.write.mode("overwrite").parquet(f"{folder}/log/entry=1")
+    log = spark.read.schema(first.schema).parquet(f"{folder}/log/entry=1").filter("root % 13 IN (5, 6)")
+    failed = F.col("root") % 13 == 6
+    log.select("root", F.lit(2).alias("run"), F.when(failed, "FAILED").otherwise("RUNNING").alias("status"), "print", F.when(failed, "INDEX_LIMIT_EXCEEDED").alias("error")).write.mode("overwrite").parquet(f"{folder}/log/entry=2")
+    live = docs.filter("root % 19 <> 4").withColumn("text", F.when(F.col("root") % 17 != 2, _edited(F.col("text")))).withColumn("source", F.when(F.col("doc_id") % 29 == 3, "moved").otherwise(F.col("source")))
+    live = live.unionByName(live.filter("doc_id % 97 = 11"))
+    verdicts = store.verify(live, "root", "doc_id", "text", _BAGGED)
+    return bags.states(bags.input_prints(live, *what), spark.read.schema(first.schema).parquet(f"{folder}/log"), verdicts)
+
+
+@query("m19_contract", """
+WITH n AS (SELECT CASE WHEN c_acctbal > 9000 THEN 'Customer+Vip' ELSE 'Customer' END AS shape, c_acctbal <= 9000 AND c_mktsegment IS DISTINCT FROM 'BUILDING' AS good, c_custkey AS a, NULL AS b FROM customer),
+e AS (SELECT 'Order-CONTAINS->Part' AS shape, l_returnflag <> 'R' AS good, l_orderkey AS a, l_partkey AS b FROM lineitem), g AS (SELECT 'node' AS part, * FROM n UNION ALL SELECT 'edge', * FROM e)
+SELECT part, shape, 'UNEXPECTED' AS problem, count(*) AS n FROM g WHERE NOT good GROUP BY ALL UNION ALL SELECT part, shape, 'OK', count(DISTINCT (a, b)) FROM g WHERE good GROUP BY ALL
+UNION ALL SELECT part, shape, 'DUPLICATE', count(*) - count(DISTINCT (a, b)) FROM g WHERE good GROUP BY ALL HAVING count(*) > count(DISTINCT (a, b))
+""")
+def graph_contract(spark, d):
+    """Customers and the parts of orders, read back as a graph: some nodes have a second label or a name, returned items have a property, and orders repeat parts."""
+    own = F.create_map(F.lit("id"), F.col("c_custkey").cast("string"))
+    props = F.when(F.col("c_mktsegment") == "BUILDING", F.map_concat(own, F.create_map(F.lit("name"), F.col("c_name")))).otherwise(own)
+    nodes = table(spark, d, "customer").select(F.when(F.col("c_acctbal") > 9000, F.array(F.lit("Customer"), F.lit("Vip"))).otherwise(F.array(F.lit("Customer"))).alias("labels"), props.alias("props"))
+    empty = F.expr("CAST(map() AS map<string,string>)")
+    one = lambda label: F.array(F.lit(label))
+    edges = table(spark, d, "lineitem").select(one("Order").alias("a_labels"), F.col("l_orderkey").alias("a"), F.lit("CONTAINS").alias("rel"), one("Part").alias("b_labels"), F.col("l_partkey").alias("b"), F.when(F.col("l_returnflag") == "R", F.create_map(F.lit("flag"), F.lit("R"))).otherwise(empty).alias("props"))
+    return graphs.read_back(nodes, edges, ["Customer", "Order", "Part"])
+
+
 # Calendar slots -------------------------------------------------------------------------------------
 
 _PLANS = (
