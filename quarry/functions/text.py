@@ -137,6 +137,32 @@ def snippet(text: Column, tokens: Column, size: int = 400, phrase: Column | None
     return F.substring(text, let(casefold(text), cut), F.lit(size))
 
 
+def hit_snippet(text: Column, terms: Column, phrase: Column, size: int = 400) -> Column:
+    """F21 by tokens: ``size`` characters around the first place of the whole ``phrase`` (two tokens or more), else around
+    the first hit of the term that is hit least, the earlier of equal ones, else the text's start; a quarter lies before.
+
+    A token is hit by a term that it equals or that is one of its runs of letters. Places are those in the text as it is written.
+    """
+    token = f"(?i)({TOKEN})"
+    whole = F.coalesce(text, F.lit(""))
+    parts = F.struct(F.regexp_extract_all(whole, F.lit(token), F.lit(1)).alias("raw"), F.split(whole, token, -1).alias("gaps"))
+    none = F.expr("CAST(array() AS array<int>)")
+
+    def place(x: Column) -> Column:
+        words, n = x.getField("words"), F.size(x.getField("raw"))
+        numbers = lambda last: F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(none)
+        before = lambda i: F.char_length(F.array_join(F.slice(x.getField("gaps"), F.lit(1), i), "")) + F.char_length(F.array_join(F.slice(x.getField("raw"), F.lit(1), i - 1), ""))
+        whole_at = F.filter(numbers(n - F.size(phrase) + 1), lambda i: F.slice(words, i, F.size(phrase)) == phrase)
+        exact = F.when(F.size(phrase) > 1, F.get(whole_at, F.lit(0)))
+        hit = lambda word, term: (word == term) | F.array_contains(F.regexp_extract_all(word, F.lit(r"(\p{L}+)"), F.lit(1)), term)
+        hits = F.transform(terms, lambda term: let(F.filter(numbers(n), lambda i: hit(F.get(words, i - 1), term)), lambda at: F.struct(F.size(at).alias("n"), F.get(at, F.lit(0)).alias("at"), F.position(term, F.get(words, F.get(at, F.lit(0)) - 1)).alias("within"))))
+        best = F.array_min(F.filter(hits, lambda h: h.getField("n") > 0))
+        return F.coalesce(let(exact, before), let(best, lambda h: before(h.getField("at")) + h.getField("within") - 1), F.lit(0))
+
+    folded = let(parts, lambda x: F.struct(x.getField("raw").alias("raw"), x.getField("gaps").alias("gaps"), F.transform(x.getField("raw"), casefold).alias("words")))
+    return F.substring(text, F.greatest(let(folded, place) - size // 4, F.lit(0)) + 1, F.lit(size))
+
+
 def valid_vector(vector: Column, dimension: int) -> Column:
     """of the dimension, finite throughout and not all zero."""
     finite = F.forall(vector, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))

@@ -50,8 +50,10 @@ def index(docs: DataFrame, doc: str, tokens: str, terms: DataFrame, title_tokens
         return F.concat(F.array(entry(F.lit(None).cast("string"), 0)), F.transform(x.getField("title"), lambda t: entry(t, 1)), F.transform(x.getField("body"), lambda t: entry(t, 0)))
 
     rows = docs.select(F.col(doc).alias("doc"), F.explode(X.let(both, entries)).alias("e")).select("doc", "e.*")
-    wanted = terms.select("term").distinct().withColumn("wanted", F.lit(True))
-    kept = rows.join(wanted, "term", "left").filter("wanted OR term IS NULL")
+    # A document's own row has a key that no term has, so that such rows don't meet under one where the join has to shuffle.
+    rows = rows.withColumn("key", F.coalesce("term", F.concat(F.lit("\0"), F.col("doc").cast("string"))))
+    wanted = terms.select(F.col("term").alias("key")).distinct().withColumn("wanted", F.lit(True))
+    kept = rows.join(wanted, "key", "left").filter("wanted OR term IS NULL")
     return cut(kept.groupBy("doc", "len", "term").agg(F.count(F.lit(1)).alias("tf"), F.sum("title").alias("title_tf")))
 
 

@@ -163,6 +163,27 @@ def root_snippets(spark, d):
     return best.join(chunks.select("doc_id", "seq", "line"), ["doc_id", "seq"]).select("query", "doc_id", "seq", F.substring(F.trim("line"), 1, 400).alias("snippet"), "concepts", "coverage")
 
 
+_TOKENS = r"'(?i)c\+\+|c#|\.net\b|\p{Nd}+(?:\.\p{Nd}+)+|[\p{L}\p{N}]+'"
+
+
+@query("f21_item_snippets", _PLAIN + rf""", best AS (SELECT query, doc FROM r WHERE rank = 1),
+x AS (SELECT query, d.text, regexp_extract_all(d.text, {_TOKENS}) AS raw, regexp_split_to_array(d.text, {_TOKENS}) AS gap, {tok('b.text')} AS p FROM best JOIN documents d ON d.doc_id = doc JOIN benchmark b ON b.item_id = query),
+w AS (SELECT query, i, replace(lower(raw[i]), 'ß', 'ss') AS w, sum(length(gap[i]) + coalesce(length(raw[i - 1]), 0)) OVER (PARTITION BY query ORDER BY i) AS place FROM (SELECT *, unnest(range(1, len(raw) + 1)) AS i FROM x)),
+h AS (SELECT query, term, i, place + instr(w, term) - 1 AS place FROM w JOIN q ON item_id = query AND (w = term OR list_contains(regexp_extract_all(w, '\p{{L}}+'), term))),
+c AS (SELECT query, arg_min(place, i) AS place, count(*) AS n, min(i) AS i, term FROM h GROUP BY query, term), k AS (SELECT query, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n, i, place) AS k FROM c) WHERE k = 1),
+l AS (SELECT query, list(w ORDER BY i) AS l FROM w GROUP BY 1), e AS (SELECT query, min(i) AS i FROM (SELECT query, p, l, unnest(range(1, len(l) - len(p) + 2)) AS i FROM x JOIN l USING (query) WHERE len(p) > 1) WHERE l[i:i + len(p) - 1] = p GROUP BY 1)
+SELECT x.query, e.i IS NOT NULL AS whole, substr(text, greatest(coalesce(w.place, k.place, 0) - 100, 0)::BIGINT + 1, 400) AS snippet FROM x LEFT JOIN e USING (query) LEFT JOIN w ON w.query = x.query AND w.i = e.i LEFT JOIN k ON k.query = x.query""")
+def item_snippets(spark, d):
+    """For each item, its best document around the item's whole text if it is there (``whole``), else around the rarest of its terms that is."""
+    docs = _docs(spark, d)
+    items = _items(spark, d)
+    best = V.top(V.bm25(docs, V.query_terms(items, "item_id", "tokens"), "doc_id", "tokens"), ["query"], 1).select("query", F.col("doc").alias("doc_id"))
+    asked = best.join(items.withColumnsRenamed({"item_id": "query", "tokens": "phrase"}), "query").join(docs.select("doc_id", "text", "tokens"), "doc_id")
+    terms = F.array_except(F.array_distinct("phrase"), F.array(*(F.lit(w) for w in X.QUERY_STOPWORDS)))
+    whole = X.contains_phrase(F.col("tokens"), F.col("phrase")) & (F.size("phrase") > 1)
+    return asked.select("query", whole.alias("whole"), X.hit_snippet(F.col("text"), terms, F.col("phrase")).alias("snippet"))
+
+
 #: Documents of the stated query set ask by their first line, and by their vector where they have one.
 _TITLES = "(SELECT doc_id AS query, split_part(coalesce(text, ''), chr(10), 1) AS title FROM documents WHERE doc_id % 100 = 0)"
 

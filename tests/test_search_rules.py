@@ -6,6 +6,7 @@ import stat
 import zipfile
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
@@ -270,3 +271,44 @@ def test_sequences_go_on_and_end(spark, tmp_path):
     assert got(0, first) == got(0, first) == {("a", 3): 1, ("a", 5): 2, ("a", 9): 3, ("b", 1): 1}
     assert got(1, ask(*(("a", k) for k in range(6)), ("c", 1))) == {("a", 0): 4, ("a", 1): 5, ("a", 2): 6, ("a", 3): 7, ("a", 4): None, ("a", 5): None, ("c", 1): 1}
     assert got(2, ask(("a", 1), ("b", 7))) == {("a", 1): None, ("b", 7): 2}
+
+
+def _plain_snippet(text, terms, phrase, size):
+    found = [(m.start(), m[0].lower().replace("ß", "ss")) for m in regex.finditer(X.TOKEN, text or "", regex.I)]
+    words = [w for _, w in found]
+    at = next((found[i][0] for i in range(len(words) - len(phrase) + 1) if words[i : i + len(phrase)] == phrase), None) if len(phrase) > 1 else None
+    if at is None:
+        hits = {t: [start + w.index(t) for start, w in found if t == w or t in regex.findall(r"\p{L}+", w)] for t in terms}
+        at = min(((len(h), h[0]) for h in hits.values() if h), default=(0, 0))[1]
+    return None if text is None else text[max(0, at - size // 4) :][:size]
+
+
+def test_snippets_follow_tokens(spark):
+    filler = "Over and over, the river ran; " * 4
+    cases = [
+        (filler + "A stone in the river. Stones? " + filler, ["stone", "river"], ["stone", "river"]),  # "Stones" is no hit, and one stone is rarer than nine rivers
+        (filler + "River stone! " + filler, ["river", "stone"], ["river", "stone"]),  # the whole phrase, not the first river
+        (filler + "the STRASSE and Straße " + filler, ["strasse", "over"], ["none"]),  # folded alike, places as written
+        (filler + "room b12 or 7up " + filler, ["up", "b"], []), (filler + "up7b" + filler, ["b", "up"], []),  # runs of letters within tokens
+        (filler + "C++ and c# in .NET 3.14 " + filler, ["c#", "3.14"], ["c++", "and"]),
+        ("short", ["missing"], ["also", "missing"]), ("", ["x"], ["x"]), (None, ["x"], []), (filler, [], ["over"]), ("é à " * 50 + "x", ["x"], ["x"]),
+        ("the fan and an ant " + filler + " an", ["an"], ["an"]),  # an old count of characters would find "an" in "fan"
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, text string, terms array<string>, phrase array<string>")
+    for size in (20, 61):
+        got = {r.i: r.s for r in rows.select("i", X.hit_snippet(F.col("text"), F.col("terms"), F.col("phrase"), size).alias("s")).collect()}
+        assert got == {i: _plain_snippet(*c, size) for i, c in enumerate(cases)}
+
+
+def test_index_of_documents_without_terms(spark):
+    """Rows of documents and of terms keep apart even if identifiers look like terms, broadcast or not."""
+    docs = spark.createDataFrame([("river", ["stone", "river"]), ("stone", []), ("x", ["river", "river"]), (None, ["stone"])], "doc string, tokens array<string>")
+    terms = spark.createDataFrame([("q", "river"), ("q", "none")], "query string, term string")
+    want = {("river", 2, None, 1), ("river", 2, "river", 1), ("stone", 0, None, 1), ("x", 2, None, 1), ("x", 2, "river", 2), (None, 1, None, 1)}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in (before, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            assert {(r.doc, r.len, r.term, r.tf) for r in V.index(docs, "doc", "tokens", terms).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
