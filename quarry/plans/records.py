@@ -98,6 +98,16 @@ def text_units(spark, d):
     return units.select("item_id", F.row_number().over(Window.partitionBy("item_id").orderBy("seq")).alias("unit"), F.col("text").alias("line"))
 
 
+@query("src22_split_lines", "SELECT chunk, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, i) - 1 AS seq, md5(line) AS digest FROM (SELECT doc_id // 100 AS chunk, doc_id, i, l[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)) QUALIFY trim(line) <> ''")
+def split_lines(spark, d):
+    """All documents, a hundred a file, read back by lines with their numbers in the file."""
+    folder = _folder(spark, "lines")
+    docs = table(spark, d, "documents").select(F.expr("doc_id DIV 100").alias("chunk"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    docs.repartitionByRange("chunk").sortWithinPartitions("chunk", "doc_id").select("chunk", "value").write.partitionBy("chunk").text(folder)
+    lines = files.numbered_lines(spark, folder).filter("trim(text) <> ''")
+    return lines.select(F.regexp_extract("path", r"chunk=(\d+)", 1).cast("long").alias("chunk"), "seq", F.md5("text").alias("digest"))
+
+
 @query("src23_csv_units", "SELECT 'C1: ' || s_suppkey || ' | C2: ' || s_name || ' | C3: ' || s_nationkey AS unit FROM supplier")
 def csv_units(spark, d):
     folder = _folder(spark, "csv")

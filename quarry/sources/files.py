@@ -48,12 +48,25 @@ def complete(df: DataFrame, key: str, known: DataFrame, known_key: str) -> DataF
     return df.join(known.withColumnRenamed(known_key, key), key, "left")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, seq, text): the lines of text files, numbered from 0 in each file; LF, CR LF and CR end lines, a byte order mark is dropped.
+
+    Files are read in splits, so one of any size is many tasks' work and no line is shuffled: a split's lines have
+    consecutive ids, which become numbers once the lines of the splits before it are counted. The counting reads the files first.
+    """
+    # Both reads share one listing of the files, hence the same splits and ids.
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    splits = lines.groupBy("path", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")
+    begins = splits.select("path", "block", (before - F.col("first")).alias("shift"))
+    placed = lines.join(begins, ["path", "block"]).withColumn("seq", F.col("id") + F.col("shift"))
+    return placed.select("path", "seq", F.when(F.col("seq") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")).alias("text"))
+
+
 def text_units(spark: SparkSession, path: str) -> DataFrame:
-    """SRC22: a unit for every line that isn't blank, with its line number; a byte order mark is dropped."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    clean = F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), r"\r\n?", "\n")
-    lines = whole.select("path", F.posexplode(F.split(clean, "\n")).alias("seq", "text"))
-    return lines.filter("trim(text) <> ''").select("path", F.col("seq").cast("long").alias("seq"), F.concat(F.lit("L"), (F.col("seq") + 1).cast("string")).alias("locator"), F.lit(None).cast("int").alias("level"), "text")
+    """SRC22: a unit for every line that isn't blank, with its line number."""
+    lines = numbered_lines(spark, path).filter("trim(text) <> ''")
+    return lines.select("path", "seq", F.concat(F.lit("L"), (F.col("seq") + 1).cast("string")).alias("locator"), F.lit(None).cast("int").alias("level"), "text")
 
 
 def sniffed_delimiter(sample: Column) -> Column:

@@ -128,3 +128,25 @@ def test_streamed_slots(spark, tmp_path):
     run = counted.writeStream.format("memory").queryName("slots_seen").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
     run.awaitTermination()
     assert spark.table("slots_seen").agg(F.sum("events")).first()[0] >= 9
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    """Files of every line end, cut into splits of a few bytes, some within a line end, some without any line."""
+    texts = {"a": "\ufeffone\r\ntwo\r\n\r\nthree é\r\n", "b": "x" * 90 + "\n\n" + "y\n" * 40, "c": "\rold\rmac", "d": "", "e": "\n\n\n", "f": "last without end", "g": "\ufeff", "h": "mid \ufeff mark\n\ufeffkept"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.txt").write_bytes(text.encode())
+    want = set()
+    for name, text in texts.items():
+        lines = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+        want |= {(f"{name}.txt", i, line) for i, line in enumerate(lines) if line.strip(" ")}
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (7, 64, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "0" if size == 64 else "4")
+            rows = files.text_units(spark, f"file://{tmp_path}").collect()
+            assert len(rows) == len(want) and {(r.path.rsplit("/", 1)[1], r.seq, r.text) for r in rows} == want
+            assert all(r.locator == f"L{r.seq + 1}" for r in rows)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
