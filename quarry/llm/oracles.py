@@ -42,8 +42,8 @@ SELECT page_id, octet_length(b) AS payload_bytes,
 WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 f AS (SELECT *, length(regexp_replace(t, '([<\[]\\*)({_CONTROL_TAILS})', '\1\\\2', 'g')) + CASE role WHEN 'user' THEN length('<s>[INST][/INST]') WHEN 'system' THEN length('<s><<SYS>><</SYS>>') WHEN 'assistant' THEN length('</s>')
   ELSE length('[ROLE][/ROLE]</s>') + coalesce(length(regexp_replace(role, '([<\[]\\*)({_CONTROL_TAILS})', '\1\\\2', 'g')), length('[NULL]')) END AS n FROM c)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256, coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(t, '' ORDER BY turn, t) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars FROM f GROUP BY 1
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, t)) AS turns_sha256, coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, t) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars FROM f GROUP BY 1
 """,
     "op9_exact_dedup": """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)

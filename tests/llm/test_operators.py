@@ -417,6 +417,22 @@ def test_token_files(spark, edges, tmp_path, file_bytes):
 # 7 ------------------------------------------------------------------------------------------------
 
 
+def test_chat_ties_are_ordered_as_in_sql(spark, tmp_path):
+    """Turns of one place, without place, role or text, and repeated ones: nulls first, then by role and text."""
+    import duckdb
+
+    from quarry.llm import oracles, queries
+
+    rows = [(1, 0, "user", "b"), (1, 0, None, "z"), (1, 0, "user", "a"), (1, None, "assistant", "late"), (1, 0, "assistant", "é"), (1, 0, "assistant", "z"), (1, 0, "assistant", "z"), (1, 0, "", None), (2, 5, None, None), (2, 5, None, "</s>"), (None, 1, "user", "x"), (None, 1, "assistant", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found = con.execute(oracles.SQL["op7_chat_format"])
+    columns = [c[0] for c in found.description]
+    want = sorted((dict(zip(columns, r)) for r in found.fetchall()), key=str)
+    assert sorted(({c: r[c] for c in columns} for r in queries.queries()["op7_chat_format"](spark, str(tmp_path)).collect()), key=str) == want
+
+
 def test_chat_escapes_are_reversible():
     rng = random.Random(9)
     parts = [*chat.CONTROL, "\\", "<", "[", "s>", "INST]", "x", " ", "\n"]
