@@ -9,12 +9,13 @@ import uuid
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.functions import text as X
+from quarry.operators.runs import bit_set, runs_in
 
 _own: list[str] = []
 
@@ -36,6 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
+    """``df`` worked out and counted; it travels to the other side of a join only if it has no more than ``rows`` rows."""
+    made = cut(df)
+    return F.broadcast(made) if made.count() <= rows else made
+
+
 def ancestors_all(tree: DataFrame, node: str, parent: str, allowed: Column, rounds: int = 40) -> DataFrame:
     """(node, allowed, cyclic): whether the node and all its ancestors are allowed.
 
@@ -125,31 +132,29 @@ def outline_parents(units: DataFrame, group: str, order: str, level: str, levels
 def alias_mentions(docs: DataFrame, doc: str, tokens: Column, aliases: DataFrame, longest: int = 3) -> DataFrame:
     """(doc, at, alias, concept): dictionary aliases leftmost first, the longest that begins there, none overlapping.
 
-    ``at`` counts tokens from 1. Runs of tokens meet the dictionary (alias, concept) by equality; which of a
+    ``at`` counts tokens from 1. Runs of tokens meet the dictionary (alias, concept) by equality, those that a bit set lets through where they stand; which of a
     document's mentions stay is told in their order.
     """
 
-    def of(t: Column, n: int) -> Column:
-        at = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.expr("CAST(array() AS array<int>)"))
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(t, i, F.lit(n)), " ").alias("alias")))
-
-    grams = docs.select(F.col(doc).alias("doc"), F.explode(X.let(tokens, lambda t: F.flatten(F.array(*(of(t, n) for n in range(1, longest + 1)))))).alias("g"))
-    met = grams.select("doc", "g.at", "g.n", "g.alias").join(aliases.select("alias", "concept"), "alias")
+    grams = runs_in(docs.select(F.col(doc).alias("doc"), tokens.alias("t")), ["doc"], "t", bit_set(aliases, "alias"), 1, longest)
+    met = grams.select("doc", "at", "n", F.col("gram").alias("alias")).join(aliases.select("alias", "concept"), "alias")
     listed = met.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("at", (-F.col("n")).alias("n"), "alias", "concept"))).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):
-                mentions = batch.column(1)[i].values
-                at, n = (mentions.field(f).to_numpy() for f in ("at", "n"))
-                kept, end, last = [], 0, None
-                for k, (begin, size) in enumerate(zip(at.tolist(), (-n).tolist())):
-                    if begin >= end or (begin, size) == last:  # an alias of several concepts is each of them
-                        kept.append(k)
-                        end, last = begin + size, (begin, size)
-                kept = pa.array(kept)
-                names = pa.array([batch.column(0)[i].as_py()] * len(kept), batch.schema.field(0).type)
-                yield pa.RecordBatch.from_arrays([names, mentions.field("at").take(kept), mentions.field("alias").take(kept), mentions.field("concept").take(kept)], names=["doc", "at", "alias", "concept"])
+            mentions = batch.column(1).flatten()
+            at, n = (mentions.field(f).to_numpy() for f in ("at", "n"))
+            sizes = batch.column(1).value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(batch)), sizes)
+            kept, end, last, of = [], 0, None, -1
+            for k, (i, begin, size) in enumerate(zip(row.tolist(), at.tolist(), (-n).tolist())):
+                if i != of:
+                    end, last, of = 0, None, i
+                if begin >= end or (begin, size) == last:  # an alias of several concepts is each of them
+                    kept.append(k)
+                    end, last = begin + size, (begin, size)
+            kept = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row).take(kept)), *(mentions.field(f).take(kept) for f in ("at", "alias", "concept"))], names=["doc", "at", "alias", "concept"])
 
     kinds = docs.schema[doc].dataType.simpleString(), aliases.schema["concept"].dataType.simpleString()
     return listed.mapInArrow(run, f"doc {kinds[0]}, at int, alias string, concept {kinds[1]}").withColumnRenamed("doc", doc)
