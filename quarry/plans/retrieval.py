@@ -180,11 +180,11 @@ def valid(spark, d):
 
 @query("f26_binary_score", f"""
 WITH t AS (SELECT doc_id, list_distinct({tok('text')}) AS t FROM documents), q AS (SELECT item_id, list_distinct({tok('text')}) AS q FROM benchmark),
-p AS (SELECT item_id, doc_id, len(list_intersect(t, q)) AS shared, len(t) AS n, len(q) AS m FROM q JOIN t ON list_has_any(t, list_filter(q, lambda w: NOT list_contains({_STOP}, w)))), s AS (SELECT item_id, doc_id, round(shared / sqrt(n * m), 6) AS score FROM p)
+p AS (SELECT item_id, doc_id, len(list_intersect(t, q)) AS shared, len(t) AS n, len(q) AS m FROM q JOIN t ON list_has_any(t, q)), s AS (SELECT item_id, doc_id, round(shared / sqrt(n * m), 6) AS score FROM p)
 SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM s) WHERE k <= 20
 """)
 def binary_score(spark, d):
-    best = V.binary_scores(_items(spark, d), _docs(spark, d), "item_id", "doc_id", "tokens", 20)
+    best = V.binary_scores(_items(spark, d), _docs(spark, d), "item_id", "doc_id", "tokens", 20, all_tokens=True)
     return best.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "score")
 
 
