@@ -324,6 +324,22 @@ def max_sim(queries: DataFrame, base: DataFrame, query: str, doc: str, key: str,
     return best.groupBy("query", "doc").agg(F.round(F.avg("best"), 6).alias("score"))
 
 
+def linked(m: np.ndarray, threshold: float) -> np.ndarray:
+    """Greedy complete-link clusters of the rows of ``m``, taken in order."""
+    norm = np.linalg.norm(m, axis=1)
+    m = m / np.where(norm > 0, norm, 1)[:, None]
+    found, count = np.zeros(len(m), np.int32), 0
+    for i in range(len(m)):
+        # What each cluster's least similar member has in common with this one.
+        near = np.full(count, np.inf)
+        np.minimum.at(near, found[:i], m[:i] @ m[i])
+        best = int(np.argmax(near)) if count else -1
+        if best < 0 or near[best] < threshold:
+            best, count = count, count + 1
+        found[i] = best
+    return found
+
+
 def complete_link(members: DataFrame, group: str, order: str, vector: str, threshold: float = 0.8) -> DataFrame:
     """Greedy complete-link clusters of each group's members, taken in order.
 
@@ -336,17 +352,7 @@ def complete_link(members: DataFrame, group: str, order: str, vector: str, thres
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(order)
         m = table.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(table), -1)
-        norm = np.linalg.norm(m, axis=1)
-        m = m / np.where(norm > 0, norm, 1)[:, None]
-        found, count = np.zeros(len(m), np.int32), 0
-        for i in range(len(m)):
-            # What each cluster's least similar member has in common with this one.
-            near = np.full(count, np.inf)
-            np.minimum.at(near, found[:i], m[:i] @ m[i])
-            best = int(np.argmax(near)) if count else -1
-            if best < 0 or near[best] < threshold:
-                best, count = count, count + 1
-            found[i] = best
+        found = linked(m, threshold)
         return pa.table({group: table.column(group), order: table.column(order), "cluster": pa.array(found, pa.int32())})
 
     kinds = {f.name: f.dataType.simpleString() for f in fields}

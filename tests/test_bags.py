@@ -130,3 +130,13 @@ def test_graph_contract(spark):
         ("edge", "A-HAS->B", "OK"): 2, ("edge", "A-HAS->B", "DUPLICATE"): 1, ("edge", "A-IN->B", "OK"): 1, ("edge", "A-HAS->B", "UNEXPECTED"): 3, ("edge", "A+B-HAS->B", "UNEXPECTED"): 1, ("edge", "A-HAS->?", "UNEXPECTED"): 1,
     }
     assert graphs.read_back(n.limit(0), e.limit(0), ["A"]).collect() == []
+
+
+def test_texts_and_vectors_are_not_shuffled(spark, built):
+    """What the check of stored bags shuffles are digests, each as long as any other."""
+    plan = built.verify(units(spark), *ASK)._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanged and "MapInArrow" not in plan and "FlatMapGroupsInArrow" not in plan
+    assert "Exchange hashpartitioning(bag" in plan and "Window" not in plan and "LeftSemi" in plan
+    reads = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert sum("vector" in line for line in reads) == 1  # members are read once
