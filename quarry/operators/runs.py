@@ -147,3 +147,23 @@ def counted(rows: DataFrame, key: str, tokens: str, title: str | None, known: by
     whole = F.concat(title, tokens) if title else F.col(tokens)
     asked = rows.select(F.col(key).alias("doc"), whole.alias("t"), (F.size(title) if title else F.lit(0)).alias("head"))
     return asked.mapInArrow(run, f"doc {rows.schema[key].dataType.simpleString()}, len int, term string, tf long, title_tf long")
+
+
+def kept(rows: DataFrame, key: str, columns: Sequence[str], known: bytes) -> DataFrame:
+    """(key, columns, size of each column): of lists of tokens those that the set lets through, in their order, and how many there were."""
+    spread = rows.sparkSession.sparkContext.broadcast(known)  # of fixed size
+    sizes = [f"{c}_size" for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(spread.value, np.uint8)
+        for batch in batches:
+            made = []
+            for i in range(len(columns)):
+                t = _Tokens(batch.column(i + 1))
+                on = _within(held, _longer(np.zeros(len(t.codes), np.uint64), t.codes))[t.ids]
+                ends = np.cumsum(np.bincount(t.rows[on], minlength=len(batch))).astype(np.int32)
+                made.append((pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), ends)), batch.column(i + 1).flatten().filter(pa.array(on))), pa.array(t.sizes, pa.int32())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(m[0] for m in made), *(m[1] for m in made)], names=[key, *columns, *sizes])
+
+    kinds = [f"{key} {rows.schema[key].dataType.simpleString()}", *(f"{c} array<string>" for c in columns), *(f"{c} int" for c in sizes)]
+    return rows.select(key, *columns).mapInArrow(run, ", ".join(kinds))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.operators import placed as P
 from quarry.operators import retrieval as V
 from quarry.operators import search as S
 from quarry.operators.graphs import alias_mentions, cut
@@ -249,9 +250,10 @@ def hybrid_search(spark, d):
     docs = _docs(spark, d)
     typed = _titles(spark, d).select("query", X.surface_tokens(X.fold(F.col("text"))).alias("tokens"))
     terms = cut(V.query_terms(typed, "query", "tokens"))
-    spelled = cut(S.spelled_alike(terms, docs.select(F.explode("tokens").alias("term")).distinct()))
-    found = V.index(docs, "doc_id", "tokens", spelled)
-    return S.hybrid(V.scores(found, terms), _dense(spark, d), V.scores(found, spelled), 10)
+    stats = P.statistics(docs, "tokens")
+    spelled = cut(S.spelled_alike(terms, stats.select("term").filter("term IS NOT NULL")))
+    lexical = P.Branch(docs, "doc_id", "tokens", terms, spelled, S.VARIANT_WEIGHT, stats)
+    return P.fused([lexical], [_neighbours(spark, d, 50).select("query", "doc", "rank")], 10)
 
 
 #: Sentences of every form, some negated, with terms of ``part`` and accents where p_size is odd.
