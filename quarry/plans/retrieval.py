@@ -8,7 +8,10 @@ from pyspark.sql.window import Window
 from quarry.functions import text as X
 from quarry.operators import evaluation as E
 from quarry.operators import lexical as L
+from quarry.operators import placed as P
 from quarry.operators import retrieval as V
+from quarry.operators.graphs import cut
+from quarry.operators.runs import bit_set, kept
 from quarry.session import spread, table
 
 QUERIES, ORACLES = {}, {}
@@ -109,8 +112,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query, field ORDER BY score DESC
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM u) WHERE rank <= 10""")
 def field_rrf(spark, d):
     docs, terms = _docs(spark, d), V.query_terms(_items(spark, d), "item_id", "tokens")
-    fields = [V.ranked(V.bm25(docs, terms, "doc_id", c), ["query"]).withColumn("branch", F.lit(n)) for n, c in (("title", "title_tokens"), ("body", "tokens"))]
-    return V.top(V.rrf(fields[0].unionByName(fields[1])), ["query"], 10)
+    fields = ["title_tokens", "tokens"]
+    # Texts are tokenised once; what items want of them is written out.
+    found = cut(kept(docs, "doc_id", fields, bit_set(terms.select("term").distinct(), "term")))
+    return P.fused([P.Branch(found, "doc_id", c, terms, size=f"{c}_size") for c in fields], [], 10)
 
 
 @query("x17_candidates", f"WITH t AS (SELECT doc_id, {tok('text')} AS t FROM documents), q AS (SELECT item_id, list_filter(list_distinct({tok('text')}), lambda w: NOT list_contains({_STOP}, w)) AS w FROM benchmark) SELECT item_id AS query, count(*) AS candidates FROM q JOIN t ON list_has_any(t, w) GROUP BY 1")
