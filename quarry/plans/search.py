@@ -11,7 +11,7 @@ from quarry.operators import search as S
 from quarry.operators.graphs import alias_mentions, cut
 from quarry.plans.graphs import _ALIASES, _aliases
 from quarry.plans.retrieval import _KNN, _PLAIN, _STOP, _docs, _items, _lines, _neighbours, tok
-from quarry.session import table
+from quarry.session import spread, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -281,4 +281,4 @@ u AS (SELECT * FROM f UNION ALL SELECT p_partkey, 'labelled', whole, m[i][2], m[
 SELECT DISTINCT * FROM s WHERE term <> other AND (form <> 'spelling' OR (NOT regexp_matches(other, '[^\x00-\x7F]') AND regexp_matches(term, '[^\x00-\x7F]') AND strip_accents(term) = other))
 """)
 def stated_pairs(spark, d):
-    return S.stated_pairs(table(spark, d, "part").select("p_partkey", F.expr(_STATED.replace("chr(10)", "'\\n'")).alias("x")), "p_partkey", "x")
+    return S.stated_pairs(spread(table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")).select("p_partkey", F.expr(_STATED.replace("chr(10)", "'\\n'")).alias("x")), "p_partkey", "x")
