@@ -14,6 +14,7 @@ from quarry.operators import relational as R
 from quarry.operators import retrieval as V
 from quarry.operators import spans as P
 from quarry.operators import sync as S
+from quarry.operators.graphs import small
 from quarry.plans.graphs import _EDGES, _aliases, _edges
 from quarry.plans.retrieval import _FOLD, _KSTOP, _PLAIN, _STOP, _docs, _items, _lines, tok
 from quarry.plans.search import _FOUND
@@ -461,7 +462,8 @@ SELECT query, doc, term, place FROM (SELECT query, doc, w.term, place, row_numbe
 def evidence_rows(spark, d):
     docs, terms = _docs(spark, d), V.query_terms(_items(spark, d), "item_id", "tokens")
     best = V.top(V.bm25(docs, terms, "doc_id", "tokens"), ["query"], 3).select("query", F.col("doc").alias("doc_id"))
-    rows = docs.join(best, "doc_id").select("query", F.col("doc_id").alias("doc"), F.posexplode("tokens").alias("place", "term")).join(terms, ["query", "term"])
+    # The few best documents travel to the texts, which stay where they lie.
+    rows = docs.join(small(best), "doc_id").select("query", F.col("doc_id").alias("doc"), F.posexplode("tokens").alias("place", "term")).join(small(terms), ["query", "term"])
     return R.latest_by(rows.withColumn("place", F.col("place").cast("long") + 1), ["query", "doc"], [F.col("place")], 64, "k").select("query", "doc", "term", "place")
 
 
