@@ -8,7 +8,7 @@ from quarry.functions import text as X
 from quarry.operators import placed as P
 from quarry.operators import retrieval as V
 from quarry.operators import search as S
-from quarry.operators.graphs import alias_mentions, cut
+from quarry.operators.graphs import alias_mentions, cut, small
 from quarry.plans.graphs import _ALIASES, _aliases
 from quarry.plans.retrieval import _KNN, _PLAIN, _STOP, _docs, _items, _lines, _neighbours, tok
 from quarry.session import spread, table
@@ -141,12 +141,15 @@ z AS (SELECT *, row_number() OVER (PARTITION BY query, doc ORDER BY exact DESC,
 
 def _contexts(spark, d, k):
     """The best line of each item's ``k`` best documents, with the concepts that items and lines share as evidence."""
-    items, chunks = _items(spark, d), cut(_chunks(spark, d))
+    items = _items(spark, d)
     best = V.top(V.bm25(_docs(spark, d), V.query_terms(items, "item_id", "tokens"), "doc_id", "tokens"), ["query"], k)
-    asked = cut(best.select("query", F.col("doc").alias("doc_id")))
+    asked = small(best.select("query", F.col("doc").alias("doc_id")))
+    # The few best documents travel to the texts; only their lines are cut and written out.
+    lines = spread(table(spark, d, "documents").select("doc_id", "text")).join(small(asked.select("doc_id").distinct()), "doc_id", "left_semi")
+    chunks = cut(lines.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("seq", "line")).withColumn("tokens", X.surface_tokens(F.col("line"))))
     aliases = cut(_aliases(spark, d))
     named = S.recognised(items, "item_id", F.col("tokens"), aliases).select("query", "concept").distinct()
-    mine = chunks.join(asked.select("doc_id").distinct(), "doc_id").select(F.struct("doc_id", "seq").alias("chunk"), "tokens")
+    mine = chunks.select(F.struct("doc_id", "seq").alias("chunk"), "tokens")
     held = alias_mentions(mine, "chunk", F.col("tokens"), aliases).select("chunk.doc_id", "chunk.seq", "concept").distinct()
     evidence = held.join(asked, "doc_id").join(named, ["query", "concept"]).groupBy("query", "doc_id", "seq").agg(F.count(F.lit(1)).alias("concepts"))
     return S.rank_contexts(chunks, asked.join(items.withColumnRenamed("item_id", "query"), "query"), "doc_id", "seq", "tokens", evidence), chunks
