@@ -182,7 +182,10 @@ def item_snippets(spark, d):
     docs = _docs(spark, d)
     items = _items(spark, d)
     best = V.top(V.bm25(docs, V.query_terms(items, "item_id", "tokens"), "doc_id", "tokens"), ["query"], 1).select("query", F.col("doc").alias("doc_id"))
-    asked = best.join(items.withColumnsRenamed({"item_id": "query", "tokens": "phrase"}), "query").join(docs.select("doc_id", "text", "tokens"), "doc_id")
+    # The few best documents travel to the texts, which stay where they lie; snippets are cut by as many tasks as there are cores.
+    few = small(best.join(items.withColumnsRenamed({"item_id": "query", "tokens": "phrase"}), "query"))
+    found = cut(table(spark, d, "documents").select("doc_id", "text").join(few, "doc_id"))
+    asked = found.repartition(spark.sparkContext.defaultParallelism, "query").withColumn("tokens", X.surface_tokens(F.col("text")))
     terms = F.array_except(F.array_distinct("phrase"), F.array(*(F.lit(w) for w in X.QUERY_STOPWORDS)))
     whole = X.contains_phrase(F.col("tokens"), F.col("phrase")) & (F.size("phrase") > 1)
     return asked.select("query", whole.alias("whole"), X.hit_snippet(F.col("text"), terms, F.col("phrase")).alias("snippet"))
