@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions import text as X
 from quarry.operators.graphs import cut, small
-from quarry.operators.runs import bit_set, counted, runs_in
+from quarry.operators.runs import bit_set, counted, phrases_in
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -115,15 +115,13 @@ def bm25(docs: DataFrame, terms: DataFrame, doc: str, tokens: str, title_tokens:
 def phrase_hits(passages: DataFrame, phrases: DataFrame) -> DataFrame:
     """(query, doc) where a passage (doc, tokens) has all of a phrase (query, tokens) in a row.
 
-    The phrase's first three (or two) tokens meet the passages' n-grams by equality; only what they
-    bring together is compared as a whole. Phrases of one token aren't searched.
+    Passages stay where they lie: runs that begin as a phrase does grow there until they are one, by bit sets of fixed
+    size, and what comes through is compared as a whole. Phrases of one token aren't searched.
     """
-    keys = phrases.filter(F.size("tokens") > 1).select("query", F.array_join(F.slice("tokens", 1, 3), " ").alias("gram"), F.col("tokens").alias("phrase"))
-    keys = small(keys)
-    # Passages stay where they lie: each carries the grams that a phrase may begin with, and meets the phrases by those.
-    grams = runs_in(passages.select("doc", F.struct("tokens").alias("whole"), "tokens"), ["doc", "whole"], "tokens", bit_set(keys, "gram"), 2, 3)
-    met = grams.join(keys, "gram")
-    return met.filter(X.contains_phrase(F.col("whole.tokens"), F.col("phrase"))).select("query", "doc").distinct()
+    keys = small(phrases.filter(F.size("tokens") > 1).select("query", F.array_join(F.slice("tokens", 1, 3), " ").alias("gram"), F.array_join("tokens", " ").alias("phrase"), F.size("tokens").alias("n")))
+    longest = keys.agg(F.max("n")).first()[0] or 0
+    held = phrases_in(passages, ["doc"], "tokens", bit_set(keys, "gram"), bit_set(keys, "phrase"), longest).distinct()
+    return held.join(keys.select("query", "phrase"), "phrase").select("query", "doc").distinct()
 
 
 def ranked(scores: DataFrame, by: Sequence[str], score: str = "score", key: str = "doc", rank: str = "rank") -> DataFrame:

@@ -121,6 +121,37 @@ def runs_in(rows: DataFrame, keys: Sequence[str], tokens: str, known: bytes, lea
     return rows.select(*keys, tokens).mapInArrow(run, ", ".join([*kinds, "at int, n int, gram string, raw string"]))
 
 
+def phrases_in(rows: DataFrame, keys: Sequence[str], tokens: str, starts: bytes, whole: bytes, most: int) -> DataFrame:
+    """(keys, phrase): runs of 2 to ``most`` tokens that the set ``whole`` lets through, and whose first three tokens are in ``starts``."""
+    spread = rows.sparkSession.sparkContext.broadcast((starts, whole))  # of fixed size
+    width = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins, held = (np.frombuffer(b, np.uint8) for b in spread.value)
+        for batch in batches:
+            for part in _slices(batch, width):
+                t = _Tokens(part.column(width))
+                code, start, h, found = t.codes[t.ids], np.arange(len(t.ids)), np.zeros(len(t.ids), np.uint64), []
+                for n in range(1, most + 1):
+                    on = start + n - 1 < len(t.ids)
+                    start, h = start[on], h[on]
+                    on = t.rows[start + n - 1] == t.rows[start]
+                    start, h = start[on], h[on]
+                    h = _longer(h, code[start + n - 1])
+                    if n > 1:
+                        found += [(a, n) for a in start[_within(held, h)].tolist()]
+                    if n == 3:
+                        # Few runs begin as a phrase does; only those grow further.
+                        on = _within(begins, h)
+                        start, h = start[on], h[on]
+                row = t.rows[np.array([a for a, _ in found], np.int64)]
+                text = [" ".join([t.names[i] for i in t.ids[a : a + n]]) for a, n in found]
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(row)) for i in range(width)), pa.array(text, pa.string())], names=[*keys, "phrase"])
+
+    kinds = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
+    return rows.select(*keys, tokens).mapInArrow(run, ", ".join([*kinds, "phrase string"]))
+
+
 def counted(rows: DataFrame, key: str, tokens: str, title: str | None, known: bytes) -> DataFrame:
     """(key, len, term, tf, title_tf) of the tokens that the set lets through, counted where a row lies, and a row without term for each row.
 

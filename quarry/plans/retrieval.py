@@ -10,7 +10,7 @@ from quarry.operators import evaluation as E
 from quarry.operators import lexical as L
 from quarry.operators import placed as P
 from quarry.operators import retrieval as V
-from quarry.operators.graphs import cut
+from quarry.operators.graphs import cut, small
 from quarry.operators.runs import bit_set, kept
 from quarry.session import spread, table
 
@@ -91,7 +91,7 @@ def phrase_boost(spark, d):
     scores = V.bm25(docs, V.query_terms(items, "item_id", "tokens"), "doc_id", "tokens")
     passages = _lines(spark, d).select(F.col("doc_id").alias("doc"), X.surface_tokens(F.col("line")).alias("tokens"))
     hits = V.phrase_hits(passages, items.withColumnRenamed("item_id", "query")).withColumn("boost", F.lit(1.2))
-    boosted = scores.join(hits, ["query", "doc"], "left").withColumn("score", F.round(F.col("score") * F.coalesce("boost", F.lit(1.0)), 6))
+    boosted = scores.join(small(hits), ["query", "doc"], "left").withColumn("score", F.round(F.col("score") * F.coalesce("boost", F.lit(1.0)), 6))
     return V.top(boosted, ["query"], 10).select("query", "doc", "score", "rank")
 
 
