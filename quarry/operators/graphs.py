@@ -112,7 +112,9 @@ def related(bridge: DataFrame, item: str, kind: str, value: str, kinds: Sequence
             for name in some[1:]:
                 keyed = keyed.join(rows.filter(F.col("kd") == name).select("i", "v"), "i").select("i", F.concat("key", F.array("v")).alias("key"))
             first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("i"))).filter(F.col("n") <= k + 1).select("key", F.col("i").alias("j"))
-            found = keyed.join(first, "key").filter("i <> j").select("i", "j", F.lit(size).alias("kinds"))
+            # Of what a set of kinds offers an item, the k smallest do: before any other lie k that share as many. Tasks choose before they shuffle.
+            best = F.dense_rank().over(Window.partitionBy("i").orderBy("j"))
+            found = keyed.join(first, "key").filter("i <> j").select("i", "j", best.alias("n")).filter(F.col("n") <= k).select("i", "j", F.lit(size).alias("kinds")).distinct()
             offers = found if offers is None else offers.unionByName(found)
     pairs = offers.groupBy("i", "j").agg(F.max("kinds").alias("kinds"))
     place = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("kinds"), "j"))
