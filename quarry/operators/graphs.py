@@ -50,14 +50,16 @@ def ancestors_all(tree: DataFrame, node: str, parent: str, allowed: Column, roun
     pointer never reaches the root is on or below a cycle, and denied; a missing parent ends the path.
     """
     known = tree.select(F.col(node).alias("n"), F.col(parent).alias("p"), allowed.alias("ok"))
+    none = F.lit(None).cast(known.schema["p"].dataType).alias("p")
     here = known.select(F.col("n").alias("p"))
-    state = known.join(here.withColumn("there", F.lit(True)), "p", "left").withColumn("p", F.when(F.col("there"), F.col("p"))).select("n", "p", "ok")
-    state = cut(state)
+    inner = known.filter("p IS NOT NULL").join(here.withColumn("there", F.lit(True)), "p", "left").withColumn("p", F.when(F.col("there"), F.col("p"))).select("n", "p", "ok")
+    state = cut(inner.unionByName(known.filter("p IS NULL").select("n", none, "ok")))
     before = -1
     for _ in range(rounds):
         far = state.select(F.col("n").alias("p"), F.col("p").alias("pp"), F.col("ok").alias("pok"))
-        moved = state.join(far, "p", "left").select("n", F.col("pp").alias("p"), (F.col("ok") & F.coalesce("pok", F.lit(True))).alias("ok"), F.col("p").isNotNull().alias("live"))
-        moved = cut(moved)
+        # Rows that are done have no pointer: they stay where they are, for in a join they would all meet in one task.
+        live = state.filter("p IS NOT NULL").join(far, "p", "left").select("n", F.col("pp").alias("p"), (F.col("ok") & F.coalesce("pok", F.lit(True))).alias("ok"), F.lit(True).alias("live"))
+        moved = cut(live.unionByName(state.filter("p IS NULL").select("n", none, "ok", F.lit(False).alias("live"))))
         state = moved.select("n", "p", "ok")
         live = moved.filter("live").agg(F.count(F.lit(1))).first()[0]
         if live in (0, before):  # as many pointers as before: only cycles are left
