@@ -108,7 +108,7 @@ def test_rare_runs_are_shuffled_as_hashes(spark, tmp_path):
                 uses[p] = uses.get(p, 0) + 1
     found = registry.queries()["c06_phrase_mining"](spark, str(tmp_path)).collect()
     assert {(r.phrase, r.docs, r.uses) for r in found} == {(p, len(d), uses[p]) for p, d in seen.items() if len(d) >= 5}
-    # Of the runs that one document in five or fewer has, none leaves its task as text.
+    # A run that the bit set doesn't let through isn't made as text; here it lets none through.
     from quarry.operators import lexical as L
 
     column = L.pa.array([t.split() for _, t in texts if t])
