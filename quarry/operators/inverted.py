@@ -3,9 +3,13 @@
 Documents are dealt to shards by their identifier. Within a shard they are numbered in order; a term's
 postings (number, frequency, length) lie in blocks of fixed size with the numbers delta-coded, and a block
 knows its range of numbers, its greatest frequency and its least length, hence the most that BM25 can give
-for it. A query goes over a shard's stretches of numbers in the order of what they can give at most, and
+for it. A shard's documents are kept in the same way, as postings of no term whose frequency is the length. A query
+goes over a shard's stretches of numbers in the order of what they can give at most, and
 stops where that is below its k-th score; blocks that no such stretch touches are never decoded.
 
+Texts are tokenised once: tasks count the tokens of many documents and hand on one coded row for each shard and
+term, and those rows, not postings, are shuffled and merged into blocks.
+
 Every shard has a version with a fingerprint of the documents that it was made from. ``refresh`` compares
 those with the live documents and makes anew only the shards that differ; a query that finds a stale shard
 is refused. The statistics BM25 needs (document frequencies, number, mean length) add up over shards.
@@ -20,13 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quarry.operators import retrieval as V
 from quarry.operators.buckets import exists
+from quarry.operators.graphs import small
+from quarry.operators.runs import _slices
 
-#: Postings of a block.
-BLOCK = 128
-_BLOCKS = "term string, first long, last long, n int, most_tf int, least_len int, numbers binary, tfs binary, lens binary"
+#: Postings of a block, the most stretches of a shard that a query tells apart, and how many tokens or postings a task handles at once.
+BLOCK, STRETCHES, _TOKENS, _POSTINGS = 128, 128, 1 << 22, 1 << 20
+_BLOCKS = f"term string, first long, last long, n int, most_tf int, least_len int, copies int, total long, postings binary"
 _WRAP = 1 << 40
 
 
@@ -47,9 +54,17 @@ def _encoded(values: np.ndarray, begin: np.ndarray) -> pa.Array:
 def _decoded(raw: bytes) -> np.ndarray:
     data = np.frombuffer(raw, np.uint8)
     ends = np.flatnonzero(data < 128)
-    begins = np.concatenate([[0], ends[:-1] + 1])
+    begins = np.append(0, ends[:-1] + 1)[: len(ends)]
     place = np.arange(len(data)) - np.repeat(begins, ends - begins + 1)
-    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), begins)
+    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), begins) if len(data) else np.zeros(0, np.int64)
+
+
+def _postings(first: np.ndarray, n: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, frequencies and lengths of all postings of coded blocks, one after another."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    gaps, tf, size = _decoded(np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]).reshape(-1, 3).T
+    done = np.cumsum(gaps)
+    return done + np.repeat(first - done[np.cumsum(n) - n], n), tf, size
 
 
 def _fingerprints(docs: DataFrame, doc: str, text: str, shards: int) -> DataFrame:
@@ -74,47 +89,43 @@ class InvertedIndex:
         best = self._log().groupBy("shard").agg(F.max(F.struct("version", "docs", "print", "length")).alias("v"))
         return best.select("shard", "v.*").filter("docs > 0")
 
+    def _compared(self, docs: DataFrame, doc: str, text: str) -> list:
+        """(shard, docs, live) of the shards whose stored fingerprint isn't that of the live documents, vanished ones too."""
+        live = _fingerprints(docs, doc, text, self.shards).withColumnRenamed("print", "live")
+        both = live.join(self.versions().select("shard", F.col("print").alias("kept")), "shard", "full_outer")
+        return both.filter(~F.col("live").eqNullSafe(F.col("kept"))).select("shard", F.coalesce("docs", F.lit(0)).alias("docs"), "live").orderBy("shard").collect()  # at most all shards
+
     def stale(self, docs: DataFrame, doc: str, text: str) -> list[int]:
         """Shards whose stored fingerprint isn't that of the live documents, vanished ones too."""
-        live = _fingerprints(docs, doc, text, self.shards)
-        both = live.select("shard", F.col("print").alias("live")).join(self.versions().select("shard", F.col("print").alias("kept")), "shard", "full_outer")
-        return sorted(r.shard for r in both.filter(~F.col("live").eqNullSafe(F.col("kept"))).select("shard").collect())  # at most all shards
+        return [r.shard for r in self._compared(docs, doc, text)]
 
     def refresh(self, docs: DataFrame, doc: str, text: str, tokens: str) -> list[int]:
         """Makes the stale shards anew from ``docs`` (doc, text, tokens); gives their numbers."""
-        stale = self.stale(docs, doc, text)
+        found = self._compared(docs, doc, text)
+        stale = [r.shard for r in found]
         if not stale:
             return []
         version = (self._log().agg(F.max("version")).first()[0] or 0) + 1
-        mine = docs.withColumn("shard", F.pmod(F.col(doc), F.lit(self.shards)).cast("int")).filter(F.col("shard").isin(stale))
+        shard = F.pmod(F.col(doc), F.lit(self.shards)).cast("int")
+        mine = docs.filter(shard.isin(stale)).select(shard.alias("shard"), F.col(doc).cast("long").alias("doc"), F.col(tokens).alias("tokens"))
         at = f"version={version}"
-        # Numbers of documents follow their order in a shard; the list of a shard's identifiers is sorted in one task, which shards are sized for.
-        lens = mine.select("shard", F.col(doc).cast("long").alias("doc"), F.size(tokens).alias("len"))
-        lens.repartition("shard").sortWithinPartitions("shard", "doc").write.mode("overwrite").partitionBy("shard").parquet(f"{self.folder}/documents/{at}")
-        counted = mine.select("shard", F.col(doc).cast("long").alias("doc"), F.size(tokens).alias("len"), F.explode(tokens).alias("term")).groupBy("shard", "term", "doc", "len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-
-        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: pa.Table | None = None
-            for batch in batches:
-                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-                # The last term of a batch may go on in the next one; whole blocks of it are let go all the same.
-                made, held = _cut_blocks(held, False)
-                if made:
-                    yield made
-            if held is not None and len(held):
-                made, _ = _cut_blocks(held, True)
-                yield made
-
-        sorted_ = counted.repartition("shard", "term").sortWithinPartitions("shard", "term", "doc").select("shard", "term", "doc", "tf", "len")
-        made = sorted_.mapInArrow(blocks, f"shard int, {_BLOCKS}")
-        made.sortWithinPartitions("shard", "term", "first").write.mode("overwrite").partitionBy("shard").parquet(f"{self.folder}/blocks/{at}")
-        lengths = self.spark.read.schema("doc long, len int, shard int").parquet(f"{self.folder}/documents/{at}").groupBy("shard").agg(F.sum("len").alias("length"))
-        log = self.spark.createDataFrame([(s,) for s in stale], "shard int").join(_fingerprints(mine, doc, text, self.shards), "shard", "left").join(lengths, "shard", "left")
-        log.select("shard", F.coalesce("docs", F.lit(0)).alias("docs"), "print", F.coalesce("length", F.lit(0)).alias("length")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/log/{at}")
+
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return (_part(rows) for batch in batches for rows in _slices(batch, 2, _TOKENS) if len(rows))
+
+        counted = mine.mapInArrow(parts, f"shard int, term string, first long, n int, postings binary")
+        # All of a term in a shard, or a shard's list of documents, is merged in one task, which shards are sized for.
+        # Numbers are sorted faster than words; any order will do that brings the rows of a term together.
+        together = counted.repartition("term", "shard").withColumn("h", F.xxhash64("term", "shard")).sortWithinPartitions("h", "term", "shard").drop("h")
+        made = together.mapInArrow(_blocks, f"shard int, {_BLOCKS}")
+        made.write.mode("overwrite").partitionBy("shard").parquet(f"{self.folder}/blocks/{at}")
+        lengths = self.spark.read.schema(f"{_BLOCKS}, shard int").parquet(f"{self.folder}/blocks/{at}").filter("term IS NULL").groupBy("shard").agg(F.sum("total").alias("length"))
+        log = self.spark.createDataFrame(found, "shard int, docs long, print string").join(lengths, "shard", "left")
+        log.select("shard", "docs", "print", F.coalesce("length", F.lit(0)).alias("length")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/log/{at}")
         return stale
 
     def blocks(self) -> DataFrame:
-        """All blocks of the newest versions."""
+        """All blocks of the newest versions; those without term list the documents."""
         now = F.broadcast(self.versions().select("shard", "version"))  # a row for each shard
         schema = T._parse_datatype_string(f"{_BLOCKS}, version int, shard int")
         return self.spark.read.schema(schema).parquet(f"{self.folder}/blocks").join(now, ["shard", "version"]).drop("version")
@@ -128,9 +139,9 @@ class InvertedIndex:
             raise StaleIndex(f"shards {stale} are stale")
         sizes = self.versions().agg(F.sum("docs").alias("docs"), F.sum("length").alias("length")).first()
         n_docs, mean = sizes.docs or 0, (sizes.length / sizes.docs if sizes.docs else 1.0)
-        mine = self.blocks().join(terms.select("term").distinct(), "term", "left_semi")
-        df = mine.groupBy("term").agg(F.sum("n").alias("df"))
-        asked = mine.join(df, "term").join(terms.select("query", "term"), "term")
+        held = self.blocks()
+        df = held.join(small(terms.select("term").distinct()), "term").groupBy("term").agg(F.sum("n").alias("df"))
+        asked = held.join(small(terms.select("query", "term").join(df, "term")), "term").drop("total")
         kind = terms.schema["query"].dataType.simpleString()
 
         def best(key: tuple, table: pa.Table) -> pa.Table:
@@ -140,32 +151,94 @@ class InvertedIndex:
             return pa.table({"query": pa.array([key[0].as_py()] * one, table.schema.field("query").type), "doc": pa.array(docs, pa.int64()), "score": pa.array(scores, pa.float64()), "decoded": pa.array([decoded] + [0] * (one - 1), pa.int64()), "blocks": pa.array([len(table)] + [0] * (one - 1), pa.int64())})
 
         found = asked.groupBy("query", "shard").applyInArrow(best, f"query {kind}, doc long, score double, decoded long, blocks long")
-        read = found.groupBy("query").agg(F.sum("decoded").alias("decoded"), F.sum("blocks").alias("blocks"))
-        return V.top(found.filter("doc IS NOT NULL").select("query", "doc", "score"), ["query"], k).join(read, "query")
-
-
-def _cut_blocks(rows: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
-    """Blocks of rows (shard, term, doc, tf, len) in order, and the rows that must wait for more of their term."""
-    rows = rows.combine_chunks()
-    shard, doc, tf, size = (rows.column(c).to_numpy() for c in ("shard", "doc", "tf", "len"))
-    code = rows.column("term").combine_chunks().dictionary_encode().indices.to_numpy()
-    fresh = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (shard[1:] != shard[:-1])]))
-    ends = np.append(fresh[1:], len(rows))
-    cuts = [(a + i, min(a + i + BLOCK, b)) for a, b in zip(fresh, ends) for i in range(0, b - a, BLOCK)]
-    wait = len(rows)
-    if not last and cuts and cuts[-1][1] - cuts[-1][0] < BLOCK:
-        wait = cuts.pop()[0]
-    if not cuts:
-        return None, rows.slice(wait if wait < len(rows) else 0)
-    begin, stop = np.array([a for a, _ in cuts]), cuts[-1][1]
-    gaps = np.diff(doc[:stop], prepend=0)
+        # Rows without document only count blocks; they rank last.
+        of = Window.partitionBy("query")
+        counted = found.select("query", "doc", "score", F.sum("decoded").over(of).alias("decoded"), F.sum("blocks").over(of).alias("blocks"))
+        return V.top(counted, ["query"], k).filter("doc IS NOT NULL").select("query", "doc", "score", "rank", "decoded", "blocks")
+
+
+def _packed(begin: np.ndarray, doc: np.ndarray, tf: np.ndarray, size: np.ndarray) -> dict[str, pa.Array]:
+    """Postings in order, as coded rows that start at ``begin``."""
+    gaps = np.diff(doc, prepend=0)
     gaps[begin] = 0
-    out = {
-        "shard": pa.array(shard[begin]), "term": rows.column("term").combine_chunks().take(pa.array(begin)), "first": pa.array(doc[begin]), "last": pa.array(doc[[b - 1 for _, b in cuts]]),
-        "n": pa.array([b - a for a, b in cuts], pa.int32()), "most_tf": pa.array(np.maximum.reduceat(tf[:stop], begin)), "least_len": pa.array(np.minimum.reduceat(size[:stop], begin)),
-        "numbers": _encoded(gaps, begin), "tfs": _encoded(tf[:stop], begin), "lens": _encoded(size[:stop], begin),
-    }
-    return pa.RecordBatch.from_arrays(list(out.values()), names=list(out)), rows.slice(wait)
+    return {"first": pa.array(doc[begin]), "n": pa.array(np.diff(begin, append=len(doc)), pa.int32()), "postings": _encoded(np.stack([gaps, tf, size], axis=1).ravel(), 3 * begin)}
+
+
+def _part(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """The postings of some documents (shard, doc, tokens): a coded row for each shard and term, and one without term for each shard's documents."""
+    shard, doc = (rows.column(i).to_numpy() for i in (0, 1))
+    size = rows.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((doc, shard))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    coded = rows.column(2).flatten().dictionary_encode()
+    known, ids = coded.dictionary, coded.indices
+    key = ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) * len(order) + np.repeat(place, size)
+    key, tf = np.unique(key[key >= 0] if ids.null_count else key, return_counts=True)
+    term, at = np.append(key // len(order), np.full(len(order), len(known))), np.append(order[key % len(order)], order)
+    begin = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(shard[at]) != 0)))
+    made = _packed(begin, doc[at], np.append(tf, size[order]), size[at])
+    made |= {"shard": pa.array(shard[at[begin]]), "term": known.take(pa.array(term[begin], mask=term[begin] == len(known)))}
+    names = ["shard", "term", "first", "n", "postings"]
+    return pa.RecordBatch.from_arrays([made[c] for c in names], names=names)
+
+
+def _heads(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Where another term or shard begins."""
+    term = rows.column("term")
+    term = (term.combine_chunks() if isinstance(term, pa.ChunkedArray) else term).dictionary_encode("encode").indices.to_numpy()
+    return np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(rows.column("shard").to_numpy()) != 0)))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks from coded rows; those of a term and shard follow one another."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        cut = int(_heads(batch)[-1])
+        if held and len(_heads(pa.Table.from_batches([held[-1].slice(len(held[-1]) - 1), batch.slice(0, 1)]))) > 1:
+            yield from _merged(held)
+            held = []
+        # The last term of a batch may go on in the next one.
+        if cut:
+            yield from _merged([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield from _merged(held)
+
+
+def _merged(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of whole terms of shards, some terms at a time."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    heads, n = _heads(rows), rows.column("n").to_numpy().astype(np.int64)
+    piece = (np.cumsum(n) - n)[heads] // _POSTINGS
+    cuts = np.append(heads[np.append(True, np.diff(piece) > 0)], len(rows))
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        yield _merged_piece(rows.slice(low, high - low), heads[(heads >= low) & (heads < high)] - low)
+
+
+def _merged_piece(rows: pa.Table, heads: np.ndarray) -> pa.RecordBatch:
+    n = rows.column("n").to_numpy().astype(np.int64)
+    doc, tf, size = _postings(rows.column("first").to_numpy(), n, rows.column("postings").combine_chunks())
+    group = np.repeat(np.repeat(np.arange(len(heads)), np.diff(heads, append=len(rows))), n)
+    order = np.lexsort((size, doc, group))
+    doc, tf, size, group = doc[order], tf[order], size[order], group[order]
+    other = np.append(True, (np.diff(group) != 0) | (np.diff(doc) != 0))
+    # Rows that share identifier and length are one document.
+    once = np.flatnonzero(other | np.append(True, np.diff(size) != 0))
+    doc, tf, size, group, other = doc[once], np.add.reduceat(tf, once), size[once], group[once], other[once]
+    same = np.diff(np.flatnonzero(np.append(other, True)))
+    copies = np.repeat(same, same)
+    start = np.flatnonzero(np.append(True, np.diff(group) != 0))
+    begin = np.flatnonzero((np.arange(len(doc)) - np.repeat(start, np.diff(start, append=len(doc)))) % BLOCK == 0)
+    made = _packed(begin, doc, tf, size)
+    made |= {c: rows.column(c).combine_chunks().take(pa.array(heads[group[begin]])) for c in ("shard", "term")}
+    made |= {"last": pa.array(doc[np.append(begin[1:], len(doc)) - 1]), "total": pa.array(np.add.reduceat(tf, begin))}
+    made |= {c: pa.array(f.reduceat(v, begin), pa.int32()) for c, f, v in (("most_tf", np.maximum, tf), ("least_len", np.minimum, size), ("copies", np.maximum, copies))}
+    names = ["shard", "term", "first", "last", "n", "most_tf", "least_len", "copies", "total", "postings"]
+    return pa.RecordBatch.from_arrays([made[c] for c in names], names=names)
 
 
 def _weight(tf: np.ndarray, size: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
@@ -174,36 +247,44 @@ def _weight(tf: np.ndarray, size: np.ndarray, idf: np.ndarray, mean: float) -> n
 
 def _best_of_shard(table: pa.Table, k: int, n_docs: int, mean: float) -> tuple[list, list, int]:
     """The k best documents of one query in one shard, their scores, and the number of blocks decoded."""
-    first, last, df = (table.column(c).to_numpy() for c in ("first", "last", "df"))
+    first, last, count, df, copies = (table.column(c).to_numpy() for c in ("first", "last", "n", "df", "copies"))
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-    bound = _weight(table.column("most_tf").to_numpy().astype(float), table.column("least_len").to_numpy(), idf, mean)
-    # Stretches of document numbers in which the set of blocks doesn't change, and what they give at most.
+    bound = copies * _weight(table.column("most_tf").to_numpy().astype(float), table.column("least_len").to_numpy(), idf, mean)
+    # Stretches of document numbers, as many as there are edges of blocks up to a fixed number, and what they give at most:
+    # of each term, the most that a block which touches the stretch can give.
     edges = np.unique(np.concatenate([first, last + 1]))
-    gives = np.zeros(len(edges))
-    np.add.at(gives, np.searchsorted(edges, first), bound)
-    np.add.at(gives, np.searchsorted(edges, last + 1), -bound)
-    gives = np.cumsum(gives)
-    raw = {c: table.column(c) for c in ("numbers", "tfs", "lens")}
-    opened: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    edges = np.append(edges[: -1 : -(-len(edges) // STRETCHES)], edges[-1])
+    low, high = np.searchsorted(edges, first, "right") - 1, np.searchsorted(edges, last, "right")
+    spans = high - low
+    block = np.repeat(np.arange(len(first)), spans)
+    where = np.arange(len(block)) - np.repeat(np.cumsum(spans) - spans - low, spans)
+    term = table.column("term").combine_chunks().dictionary_encode().indices.to_numpy()
+    most = np.zeros((term.max() + 1, len(edges) - 1))
+    np.maximum.at(most, (term[block], where), bound[block])
+    gives = most.sum(axis=0)
+    raw, opened, visited = table.column("postings").combine_chunks(), np.zeros(len(first), bool), np.zeros(len(gives), bool)
     docs, scores = np.zeros(0, np.int64), np.zeros(0)
-    for s in np.argsort(-gives, kind="stable"):
+    rest = (np.zeros(0, np.int64), np.zeros(0))
+    order, at = np.argsort(-gives, kind="stable"), 0
+    # One stretch at first, then twice as many each time, so there are few steps even where nothing can be left out.
+    while at < len(order):
         # Scores are rounded to six places, so a stretch that may still tie is looked at.
-        if gives[s] <= 1e-12 or len(scores) == k and gives[s] < scores[-1] - 2e-6:
+        here = order[at : 2 * at + 1]
+        here = here[(gives[here] > 1e-12) & (gives[here] >= (scores[-1] - 2e-6 if len(scores) == k else 0))]
+        if not len(here):
             break
-        low, high = edges[s], edges[s + 1]
-        here_docs, here_parts = [], []
-        for b in np.flatnonzero((first <= low) & (last >= low)):
-            if b not in opened:
-                numbers = first[b] + np.cumsum(_decoded(raw["numbers"][int(b)].as_py()))
-                opened[b] = numbers, _weight(_decoded(raw["tfs"][int(b)].as_py()).astype(float), _decoded(raw["lens"][int(b)].as_py()), idf[b], mean)
-            numbers, parts = opened[b]
-            a, z = np.searchsorted(numbers, [low, high])
-            here_docs.append(numbers[a:z])
-            here_parts.append(parts[a:z])
-        found, where = np.unique(np.concatenate(here_docs), return_inverse=True)
-        if len(found):
-            total = np.round(np.bincount(where, np.concatenate(here_parts)), 6)
-            docs, scores = np.concatenate([docs, found]), np.concatenate([scores, total])
-            order = np.lexsort((docs, -scores))[:k]
-            docs, scores = docs[order], scores[order]
-    return docs.tolist(), scores.tolist(), len(opened)
+        at, visited[here] = 2 * at + 1, True
+        new = np.unique(block[visited[where]])
+        new = new[~opened[new]]
+        opened[new] = True
+        numbers, tf, size = _postings(first[new], count[new], raw.take(pa.array(new)))
+        parts = _weight(tf.astype(float), size, np.repeat(idf[new], count[new]), mean)
+        # What opened blocks hold of other stretches waits until those are visited.
+        numbers, parts = np.append(rest[0], numbers), np.append(rest[1], parts)
+        now = visited[np.searchsorted(edges, numbers, "right") - 1]
+        rest = numbers[~now], parts[~now]
+        found, of = np.unique(numbers[now], return_inverse=True)
+        docs, scores = np.append(docs, found), np.append(scores, np.round(np.bincount(of, parts[now]), 6))
+        best = np.lexsort((docs, -scores))[:k]
+        docs, scores = docs[best], scores[best]
+    return docs.tolist(), scores.tolist(), int(opened.sum())
