@@ -32,7 +32,7 @@ from quarry.operators.graphs import small
 from quarry.operators.runs import _slices
 
 #: Postings of a block, the most stretches of a shard that a query tells apart, and how many tokens or postings a task handles at once.
-BLOCK, STRETCHES, _TOKENS, _POSTINGS = 128, 128, 1 << 22, 1 << 20
+BLOCK, STRETCHES, _TOKENS, _POSTINGS = 128, 128, 1 << 20, 1 << 18
 _BLOCKS = f"term string, first long, last long, n int, most_tf int, least_len int, copies int, total long, postings binary"
 _WRAP = 1 << 40
 
