@@ -56,9 +56,9 @@ SELECT r.query, r.doc, round(CASE WHEN am.query IS NULL OR ok.doc IS NOT NULL TH
 """)
 def anchor_rule(spark, d):
     docs, asked = _docs(spark, d), _short(spark, d)
+    asked = cut(asked)
     terms = V.query_terms(asked, "query", "tokens")
-    found = V.index(docs, "doc_id", "tokens", terms)
-    return L.apply_anchors(V.scores(found, terms), found.filter("term IS NOT NULL"), terms, L.anchors(asked, _passages(docs), "query", "tokens", "tokens"), asked.filter(F.contains("line", F.lit('"')) | F.contains("line", F.lit("“"))))
+    return L.anchored_scores(docs, "doc_id", "tokens", terms, L.anchors(asked, _passages(docs), "query", "tokens", "tokens"), asked.filter(F.contains("line", F.lit('"')) | F.contains("line", F.lit("“"))))
 
 
 @query("x08_auxiliary_only", _PLAIN + f", tq AS (SELECT item_id, count(*) > 1 AS many FROM q GROUP BY 1) SELECT query, doc, score FROM r JOIN tq ON tq.item_id = query WHERE NOT many OR EXISTS (SELECT 1 FROM q JOIN tf USING (term) WHERE q.item_id = query AND tf.doc_id = doc AND NOT list_contains({_AUX}, term))")
