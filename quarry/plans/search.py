@@ -69,9 +69,8 @@ def _grouped(spark, d, focused: bool):
     named = cut(S.recognised(items, "item_id", F.col("tokens"), aliases))
     terms = cut(S.without_constituents(V.query_terms(items, "item_id", "tokens"), named))
     groups = named.select("query", "concept").distinct().join(aliases, "concept").select("query", "concept", "alias", F.when(F.contains("alias", F.lit(" ")), 1.0).otherwise(0.8).alias("weight"))
-    mentions = cut(alias_mentions(docs, "doc_id", F.col("tokens"), aliases).groupBy(F.col("doc_id").alias("doc"), "concept", "alias").agg(F.count(F.lit(1)).alias("n")))
     focus = groups.filter("query % 2 = 0").select("query", "concept").distinct() if focused else None
-    return S.grouped_scores(V.index(docs, "doc_id", "tokens", terms), terms, groups, mentions, focus)
+    return S.grouped_scores(docs, "doc_id", "tokens", terms, groups, aliases, focus)
 
 
 @query("x10_concept_groups", _GROUPED + "SELECT query, doc, score, matched FROM al2")
