@@ -37,12 +37,12 @@ def query_terms(queries: DataFrame, query: str, tokens: str) -> DataFrame:
     return queries.select(F.col(query).alias("query"), F.explode(informative).alias("term"))
 
 
-def index(docs: DataFrame, doc: str, tokens: str, terms: DataFrame, title_tokens: str | None = None, version: str | None = None) -> DataFrame:
+def index(docs: DataFrame, doc: str, tokens: str, terms: DataFrame, title_tokens: str | None = None) -> DataFrame:
     """(doc, len, term, tf, title_tf) of the wanted ``terms`` (term), and a row without term for each document.
 
     Texts are tokenised once: all that BM25 asks of the corpus comes from this table, which is written
     out. Tokens are counted where their document lies, and those that are not wanted go no further. A title counts into
-    frequency and length like the body. With ``version``, a field of the document's key, a version's documents lie together.
+    frequency and length like the body.
     """
     wanted = small(terms.select("term").distinct())
     rows = counted(docs, doc, tokens, title_tokens, bit_set(wanted, "term"))
@@ -50,10 +50,7 @@ def index(docs: DataFrame, doc: str, tokens: str, terms: DataFrame, title_tokens
     rows = rows.withColumn("key", F.coalesce("term", F.concat(F.lit("\0"), F.col("doc").cast("string"))))
     kept = rows.join(wanted.select(F.col("term").alias("key"), F.lit(True).alias("wanted")), "key", "left").filter("wanted OR term IS NULL").drop("key", "wanted")
     # A document's rows lie together, so its scores are summed where they are.
-    by = []
-    if version:
-        kept, by = kept.withColumn("version", F.col("doc")[version]), ["version"]
-    return cut(kept.repartition(*(by or ["doc"])).groupBy(*by, "doc", "len", "term").agg(F.sum("tf").alias("tf"), F.sum("title_tf").alias("title_tf")))
+    return cut(kept.repartition("doc").groupBy("doc", "len", "term").agg(F.sum("tf").alias("tf"), F.sum("title_tf").alias("title_tf")))
 
 
 def frequencies(found: DataFrame) -> DataFrame:
@@ -88,23 +85,22 @@ def contribution(tf: Column, df: Column) -> Column:
 
 
 def parts(found: DataFrame, terms: DataFrame, title_boost: float = 0.0, stats: DataFrame | None = None, df: DataFrame | None = None) -> DataFrame:
-    """(query, doc, part): what each of the ``terms`` (query, term) gives to the documents of an index that hold it; and version if the index has it.
+    """(query, doc, part): what each of the ``terms`` (query, term) gives to the documents of an index that hold it.
 
     Queries' terms get their frequencies first, so what documents hold meets them once and stays where it lies.
     """
     asked = small(terms.select("query", "term").join(df if df is not None else frequencies(found), "term"))
     rows = found.filter("term IS NOT NULL").join(asked, "term").crossJoin(F.broadcast(stats if stats is not None else lengths(found)))  # stats is one row
-    by = ["version"] if "version" in found.columns else []
-    return rows.select("query", *by, "doc", contribution(F.col("tf") + title_boost * F.col("title_tf"), F.col("df")).alias("part"))
+    return rows.select("query", "doc", contribution(F.col("tf") + title_boost * F.col("title_tf"), F.col("df")).alias("part"))
 
 
 def scores(found: DataFrame, terms: DataFrame, title_boost: float = 0.0, stats: DataFrame | None = None, df: DataFrame | None = None) -> DataFrame:
-    """(query, doc, score, matched) for ``terms`` (query, term) over an index, and version if the index has it.
+    """(query, doc, score, matched) for ``terms`` (query, term) over an index.
 
     ``stats`` (n_docs, avg_len) and ``df`` (term, df) of a larger corpus replace those observed (X12).
     """
     rows = parts(found, terms, title_boost, stats, df)
-    return rows.groupBy(*rows.columns[:-1]).agg(F.round(F.sum("part"), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
+    return rows.groupBy("query", "doc").agg(F.round(F.sum("part"), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
 
 
 def bm25(docs: DataFrame, terms: DataFrame, doc: str, tokens: str, title_tokens: str | None = None, title_boost: float = 1.0) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.operators import coded as C
 from quarry.operators import placed as P
 from quarry.operators import retrieval as V
 from quarry.operators import search as S
@@ -109,10 +110,6 @@ def corpus_export(spark, d):
 _CHUNKS = f"(SELECT doc_id, i - 1 AS seq, line, {tok('line')} AS t FROM (SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)))"
 
 
-def _chunks(spark, d):
-    return _lines(spark, d).withColumn("tokens", X.surface_tokens(F.col("line")))
-
-
 @query("x22_chunk_search", f"""
 WITH c AS {_CHUNKS}, tf AS (SELECT doc_id, seq, len, term, count(*) AS tf FROM (SELECT doc_id, seq, len(t) AS len, unnest(t) AS term FROM c) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM c),
 q AS (SELECT item_id AS query, unnest(list_filter(list_distinct({tok('text')}), lambda w: NOT list_contains({_STOP}, w))) AS term FROM benchmark),
@@ -121,9 +118,8 @@ b AS (SELECT *, row_number() OVER (PARTITION BY query, version ORDER BY score DE
 SELECT * FROM t WHERE rank <= 10
 """)
 def chunk_search(spark, d):
-    chunks = _chunks(spark, d).withColumn("chunk", F.struct("doc_id", "seq"))
-    found = S.chunk_search(chunks, V.query_terms(_items(spark, d), "item_id", "tokens"), "chunk", "doc_id", "tokens", 10)
-    return found.select("query", "version", F.col("chunk.seq").alias("line"), "score", "rank", "total")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("tokens", C.line_tokens(F.col("text")))
+    return S.chunk_search(docs, "doc_id", "tokens", V.query_terms(_items(spark, d), "item_id", "tokens"), 10)
 
 
 #: Each item's best documents, how the lines of those compare, and the best line of each.
