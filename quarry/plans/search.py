@@ -251,9 +251,8 @@ def hybrid_search(spark, d):
     docs = _docs(spark, d)
     typed = _titles(spark, d).select("query", X.surface_tokens(X.fold(F.col("text"))).alias("tokens"))
     terms = cut(V.query_terms(typed, "query", "tokens"))
-    stats = P.statistics(docs, "tokens")
-    spelled = cut(S.spelled_alike(terms, stats.select("term").filter("term IS NOT NULL")))
-    lexical = P.Branch(docs, "doc_id", "tokens", terms, spelled, S.VARIANT_WEIGHT, stats)
+    spelled = cut(S.spelled_alike(terms, P.vocabulary(docs, "tokens")))
+    lexical = P.Branch(docs, "doc_id", "tokens", terms, spelled, S.VARIANT_WEIGHT)
     return P.fused([lexical], [_neighbours(spark, d, 50).select("query", "doc", "rank")], 10)
 
 

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from quarry.operators import coded
+from quarry.operators import coded, placed
 from quarry.plans import registry
 from tests.test_parity import rows_of
 
@@ -22,18 +22,21 @@ def _tables(spark, folder):
     docs += [(400, '"red fox den" hen\nred fox den\n\nred fox den cat'), (8, docs[8][1]), (9, None), (500, None), (501, "")]
     items = [(i, line(-2) + " red fox") for i in range(12)] + [(12, None), (13, "of the")]
     spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(4)], i % 3) for i in [*range(80), 100, 200, 300, 400]]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").write.parquet(f"{folder}/embeddings.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
 
 
-@pytest.mark.parametrize("name", ["x07_anchor_rule", "x10_concept_groups", "x11_focus_rule", "x22_chunk_search"])
+@pytest.mark.parametrize("name", ["x07_anchor_rule", "x10_concept_groups", "x11_focus_rule", "x22_chunk_search", "d19_hybrid_search", "x16_field_rrf"])
 @pytest.mark.parametrize("size", [None, 7])
 def test_odd_tables_against_sql(spark, tmp_path, monkeypatch, name, size):
     _tables(spark, tmp_path)
     if size:
         for bound in ("BLOCK", "TOKENS", "PIECE", "GIVEN"):
-            monkeypatch.setattr(coded, bound, size)  # several blocks of queries; tasks' bounds are those of the module
+            monkeypatch.setattr(coded, bound, size)
+        monkeypatch.setattr(placed, "BLOCK", size)
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     df = registry.queries()[name](spark, str(tmp_path))
     found = con.execute(registry.oracle_sql()[name])
